@@ -1,6 +1,6 @@
 import importlib
 
-NAMES = ["rows"]
+NAMES = ["pieces", "rows", "recipes"]
 
 
 def import_all() -> None:

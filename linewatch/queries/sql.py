@@ -56,6 +56,18 @@ FROM (VALUES ('Default',290,60000,1.5,0.5), ('P0',290,60000,1.5,0.5), ('P1',260,
     "bands": """
 SELECT col, CAST(col*275 AS DOUBLE) AS y_min, CAST((col+1)*275 AS DOUBLE) AS y_max
 FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS t(col)""",
+    "recipes": """
+SELECT CONCAT(CASE WHEN p_partkey % 11 = 0 THEN 'R/' ELSE 'R-' END, CAST(p_partkey AS VARCHAR),
+              CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE '' END) AS name,
+       CAST(p_size*10 - 20 AS INT) AS expected_width_px, CAST(p_size*9 - 9 AS INT) AS expected_height_px,
+       CAST(p_size*p_size*60 AS INT) AS expected_area_px,
+       ROUND(CAST(0.98 AS DOUBLE) + p_size/CAST(50 AS DOUBLE), 4) AS fused_threshold,
+       ROUND((p_partkey % 100)/CAST(95 AS DOUBLE), 4) AS noise_threshold,
+       CAST(0.5 AS DOUBLE) AS single_min_ratio,
+       ROUND(CAST(0.99 AS DOUBLE) + (p_partkey % 7)/CAST(2 AS DOUBLE), 4) AS unknown_max_ratio,
+       CAST(1800 - p_size*36 AS INT) AS roi_split_x, 2400 AS transfer_line_x,
+       CAST(p_partkey % 50 AS INT) AS camera_gain, p_size - 2 AS crop_top, p_size - 1 AS crop_left
+FROM part""",
     "pixels": """
 SELECT vec_id AS frame_id, vec_id % 4 AS line_id, CAST(p % 8 AS INT) AS x, CAST(FLOOR(p/8) AS INT) AS y,
        CAST(LEAST(255, GREATEST(0, FLOOR(128 + CAST(e AS DOUBLE)*240))) AS INT) AS v

@@ -132,3 +132,24 @@ def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("frame_id"), (F.col("vec_id") % 4).alias("line_id"),
         F.transform("embedding", lambda e: e.cast("double") + 1.0).alias("profile"))
+
+
+def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe per part: grows with the data and holds out-of-range rows on purpose."""
+    size, price, key = F.col("p_size"), F.col("p_retailprice"), F.col("p_partkey")
+    name = F.concat(F.when(key % 11 == 0, "R/").otherwise("R-"), key.cast("string"),
+                    F.when(key % 13 == 0, " ").otherwise(""))
+    return table(spark, sf_dir, "part").select(
+        name.alias("name"),
+        (size * 10 - 20).cast("int").alias("expected_width_px"),
+        (size * 9 - 9).cast("int").alias("expected_height_px"),
+        (size * size * 60).cast("int").alias("expected_area_px"),
+        F.round(F.lit(0.98) + size / F.lit(50.0), 4).alias("fused_threshold"),
+        F.round((key % 100) / F.lit(95.0), 4).alias("noise_threshold"),
+        F.lit(0.5).alias("single_min_ratio"),
+        F.round(F.lit(0.99) + (key % 7) / F.lit(2.0), 4).alias("unknown_max_ratio"),
+        (F.lit(1800) - size * 36).cast("int").alias("roi_split_x"),
+        F.lit(2400).alias("transfer_line_x"),
+        (key % 50).cast("int").alias("camera_gain"),
+        F.struct((size - 2).alias("top"), F.lit(0).alias("bottom"),
+                 (size - 1).alias("left"), F.lit(0).alias("right")).alias("belt_crop"))
