@@ -97,9 +97,12 @@ def remove(base: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def rename(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rename only if the old name exists and the new one is free."""
+    """Rename only if the old name exists and the new one is free; of several
+    requests for one free name the first old name gets it."""
     taken = base.select(F.col("name").alias("new_name"), F.lit(True).alias("_taken"))
-    free = changes.join(taken, "new_name", "left_anti").select(F.col("old_name").alias("name"), "new_name")
+    free = (changes.join(taken, "new_name", "left_anti")
+            .join(base.select(F.col("name").alias("old_name")), "old_name", "left_semi")
+            .groupBy("new_name").agg(F.min("old_name").alias("name")))
     return (base.join(free, "name", "left")
             .withColumn("name", F.coalesce("new_name", "name")).drop("new_name"))
 

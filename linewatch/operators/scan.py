@@ -43,6 +43,12 @@ class LastKnown:
     value: Column | str
 
 
+@dataclass(frozen=True)
+class LastBefore:
+    """Latest non-null value strictly before the row."""
+    value: Column | str
+
+
 @dataclass(frozen=True)
 class NextKnown:
     """Earliest non-null value at or after the row."""
@@ -89,8 +95,9 @@ def scan(df: DataFrame, specs: Mapping[str, object], keys: Sequence[str] = ("lin
             reduced[red] = F.min_by(F.struct(v.alias("v")), rank)
             carried[car] = F.lag(red).over(chunks_down)
             combined[name] = F.coalesce(F.col(loc), F.col(car))["v"]
-        elif isinstance(spec, LastKnown):
-            local[loc] = F.last(v, ignorenulls=True).over(ahead.rowsBetween(*running))
+        elif isinstance(spec, (LastKnown, LastBefore)):
+            frame = running if isinstance(spec, LastKnown) else before
+            local[loc] = F.last(v, ignorenulls=True).over(ahead.rowsBetween(*frame))
             reduced[red] = F.max_by(v, F.when(v.isNotNull(), rank))
             carried[car] = F.last(red, ignorenulls=True).over(chunks_up.rowsBetween(*before))
             combined[name] = F.coalesce(F.col(loc), F.col(car))

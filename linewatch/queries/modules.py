@@ -1,6 +1,6 @@
 import importlib
 
-NAMES = ["pieces", "rows", "recipes"]
+NAMES = ["pieces", "rows", "recipes", "signals"]
 
 
 def import_all() -> None:

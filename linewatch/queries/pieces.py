@@ -167,9 +167,8 @@ def p17(spark, d):
     return gates.apply_crop(t.pieces(spark, d), RECT).select(*KEY, "crop_x1", "crop_y1", "crop_x2", "crop_y2")
 
 
-@query("p17_crop_rect", with_views("recipes", body="""
-WITH b AS (SELECT name, CAST(GREATEST(0, LEAST(crop_left*90, 1431)) AS INT) AS crop_x1,
-                  CAST(GREATEST(0, LEAST(crop_top*90, 2199)) AS INT) AS crop_y1, crop_left*40 AS r, crop_top*40 AS bt FROM recipes)
+@query("p17_crop_rect", with_views("recipes", ctes={"b": """SELECT name, CAST(GREATEST(0, LEAST(crop_left*90, 1431)) AS INT) AS crop_x1,
+                  CAST(GREATEST(0, LEAST(crop_top*90, 2199)) AS INT) AS crop_y1, crop_left*40 AS r, crop_top*40 AS bt FROM recipes"""}, body="""
 SELECT name, crop_x1, crop_y1,
   CAST(CASE WHEN r > 0 THEN LEAST(1432, GREATEST(crop_x1+1, 1432-r)) ELSE 1432 END AS INT) AS crop_x2,
   CAST(CASE WHEN bt > 0 THEN LEAST(2200, GREATEST(crop_y1+1, 2200-bt)) ELSE 2200 END AS INT) AS crop_y2 FROM b"""))

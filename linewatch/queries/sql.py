@@ -25,7 +25,7 @@ SELECT *, cx - (width_px + height_px)/CAST(4 AS DOUBLE) AS edge,
        (width_px + height_px)/CAST(2 AS DOUBLE) AS diam
 FROM detections""",
     "signals": """
-SELECT user_id AS line_id, epoch_ms(ts) AS t_ms, event_id AS seq,
+SELECT user_id AS line_id, epoch_us(ts)//1000 AS t_ms, event_id AS seq,
        event_type IN ('click','view','purchase') AS running,
        event_type = 'error' AS fault,
        event_type = 'signup' AS ack,
@@ -33,7 +33,7 @@ SELECT user_id AS line_id, epoch_ms(ts) AS t_ms, event_id AS seq,
        value/CAST(500 AS DOUBLE) AS occupancy
 FROM events""",
     "event_log": """
-SELECT user_id AS line_id, epoch_ms(ts) AS t_ms, CAST(ts AS DATE) AS event_date, event_id AS seq,
+SELECT user_id AS line_id, epoch_us(ts)//1000 AS t_ms, CAST(ts AS DATE) AS event_date, event_id AS seq,
        CASE event_type WHEN 'signup' THEN CASE WHEN value > 30 THEN 'startup' ELSE 'shutdown' END
             WHEN 'error' THEN 'fault_raised' WHEN 'purchase' THEN 'fault_cleared'
             WHEN 'click' THEN 'calibration_done' ELSE 'profile_change' END AS event_type,
@@ -43,7 +43,7 @@ SELECT user_id AS line_id, epoch_ms(ts) AS t_ms, CAST(ts AS DATE) AS event_date,
        props AS extra_json
 FROM events""",
     "defect_images": """
-SELECT CONCAT('img-', CAST(event_id AS VARCHAR), '.jpg') AS filename, epoch_ms(ts) AS t_ms, user_id AS line_id
+SELECT CONCAT('img-', CAST(event_id AS VARCHAR), '.jpg') AS filename, epoch_us(ts)//1000 AS t_ms, user_id AS line_id
 FROM events
 WHERE (event_type = 'error' AND event_id % 5 <> 0) OR (event_type = 'view' AND event_id % 50 = 0)""",
     "profiles": """
@@ -94,4 +94,6 @@ def label_from_profile(w="width_px", h="height_px") -> str:
 def with_views(*names: str, body: str, ctes: dict[str, str] | None = None, recursive: bool = False) -> str:
     parts = [f"{n} AS ({VIEWS[n].strip()})" for n in names]
     parts += [f"{n} AS ({q.strip()})" for n, q in (ctes or {}).items()]
+    if not parts:
+        return body.strip()
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + body.strip()

@@ -98,21 +98,20 @@ def defect_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Recipes used by the queries (name, width, area, fused, noise)
-PROFILE_ROWS = [("Default", 290, 60000, 1.5, 0.5), ("P0", 290, 60000, 1.5, 0.5),
-                ("P1", 260, 50000, 1.4, 0.5), ("P2", 320, 75000, 1.5, 0.4),
-                ("P3", 240, 42000, 1.6, 0.3), ("P4", 300, 66000, 1.5, 0.5),
-                ("P5", 280, 58000, 1.4, 0.4)]
+PROFILE_VALUES = """('Default', 290, 60000, 1.5D, 0.5D), ('P0', 290, 60000, 1.5D, 0.5D),
+    ('P1', 260, 50000, 1.4D, 0.5D), ('P2', 320, 75000, 1.5D, 0.4D),
+    ('P3', 240, 42000, 1.6D, 0.3D), ('P4', 300, 66000, 1.5D, 0.5D),
+    ('P5', 280, 58000, 1.4D, 0.4D)"""
 
 
 def profiles(spark: SparkSession) -> DataFrame:
-    """Seven fixed recipes: a literal table, so its size is bounded by construction."""
-    raw = spark.createDataFrame(
-        PROFILE_ROWS, "name string, width int, area int, fused double, noise double")
-    return raw.select(
-        "name", F.col("width").alias("expected_width_px"), F.col("width").alias("expected_height_px"),
-        F.col("area").alias("expected_area_px"), F.col("fused").alias("fused_threshold"),
-        F.col("noise").alias("noise_threshold"), F.lit(0.5).alias("single_min_ratio"),
-        F.lit(2.5).alias("unknown_max_ratio"))
+    """Seven fixed recipes as an inline table: its exact size is known to the
+    optimizer, so joins with it are broadcast without a hint."""
+    return spark.sql(f"""
+        SELECT name, width AS expected_width_px, width AS expected_height_px, area AS expected_area_px,
+               fused AS fused_threshold, noise AS noise_threshold,
+               0.5D AS single_min_ratio, 2.5D AS unknown_max_ratio
+        FROM VALUES {PROFILE_VALUES} AS t(name, width, area, fused, noise)""")
 
 
 BANDS = [(i * 275.0, (i + 1) * 275.0) for i in range(8)]
