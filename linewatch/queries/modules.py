@@ -1,6 +1,6 @@
 import importlib
 
-NAMES = ["pieces", "rows", "recipes", "signals"]
+NAMES = ["pieces", "rows", "recipes", "signals", "events"]
 
 
 def import_all() -> None:

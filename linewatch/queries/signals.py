@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from linewatch.operators import reports as rp
 from linewatch.operators import signals as sg
-from linewatch.operators.scan import done
 from linewatch.queries import query
 from linewatch.queries.sql import with_views
 from linewatch.sources import tables as t
@@ -189,11 +189,7 @@ def s19(spark, d):
   COUNT(*) FILTER (WHERE latched) AS defects, ROUND(COUNT(*) FILTER (WHERE latched)/CAST(COUNT(*) AS DOUBLE)*100, 4) AS defect_rate
   FROM wins GROUP BY line_id""", **BELT, wins=WINDOWS))
 def d4(spark, d):
-    bad = F.count_if("latched")
-    windows = sg.inspection_windows(t.signals(spark, d), 2, 3)
-    return windows.groupBy("line_id").agg(
-        F.count(F.lit(1)).alias("inspected"), F.count_if(~F.col("latched")).alias("good"), bad.alias("defects"),
-        F.round(bad / F.count(F.lit(1)) * 100, 4).alias("defect_rate"))
+    return rp.inspection_counts(sg.inspection_windows(t.signals(spark, d), 2, 3))
 
 
 @query("j10_in_window", sql("""SELECT s.line_id, s.t_ms, s.seq, w.open_ms AS window_open_ms FROM signals s
@@ -251,12 +247,7 @@ def s17(spark, d):
   ROUND(AVG(overshoot_px), 4) AS avg_overshoot_px, MAX(overshoot_px) AS max_overshoot_px,
   (SELECT g.row_no FROM f g WHERE g.line_id = f.line_id ORDER BY g.overshoot_px DESC, g.t_ms, g.seq LIMIT 1) AS max_row FROM f GROUP BY line_id"""))
 def d6(spark, d):
-    f = fires(spark, d)
-    worst = F.struct("overshoot_px", -F.col("t_ms"), -F.col("seq"))
-    return f.groupBy("line_id").agg(
-        F.count(F.lit(1)).alias("rows_fired"), F.count(F.lit(1)).alias("latches"),
-        F.round(F.avg("overshoot_px"), 4).alias("avg_overshoot_px"), F.max("overshoot_px").alias("max_overshoot_px"),
-        F.max_by("row_no", worst).alias("max_row"))
+    return rp.session_summary(fires(spark, d))
 
 
 @query("d7_cycle_summary", with_views(ctes=FIRES, body="""SELECT line_id, t_ms//86400000 AS cycle, COUNT(*) AS rows_fired,
@@ -264,31 +255,14 @@ def d6(spark, d):
   STRING_AGG(CAST(clearing_ms AS VARCHAR), ',' ORDER BY t_ms, seq) AS clearing_list,
   STRING_AGG(reason, ',' ORDER BY t_ms, seq) AS reasons, MAX(t_ms) - MIN(t_ms) AS total_ms FROM f GROUP BY ALL"""))
 def d7(spark, d):
-    return cycle_summary(fires(spark, d).withColumn("cycle", F.expr("t_ms div 86400000")))
-
-
-def cycle_summary(df):
-    """Ordered lists per cycle. A cycle holds at most one stop per grid row, so
-    the lists stay short."""
-    items = F.array_sort(F.collect_list(F.struct("t_ms", "seq", "row_no", "clearing_ms", "reason")))
-    out = df.groupBy("line_id", "cycle").agg(items.alias("x"), (F.max("t_ms") - F.min("t_ms")).alias("total_ms"))
-
-    def joined(field):
-        return F.array_join(F.transform("x", lambda s: s[field].cast("string")), ",")
-    return out.select("line_id", "cycle", F.size("x").cast("long").alias("rows_fired"), joined("row_no").alias("row_list"),
-                      joined("clearing_ms").alias("clearing_list"), joined("reason").alias("reasons"), "total_ms")
+    return rp.cycle_summary(fires(spark, d).withColumn("cycle", F.expr("t_ms div 86400000")))
 
 
 @query("d8_row_quality", sql(f"""SELECT line_id, fire_no, COUNT(*) AS total_frames, COUNT(*) FILTER (WHERE belt_running) AS full_frames,
   COUNT(*) FILTER (WHERE x IS NULL) AS fallback_frames FROM (
   SELECT *, COUNT(*) FILTER (WHERE ack) OVER (PARTITION BY line_id ORDER BY t_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fire_no FROM k) GROUP BY ALL""", **MISSING))
 def d8(spark, d):
-    from linewatch.operators.scan import Total, scan
-    s = scan(with_missing(spark, d), {"_n": Total(sg.flag(F.col("ack")).cast("long"))})
-    s = done(s).withColumn("fire_no", F.col("_n") - sg.flag(F.col("ack")))
-    return s.groupBy("line_id", "fire_no").agg(
-        F.count(F.lit(1)).alias("total_frames"), F.count_if("belt_running").alias("full_frames"),
-        F.count_if(F.col("x").isNull()).alias("fallback_frames"))
+    return rp.row_quality(with_missing(spark, d), "ack", "belt_running", "x")
 
 
 @query("d14_perf_summary", with_views(body="""SELECT line_id, start_ms, COUNT(*) AS frames, COUNT(*)/CAST(3600 AS DOUBLE) AS fps,
@@ -298,16 +272,7 @@ def d8(spark, d):
 def d14(spark, d):
     e = t.table(spark, d, "events").select((F.col("user_id") % 10).alias("line_id"), t.epoch_ms("ts").alias("t_ms"),
                                            F.col("value").alias("total_ms"), (F.col("event_type") == "view").alias("detected"))
-    return perf_summary(e, 3600)
-
-
-def perf_summary(df, seconds: int = 1):
-    """Timing per line and window; a window holds the frames of its seconds only."""
-    start = F.floor(F.col("t_ms") / (seconds * 1000)) * (seconds * 1000)
-    return df.groupBy("line_id", start.alias("start_ms")).agg(
-        F.count(F.lit(1)).alias("frames"), (F.count(F.lit(1)) / float(seconds)).alias("fps"),
-        F.round(F.avg("total_ms"), 4).alias("mean_ms"), (F.count_if("detected") / float(seconds)).alias("detections_per_s"),
-        F.median("total_ms").alias("median_ms"), F.max("total_ms").alias("max_ms"))
+    return rp.perf_summary(e, 3600)
 
 
 @query("d15_drop_summary", with_views(body="""SELECT line_id, t_ms//18000000*18000000 AS start_ms, COUNT(*) AS frames, CAST(SUM(dropped) AS BIGINT) AS dropped FROM (
@@ -315,17 +280,7 @@ def perf_summary(df, seconds: int = 1):
   FROM (SELECT *, user_id % 10 AS line_id, epoch_us(ts)//1000 AS t_ms FROM events)) GROUP BY ALL"""))
 def d15(spark, d):
     e = t.signals(spark, d).select((F.col("line_id") % 10).alias("line_id"), "t_ms", "seq")
-    return drop_summary(e, period_ms=3_600_000, window_ms=18_000_000)
-
-
-def drop_summary(df, period_ms: int = 100, window_ms: int = 5000):
-    """Frames missing from a steady rate, counted per window."""
-    from linewatch.operators.scan import Previous, scan
-    out = done(scan(df, {"_p": Previous("t_ms")}))
-    missed = F.floor((F.col("t_ms") - F.col("_p")) / period_ms) - 1
-    return (out.withColumn("dropped", F.greatest(F.lit(0), F.coalesce(missed, F.lit(0))))
-            .groupBy("line_id", (F.floor(F.col("t_ms") / window_ms) * window_ms).alias("start_ms"))
-            .agg(F.count(F.lit(1)).alias("frames"), F.sum("dropped").alias("dropped")))
+    return rp.drop_summary(e, period_ms=3_600_000, window_ms=18_000_000)
 
 
 @query("w13_profile_bumps", with_views(ctes={
