@@ -1,6 +1,6 @@
 import importlib
 
-NAMES = ["pieces", "rows", "recipes", "signals", "events"]
+NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection"]
 
 
 def import_all() -> None:
