@@ -1,6 +1,6 @@
 import importlib
 
-NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection"]
+NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection", "stateful"]
 
 
 def import_all() -> None:
