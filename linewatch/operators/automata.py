@@ -108,7 +108,7 @@ def row_xs(detections: DataFrame, frames: DataFrame) -> DataFrame:
 def frame_edges(detections: DataFrame, frames: DataFrame, bands=None) -> DataFrame:
     """Leading edges (and columns) of a frame as arrays sorted front-first."""
     col = rows.column_index(F.col("cy"), bands) if bands else F.lit(0)
-    piece = F.struct(rows._EDGE.alias("edge"), col.alias("col"))
+    piece = F.struct(rows.edge_of().alias("edge"), col.alias("col"))
     lists = detections.groupBy(*FRAME).agg(F.array_sort(F.collect_list(piece)).alias("_p"))
     joined = frames.join(lists, FRAME, "left")
     empty = F.array().cast("array<struct<edge: double, col: int>>")

@@ -13,27 +13,36 @@ from linewatch.functions import geometry as g
 from linewatch.functions.recipe import Recipe
 from linewatch.sources.tables import FRAME
 
-W, H, AREA = F.col("width_px"), F.col("height_px"), F.col("area_px")
+def _w() -> Column:
+    return F.col("width_px")
+
+
+def _h() -> Column:
+    return F.col("height_px")
+
+
+def _area() -> Column:
+    return F.col("area_px")
 
 
 def gate_noise(df: DataFrame, p: Recipe) -> DataFrame:
-    return df.where(AREA >= p["noise_threshold"] * p["expected_area_px"])
+    return df.where(_area() >= p["noise_threshold"] * p["expected_area_px"])
 
 
 def gate_max_area(df: DataFrame, roi_area: Column, frac: float = fixed.MAX_AREA_FRACTION) -> DataFrame:
-    return df.where(AREA <= roi_area * F.lit(frac))
+    return df.where(_area() <= roi_area * F.lit(frac))
 
 
 def gate_belt(df: DataFrame, p: Recipe) -> DataFrame:
     """Elongated streaks and ragged reflections; a limit of 0 switches a gate off."""
     longest, ragged = p["belt_max_aspect_ratio"], p["belt_min_solidity"]
-    return df.where(((longest <= 0) | (g.aspect_ratio(W, H) <= longest))
+    return df.where(((longest <= 0) | (g.aspect_ratio(_w(), _h()) <= longest))
                     & ((ragged <= 0) | (F.col("solidity") >= ragged)))
 
 
 def _fused_candidate(p: Recipe) -> Column:
-    return ((AREA >= p["expected_area_px"] * p["fused_threshold"])
-            & (g.aspect_ratio(W, H) <= p["fused_threshold"] * 2.0))
+    return ((_area() >= p["expected_area_px"] * p["fused_threshold"])
+            & (g.aspect_ratio(_w(), _h()) <= p["fused_threshold"] * 2.0))
 
 
 def learned_gate(reference: Column, tolerance: Column) -> Column:
@@ -62,7 +71,7 @@ def filter_candidates(df: DataFrame, p: Recipe, min_circularity: float = 0.75,
                       size_tolerance: float = 0.35, use_frame_median: bool = True) -> DataFrame:
     """Round and rightly sized pieces. The frame median is only computed when a
     recipe may lack a learned width."""
-    diameter = g.piece_diameter(W, H)
+    diameter = g.piece_diameter(_w(), _h())
     learned = p["expected_width_px"].cast("double")
     reference = learned
     if use_frame_median:
@@ -109,8 +118,8 @@ def apply_crop(df: DataFrame, rect: dict[str, Column], x: str = "cx", y: str = "
 
 
 def with_bbox(df: DataFrame) -> DataFrame:
-    return df.withColumns({"bbox_x": F.floor(F.col("cx") - W / 2.0).cast("int"),
-                           "bbox_y": F.floor(F.col("cy") - H / 2.0).cast("int")})
+    return df.withColumns({"bbox_x": F.floor(F.col("cx") - _w() / 2.0).cast("int"),
+                           "bbox_y": F.floor(F.col("cy") - _h() / 2.0).cast("int")})
 
 
 def offset_to_roi(df: DataFrame, dx: Column, dy: Column) -> DataFrame:
@@ -129,7 +138,7 @@ def rescale(df: DataFrame, scale: Column) -> DataFrame:
     ints = {c: (F.col(c) * up).cast("int") for c in ("bbox_x", "bbox_y", "width_px", "height_px")
             if c in df.columns}
     return df.withColumns({**ints, "cx": F.col("cx") * up, "cy": F.col("cy") * up,
-                           "area_px": (AREA * up * up).cast("long")})
+                           "area_px": (_area() * up * up).cast("long")})
 
 
 def scaled_recipe(p: Recipe, scale: Column) -> dict[str, Column]:
@@ -163,17 +172,17 @@ def detection_zone(df: DataFrame, p: Recipe, zone: int, x: str = "cx") -> DataFr
 
 def band_filter(df: DataFrame, p: Recipe, line: Column) -> DataFrame:
     """Leading edge within the transfer bridge; the bridge is as wide as a piece."""
-    diameter = g.piece_diameter(W, H)
+    diameter = g.piece_diameter(_w(), _h())
     median = F.median(diameter).over(Window.partitionBy(*FRAME))
     width = F.greatest(p["transfer_bridge_width_px"].cast("double"),
                        F.coalesce(median, p["expected_width_px"].cast("double")))
-    edge = g.leading_edge(F.col("cx"), W, H)
+    edge = g.leading_edge(F.col("cx"), _w(), _h())
     return (df.withColumns({"edge": edge, "band_px": width})
             .where(F.col("edge").between(line - F.col("band_px") / 2.0, line + F.col("band_px") / 2.0)))
 
 
 def boundary_split(df: DataFrame, boundary: Column) -> DataFrame:
-    edge = g.leading_edge(F.col("cx"), W, H)
+    edge = g.leading_edge(F.col("cx"), _w(), _h())
     return df.withColumn("eligible", boundary.isNull() | (edge > boundary))
 
 

@@ -10,20 +10,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from linewatch import fixed
 from linewatch.functions import geometry as g
 from linewatch.functions.recipe import Recipe
 from linewatch.sources.tables import FRAME
 
-_EDGE = g.leading_edge(F.col("cx"), F.col("width_px"), F.col("height_px"))
-_DIAM = g.piece_diameter(F.col("width_px"), F.col("height_px"))
-BY_FRAME = Window.partitionBy(*FRAME)
+
+def edge_of() -> Column:
+    return g.leading_edge(F.col("cx"), F.col("width_px"), F.col("height_px"))
+
+
+def diameter_of() -> Column:
+    return g.piece_diameter(F.col("width_px"), F.col("height_px"))
+
+
+def by_frame() -> WindowSpec:
+    return Window.partitionBy(*FRAME)
 
 
 def _islands(df: DataFrame, position: Column, gap: Column) -> DataFrame:
     """Number rows front-first; a step larger than ``gap`` starts the next row."""
-    front_first = BY_FRAME.orderBy("edge", "det_id")
+    front_first = by_frame().orderBy("edge", "det_id")
     return (df.withColumn("edge", position)
             .withColumn("_limit", gap)
             .withColumn("gap_px", F.col("edge") - F.lag("edge").over(front_first))
@@ -33,17 +42,17 @@ def _islands(df: DataFrame, position: Column, gap: Column) -> DataFrame:
 
 
 def group_by_gap(df: DataFrame, gap: float) -> DataFrame:
-    return _islands(df, _EDGE, F.lit(float(gap)))
+    return _islands(df, edge_of(), F.lit(float(gap)))
 
 
 def median_gap(factor: float) -> Column:
-    median = F.coalesce(F.median(_DIAM).over(BY_FRAME), F.lit(0.0))
+    median = F.coalesce(F.median(diameter_of()).over(by_frame()), F.lit(0.0))
     return F.greatest(median * F.lit(factor), F.lit(fixed.MIN_GAP_PX))
 
 
 def group_rows(df: DataFrame, factor: float = fixed.ROW_GAP_DIAMETERS) -> DataFrame:
     """Split distance follows the median piece diameter of the frame."""
-    return _islands(df, _EDGE, median_gap(factor))
+    return _islands(df, edge_of(), median_gap(factor))
 
 
 def group_into_rows(df: DataFrame, factor: float = fixed.ROW_GAP_DIAMETERS) -> DataFrame:
@@ -70,7 +79,7 @@ def reject_outliers(rows: DataFrame, columns: int,
     ranked = rows.withColumns({
         "_k": F.row_number().over(row.orderBy("edge", "det_id")) - 1,
         "_n": F.count(F.lit(1)).over(row),
-        "_rows": F.max("row_id").over(BY_FRAME) + 1})
+        "_rows": F.max("row_id").over(by_frame()) + 1})
     low, high = F.expr("(_n - 2) div 2"), F.expr("(_n - 1) div 2")
 
     def stat(index: Column) -> Column:
@@ -88,16 +97,16 @@ def reject_outliers(rows: DataFrame, columns: int,
 
 
 def front_row(df: DataFrame, n: int) -> DataFrame:
-    ranked = df.withColumn("edge", _EDGE)
+    ranked = df.withColumn("edge", edge_of())
     if n <= 0:
         return ranked
-    rank = F.row_number().over(BY_FRAME.orderBy("edge", "det_id"))
+    rank = F.row_number().over(by_frame().orderBy("edge", "det_id"))
     return ranked.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
 def newest_row(df: DataFrame, p: Recipe) -> DataFrame:
     """Pieces in the band behind the largest centre of the frame."""
-    reach = F.max("cx").over(BY_FRAME) - p["expected_width_px"] * F.lit(fixed.NEWEST_ROW_BAND)
+    reach = F.max("cx").over(by_frame()) - p["expected_width_px"] * F.lit(fixed.NEWEST_ROW_BAND)
     return df.withColumn("_reach", reach).where(F.col("cx") >= F.col("_reach")).drop("_reach")
 
 
@@ -117,7 +126,7 @@ def assign_column(df: DataFrame, bands: Sequence[tuple[float, float]]) -> DataFr
 
 def rank_in_column(df: DataFrame) -> DataFrame:
     order = Window.partitionBy(*FRAME, "col").orderBy("edge", "det_id")
-    return df.withColumn("edge", _EDGE).withColumn("rank", F.row_number().over(order) - 1)
+    return df.withColumn("edge", edge_of()).withColumn("rank", F.row_number().over(order) - 1)
 
 
 def build_front_row(df: DataFrame, pointers: Sequence[int]) -> DataFrame:
@@ -136,7 +145,7 @@ def build_front_row(df: DataFrame, pointers: Sequence[int]) -> DataFrame:
 
 def match_tolerance(lines: DataFrame, factor: float = fixed.MATCH_TOLERANCE) -> DataFrame:
     """Share of the median spacing between row lines; unlimited below two rows."""
-    step = F.col("row_x") - F.lag("row_x").over(BY_FRAME.orderBy("row_x", "row_id"))
+    step = F.col("row_x") - F.lag("row_x").over(by_frame().orderBy("row_x", "row_id"))
     spacing = (lines.withColumn("_step", step).groupBy(*FRAME)
                .agg(F.median("_step").alias("spacing_px"), F.count(F.lit(1)).alias("rows")))
     return spacing.withColumn("tolerance_px", F.when(F.col("spacing_px").isNull(), F.lit(float("inf")))

@@ -15,7 +15,6 @@ from linewatch.operators.scan import (DAY_MS, Following, LastBefore, LastKnown,
                                       Previous, Total, done, scan)
 
 KEY = ["line_id", "t_ms", "seq"]
-ONE = F.lit(1)
 
 
 def flag(condition: Column) -> Column:
@@ -51,7 +50,7 @@ def runs(df: DataFrame, value: Column, reset: Column | None = None) -> DataFrame
     Runs may span many chunks; positions come from row numbers, not from a
     window over the run. ``reset`` marks rows that start a new run anyway.
     """
-    out = scan(df.withColumn("_value", value), {"_was": Previous("_value"), "_idx": Total(ONE.cast("long"))})
+    out = scan(df.withColumn("_value", value), {"_was": Previous("_value"), "_idx": Total(F.lit(1).cast("long"))})
     fresh = F.col("_was").isNull() | (F.col("_was") != F.col("_value"))
     if reset is not None:
         fresh = fresh | F.coalesce(reset, F.lit(False))
@@ -87,7 +86,7 @@ def inter_stop_gap(fires: DataFrame) -> DataFrame:
 
 def stale_frames(df: DataFrame, value: str, full: str, cap: int, struggling_at: int = 11) -> DataFrame:
     """Rows since the last fresh value and since the last full group, each flagged once."""
-    out = scan(df, {"_idx": Total(ONE.cast("long"))})
+    out = scan(df, {"_idx": Total(F.lit(1).cast("long"))})
     out = out.withColumns({"_fresh": F.when(F.col(value).isNotNull(), F.col("_idx")),
                            "_full": F.when(F.col(full), F.col("_idx"))})
     out = scan(out, {"_lf": LastKnown("_fresh"), "_lg": LastKnown("_full")})
@@ -100,7 +99,7 @@ def stale_frames(df: DataFrame, value: str, full: str, cap: int, struggling_at:
 
 def carry_forward(df: DataFrame, value: str, most: int = 5) -> DataFrame:
     """Hold the last value for at most ``most`` missing rows and mark it fallback."""
-    out = scan(df, {"_idx": Total(ONE.cast("long"))})
+    out = scan(df, {"_idx": Total(F.lit(1).cast("long"))})
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_idx").alias("i"), F.col(value).alias("v")))
     out = scan(out.withColumn("_known", known), {"_last": LastKnown("_known")})
     usable = F.col("_idx") - F.col("_last")["i"] <= most
@@ -175,7 +174,7 @@ def islands(df: DataFrame, active: Column) -> DataFrame:
     return (done(out.where("_on")).groupBy("line_id", "window_no")
             .agg(F.min("t_ms").alias("open_ms"), F.max("t_ms").alias("last_ms"),
                  F.max_by("_then", F.struct("t_ms", "seq")).alias("close_ms"),
-                 F.count(ONE).alias("frames")))
+                 F.count(F.lit(1)).alias("frames")))
 
 
 def inspection_windows(df: DataFrame, n: int, m: int) -> DataFrame:
@@ -187,7 +186,7 @@ def inspection_windows(df: DataFrame, n: int, m: int) -> DataFrame:
     inside = with_latch(out.where("belt_running"), F.col("fault"), n, m, F.col("_opens"))
     return (done(inside).groupBy("line_id", "window_no")
             .agg(F.min("t_ms").alias("open_ms"), F.max_by("_then", F.struct("t_ms", "seq")).alias("close_ms"),
-                 F.count(ONE).alias("frames"), F.bool_or("latched").alias("latched")))
+                 F.count(F.lit(1)).alias("frames"), F.bool_or("latched").alias("latched")))
 
 
 def in_window(df: DataFrame, windows: DataFrame) -> DataFrame:
@@ -232,7 +231,7 @@ def running_sessions(df: DataFrame, gap_ms: int) -> DataFrame:
     out = scan(out.withColumn("_s", starts), {"session": Total("_s")})
     return (done(out).groupBy("line_id", "session")
             .agg(F.min("t_ms").alias("start_ms"), (F.max("t_ms") + gap_ms).alias("end_ms"),
-                 F.count(ONE).alias("rows")))
+                 F.count(F.lit(1)).alias("rows")))
 
 
 def profile_bumps(df: DataFrame, profile: str = "profile", smooth: int = 5, frac: float = 0.25) -> DataFrame:

@@ -1,6 +1,6 @@
 import importlib
 
-NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection", "stateful"]
+NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection", "stateful", "pixels"]
 
 
 def import_all() -> None:

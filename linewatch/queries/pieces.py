@@ -9,7 +9,24 @@ from linewatch.queries import query
 from linewatch.queries.sql import label, with_views
 from linewatch.sources import tables as t
 
-W, H, AREA = F.col("width_px"), F.col("height_px"), F.col("area_px")
+
+
+def W():
+    return F.col("width_px")
+
+
+def H():
+    return F.col("height_px")
+
+
+def AREA():
+    return F.col("area_px")
+
+
+def ROI_AREA():
+    return F.lit(1432 * 2200)
+
+
 KEY = ["line_id", "frame_id", "cx", "cy"]
 D = "CAST({} AS DOUBLE)".format
 
@@ -24,8 +41,8 @@ _HOLED = {"w": "CASE WHEN width_px % 5 = 0 THEN 0 ELSE width_px END",
 
 
 def holed(df):
-    return df.select(*KEY, F.when(W % 5 == 0, 0).otherwise(W).alias("w"),
-                     F.when(H % 3 == 0, 0).otherwise(H).alias("h"))
+    return df.select(*KEY, F.when(W() % 5 == 0, 0).otherwise(W()).alias("w"),
+                     F.when(H() % 3 == 0, 0).otherwise(H()).alias("h"))
 
 
 @query("p1_piece_diameter", with_views("detections", ctes={
@@ -44,17 +61,17 @@ def p2(spark, d):
 
 @query("p3_classify", pieces_sql(f"width_px, height_px, {label()} AS label"))
 def p3(spark, d):
-    return t.pieces(spark, d).select(*KEY, "width_px", "height_px", g.classify(W, H, recipe()).alias("label"))
+    return t.pieces(spark, d).select(*KEY, "width_px", "height_px", g.classify(W(), H(), recipe()).alias("label"))
 
 
 @query("p4_confidence", pieces_sql("LEAST(1.0::DOUBLE, area_px/60000::DOUBLE) AS confidence"))
 def p4(spark, d):
-    return t.pieces(spark, d).select(*KEY, g.confidence(AREA, recipe()).alias("confidence"))
+    return t.pieces(spark, d).select(*KEY, g.confidence(AREA(), recipe()).alias("confidence"))
 
 
 @query("p5_is_fault_label", pieces_sql(f"{label()} IN ('row_fused','unknown') AS is_fault"))
 def p5(spark, d):
-    return t.pieces(spark, d).select(*KEY, g.is_fault_label(g.classify(W, H, recipe())).alias("is_fault"))
+    return t.pieces(spark, d).select(*KEY, g.is_fault_label(g.classify(W(), H(), recipe())).alias("is_fault"))
 
 
 _PERIMETER = "CASE WHEN width_px % 7 = 0 THEN 0 ELSE (width_px + height_px)*1.6::DOUBLE END"
@@ -64,20 +81,20 @@ _HULL = "CASE WHEN height_px % 3 = 0 THEN 0 ELSE area_px*(1 + (height_px % 50)/1
 @query("p7_circularity", with_views("detections", ctes={"x": f"SELECT *, {_PERIMETER} AS perimeter FROM detections"}, body="""
 SELECT line_id, frame_id, cx, cy, ROUND(CASE WHEN perimeter > 0 THEN 4*PI()*area_px/(perimeter*perimeter) ELSE 0 END, 6) AS round_px FROM x"""))
 def p7(spark, d):
-    perimeter = F.when(W % 7 == 0, F.lit(0.0)).otherwise((W + H) * F.lit(1.6))
-    return t.pieces(spark, d).select(*KEY, F.round(g.circularity(AREA, perimeter), 6).alias("round_px"))
+    perimeter = F.when(W() % 7 == 0, F.lit(0.0)).otherwise((W() + H()) * F.lit(1.6))
+    return t.pieces(spark, d).select(*KEY, F.round(g.circularity(AREA(), perimeter), 6).alias("round_px"))
 
 
 @query("p8_solidity", with_views("detections", ctes={"x": f"SELECT *, {_HULL} AS hull FROM detections"}, body="""
 SELECT line_id, frame_id, cx, cy, ROUND(CASE WHEN hull > 0 THEN area_px/hull ELSE 0 END, 6) AS solid FROM x"""))
 def p8(spark, d):
-    hull = F.when(H % 3 == 0, F.lit(0.0)).otherwise(AREA * (F.lit(1) + (H % 50) / F.lit(100.0)))
-    return t.pieces(spark, d).select(*KEY, F.round(g.solidity(AREA, hull), 6).alias("solid"))
+    hull = F.when(H() % 3 == 0, F.lit(0.0)).otherwise(AREA() * (F.lit(1) + (H() % 50) / F.lit(100.0)))
+    return t.pieces(spark, d).select(*KEY, F.round(g.solidity(AREA(), hull), 6).alias("solid"))
 
 
 @query("p9_aspect_ratio", pieces_sql("GREATEST(width_px,height_px)/GREATEST(LEAST(width_px,height_px),1)::DOUBLE AS aspect"))
 def p9(spark, d):
-    return t.pieces(spark, d).select(*KEY, g.aspect_ratio(W, H).alias("aspect"))
+    return t.pieces(spark, d).select(*KEY, g.aspect_ratio(W(), H()).alias("aspect"))
 
 
 MEASURES = "width_px, height_px, area_px, circularity, solidity"
@@ -89,12 +106,11 @@ def p10(spark, d):
     return gates.gate_noise(t.pieces(spark, d), recipe()).select(*SHAPE)
 
 
-ROI_AREA = F.lit(1432 * 2200)
 
 
 @query("p11_gate_max_area", pieces_sql(MEASURES, f"area_px <= {1432*2200}*{D(0.05)}"))
 def p11(spark, d):
-    return gates.gate_max_area(t.pieces(spark, d), ROI_AREA, 0.05).select(*SHAPE)
+    return gates.gate_max_area(t.pieces(spark, d), ROI_AREA(), 0.05).select(*SHAPE)
 
 
 ASPECT = "GREATEST(width_px,height_px)/GREATEST(LEAST(width_px,height_px),1)::DOUBLE"
@@ -123,7 +139,7 @@ def p13_relaxed(spark, d):
 @query("p14_gate_external", pieces_sql(MEASURES, f"""area_px >= 30000 AND area_px <= {1432*2200}*{D(0.15)}
   AND ((area_px >= 90000 AND {ASPECT} <= 3.0) OR circularity >= {D(0.7)})"""))
 def p14(spark, d):
-    return gates.gate_external(t.pieces(spark, d), recipe(), ROI_AREA, 0.7).select(*SHAPE)
+    return gates.gate_external(t.pieces(spark, d), recipe(), ROI_AREA(), 0.7).select(*SHAPE)
 
 
 _SIZED = f"""(circularity <= 0 OR circularity >= {D(0.75)})
@@ -157,14 +173,15 @@ def p16(spark, d):
 
 
 CROP = {"top": 100, "bottom": 200, "left": 50, "right": 0}
-RECT = gates.crop_rect(F.lit(1432), F.lit(2200), *[F.lit(CROP[s]) for s in ("top", "bottom", "left", "right")])
+def RECT():
+    return gates.crop_rect(F.lit(1432), F.lit(2200), *[F.lit(CROP[s]) for s in ("top", "bottom", "left", "right")])
 
 
 @query("p17_apply_crop", with_views("detections", body="""
 SELECT line_id, frame_id, cx - 50 AS cx, cy - 100 AS cy, 50 AS crop_x1, 100 AS crop_y1, 1432 AS crop_x2, 2000 AS crop_y2
 FROM detections WHERE cx >= 50 AND cx < 1432 AND cy >= 100 AND cy < 2000"""))
 def p17(spark, d):
-    return gates.apply_crop(t.pieces(spark, d), RECT).select(*KEY, "crop_x1", "crop_y1", "crop_x2", "crop_y2")
+    return gates.apply_crop(t.pieces(spark, d), RECT()).select(*KEY, "crop_x1", "crop_y1", "crop_x2", "crop_y2")
 
 
 @query("p17_crop_rect", with_views("recipes", ctes={"b": """SELECT name, CAST(GREATEST(0, LEAST(crop_left*90, 1431)) AS INT) AS crop_x1,
@@ -209,7 +226,7 @@ SELECT *, CASE rotation WHEN 90 THEN 2200-1-cy WHEN 180 THEN 1432-1-cx WHEN 270
 SELECT line_id, frame_id, rotation, mirror, CASE WHEN mirror THEN w-1-tx ELSE tx END AS x, ty AS y FROM x"""))
 def p20(spark, d):
     turn = (F.expr("frame_id div 4") % 4).cast("int") * 90
-    mirror = W % 2 == 0
+    mirror = W() % 2 == 0
     x, y = gates.orient(F.col("cx"), F.col("cy"), F.lit(1432), F.lit(2200), turn, mirror)
     return t.pieces(spark, d).select("line_id", "frame_id", turn.alias("rotation"), mirror.alias("mirror"),
                                      x.alias("x"), y.alias("y"))
@@ -217,7 +234,7 @@ def p20(spark, d):
 
 @query("p21_area_mm2", pieces_sql("area_px/100.0::DOUBLE AS area_mm2"))
 def p21(spark, d):
-    return t.pieces(spark, d).select(*KEY, g.area_mm2(AREA, F.lit(10.0)).alias("area_mm2"))
+    return t.pieces(spark, d).select(*KEY, g.area_mm2(AREA(), F.lit(10.0)).alias("area_mm2"))
 
 
 @query("p23_detection_zone", pieces_sql("width_px", "cx >= 487 AND cx < 1077"))
@@ -259,6 +276,6 @@ def p29(spark, d):
 SELECT line_id, frame_id, cx, cy, 632 - edge AS overshoot_px, 632 - edge > 40 AS high, 632 - edge > 60 AS far_past FROM edges0"""))
 def p30(spark, d):
     p = recipe()
-    over = g.overshoot(g.local_line(p), g.leading_edge(F.col("cx"), W, H))
+    over = g.overshoot(g.local_line(p), g.leading_edge(F.col("cx"), W(), H()))
     return t.pieces(spark, d).select(*KEY, over.alias("overshoot_px"), (over > 40).alias("high"),
                                      (over > 60).alias("far_past"))

@@ -159,8 +159,8 @@ SELECT line_id, frame_id, det_id, edge,
        MIN(n) OVER (PARTITION BY line_id, frame_id) AS position
 FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY line_id, frame_id, edge, det_id) AS n FROM edges0)"""))
 def o1(spark, d):
-    ranked = F.row_number().over(rows.BY_FRAME.orderBy("edge", "det_id")) - 1
-    return (t.detections(spark, d).withColumn("edge", rows._EDGE)
+    ranked = F.row_number().over(rows.by_frame().orderBy("edge", "det_id")) - 1
+    return (t.detections(spark, d).withColumn("edge", rows.edge_of())
             .select(*t.FRAME, "det_id", "edge", ranked.cast("long").alias("position"))
             .orderBy(*t.FRAME, "edge", "det_id"))
 
