@@ -1,6 +1,6 @@
 import importlib
 
-NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection", "stateful", "pixels"]
+NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection", "stateful", "pixels", "extension"]
 
 
 def import_all() -> None:
