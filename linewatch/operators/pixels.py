@@ -22,6 +22,8 @@ from linewatch.functions.recipe import Recipe
 from linewatch.sources.tables import FRAME
 
 PX = [*FRAME, "x", "y"]
+FLAT_CONTRAST = 3.0   # fixed value: below it a frame has no usable split
+WIDE = 15             # from here on extrema use running blocks
 
 
 def image_row() -> WindowSpec:
@@ -46,10 +48,6 @@ def by_frame(px: DataFrame) -> DataFrame:
 
 # --- statistics --------------------------------------------------------------
 
-def counts(px: DataFrame) -> DataFrame:
-    return px.groupBy(*FRAME, "v").agg(F.count(F.lit(1)).alias("n"))
-
-
 def histogram(px: DataFrame, bins: int = 256) -> DataFrame:
     """All bins of every frame, scaled by the fullest bin."""
     filled = px.groupBy(*FRAME, F.expr(f"v * {bins} div 256").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -63,12 +61,19 @@ def lift_shadow(px: DataFrame, floor: int = fixed.SHADOW_FLOOR) -> DataFrame:
     return px.withColumn("v", F.when(F.col("v") < floor, 255).otherwise(F.col("v")))
 
 
-def otsu(px: DataFrame, dark: bool = False) -> DataFrame:
-    """Threshold of the largest between-class variance, the lowest one on ties.
+def frame_stats(px: DataFrame, dark: bool = False) -> DataFrame:
+    """Otsu threshold and contrast of every frame out of one histogram.
 
-    The variance only changes at grey levels that occur, so empty bins are skipped.
+    The threshold maximises the between-class variance, the lowest one on ties.
+    The variance only changes at grey levels that occur, so empty bins are
+    skipped. Contrast is the population standard deviation; dark mode lifts the
+    shadow for the threshold and leaves it out of the contrast.
     """
-    hist = counts(lift_shadow(px) if dark else px)
+    lifted = px
+    if dark:
+        lifted = lift_shadow(px.withColumn("_lit", (F.col("v") >= fixed.SHADOW_FLOOR).cast("int")))
+    lit = F.sum("_lit") if dark else F.count(F.lit(1))
+    hist = lifted.groupBy(*FRAME, "v").agg(F.count(F.lit(1)).alias("n"), lit.alias("_k"))
     up = Window.partitionBy(*FRAME).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*FRAME)
     c = hist.withColumns({"_n0": F.sum("n").over(up), "_s0": F.sum(F.col("n") * F.col("v")).over(up),
@@ -76,15 +81,20 @@ def otsu(px: DataFrame, dark: bool = False) -> DataFrame:
     n0, s0, n, s = (F.col(x).cast("double") for x in ("_n0", "_s0", "_N", "_S"))
     diff = s0 / n0 - (s - s0) / (n - n0)
     between = F.when(F.col("_n0") < F.col("_N"), F.round((n0 / n) * ((n - n0) / n) * diff * diff, 6))
-    return (c.withColumn("_b", between).groupBy(*FRAME)
-            .agg(F.coalesce(F.max_by("v", F.when(F.col("_b").isNotNull(), F.struct("_b", -F.col("v")))), F.lit(0))
-                 .alias("threshold")))
+    k, kv, kvv = F.sum("_k"), F.sum(F.col("_k") * F.col("v")), F.sum(F.col("_k") * F.col("v") * F.col("v"))
+    # Whole numbers up to here, so the variance is exact before the root.
+    variance = (kvv * k - kv * kv) / (k * k)
+    return (c.withColumn("_b", between).groupBy(*FRAME).agg(
+        F.coalesce(F.max_by("v", F.when(F.col("_b").isNotNull(), F.struct("_b", -F.col("v")))), F.lit(0)).alias("threshold"),
+        F.coalesce(F.when(k > 0, F.sqrt(variance)), F.lit(0.0)).alias("contrast")))
+
+
+def otsu(px: DataFrame, dark: bool = False) -> DataFrame:
+    return frame_stats(px, dark).drop("contrast")
 
 
 def contrast(px: DataFrame, dark: bool = False) -> DataFrame:
-    """Population standard deviation; in dark mode without the shadow."""
-    v = F.when(F.col("v") >= fixed.SHADOW_FLOOR, F.col("v")) if dark else F.col("v")
-    return px.groupBy(*FRAME).agg(F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("contrast"))
+    return frame_stats(px, dark).drop("threshold")
 
 
 # --- filters -----------------------------------------------------------------
@@ -112,12 +122,23 @@ def threshold(px: DataFrame, t: Column, invert: bool = False) -> DataFrame:
 
 
 def _box_sum(px: DataFrame, along, whole, at: str, r: int, source: str, target: str) -> DataFrame:
-    """Sum over 2r+1 pixels along one axis with the border pixel repeated outside."""
-    missing_left = F.greatest(F.lit(0), F.lit(r) - (F.col(at) - F.min(at).over(whole)))
-    missing_right = F.greatest(F.lit(0), F.lit(r) - (F.max(at).over(whole) - F.col(at)))
-    first = F.min_by(source, at).over(whole)
-    last = F.max_by(source, at).over(whole)
-    return px.withColumn(target, F.sum(source).over(along.rowsBetween(-r, r)) + missing_left * first + missing_right * last)
+    """Sum over 2r+1 pixels along one axis with the border pixel repeated outside.
+
+    Differences of running sums: the cost per pixel does not grow with the block.
+    """
+    i, n = F.col("_i"), F.col("_n")
+    total = F.sum(source).over(whole)
+    p = px.withColumns({
+        "_i": F.row_number().over(along) - 1, "_n": F.count(F.lit(1)).over(whole), "_all": total,
+        "_run": F.sum(source).over(along.rowsBetween(Window.unboundedPreceding, 0)),
+        "_first": F.first(source).over(along.rowsBetween(Window.unboundedPreceding, 0))})
+    p = p.withColumns({"_upto": F.lead("_run", r).over(along) if r else F.col("_run"),
+                       "_before": F.lag("_run", r + 1).over(along),
+                       "_last": F.max_by(source, at).over(whole)})
+    inside = F.coalesce("_upto", "_all") - F.coalesce("_before", F.lit(0))
+    left, right = F.greatest(F.lit(0), r - i), F.greatest(F.lit(0), i + r - (n - 1))
+    return (p.withColumn(target, inside + left * F.col("_first") + right * F.col("_last"))
+            .drop("_i", "_n", "_all", "_run", "_first", "_upto", "_before", "_last"))
 
 
 def local_mean(px: DataFrame, block: int) -> DataFrame:
@@ -136,19 +157,24 @@ def adaptive_threshold(px: DataFrame, block: int, c: int, invert: bool = False)
 def auto_threshold(px: DataFrame, dark: bool = False, forced_block: int = 0, block: int = 51, c: int = -10) -> DataFrame:
     """Otsu where the frame has contrast, local means where it is flat.
 
-    Both masks come from one pass over the same clustering; the per-frame
-    threshold is joined back on the frame.
+    Two branches by a semi-join on the frame, which Catalyst moves below the
+    windows: local means are only computed for the (rare) flat frames.
     """
     if forced_block > 1 and not dark:
         return adaptive_threshold(px, forced_block, c)
     base = px.withColumn("_raw", F.col("v"))
     lifted = lift_shadow(base) if dark else base
-    stats = otsu(px, dark).join(contrast(px, dark), FRAME)
-    local = local_mean(lifted, block).join(stats, FRAME)
+    stats = frame_stats(px, dark)
     c = -c if dark else c
-    above = F.when(F.col("contrast") < 3.0, F.col("v") > F.col("mean") - c).otherwise(F.col("v") > F.col("threshold"))
+    flat = stats.where(F.col("contrast") < FLAT_CONTRAST).select(*FRAME)
+    by_level = (lifted.join(stats.where(F.col("contrast") >= FLAT_CONTRAST), FRAME)
+                .withColumn("_above", F.col("v") > F.col("threshold")).drop("threshold", "contrast"))
+    by_mean = (local_mean(lifted.join(flat, FRAME, "left_semi"), block)
+               .withColumn("_above", F.col("v") > F.col("mean") - c).drop("mean"))
+    above = F.col("_above")
     on = (~above & (F.col("_raw") >= fixed.SHADOW_FLOOR)) if dark else above
-    return local.withColumn("v", F.when(on, 255).otherwise(0)).drop("_raw", "mean", "threshold", "contrast")
+    return (by_level.unionByName(by_mean)
+            .withColumn("v", F.when(on, 255).otherwise(0)).drop("_raw", "_above"))
 
 
 # --- morphology --------------------------------------------------------------
@@ -161,10 +187,35 @@ def ellipse_widths(k: int) -> list[int]:
     return [round(r * float(np.sqrt((r * r - dy * dy) / (r * r)))) for dy in range(-r, k - r)]
 
 
-def _rect(px: DataFrame, k: int, pick) -> DataFrame:
-    r = k // 2
-    out = px.withColumn("_h", pick("v").over(along_x().rowsBetween(-r, k - 1 - r)))
-    return out.withColumn("v", pick("_h").over(along_y().rowsBetween(-r, k - 1 - r))).drop("_h")
+def _extreme(px: DataFrame, along, whole, at: str, r: int, pick, combine, source: str, target: str) -> DataFrame:
+    """Extreme over 2r+1 pixels along one axis; outside is ignored.
+
+    Small kernels use a sliding frame. Wide ones combine running extremes inside
+    blocks of the kernel size, so the cost per pixel does not grow with it.
+    """
+    if 2 * r + 1 < WIDE:
+        return px.withColumn(target, pick(source).over(along.rowsBetween(-r, r)))
+    k = 2 * r + 1
+    p = px.withColumn("_i", F.row_number().over(along) - 1).withColumn("_blk", F.expr(f"_i div {k}"))
+    blocks = [*FRAME, "y" if at == "x" else "x", "_blk"]
+    running = (Window.unboundedPreceding, 0)
+    p = p.withColumns({
+        "_fwd": pick(source).over(Window.partitionBy(*blocks).orderBy(at).rowsBetween(*running)),
+        "_bwd": pick(source).over(Window.partitionBy(*blocks).orderBy(F.col(at).desc()).rowsBetween(*running))})
+    p = p.withColumns({
+        "_lead": F.lead("_fwd", r).over(along), "_lag": F.lag("_bwd", r).over(along),
+        "_end": F.max_by("_fwd", at).over(whole), "_endblk": F.max("_blk").over(whole)})
+    # Past the end the window stops at the last pixel, unless it lies in one block.
+    one_block = F.floor((F.col("_i") - r) / k) == F.col("_endblk")
+    right = F.coalesce(F.col("_lead"), F.when(~one_block | (F.col("_i") < r), F.col("_end")))
+    value = combine(F.coalesce(F.col("_lag"), right), F.coalesce(right, F.col("_lag")))
+    return p.withColumn(target, value).drop("_i", "_blk", "_fwd", "_bwd", "_lead", "_lag", "_end", "_endblk")
+
+
+def _rect(px: DataFrame, k: int, pick, combine) -> DataFrame:
+    r = (k | 1) // 2
+    out = _extreme(px, along_x(), image_row(), "x", r, pick, combine, "v", "_h")
+    return _extreme(out, along_y(), image_column(), "y", r, pick, combine, "_h", "_w").withColumn("v", F.col("_w")).drop("_h", "_w")
 
 
 def _ellipse(px: DataFrame, k: int, pick, combine) -> DataFrame:
@@ -182,13 +233,13 @@ def _ellipse(px: DataFrame, k: int, pick, combine) -> DataFrame:
 def dilate(px: DataFrame, k: int, shape: str = "ellipse") -> DataFrame:
     if k <= 1:
         return px
-    return _ellipse(px, k, F.max, F.greatest) if shape == "ellipse" else _rect(px, k, F.max)
+    return _ellipse(px, k, F.max, F.greatest) if shape == "ellipse" else _rect(px, k, F.max, F.greatest)
 
 
 def erode(px: DataFrame, k: int, shape: str = "ellipse") -> DataFrame:
     if k <= 1:
         return px
-    return _ellipse(px, k, F.min, F.least) if shape == "ellipse" else _rect(px, k, F.min)
+    return _ellipse(px, k, F.min, F.least) if shape == "ellipse" else _rect(px, k, F.min, F.least)
 
 
 def opened(px: DataFrame, k: int = 5, shape: str = "ellipse") -> DataFrame:
@@ -244,21 +295,24 @@ def column_profile(mask: DataFrame) -> DataFrame:
 # --- blobs -------------------------------------------------------------------
 
 def _runs(mask: DataFrame, diagonal: bool) -> DataFrame:
-    """Number the horizontal runs of set pixels and note the runs they touch above."""
+    """Horizontal runs of set pixels with the runs they touch in the line above."""
     on = F.col("v") > 0
-    starts = F.when(on & ~F.coalesce(F.lag(on).over(along_x()), F.lit(False)), F.struct("y", "x"))
+    starts = F.when(on & ~F.coalesce(F.lag(on).over(along_x()), F.lit(False)), F.col("x"))
     out = mask.withColumn("_run", F.when(on, F.last(starts, ignorenulls=True).over(
         along_x().rowsBetween(Window.unboundedPreceding, 0))))
     sides = {"_c": F.col("_run")}
     if diagonal:
         sides |= {"_l": F.lag("_run").over(along_x()), "_r": F.lead("_run").over(along_x())}
     out = out.withColumns(sides)
-    return out.withColumns({f"_up{s}": F.lag(s).over(along_y()) for s in sides}).drop(*sides)
+    above = F.array_compact(F.array(*[F.lag(s).over(along_y()) for s in sides]))
+    return (out.withColumn("_above", above).where(F.col("_run").isNotNull())
+            .groupBy(*FRAME, "y", F.col("_run").alias("x0"))
+            .agg(F.max("x").alias("x1"), F.array_distinct(F.flatten(F.collect_list("_above"))).alias("above")))
 
 
 def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Union-find over the touching runs of one frame at a time."""
-    key, parent = None, {}
+    key, parent, runs = None, {}, []
 
     def root(a):
         while parent[a] != a:
@@ -267,48 +321,45 @@ def _components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return a
 
     def table() -> pd.DataFrame:
-        rows = [(*key, a[0], a[1], *root(a)) for a in parent]
-        return pd.DataFrame(rows, columns=["line_id", "frame_id", "run_y", "run_x", "label_y", "label_x"])
+        rows = [(*key, y, x0, x1, *root((y, x0))) for y, x0, x1 in runs]
+        return pd.DataFrame(rows, columns=["line_id", "frame_id", "y", "x0", "x1", "label_y", "label_x"])
 
     for batch in batches:
         done = []
-        for line, frame, y, x, uy, ux in zip(*[batch[c].tolist() for c in (
-                "line_id", "frame_id", "run_y", "run_x", "up_y", "up_x")]):
+        for line, frame, y, x0, x1, above in zip(*[batch[c].tolist() for c in (
+                "line_id", "frame_id", "y", "x0", "x1", "above")]):
             if (line, frame) != key:
                 if key is not None:
                     done.append(table())
-                key, parent = (line, frame), {}
-            a = (y, x)
-            parent.setdefault(a, a)
-            if uy >= 0:
-                b = (uy, ux)
+                key, parent, runs = (line, frame), {}, []
+            runs.append((y, x0, x1))
+            parent.setdefault((y, x0), (y, x0))
+            for up in above:
+                b = (y - 1, int(up))
                 parent.setdefault(b, b)
-                ra, rb = root(a), root(b)
+                ra, rb = root((y, x0)), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
-        yield from done
+        if done:
+            yield pd.concat(done)
     if key is not None:
         yield table()
 
 
-def label_blobs(mask: DataFrame, diagonal: bool = True) -> DataFrame:
-    """Connected components; ``label`` is the first pixel (``y * width + x``) in reading order.
+def label_runs(mask: DataFrame, diagonal: bool = True) -> DataFrame:
+    """Runs ``y, x0..x1`` with the label of their component.
 
-    Runs and their contacts come from windows. Only the distinct contacts of a
-    frame go through a small union-find, one frame at a time, so memory is
+    Runs and their contacts come from windows; only they, not the pixels, are
+    moved, and they pass a small union-find one frame at a time. Memory is
     bounded by the runs of one image.
     """
-    runs = _runs(mask, diagonal)
-    ups = [c for c in runs.columns if c.startswith("_up")]
-    touching = (runs.where(F.col("_run").isNotNull())
-                .select(*FRAME, "_run", F.explode(F.array_distinct(F.array(*ups))).alias("_up"))
-                .distinct()
-                .select(*FRAME, F.col("_run.y").alias("run_y"), F.col("_run.x").alias("run_x"),
-                        F.coalesce(F.col("_up.y"), F.lit(-1)).alias("up_y"), F.coalesce(F.col("_up.x"), F.lit(-1)).alias("up_x")))
-    labels = (touching.repartition(*FRAME).sortWithinPartitions(*FRAME)
-              .mapInPandas(_components, "line_id long, frame_id long, run_y int, run_x int, label_y int, label_x int"))
-    pixels = runs.where(F.col("_run").isNotNull()).select(
-        *PX, "v", F.col("_run.y").alias("run_y"), F.col("_run.x").alias("run_x"))
-    return pixels.join(labels, [*FRAME, "run_y", "run_x"]).drop("run_y", "run_x")
+    return (_runs(mask, diagonal).repartition(*FRAME).sortWithinPartitions(*FRAME)
+            .mapInPandas(_components, "line_id long, frame_id long, y int, x0 int, x1 int, label_y int, label_x int"))
+
+
+def label_blobs(mask: DataFrame, diagonal: bool = True) -> DataFrame:
+    """Set pixels with their component; the label is its first pixel in reading order."""
+    return label_runs(mask, diagonal).select(
+        *FRAME, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "label_y", "label_x")
 
 
 def with_label(labelled: DataFrame, width: int) -> DataFrame:
@@ -319,15 +370,29 @@ def fill_holes(mask: DataFrame, k: int = 9) -> DataFrame:
     """Close, then turn background that does not reach the border into foreground."""
     base = closed(mask, k)
     flipped = base.withColumn("v", F.when(F.col("v") > 0, 0).otherwise(255))
-    background = label_blobs(flipped, diagonal=False)
+    background = label_runs(flipped, diagonal=False)
     bounds = base.groupBy(*FRAME).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"),
                                       F.min("y").alias("_y0"), F.max("y").alias("_y1"))
-    at_edge = ((F.col("x") == F.col("_x0")) | (F.col("x") == F.col("_x1"))
+    at_edge = ((F.col("x0") == F.col("_x0")) | (F.col("x1") == F.col("_x1"))
                | (F.col("y") == F.col("_y0")) | (F.col("y") == F.col("_y1")))
-    component = Window.partitionBy(*FRAME, "label_y", "label_x")
-    holes = (background.join(bounds, FRAME).withColumn("_open", F.max(at_edge).over(component))
-             .where(~F.col("_open")).select(*PX, F.lit(255).alias("_hole")))
-    return (base.join(holes, PX, "left").withColumn("v", F.coalesce("_hole", "v")).drop("_hole"))
+    inner = (background.join(bounds, FRAME).groupBy(*FRAME, "label_y", "label_x")
+             .agg(F.bool_or(at_edge).alias("_open"), F.collect_list(F.struct("y", "x0", "x1")).alias("_runs"))
+             .where(~F.col("_open")).select(*FRAME, F.explode("_runs").alias("_r")))
+    holes = inner.select(*FRAME, F.explode(F.sequence("_r.x0", "_r.x1")).alias("x"), F.col("_r.y").alias("y"),
+                         F.lit(255).alias("_hole"))
+    return base.join(holes, PX, "left").withColumn("v", F.coalesce("_hole", "v")).drop("_hole")
+
+
+def run_measures(runs: DataFrame, p: Recipe) -> DataFrame:
+    """Blob measures from runs, without going back to pixels."""
+    n = F.col("x1") - F.col("x0") + 1
+    area = F.sum(n)
+    out = runs.groupBy(*FRAME, "label_y", "label_x").agg(
+        F.min("x0").alias("bbox_x"), F.min("y").alias("bbox_y"),
+        (F.max("x1") - F.min("x0") + 1).alias("width_px"), (F.max("y") - F.min("y") + 1).alias("height_px"),
+        area.alias("area_px"), (F.sum((F.col("x0") + F.col("x1")) * n) / 2 / area).alias("cx"),
+        (F.sum(F.col("y") * n) / area).alias("cy"))
+    return _judged(out, p)
 
 
 def blob_measures(labelled: DataFrame, p: Recipe, keys: list[str]) -> DataFrame:
@@ -336,8 +401,12 @@ def blob_measures(labelled: DataFrame, p: Recipe, keys: list[str]) -> DataFrame:
         F.min("x").alias("bbox_x"), F.min("y").alias("bbox_y"),
         (F.max("x") - F.min("x") + 1).alias("width_px"), (F.max("y") - F.min("y") + 1).alias("height_px"),
         F.count(F.lit(1)).alias("area_px"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    return out.withColumns({"confidence": g.confidence(F.col("area_px"), p),
-                            "piece": g.classify(F.col("width_px"), F.col("height_px"), p)})
+    return _judged(out, p)
+
+
+def _judged(blobs: DataFrame, p: Recipe) -> DataFrame:
+    return blobs.withColumns({"confidence": g.confidence(F.col("area_px"), p),
+                              "piece": g.classify(F.col("width_px"), F.col("height_px"), p)})
 
 
 def extract(px: DataFrame, p: Recipe, dark: bool = False, forced_block: int = 0, fill: int = 0,
@@ -350,7 +419,7 @@ def extract(px: DataFrame, p: Recipe, dark: bool = False, forced_block: int = 0,
     mask = auto_threshold(blur5(by_frame(px)), dark, forced_block)
     if fill:
         mask = fill_holes(mask, fill)
-    blobs = blob_measures(label_blobs(dilate(opened(mask, open_k), dilate_k)), p, ["label_y", "label_x"])
+    blobs = run_measures(label_runs(dilate(opened(mask, open_k), dilate_k)), p)
     keep = F.col("area_px") >= p["noise_threshold"] * p["expected_area_px"]
     if max_aspect > 0:
         keep = keep & (g.aspect_ratio(F.col("width_px"), F.col("height_px")) <= max_aspect)
@@ -364,4 +433,4 @@ def mask_stats(px: DataFrame, dark: bool = False) -> DataFrame:
     clustered = by_frame(px)
     set_share = (auto_threshold(clustered, dark).groupBy(*FRAME)
                  .agg(F.count_if(F.col("v") > 0).alias("set_pixels"), F.count(F.lit(1)).alias("pixels")))
-    return otsu(clustered, dark).join(contrast(clustered, dark), FRAME).join(set_share, FRAME)
+    return frame_stats(clustered, dark).join(set_share, FRAME)

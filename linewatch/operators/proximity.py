@@ -46,9 +46,21 @@ def merge_distance(p: Recipe) -> Column:
 
 
 def close_pairs(df: DataFrame, p: Recipe) -> DataFrame:
-    reach = df.withColumn("_reach", merge_distance(p))
-    pairs = neighbours(reach, reach, F.col("_reach"), strict=True)
-    return pairs.where(F.col("det_id") < F.col("other_id"))
+    """Pairs of one table: half of the surrounding cells is enough, as every pair
+    of cells is met from one of its sides."""
+    own = df.withColumn("_r", merge_distance(p)).select(*FRAME, "det_id", "cx", "cy", "_r")
+    gx, gy = F.floor(F.col("cx") / F.col("_r")), F.floor(F.col("cy") / F.col("_r"))
+    half = F.array(*[F.struct((gx + i).alias("x"), (gy + j).alias("y"), F.lit(i == j == 0).alias("own"))
+                     for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
+    left = own.withColumn("_g", F.explode(half)).select(
+        *FRAME, F.col("det_id").alias("_a"), F.col("cx").alias("_ax"), F.col("cy").alias("_ay"), "_r",
+        F.col("_g.x").alias("_gx"), F.col("_g.y").alias("_gy"), F.col("_g.own").alias("_own"))
+    right = own.select(*FRAME, F.col("det_id").alias("_b"), F.col("cx").alias("_bx"), F.col("cy").alias("_by"),
+                       gx.alias("_gx"), gy.alias("_gy"))
+    dx, dy = F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")
+    return (left.join(right, [*FRAME, "_gx", "_gy"]).where(~F.col("_own") | (F.col("_a") < F.col("_b")))
+            .withColumn("distance_px", F.sqrt(dx * dx + dy * dy)).where(F.col("distance_px") < F.col("_r"))
+            .select(*FRAME, F.least("_a", "_b").alias("det_id"), F.greatest("_a", "_b").alias("other_id"), "distance_px"))
 
 
 def compare_methods(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:

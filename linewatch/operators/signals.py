@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewatch import fixed
-from linewatch.operators.scan import (DAY_MS, Following, LastBefore, LastKnown, NextKnown,
-                                      Previous, Total, done, scan)
+from linewatch.operators.scan import (DAY_MS, Following, LastKnown, NextKnown, Previous, Run, Since,
+                                      Total, scan)
+from linewatch.streaming.run import build_table, finite_scan
 
 KEY = ["line_id", "t_ms", "seq"]
 
@@ -30,163 +31,176 @@ def with_edges(df: DataFrame, signal: str = "running", chunk_ms: int = DAY_MS) -
 
 
 def edges(df: DataFrame, signal: str = "running") -> DataFrame:
-    return done(with_edges(df, signal).where(F.col("edge").isNotNull()))
+    return (with_edges(df, signal).where(F.col("edge").isNotNull()))
 
 
 def edge_gaps(edge_rows: DataFrame) -> DataFrame:
     out = scan(edge_rows, {"_prev": Previous("t_ms")})
-    return done(out.withColumn("since_edge_ms", F.col("t_ms") - F.col("_prev")).drop("_prev"))
+    return (out.withColumn("since_edge_ms", F.col("t_ms") - F.col("_prev")).drop("_prev"))
 
 
 def cycles(df: DataFrame) -> DataFrame:
     """Cycle number: rising edges so far."""
-    out = with_edges(df)
-    return done(scan(out, {"cycle": Total(flag(F.col("edge") == "rising").cast("long"))}))
+    return scan(with_edges(df), {"cycle": Total(flag(F.col("edge") == "rising").cast("long"))})
 
 
-def runs(df: DataFrame, value: Column, reset: Column | None = None) -> DataFrame:
-    """``run_pos``: how many rows in a row hold the present value (from 1).
 
-    Runs may span many chunks; positions come from row numbers, not from a
-    window over the run. ``reset`` marks rows that start a new run anyway.
-    """
-    out = scan(df.withColumn("_value", value), {"_was": Previous("_value"), "_idx": Total(F.lit(1).cast("long"))})
-    fresh = F.col("_was").isNull() | (F.col("_was") != F.col("_value"))
-    if reset is not None:
-        fresh = fresh | F.coalesce(reset, F.lit(False))
-    out = out.withColumn("_start", F.when(fresh, F.col("_idx")))
-    out = scan(out, {"_from": LastKnown("_start")})
-    return (out.withColumn("run_pos", F.col("_idx") - F.col("_from") + 1)
-            .withColumn("run_start", F.col("_start").isNotNull())
-            .drop("_was", "_idx", "_start", "_from", "_value"))
+def runs(df: DataFrame, value: Column) -> DataFrame:
+    """``run_pos``: how many rows in a row hold the present value (from 1);
+    ``run_since_ms``: when that run began. Runs may span many chunks."""
+    return (scan(df, {"_run": Run(value)})
+            .withColumns({"run_pos": F.col("_run.pos"), "run_since_ms": F.col("_run.start.t_ms")}).drop("_run"))
+
 
 
 def debounce(df: DataFrame, value: Column, n: int) -> DataFrame:
     """The stable value follows the raw one after ``n`` equal rows; it starts false."""
-    out = runs(df.withColumn("_raw", value), F.col("_raw"))
-    out = scan(out.withColumn("_held", F.when(F.col("run_pos") >= n, F.col("_raw"))),
-               {"stable": LastKnown("_held")})
-    return done(out.withColumn("stable", F.coalesce("stable", F.lit(False)))
-                .drop("_raw", "_held", "run_pos", "run_start"))
+    def step(state, raw):
+        stable, seen, held = state
+        held = min(held + 1, n) if raw == seen else 1
+        return (raw if held >= n else stable, raw, held)
+
+    states, table = build_table(step, (False, None, 0), (False, True))
+    out = finite_scan(df.withColumn("symbol", flag(value).cast("int")), table)
+    return (out.withColumn("stable", F.element_at(F.array(*[F.lit(s[0]) for s in states]), F.col("state_after") + 1))
+            .drop("symbol", "state_before", "state_after"))
+
 
 
 def frame_gaps(df: DataFrame, limit_ms: int = fixed.FRAME_GAP_MS) -> DataFrame:
     """Long steps between successive running rows; standing still resets."""
     out = scan(df, {"_t": Previous("t_ms"), "_r": Previous("running")})
     gap = F.col("t_ms") - F.col("_t")
-    return done(out.where(F.col("running") & F.col("_r") & (gap > limit_ms))
+    return (out.where(F.col("running") & F.col("_r") & (gap > limit_ms))
                 .withColumn("gap_ms", gap).drop("_t", "_r"))
 
 
 def inter_stop_gap(fires: DataFrame) -> DataFrame:
     out = scan(fires, {"_t": Previous("t_ms"), "row_prev": Previous("row_no")})
-    return done(out.where(F.col("_t").isNotNull())
+    return (out.where(F.col("_t").isNotNull())
                 .withColumn("gap_ms", F.col("t_ms") - F.col("_t")).drop("_t"))
 
 
 def stale_frames(df: DataFrame, value: str, full: str, cap: int, struggling_at: int = 11) -> DataFrame:
     """Rows since the last fresh value and since the last full group, each flagged once."""
-    out = scan(df, {"_idx": Total(F.lit(1).cast("long"))})
-    out = out.withColumns({"_fresh": F.when(F.col(value).isNotNull(), F.col("_idx")),
-                           "_full": F.when(F.col(full), F.col("_idx"))})
-    out = scan(out, {"_lf": LastKnown("_fresh"), "_lg": LastKnown("_full")})
-    stale = F.col("_idx") - F.coalesce("_lf", F.lit(0))
-    since = F.col("_idx") - F.coalesce("_lg", F.lit(0))
-    return done(out.withColumns({"stale": stale, "since_full": since,
-                                 "exceeded": stale == cap + 1, "struggling": since == struggling_at})
-                .drop("_idx", "_fresh", "_full", "_lf", "_lg"))
+    out = scan(df, {"stale": Since(F.col(value).isNotNull()), "since_full": Since(F.col(full))})
+    return out.withColumns({"exceeded": F.col("stale") == cap + 1, "struggling": F.col("since_full") == struggling_at})
+
 
 
 def carry_forward(df: DataFrame, value: str, most: int = 5) -> DataFrame:
     """Hold the last value for at most ``most`` missing rows and mark it fallback."""
-    out = scan(df, {"_idx": Total(F.lit(1).cast("long"))})
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("_idx").alias("i"), F.col(value).alias("v")))
-    out = scan(out.withColumn("_known", known), {"_last": LastKnown("_known")})
-    usable = F.col("_idx") - F.col("_last")["i"] <= most
-    return done(out.withColumns({"held": F.when(usable, F.col("_last")["v"]),
-                                 "fallback": F.coalesce(usable & F.col(value).isNull(), F.lit(False))})
-                .drop("_idx", "_known", "_last"))
+    out = scan(df, {"_stale": Since(F.col(value).isNotNull()), "_last": LastKnown(value)})
+    usable = F.col("_last").isNotNull() & (F.col("_stale") <= most)
+    return (out.withColumns({"held": F.when(usable, F.col("_last")), "fallback": usable & F.col(value).isNull()})
+            .drop("_stale", "_last"))
+
 
 
 def state_changes(df: DataFrame, state: str, trigger: str) -> DataFrame:
     out = scan(df, {"old": Previous(state)})
-    return done(out.where(F.col("old") != F.col(state))
+    return (out.where(F.col("old") != F.col(state))
                 .select(*KEY, "old", F.col(state).alias("new"), F.col(trigger).alias("trigger")))
 
 
 def heartbeat_gaps(df: DataFrame, alive: str, limit_ms: int = 1000) -> DataFrame:
     """Silences of a bit that must keep toggling."""
     out = scan(df, {"_was": Previous(alive)})
-    toggles = done(out.where(F.col("_was").isNull() | (F.col("_was") != F.col(alive)))).select(*KEY)
+    toggles = out.where(F.col("_was").isNull() | (F.col("_was") != F.col(alive))).select(*KEY)
     out = scan(toggles, {"from_ms": Previous("t_ms")})
     gap = F.col("t_ms") - F.col("from_ms")
-    return (done(out.where(gap > limit_ms))
+    return (out.where(gap > limit_ms)
             .select("line_id", "from_ms", F.col("t_ms").alias("to_ms"), gap.alias("silent_ms")))
 
 
 def stop_latency(df: DataFrame, stop: Column, hold_ms: int = fixed.STOP_HOLD_MS) -> DataFrame:
-    """From each stop to the next falling edge, or to the end of the hold time."""
-    out = with_edges(df).withColumn("_fall", F.when(F.col("edge") == "falling", F.col("t_ms")))
-    out = scan(out, {"_next": NextKnown("_fall")})
+    """From each stop to the next falling edge, or to the end of the hold time.
+
+    A stop is only set while running, so the next falling edge is the next row
+    that does not run.
+    """
+    out = scan(df, {"_next": NextKnown(F.when(~F.col("running"), F.col("t_ms")))})
     acked = F.coalesce(F.col("_next") - F.col("t_ms") <= hold_ms, F.lit(False))
-    return done(out.where(stop).select(
+    return out.where(stop & F.col("running")).select(
         *KEY, F.when(acked, F.col("_next") - F.col("t_ms")).otherwise(F.lit(hold_ms)).cast("long").alias("latency_ms"),
-        F.when(acked, "plc_ack").otherwise("timeout").alias("reason")))
+        F.when(acked, "plc_ack").otherwise("timeout").alias("reason"))
 
 
-def with_latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3,
-               reset: Column | None = None) -> DataFrame:
-    """``latched`` marks rows on which a fault latches: ``n`` faulty rows in a row
-    while armed; ``m`` clean rows in a row (or a reset) arm again.
 
-    A run of n faults can latch once, and only if the last such mark before it
-    was a re-arm, so the automaton reduces to runs plus the mark before.
+def latch_table(n: int, m: int, windowed: bool) -> tuple[list, list[list[int]]]:
+    """States ``(armed, count, latched now, belt before)``; symbols ``belt * 2 + faulty``.
+
+    ``n`` faulty rows in a row while armed latch; ``m`` clean rows in a row arm
+    again. With ``windowed``, rows count only while the belt runs and an opening
+    window arms and forgets.
     """
-    base = df.withColumns({"_bad": faulty, "_reset": F.lit(False) if reset is None else reset})
-    out = runs(base, F.col("_bad"), F.col("_reset"))
-    qualifies = F.col("_bad") & (F.col("run_pos") == n)
-    rearms = F.col("_reset") | (~F.col("_bad") & (F.col("run_pos") == m))
-    out = scan(out.withColumn("_mark", F.when(qualifies, 1).when(rearms, 0)), {"_before": LastBefore("_mark")})
-    armed = F.col("_reset") | F.coalesce(F.col("_before") == 0, F.lit(True))
-    return (out.withColumn("latched", qualifies & armed)
-            .drop("_bad", "_reset", "_mark", "_before", "run_pos", "run_start"))
+    def step(state, symbol):
+        armed, count, _, belt_before = state
+        belt, faulty = divmod(symbol, 2)
+        if windowed:
+            if not belt:
+                return (armed, count, False, 0)
+            if not belt_before:
+                armed, count = True, 0
+        # Only faults count while armed and only clean rows while not.
+        count = count + 1 if bool(faulty) == armed else 0
+        if count < (n if armed else m):
+            return (armed, count, False, belt if windowed else 0)
+        return (not armed, 0, armed, belt if windowed else 0)
+
+    return build_table(step, (True, 0, False, 0), range(4))
 
 
-def latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3, reset: Column | None = None) -> DataFrame:
-    return done(with_latch(df, faulty, n, m, reset).where("latched")).select(*KEY)
+def with_latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3, belt: Column | None = None) -> DataFrame:
+    """``latched`` marks rows on which a fault latches; see ``latch_table``."""
+    states, table = latch_table(n, m, belt is not None)
+    symbol = flag(faulty) + (0 if belt is None else flag(belt) * 2)
+    out = finite_scan(df.withColumn("symbol", symbol.cast("int")), table)
+    return (out.withColumn("latched", F.element_at(F.array(*[F.lit(s[2]) for s in states]), F.col("state_after") + 1))
+            .drop("symbol", "state_before", "state_after"))
 
 
-def self_clear(df: DataFrame, faulty: Column, raised: Column, n: int = 5) -> DataFrame:
+
+def latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3) -> DataFrame:
+    return with_latch(df, faulty, n, m).where("latched").select(*KEY)
+
+
+
+def self_clear(df: DataFrame, faulty: Column, n: int = 5) -> DataFrame:
     """Rows on which an active fault clears by ``n`` clean rows in a row."""
-    out = runs(df.withColumns({"_bad": faulty, "_raise": raised}), F.col("_bad"))
-    clears = ~F.col("_bad") & (F.col("run_pos") == n)
-    marks = out.withColumn("_c", clears).where(F.col("_c") | F.col("_raise"))
-    marks = scan(marks, {"_before": Previous("_raise")})
-    return done(marks.where(F.col("_c") & F.coalesce("_before", F.lit(False)))).select(*KEY)
+    def step(state, bad):
+        active, clean, _ = state
+        if bad:
+            return (True, 0, False)
+        if not active:
+            return (False, 0, False)
+        return (True, clean + 1, False) if clean + 1 < n else (False, 0, True)
+
+    states, table = build_table(step, (False, 0, False), (False, True))
+    out = finite_scan(df.withColumn("symbol", flag(faulty).cast("int")), table)
+    cleared = F.element_at(F.array(*[F.lit(s[2]) for s in states]), F.col("state_after") + 1)
+    return out.where(cleared).select(*KEY)
+
 
 
 def islands(df: DataFrame, active: Column) -> DataFrame:
-    """One row per stretch of ``active`` rows: first row, first row after it, rows."""
-    out = scan(df.withColumn("_on", active), {"_was": Previous("_on"), "_then": Following("t_ms")})
-    opens = F.col("_on") & ~F.coalesce("_was", F.lit(False))
-    out = scan(out.withColumn("_open", flag(opens).cast("long")), {"window_no": Total("_open")})
-    # Partial aggregation per (line, window) runs before the shuffle.
-    return (done(out.where("_on")).groupBy("line_id", "window_no")
-            .agg(F.min("t_ms").alias("open_ms"), F.max("t_ms").alias("last_ms"),
-                 F.max_by("_then", F.struct("t_ms", "seq")).alias("close_ms"),
+    """One row per stretch of ``active`` rows: first row, last row, first row after it."""
+    out = scan(df.withColumn("_on", active), {"_run": Run(F.col("_on")), "_then": Following("t_ms")})
+    # Partial aggregation per (line, opening) runs before the shuffle.
+    return (out.where("_on").groupBy("line_id", F.col("_run.start").alias("_start"))
+            .agg(F.min("t_ms").alias("open_ms"), F.max("t_ms").alias("last_ms"), F.max_by("_then", F.struct("t_ms", "seq")).alias("close_ms"),
                  F.count(F.lit(1)).alias("frames")))
 
 
+
 def inspection_windows(df: DataFrame, n: int, m: int) -> DataFrame:
     """Belt windows with whether a fault latched inside; opening resets the latch."""
-    base = scan(df, {"_was": Previous("belt_running"), "_then": Following("t_ms")})
-    opens = F.col("belt_running") & ~F.coalesce("_was", F.lit(False))
-    base = base.withColumns({"_opens": opens, "_open": flag(opens).cast("long")})
-    out = scan(base, {"window_no": Total("_open")})
-    inside = with_latch(out.where("belt_running"), F.col("fault"), n, m, F.col("_opens"))
-    return (done(inside).groupBy("line_id", "window_no")
+    rows = with_latch(df, F.col("fault"), n, m, F.col("belt_running"))
+    out = scan(rows, {"_run": Run(F.col("belt_running")), "_then": Following("t_ms")})
+    return (out.where("belt_running").groupBy("line_id", F.col("_run.start").alias("_start"))
             .agg(F.min("t_ms").alias("open_ms"), F.max_by("_then", F.struct("t_ms", "seq")).alias("close_ms"),
-                 F.count(F.lit(1)).alias("frames"), F.bool_or("latched").alias("latched")))
+                 F.count(F.lit(1)).alias("frames"), F.bool_or("latched").alias("latched")).drop("_start"))
+
 
 
 def in_window(df: DataFrame, windows: DataFrame) -> DataFrame:
@@ -201,19 +215,19 @@ def in_window(df: DataFrame, windows: DataFrame) -> DataFrame:
     both = df.unionByName(marks, allowMissingColumns=True)
     out = scan(both, {"_in": LastKnown("_win")})
     inside = F.col("_in").isNotNull() & (F.col("_in.close_ms").isNull() | (F.col("t_ms") < F.col("_in.close_ms")))
-    return done(out.where(F.col("_win").isNull() & inside)
+    return (out.where(F.col("_win").isNull() & inside)
                 .withColumn("window_open_ms", F.col("_in.open_ms")).drop("_win", "_in"))
 
 
 def transfer_timeouts(df: DataFrame, transferring: Column, limit_ms: int = 5000) -> DataFrame:
     """First row of each transfer that has lasted longer than the limit."""
-    base = runs(df.withColumn("_on", transferring), F.col("_on"))
-    start = F.when(F.col("run_start"), F.col("t_ms"))
-    out = scan(base.withColumn("_s", start), {"since_ms": LastKnown("_s")})
-    late = F.col("_on") & (F.col("t_ms") - F.col("since_ms") > limit_ms)
-    out = scan(out.withColumn("_late", late), {"_before": Previous(F.struct("_late", "since_ms"))})
-    first = F.col("_late") & ~F.coalesce(F.col("_before._late") & (F.col("_before.since_ms") == F.col("since_ms")), F.lit(False))
-    return done(out.where(first)).select(*KEY, "since_ms", (F.col("t_ms") - F.col("since_ms")).alias("lasted_ms"))
+    out = scan(df.withColumn("_on", transferring), {"_run": Run(F.col("_on")), "_prev": Previous("t_ms")})
+    since = F.col("_run.start.t_ms")
+    late = F.col("_on") & (F.col("t_ms") - since > limit_ms)
+    # The row before was in the same transfer and not late yet.
+    first = late & (F.col("_run.pos") > 1) & (F.col("_prev") - since <= limit_ms)
+    return out.where(first).select(*KEY, since.alias("since_ms"), (F.col("t_ms") - since).alias("lasted_ms"))
+
 
 
 def sticky(df: DataFrame, result: Column, hold_ms: int = 3000) -> DataFrame:
@@ -221,17 +235,16 @@ def sticky(df: DataFrame, result: Column, hold_ms: int = 3000) -> DataFrame:
     known = F.when(result.isNotNull(), F.struct(F.col("t_ms").alias("t"), result.alias("r")))
     out = scan(df.withColumn("_known", known), {"_last": LastKnown("_known")})
     fresh = F.col("t_ms") - F.col("_last")["t"] <= hold_ms
-    return done(out.withColumn("shown", F.when(fresh, F.col("_last")["r"])).drop("_known", "_last"))
+    return (out.withColumn("shown", F.when(fresh, F.col("_last")["r"])).drop("_known", "_last"))
 
 
 def running_sessions(df: DataFrame, gap_ms: int) -> DataFrame:
     """Activity sessions: running rows no further apart than the gap."""
     out = scan(df.where("running"), {"_t": Previous("t_ms")})
-    starts = flag(F.col("_t").isNull() | (F.col("t_ms") - F.col("_t") >= gap_ms)).cast("long")
-    out = scan(out.withColumn("_s", starts), {"session": Total("_s")})
-    return (done(out).groupBy("line_id", "session")
-            .agg(F.min("t_ms").alias("start_ms"), (F.max("t_ms") + gap_ms).alias("end_ms"),
-                 F.count(F.lit(1)).alias("rows")))
+    starts = F.col("_t").isNull() | (F.col("t_ms") - F.col("_t") >= gap_ms)
+    out = scan(out.withColumn("_s", F.when(starts, F.struct("t_ms", "seq"))), {"_start": LastKnown("_s")})
+    return (out.groupBy("line_id", "_start")
+            .agg(F.min("t_ms").alias("start_ms"), (F.max("t_ms") + gap_ms).alias("end_ms"), F.count(F.lit(1)).alias("rows")).drop("_start"))
 
 
 def profile_bumps(df: DataFrame, profile: str = "profile", smooth: int = 5, frac: float = 0.25) -> DataFrame:

@@ -166,7 +166,7 @@ def s3(spark, d):
        FROM fold p JOIN n0 ON n0.line_id = p.line_id AND n0.i = p.i + 1""",
     "SELECT line_id, t_ms, seq FROM fold WHERE hit"))
 def s4(spark, d):
-    return sg.self_clear(t.signals(spark, d), F.col("fault"), F.col("fault"), 3)
+    return sg.self_clear(t.signals(spark, d), F.col("fault"), 3)
 
 
 BELT = {"b0": f"SELECT *, belt_running AND NOT COALESCE(LAG(belt_running) {OVER}, FALSE) AS opens, LEAD(t_ms) {OVER} AS nxt FROM signals",
@@ -176,7 +176,7 @@ BELT = {"b0": f"SELECT *, belt_running AND NOT COALESCE(LAG(belt_running) {OVER}
         "b3": """SELECT *, ROW_NUMBER() OVER (PARTITION BY line_id, window_no ORDER BY t_ms, seq) AS pos,
                  SUM(CASE WHEN fault THEN 0 ELSE 1 END) OVER (PARTITION BY line_id, window_no ORDER BY t_ms, seq) AS grp FROM b1 WHERE belt_running""",
         "b4": """SELECT line_id, window_no, grp, COUNT(*) FILTER (WHERE fault) AS f FROM b3 GROUP BY ALL"""}
-WINDOWS = f"""SELECT b2.line_id, b2.window_no, open_ms, CASE WHEN c >= 0 THEN c END AS close_ms, frames,
+WINDOWS = f"""SELECT b2.line_id, open_ms, CASE WHEN c >= 0 THEN c END AS close_ms, frames,
   (SELECT MAX(f) FROM b4 WHERE b4.line_id = b2.line_id AND b4.window_no = b2.window_no) >= 2 AS latched FROM b2"""
 
 
@@ -236,7 +236,7 @@ def s16(spark, d):
             .select("line_id", F.unix_millis("w.start").alias("start_ms"), "frames", "faults", "fault_rate"))
 
 
-@query("s17_running_sessions", sql(f"""SELECT line_id, session, MIN(t_ms) AS start_ms, MAX(t_ms) + 21600000 AS end_ms, COUNT(*) AS "rows" FROM (
+@query("s17_running_sessions", sql(f"""SELECT line_id, MIN(t_ms) AS start_ms, MAX(t_ms) + 21600000 AS end_ms, COUNT(*) AS "rows" FROM (
   SELECT *, CAST(SUM(CASE WHEN p IS NULL OR t_ms - p >= 21600000 THEN 1 ELSE 0 END) {HELD} AS BIGINT) AS session FROM (
   SELECT *, LAG(t_ms) {OVER} AS p FROM signals WHERE running)) GROUP BY line_id, session"""))
 def s17(spark, d):
