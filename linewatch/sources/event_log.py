@@ -10,11 +10,12 @@ from linewatch import fixed
 SCHEMA = ", ".join(f"{c} STRING" for c in fixed.EVENT_COLUMNS)
 CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 ISO_MS = "yyyy-MM-dd'T'HH:mm:ss.SSS"
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}$"
 
 
 def parse_iso(ts: Column) -> Column:
-    """Zone-less timestamp of an ISO string with milliseconds."""
-    return F.to_timestamp_ntz(ts, F.lit(ISO_MS))
+    """Zone-less timestamp of an ISO string with milliseconds; NULL if unreadable."""
+    return F.when(ts.rlike(ISO_SHAPE), ts.try_cast("timestamp_ntz"))
 
 
 def format_iso(t_ms: Column) -> Column:
@@ -32,7 +33,7 @@ def typed(raw: DataFrame) -> DataFrame:
     """Blank means no value; a row of unknown type or unreadable time is quarantined."""
     blank = {c: F.coalesce(F.col(c), F.lit("")) for c in fixed.EVENT_COLUMNS}
     df = raw.withColumns(blank)
-    ts = F.try_to_timestamp("timestamp_iso", F.lit(ISO_MS))
+    ts = parse_iso(F.col("timestamp_iso"))
     known = F.col("event_type").isin(*fixed.EVENT_TYPES)
     return df.withColumns({"ts": ts, "quarantined": ~known | ts.isNull()})
 
