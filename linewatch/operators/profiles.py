@@ -75,12 +75,11 @@ def with_profile(df: DataFrame, profiles: DataFrame) -> DataFrame:
 def resolve_active(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
     """Unknown names fall back to the first profile in name order."""
     known = profiles.select(F.col("name").alias("profile_name"), F.lit(True).alias("_known"))
-    # One-row aggregate: a scalar subquery in effect, whatever the table sizes.
-    first = profiles.agg(F.min("name").alias("_first"))
-    return (wanted.join(known, "profile_name", "left").join(F.broadcast(first))
-            .withColumns({"active_profile": F.when(F.col("_known"), F.col("profile_name")).otherwise(F.col("_first")),
+    first = profiles.agg(F.min("name")).scalar()
+    return (wanted.join(known, "profile_name", "left")
+            .withColumns({"active_profile": F.when(F.col("_known"), F.col("profile_name")).otherwise(first),
                           "fell_back": F.col("_known").isNull()})
-            .drop("_known", "_first"))
+            .drop("_known"))
 
 
 def upsert(base: DataFrame, updates: DataFrame) -> DataFrame:

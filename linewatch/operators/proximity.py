@@ -73,7 +73,8 @@ def compare_methods(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
 
 
 MERGED = ("line_id long, frame_id long, det_id long, bbox_x int, bbox_y int, width_px int, height_px int, "
-          "cx double, cy double, area_px long, circularity double, solidity double, merged_from int, seat int")
+          "cx double, cy double, area_px long, circularity double, solidity double, merged_from int, seat int, "
+          "reach_cx double, profile_name string")
 
 
 def _merge_frame(pieces: list[tuple], reach: float) -> list[tuple]:
@@ -102,30 +103,30 @@ def _merge_frame(pieces: list[tuple], reach: float) -> list[tuple]:
     return pieces
 
 
+_FIELDS = ["det_id", "bbox_x", "bbox_y", "width_px", "height_px", "cx", "cy", "area_px", "circularity", "solidity"]
+_OUT = ["line_id", "frame_id", *_FIELDS, "merged_from", "seat", "reach_cx", "profile_name"]
+
+
 def _merge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by frame; only the pieces of one frame are held at a time."""
-    key, reach, held, out = None, 0.0, [], []
+    key, reach, name, held, out = None, 0.0, None, [], []
+    order = [c.split()[0] for c in MERGED.split(", ")]
 
     def flush() -> None:
-        for seat, piece in enumerate(_merge_frame(held, reach)):
-            out.append((*key, *piece, seat))
-
-    columns = [c.split()[0] for c in MERGED.split(", ")]
+        pieces = _merge_frame(held, reach)
+        furthest = max(p[5] for p in pieces)
+        out.extend((*key, *p, seat, furthest, name) for seat, p in enumerate(pieces))
 
     def table() -> pd.DataFrame:
-        df = pd.DataFrame(out, columns=["line_id", "frame_id", "det_id", "bbox_x", "bbox_y", "width_px", "height_px",
-                                        "cx", "cy", "area_px", "circularity", "solidity", "merged_from", "seat"])
-        return df[columns].astype({"circularity": "float64", "solidity": "float64"})
+        return pd.DataFrame(out, columns=_OUT)[order].astype({"circularity": "float64", "solidity": "float64"})
 
     for batch in batches:
-        cols = [batch[c].tolist() for c in (
-            "line_id", "frame_id", "det_id", "bbox_x", "bbox_y", "width_px", "height_px", "cx", "cy",
-            "area_px", "circularity", "solidity", "_reach")]
-        for line, frame, *piece, r in zip(*cols):
+        cols = [batch[c].tolist() for c in ("line_id", "frame_id", *_FIELDS, "_reach", "_name")]
+        for line, frame, *piece, r, n in zip(*cols):
             if (line, frame) != key:
                 if key is not None:
                     flush()
-                key, reach, held = (line, frame), r, []
+                key, reach, name, held = (line, frame), r, n, []
             held.append((*piece, 1))
         if out:
             yield table()
@@ -141,12 +142,13 @@ def proximity_merge(df: DataFrame, p: Recipe) -> DataFrame:
 
     The greedy order is part of the result, so each frame is folded by a small
     helper over the sorted rows of its partition; memory is one frame. ``seat``
-    is the place in the result list (survivors in order, merged pieces last).
-    Shape measures of merged pieces are unknown.
+    is the place in the result list (survivors in order, merged pieces last), and
+    ``reach_cx`` the largest centre of the frame, which spares the newest-row rule
+    a window over pieces that have just been together. Shape measures of merged
+    pieces are unknown. A ``profile_name`` of the frame passes through.
     """
-    work = df.withColumn("_reach", merge_distance(p)).select(
-        *FRAME, "det_id", "bbox_x", "bbox_y", "width_px", "height_px", "cx", "cy", "area_px",
-        "circularity", "solidity", "_reach")
+    name = F.col("profile_name") if "profile_name" in df.columns else F.lit(None).cast("string")
+    work = df.select(*FRAME, *_FIELDS, merge_distance(p).alias("_reach"), name.alias("_name"))
     return (work.repartition(*FRAME).sortWithinPartitions(*FRAME, "det_id")
             .mapInPandas(_merge_batches, MERGED))
 

@@ -104,10 +104,12 @@ def front_row(df: DataFrame, n: int) -> DataFrame:
     return ranked.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
 
-def newest_row(df: DataFrame, p: Recipe) -> DataFrame:
-    """Pieces in the band behind the largest centre of the frame."""
-    reach = F.max("cx").over(by_frame()) - p["expected_width_px"] * F.lit(fixed.NEWEST_ROW_BAND)
-    return df.withColumn("_reach", reach).where(F.col("cx") >= F.col("_reach")).drop("_reach")
+def newest_row(df: DataFrame, p: Recipe, reach: Column | None = None) -> DataFrame:
+    """Pieces in the band behind the largest centre of the frame; ``reach`` is that
+    centre where the rows already carry it."""
+    furthest = F.max("cx").over(by_frame()) if reach is None else reach
+    behind = furthest - p["expected_width_px"] * F.lit(fixed.NEWEST_ROW_BAND)
+    return df.withColumn("_behind", behind).where(F.col("cx") >= F.col("_behind")).drop("_behind")
 
 
 def column_index(y: Column, bands: Sequence[tuple[float, float]]) -> Column:

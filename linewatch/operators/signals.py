@@ -162,7 +162,8 @@ def with_latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3, belt: Colu
 
 
 def latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3) -> DataFrame:
-    return with_latch(df, faulty, n, m).where("latched").select(*KEY)
+    thin = df.select(*KEY, faulty.alias("_bad"))  # Python sees the columns it needs
+    return with_latch(thin, F.col("_bad"), n, m).where("latched").select(*KEY)
 
 
 
@@ -177,7 +178,7 @@ def self_clear(df: DataFrame, faulty: Column, n: int = 5) -> DataFrame:
         return (True, clean + 1, False) if clean + 1 < n else (False, 0, True)
 
     states, table = build_table(step, (False, 0, False), (False, True))
-    out = finite_scan(df.withColumn("symbol", flag(faulty).cast("int")), table)
+    out = finite_scan(df.select(*KEY, flag(faulty).cast("int").alias("symbol")), table)
     cleared = F.element_at(F.array(*[F.lit(s[2]) for s in states]), F.col("state_after") + 1)
     return out.where(cleared).select(*KEY)
 
@@ -195,7 +196,8 @@ def islands(df: DataFrame, active: Column) -> DataFrame:
 
 def inspection_windows(df: DataFrame, n: int, m: int) -> DataFrame:
     """Belt windows with whether a fault latched inside; opening resets the latch."""
-    rows = with_latch(df, F.col("fault"), n, m, F.col("belt_running"))
+    thin = df.select(*KEY, "belt_running", "fault")
+    rows = with_latch(thin, F.col("fault"), n, m, F.col("belt_running"))
     out = scan(rows, {"_run": Run(F.col("belt_running")), "_then": Following("t_ms")})
     return (out.where("belt_running").groupBy("line_id", F.col("_run.start").alias("_start"))
             .agg(F.min("t_ms").alias("open_ms"), F.max_by("_then", F.struct("t_ms", "seq")).alias("close_ms"),

@@ -27,27 +27,28 @@ def inspect(pieces: DataFrame, frames: DataFrame, recipes: DataFrame, crop: dict
             **fixed_recipe) -> DataFrame:
     """Verdict per frame. ``pieces`` carry ``profile_name`` and full-frame ``cx``.
 
-    Filters come before the frame exchange; the recipe is joined again after the
-    merge by name, which is cheaper than carrying its columns through it.
+    Filters run before the merge. The merge hands on the recipe name, so the
+    recipe is joined again by name instead of carrying its columns through
+    Python, and the frame's largest centre, so the pieces are not clustered by
+    frame a second time: what is shuffled after it is one partial verdict per
+    frame and task.
     """
-    p_names = pieces.select(*FRAME, "det_id", "cx", "cy", "width_px", "height_px", "area_px",
-                            "circularity", "solidity", "profile_name")
-    df = profiles.with_profile(p_names, recipes)
+    wanted = pieces.select(*FRAME, "det_id", "cx", "cy", "width_px", "height_px", "area_px",
+                           "circularity", "solidity", "profile_name")
+    df = profiles.with_profile(wanted, recipes)
     p = recipe_from(df, **fixed_recipe)
     df = gates.split_roi(df, p, F.lit(width)).where(F.col("roi") == "belt")
     df = _crop(df, F.col("split_x"), F.lit(height), crop)
     area = (F.col("crop_x2") - F.col("crop_x1")) * (F.col("crop_y2") - F.col("crop_y1"))
     df = gates.gate_shape(gates.gate_belt(gates.gate_max_area(gates.gate_noise(df, p), area), p), p)
-    df = gates.with_bbox(_uncrop(df))
+    df, reach = gates.with_bbox(_uncrop(df)), None
     if merge:
-        names = frames.select("line_id", "profile_name").distinct() if "profile_name" in frames.columns else None
-        df = proximity.proximity_merge(df, p)
-        df = profiles.with_profile(df.join(names, "line_id"), recipes)
-        p = recipe_from(df, **fixed_recipe)
+        df = profiles.with_profile(proximity.proximity_merge(df, p), recipes)
+        p, reach = recipe_from(df, **fixed_recipe), F.col("reach_cx")
         # Order inside a frame is the place in the merged list.
         df = df.withColumn("det_id", F.col("seat").cast("long"))
     df = df.withColumn("label", g.classify(F.col("width_px"), F.col("height_px"), p))
-    return verdict.frame_verdict(rows.newest_row(df, p), p, frames, unknown_is_fault)
+    return verdict.frame_verdict(rows.newest_row(df, p, reach), p, frames, unknown_is_fault)
 
 
 def track(pieces: DataFrame, recipes: DataFrame, occupancy: DataFrame | None = None, method: str = "blob",

@@ -118,7 +118,7 @@ INSPECT_BODY = """SELECT f.line_id, f.frame_id, COALESCE(verdict, 'INFO_INCOMPLE
 
 
 def inspect_with(spark, d, merge: bool):
-    return plans.inspect(line_recipes(t.detections(spark, d)), line_recipes(t.frames(spark, d)), t.profiles(spark),
+    return plans.inspect(line_recipes(t.detections(spark, d)), t.frames(spark, d), t.profiles(spark),
                          crop=BELT_CROP, merge=merge, **LEARNED)
 
 

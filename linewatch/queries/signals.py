@@ -48,7 +48,8 @@ RAW = {"r0": f"SELECT *, occupancy >= CAST(0.12 AS DOUBLE) AS raw FROM signals",
   COALESCE(LAST_VALUE(CASE WHEN pos >= 2 THEN raw END IGNORE NULLS) {HELD}, FALSE) AS stable FROM r3""", **RAW))
 def w10(spark, d):
     occupied = F.col("occupancy") >= 0.12
-    return sg.debounce(t.signals(spark, d), occupied, 2).select(*sg.KEY, occupied.alias("raw"), "stable")
+    raw = t.signals(spark, d).select(*sg.KEY, occupied.alias("raw"))
+    return sg.debounce(raw, F.col("raw"), 2)
 
 
 @query("w11_frame_gaps", sql(f"""SELECT line_id, t_ms, seq, gap_ms FROM (

@@ -100,7 +100,8 @@ _LATER = "SELECT n0.*, p.ph, p.cand, p.held, p.clr, p.ob FROM fold p JOIN n0 ON
 SELECT line_id, t_ms, seq, phase_before, ph AS phase_after, CASE WHEN phase_before = 'IDLE' AND ph = 'AT_LINE' THEN 'stop'
   WHEN phase_before = 'AT_LINE' AND ph = 'IDLE' THEN 'clear' END AS command FROM fold"""))
 def s2(spark, d):
-    out = am.row_phase(t.signals(spark, d), F.col("occupancy") >= 0.02)
+    signals = t.signals(spark, d).select("line_id", "t_ms", "seq", "running", "occupancy")
+    out = am.row_phase(signals, F.col("occupancy") >= 0.02)
     return out.select("line_id", "t_ms", "seq", "phase_before", "phase_after", "command")
 
 

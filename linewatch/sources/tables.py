@@ -23,12 +23,10 @@ def epoch_ms(ts: str) -> F.Column:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = (table(spark, sf_dir, "orders")
-           .select(F.expr("o_orderkey * 10 div 38").alias("frame_id")).distinct())
-    return ids.select(
-        "frame_id", (F.col("frame_id") % 4).alias("line_id"),
-        (F.col("frame_id") * 100).alias("t_ms"),
-        F.lit(3200).alias("width_px"), F.lit(2200).alias("height_px"))
+    number = F.expr("o_orderkey * 10 div 38")
+    ids = table(spark, sf_dir, "orders").select((number % 4).alias("line_id"), number.alias("frame_id")).distinct()
+    return ids.select(*FRAME, (F.col("frame_id") * 100).alias("t_ms"),
+                      F.lit(3200).alias("width_px"), F.lit(2200).alias("height_px"))
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
