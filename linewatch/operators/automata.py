@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linewatch import fixed
 from linewatch.operators import rows
 from linewatch.operators import signals as sg
-from linewatch.operators.scan import LastKnown, Total, done, scan
+from linewatch.operators.scan import LastKnown, Total, scan
 from linewatch.sources.tables import FRAME
 from linewatch.streaming import machines as mc
 from linewatch.streaming.run import build_table, finite_scan, fold
@@ -25,42 +25,32 @@ def _name(number: Column, names) -> Column:
 def line_state(events: DataFrame, clear_frames: int = 5) -> DataFrame:
     """State machine of a line over ``line_id, t_ms, seq, event [, reason]``.
 
-    Only state and clean count need the automaton; flags and counters follow
-    from the transitions by scans.
+    State, clean count and flags are one automaton with few states; the two
+    counters and the last reason follow from its transitions by one scan.
     """
     if clear_frames < 1:
         raise ValueError("clear_frames must be at least 1")
-    states, table = build_table(lambda s, e: mc.line_step(s, e, clear_frames), (fixed.WAITING, 0), mc.LINE_EVENTS)
-    names, cleans = [s[0] for s in states], [s[1] for s in states]
-    numbered = events.withColumn("symbol", _index(F.col("event"), mc.LINE_EVENTS))
+    states, table = build_table(lambda s, e: mc.line_step_flags(s, e, clear_frames),
+                                (fixed.WAITING, 0, False, False, False), mc.LINE_EVENTS)
+    reasons = F.col("reason") if "reason" in events.columns else F.lit("")
+    numbered = events.select("line_id", "t_ms", "seq", "event", reasons.alias("reason"),
+                             _index(F.col("event"), mc.LINE_EVENTS).alias("symbol"))
     out = finite_scan(numbered, table)
-    event, before, after = F.col("event"), _name(F.col("state_before"), names), _name(F.col("state_after"), names)
-    out = out.withColumns({"clean_frames": _name(F.col("state_after"), cleans),
-                           "state_before": before, "state_after": after})
+    event, fields = F.col("event"), list(zip(*states))
+    after = F.col("state_after")
+    out = out.withColumns({
+        "clean_frames": _name(after, fields[1]), "running": _name(after, fields[2]), "stop": _name(after, fields[3]),
+        "fault_active": _name(after, fields[4]), "state_after": _name(after, fields[0]),
+        "state_before": _name(F.col("state_before"), fields[0])})
     was, now = F.col("state_before"), F.col("state_after")
-    raised = (event.isin("belt_fault", "verdict_fault") & (was != fixed.FAULT) & (now == fixed.FAULT))
-    faulted = raised | ((event == "emergency") & (now == fixed.FAULT))
-    freed = (((was == fixed.FAULT) & (now == fixed.WAITING)) | (event.isin("reset_waiting", "reset_tracking"))
-             | ((event == "exit_service") & (was == fixed.SERVICE)))
+    raised = event.isin("belt_fault", "verdict_fault") & (was != fixed.FAULT) & (now == fixed.FAULT)
+    stopped = (event == "emergency") & (now == fixed.FAULT)
     pulse = (event == "verdict_ok") & (was == fixed.INSPECTING)
-    reason = F.when(event == "emergency", "emergency_stop").otherwise(
-        F.col("reason") if "reason" in events.columns else F.lit(""))
-    out = out.withColumns({
-        "_run": F.when(event.isin("running_rises", "reset_tracking"), True).when(event == "running_falls", False),
-        "_fault": F.when(faulted, True).when(freed, False), "_raised": sg.flag(raised).cast("long"),
-        "_pulse": sg.flag(pulse).cast("long"), "_reason": F.when(faulted, reason), "_faulted": faulted})
-    out = scan(out, {"running": LastKnown("_run"), "fault_active": LastKnown("_fault"), "fault_count": Total("_raised"),
-                     "pulse_count": Total("_pulse"), "fault_reason": LastKnown("_reason")})
-    running = F.coalesce("running", F.lit(False))
-    stop = (F.when((event == "row_at_line") & running, True)
-            .when((event == "line_clear") & running, False)
-            .when(event.isin("running_falls", "enter_service", "reset_waiting"), False))
-    out = scan(out.withColumn("_stop", stop), {"stop": LastKnown("_stop")})
-    false = F.lit(False)
-    return done(out.withColumns({
-        "running": running, "stop": F.coalesce("stop", false), "fault_active": F.coalesce("fault_active", false),
-        "fault_reason": F.coalesce("fault_reason", F.lit("")), "ignored": late_result(event, was)})
-        .drop("symbol", "_run", "_fault", "_raised", "_pulse", "_reason", "_faulted", "_stop"))
+    why = F.when(raised, F.col("reason")).when(stopped, "emergency_stop")
+    out = scan(out, {"fault_count": Total(sg.flag(raised).cast("long")), "pulse_count": Total(sg.flag(pulse).cast("long")),
+                     "fault_reason": LastKnown(why)})
+    return (out.withColumns({"fault_reason": F.coalesce("fault_reason", F.lit("")), "ignored": late_result(event, was)})
+            .drop("symbol", "reason"))
 
 
 def late_result(event: Column, state_before: Column) -> Column:
@@ -79,7 +69,7 @@ def row_phase(df: DataFrame, occupied: Column, debounce: int = 2, clear_frames:
     code = (F.when(edge == "rising", 4).when(edge == "falling", 6).when(F.col("running"), 0).otherwise(2)
             + sg.flag(occupied))
     edged = sg.with_edges(df.withColumn("_occ", occupied)).withColumn("symbol", code.cast("int"))
-    out = finite_scan(done(edged), table)
+    out = finite_scan(edged, table)
     names = [s[0] for s in states]
     was, now = _name(F.col("state_before"), names), _name(F.col("state_after"), names)
     out = out.withColumns({"phase_before": was, "phase_after": now})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.operators.scan import LastKnown, NextKnown, Previous, done, scan
+from linewatch.operators.scan import LastKnown, NextKnown, Previous, scan
 
 LIFECYCLE = ("startup", "shutdown")
 
@@ -17,7 +17,7 @@ def profile_at(rows: DataFrame, changes: DataFrame) -> DataFrame:
                            F.col("profile_name").alias("_to"))
     both = probe.unionByName(marks, allowMissingColumns=True)
     out = scan(both, {"active_profile": LastKnown("_to")}, order=("t_ms", "_kind", "seq"))
-    return done(out.where(F.col("_kind") == 1).drop("_kind", "_to"))
+    return out.where(F.col("_kind") == 1).drop("_kind", "_to")
 
 
 def fault_intervals(log: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def fault_intervals(log: DataFrame) -> DataFrame:
     faults = log.where(F.col("event_type").isin("fault_raised", "fault_cleared"))
     faults = faults.withColumn("_clear", F.when(F.col("event_type") == "fault_cleared", F.col("t_ms")))
     out = scan(faults, {"cleared_ms": NextKnown("_clear")})
-    return done(out.where(F.col("event_type") == "fault_raised")).select(
+    return out.where(F.col("event_type") == "fault_raised").select(
         "line_id", "seq", "fault_reason", F.col("t_ms").alias("raised_ms"), "cleared_ms",
         (F.col("cleared_ms") - F.col("t_ms")).alias("duration_ms"),
         F.col("cleared_ms").isNull().alias("is_open"))
@@ -51,9 +51,8 @@ def unexpected_restarts(log: DataFrame) -> DataFrame:
     """Startups whose lifecycle event before is not a shutdown; the first counts."""
     life = log.where(F.col("event_type").isin(*LIFECYCLE))
     out = scan(life, {"previous": Previous("event_type")})
-    return done(out.where((F.col("event_type") == "startup")
-                          & F.coalesce(F.col("previous") != "shutdown", F.lit(True)))
-                ).select("line_id", "t_ms", "seq", "previous")
+    unplanned = F.coalesce(F.col("previous") != "shutdown", F.lit(True))
+    return out.where((F.col("event_type") == "startup") & unplanned).select("line_id", "t_ms", "seq", "previous")
 
 
 def events_by(log: DataFrame) -> DataFrame:

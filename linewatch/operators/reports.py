@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewatch import fixed
-from linewatch.operators.scan import Previous, Total, done, scan
+from linewatch.operators.scan import Previous, Total, scan
 
 
-def cycle_summary(df):
+def cycle_summary(df: DataFrame) -> DataFrame:
     """Ordered lists per cycle. A cycle holds at most one stop per grid row, so
     the lists stay short."""
     items = F.array_sort(F.collect_list(F.struct("t_ms", "seq", "row_no", "clearing_ms", "reason")))
@@ -21,18 +23,20 @@ def cycle_summary(df):
                       joined("clearing_ms").alias("clearing_list"), joined("reason").alias("reasons"), "total_ms")
 
 
-def perf_summary(df, seconds: int = 1):
-    """Timing per line and window; a window holds the frames of its seconds only."""
+def perf_summary(df: DataFrame, seconds: int = 1, stages: Sequence[str] = ()) -> DataFrame:
+    """Timing per line and window; a window holds the frames of its seconds only.
+    Every stage column named adds its own mean."""
     start = F.floor(F.col("t_ms") / (seconds * 1000)) * (seconds * 1000)
     return df.groupBy("line_id", start.alias("start_ms")).agg(
         F.count(F.lit(1)).alias("frames"), (F.count(F.lit(1)) / float(seconds)).alias("fps"),
-        F.round(F.avg("total_ms"), 4).alias("mean_ms"), (F.count_if("detected") / float(seconds)).alias("detections_per_s"),
+        F.round(F.avg("total_ms"), 4).alias("mean_ms"), *[F.round(F.avg(c), 4).alias(f"mean_{c}") for c in stages],
+        (F.count_if("detected") / float(seconds)).alias("detections_per_s"),
         F.median("total_ms").alias("median_ms"), F.max("total_ms").alias("max_ms"))
 
 
-def drop_summary(df, period_ms: int = 100, window_ms: int = 5000):
+def drop_summary(df: DataFrame, period_ms: int = 100, window_ms: int = 5000) -> DataFrame:
     """Frames missing from a steady rate, counted per window."""
-    out = done(scan(df, {"_p": Previous("t_ms")}))
+    out = scan(df, {"_p": Previous("t_ms")})
     missed = F.floor((F.col("t_ms") - F.col("_p")) / period_ms) - 1
     return (out.withColumn("dropped", F.greatest(F.lit(0), F.coalesce(missed, F.lit(0))))
             .groupBy("line_id", (F.floor(F.col("t_ms") / window_ms) * window_ms).alias("start_ms"))
@@ -51,7 +55,7 @@ def session_summary(fires: DataFrame) -> DataFrame:
 def row_quality(frames: DataFrame, fired: str, full: str, value: str) -> DataFrame:
     """Frames a row needed until it fired; the firing frame belongs to that row."""
     shot = F.when(F.col(fired), 1).otherwise(0).cast("long")
-    out = done(scan(frames, {"_n": Total(shot)})).withColumn("fire_no", F.col("_n") - shot)
+    out = scan(frames, {"_n": Total(shot)}).withColumn("fire_no", F.col("_n") - shot)
     return out.groupBy("line_id", "fire_no").agg(
         F.count(F.lit(1)).alias("total_frames"), F.count_if(full).alias("full_frames"),
         F.count_if(F.col(value).isNull()).alias("fallback_frames"))
@@ -64,9 +68,16 @@ def inspection_counts(windows: DataFrame) -> DataFrame:
         F.round(bad / F.count(F.lit(1)) * 100, 4).alias("defect_rate"))
 
 
-def verdict_counts(verdicts: DataFrame) -> DataFrame:
-    """Verdicts by line and hour with subtotals, one column per verdict."""
+def verdict_counts(verdicts: DataFrame, distinct: str | None = None) -> DataFrame:
+    """Verdicts by line and hour with subtotals, one column per verdict.
+
+    Frames may be delivered twice: ``distinct`` adds their distinct number,
+    "exact" or "approx" (a sketch, which shuffles no frame ids).
+    """
     counts = [F.count_if(F.col("verdict") == v).alias(v.lower()) for v in fixed.VERDICTS]
+    if distinct is not None:
+        number = {"exact": F.count_distinct, "approx": F.approx_count_distinct}[distinct]
+        counts.append(number(F.col("frame_id")).alias("distinct_frames"))
     return (verdicts.rollup("line_id", "hour")
             .agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("frames"), *counts))
 

@@ -67,6 +67,12 @@ class Run:
     value: Column | str
 
 
+@dataclass(frozen=True)
+class Rises:
+    """How often a boolean has risen so far; the first row of a history is no rise."""
+    value: Column | str
+
+
 @dataclass(frozen=True)
 class NextKnown:
     """Earliest non-null value at or after the row."""
@@ -160,6 +166,8 @@ def _plan(parts: _Parts, w: _Windows, name: str, spec) -> None:
         parts.combined[name] = F.coalesce(F.col(loc), F.col(car))
     elif isinstance(spec, Since):
         _plan_since(parts, w, name, v)
+    elif isinstance(spec, Rises):
+        _plan_rises(parts, w, name, v)
     elif isinstance(spec, Run):
         _plan_run(parts, w, name, v)
     else:
@@ -185,6 +193,21 @@ def _plan_since(parts: _Parts, w: _Windows, name: str, v: Column) -> None:
         F.col(n) + F.col(car)).cast("long")
 
 
+def _plan_rises(parts: _Parts, w: _Windows, name: str, v: Column) -> None:
+    """Rises inside the chunk, plus those before it and one at its own start."""
+    val, up, loc, car = f"_v_{name}", f"_f_{name}", f"_l_{name}", f"_c_{name}"
+    parts.prepare[val] = v
+    parts.prepare[up] = F.when(v & ~F.lag(v).over(w.ahead), 1).otherwise(0)
+    parts.local[loc] = F.sum(up).over(w.ahead.rowsBetween(*w.running))
+    first, last, count, start = (f"_{x}_{name}" for x in ("a", "z", "s", "t"))
+    parts.reduced[first] = F.min_by(val, w.rank)
+    parts.reduced[last] = F.max_by(val, w.rank)
+    parts.reduced[count] = F.sum(up)
+    parts.carried[0][start] = F.when(F.col(first) & ~F.lag(last).over(w.up), 1).otherwise(0)
+    parts.carried[1][car] = F.sum(F.col(count) + F.col(start)).over(w.up.rowsBetween(*w.running)) - F.col(count)
+    parts.combined[name] = (F.col(loc) + F.col(car)).cast("long")
+
+
 def _plan_run(parts: _Parts, w: _Windows, name: str, v: Column) -> None:
     """Runs inside the chunk; the first run goes on from the chunk before if the
     value is the same there."""
@@ -216,8 +239,3 @@ def _plan_run(parts: _Parts, w: _Windows, name: str, v: Column) -> None:
     parts.combined[name] = F.struct(
         F.when(inside, F.col(n) - F.col(at)["n"] + 1).otherwise(F.col(n) + F.col(car)["rows"]).cast("long").alias("pos"),
         F.when(inside, F.col(at)["t"]).otherwise(F.col(car)["t"]).alias("start"))
-
-
-def done(df: DataFrame) -> DataFrame:
-    """Drop the chunk column, if any."""
-    return df.drop(CHUNK)

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewatch import fixed
-from linewatch.operators.scan import (DAY_MS, Following, LastKnown, NextKnown, Previous, Run, Since,
-                                      Total, scan)
+from linewatch.operators.scan import (DAY_MS, Following, LastKnown, NextKnown, Previous, Rises, Run,
+                                      Since, scan)
 from linewatch.streaming.run import build_table, finite_scan
 
 KEY = ["line_id", "t_ms", "seq"]
@@ -36,12 +36,12 @@ def edges(df: DataFrame, signal: str = "running") -> DataFrame:
 
 def edge_gaps(edge_rows: DataFrame) -> DataFrame:
     out = scan(edge_rows, {"_prev": Previous("t_ms")})
-    return (out.withColumn("since_edge_ms", F.col("t_ms") - F.col("_prev")).drop("_prev"))
+    return out.withColumn("since_edge_ms", F.col("t_ms") - F.col("_prev")).drop("_prev")
 
 
 def cycles(df: DataFrame) -> DataFrame:
     """Cycle number: rising edges so far."""
-    return scan(with_edges(df), {"cycle": Total(flag(F.col("edge") == "rising").cast("long"))})
+    return scan(df, {"cycle": Rises("running")})
 
 
 
@@ -197,9 +197,11 @@ def islands(df: DataFrame, active: Column) -> DataFrame:
 def inspection_windows(df: DataFrame, n: int, m: int) -> DataFrame:
     """Belt windows with whether a fault latched inside; opening resets the latch."""
     thin = df.select(*KEY, "belt_running", "fault")
-    rows = with_latch(thin, F.col("fault"), n, m, F.col("belt_running"))
-    out = scan(rows, {"_run": Run(F.col("belt_running")), "_then": Following("t_ms")})
-    return (out.where("belt_running").groupBy("line_id", F.col("_run.start").alias("_start"))
+    # The scan goes below the automaton: what is worked out twice is then JVM work.
+    scanned = scan(thin, {"_run": Run(F.col("belt_running")), "_then": Following("t_ms")})
+    flat = scanned.select(*KEY, "belt_running", "fault", "_then", F.col("_run.start.seq").alias("_start"))
+    out = with_latch(flat, F.col("fault"), n, m, F.col("belt_running"))
+    return (out.where("belt_running").groupBy("line_id", "_start")
             .agg(F.min("t_ms").alias("open_ms"), F.max_by("_then", F.struct("t_ms", "seq")).alias("close_ms"),
                  F.count(F.lit(1)).alias("frames"), F.bool_or("latched").alias("latched")).drop("_start"))
 
@@ -237,7 +239,7 @@ def sticky(df: DataFrame, result: Column, hold_ms: int = 3000) -> DataFrame:
     known = F.when(result.isNotNull(), F.struct(F.col("t_ms").alias("t"), result.alias("r")))
     out = scan(df.withColumn("_known", known), {"_last": LastKnown("_known")})
     fresh = F.col("t_ms") - F.col("_last")["t"] <= hold_ms
-    return (out.withColumn("shown", F.when(fresh, F.col("_last")["r"])).drop("_known", "_last"))
+    return out.withColumn("shown", F.when(fresh, F.col("_last")["r"])).drop("_known", "_last")
 
 
 def running_sessions(df: DataFrame, gap_ms: int) -> DataFrame:

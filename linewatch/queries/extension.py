@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from linewatch.functions import extend
 from linewatch.functions.recipe import recipe
 from linewatch.operators import profiles as pr
+from linewatch.operators import signals as sg
 from linewatch.queries import query
 from linewatch.queries.events import _TEXT, written_log
+from linewatch.queries.signals import _STATE, OVER
 from linewatch.queries.sql import label, with_views
 from linewatch.sources import event_log as files
 from linewatch.sources import shared
@@ -153,3 +155,22 @@ def o7_stream(spark, d):
     twice = event_stream(spark, d).withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
     out = streamed(spark, streams.deduplicated(twice, ["line_id", "seq"]).select("line_id", "seq"), "append")
     return out.join(t.event_log(spark, d).select("line_id", "seq", "event_type"), ["line_id", "seq"])
+
+
+@query("u3_state_listener", with_views("signals", body=f"""SELECT line_id, seq, old, new FROM (
+  SELECT line_id, seq, LAG({_STATE}) {OVER} AS old, {_STATE} AS new FROM signals) WHERE old <> new"""))
+def u3(spark, d):
+    """One listener writes the changes; another one fails without stopping it."""
+    path = shared.scratch(spark, "changes")
+
+    def broken(_):
+        raise RuntimeError("this listener always fails")
+
+    changes = streams.StateChanges()
+    changes.on_change(broken)
+    changes.on_change(lambda df: df.select("line_id", "seq", "old", "new").write.parquet(path))
+    named = t.signals(spark, d).withColumns({
+        "state": F.when(F.col("fault"), "FAULT").when(F.col("running"), "TRACKING").otherwise("WAITING"),
+        "why": F.col("seq").cast("string")})
+    changes.notify(sg.state_changes(named, "state", "why"))
+    return spark.read.schema("line_id long, seq long, old string, new string").parquet(path)

@@ -160,3 +160,17 @@ def v4_blob(spark, d):
 @query("v4_track_external", track_sql(f"({_FUSED} OR circularity >= {D(0.75)})"))
 def v4_external(spark, d):
     return track_with(spark, d, "contour_external")
+
+
+@query("v4_track_with_occupancy", with_views("pixels", ctes={
+    "occ": """SELECT line_id, frame_id, AVG(CASE WHEN v > 140 THEN 1.0 ELSE 0.0 END) AS occupancy,
+      AVG(CASE WHEN v > 140 THEN 1.0 ELSE 0.0 END) >= CAST(0.12 AS DOUBLE) AS occupied FROM pixels WHERE x BETWEEN 1 AND 3 GROUP BY ALL"""}, body=
+    "SELECT t.line_id, t.frame_id, det_id, edge, occupancy, occupied FROM (" + track_sql(f"({_FUSED} OR circularity >= {D(0.75)})")
+    + ") t LEFT JOIN occ USING (line_id, frame_id)"))
+def v4_occupancy(spark, d):
+    from linewatch.operators import pixels as px
+    occupancy = px.strip_occupancy(px.threshold(t.pixels(spark, d), F.lit(140)), 2, 1)
+    full = line_recipes(t.detections(spark, d)).withColumn("cx", F.col("cx") + 1768)
+    out = plans.track(full, t.profiles(spark), occupancy, method="contour_external", zone=500,
+                      crop={"top": 30, "bottom": 0, "left": 10, "right": 0}, **LEARNED)
+    return out.select(*t.FRAME, "det_id", "edge", "occupancy", "occupied")

@@ -62,7 +62,7 @@ _STATES = """SELECT line_id, t_ms, seq, event, state_before, st AS state_after,
 
 @query("s1_line_state", with_views(recursive=True, ctes=STATE_CTES, body=_STATES))
 def s1(spark, d):
-    return am.line_state(line_events(spark, d), 3).drop("reason")
+    return am.line_state(line_events(spark, d), 3)
 
 
 @query("s18_late_results", with_views(recursive=True, ctes=STATE_CTES, body="SELECT line_id, t_ms, seq, event, state_before AS state FROM fold WHERE ignored"))

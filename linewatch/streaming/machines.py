@@ -47,6 +47,24 @@ def line_step(state: tuple[str, int], event: str, clear_frames: int = 5) -> tupl
     return state
 
 
+def line_step_flags(state: tuple, event: str, clear_frames: int = 5) -> tuple:
+    """As ``line_step`` with the flags ``running, stop, fault active``."""
+    name, clean, running, stop, fault = state
+    after, clean = line_step((name, clean), event, clear_frames)
+    if event in ("row_at_line", "line_clear") and running:
+        stop = event == "row_at_line"
+    if event in ("running_falls", "enter_service", "reset_waiting"):
+        stop = False
+    if event in ("running_rises", "running_falls", "reset_tracking"):
+        running = event != "running_falls"
+    left = name == fixed.FAULT and after == fixed.WAITING or name == fixed.SERVICE and event == "exit_service"
+    if after == fixed.FAULT:
+        fault = True
+    elif left or event in ("reset_waiting", "reset_tracking"):
+        fault = False
+    return after, clean, running, stop, fault
+
+
 # Phases of the row at the line
 IDLE, AT_LINE, TRANSFERRING = "IDLE", "AT_LINE", "TRANSFERRING"
 PHASE_START = (IDLE, False, 0, 0, False)
@@ -491,3 +509,31 @@ class TransferTimeout:
             return []
         s["warned"] = True
         return [(t_ms, seq, s["since"], t_ms - s["since"])]
+
+
+class StickyResult:
+    """The last result stays for the hold time, then goes (a timer)."""
+    columns = ("t_ms", "seq", "result")
+    schema = "at_ms long, shown string"
+
+    def __init__(self, hold_ms: int = 3000):
+        self.hold = hold_ms
+
+    def start(self) -> dict:
+        return {"until": None}
+
+    def deadline(self, s: dict):
+        return s["until"]
+
+    def expire(self, s: dict, now) -> list[tuple]:
+        if s["until"] is None or now < s["until"]:
+            return []
+        at, s["until"] = s["until"], None
+        return [(at, None)]
+
+    def step(self, s: dict, t_ms, seq, result) -> list[tuple]:
+        out = self.expire(s, t_ms)
+        if result is not None:
+            s["until"] = t_ms + self.hold
+            out.append((t_ms, result))
+        return out

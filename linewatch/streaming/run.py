@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
@@ -56,7 +57,7 @@ def fold(df: DataFrame, machine, keys: Sequence[str], order: Sequence[str]) -> D
             .mapInPandas(run, schema))
 
 
-def on_stream(df: DataFrame, machine, key: str = "line_id", order: Sequence[str] = ("t_ms",)) -> DataFrame:
+def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order: Sequence[str] = ("t_ms",)) -> DataFrame:
     """Streaming form: one state per key; rows of a micro-batch are put in order first.
 
     Rows older than the last one handled for their key are stragglers and are
@@ -65,9 +66,10 @@ def on_stream(df: DataFrame, machine, key: str = "line_id", order: Sequence[str]
     """
     from pyspark.sql.streaming import StatefulProcessor
 
-    order = list(order)
-    names = [key, *[f.name for f in StructType.fromDDL(machine.schema).fields]]
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, {machine.schema}"
+    keys, order = list(keys), list(order)
+    key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{key_types}, {machine.schema}"
+    names = [f.name for f in StructType.fromDDL(schema).fields]
     dtypes, timed = _dtypes(schema), hasattr(machine, "deadline")
 
     class Processor(StatefulProcessor):
@@ -81,7 +83,7 @@ def on_stream(df: DataFrame, machine, key: str = "line_id", order: Sequence[str]
             return {"state": machine.start(), "last": None}
 
         def _save(self, held) -> None:
-            self.body.update((json.dumps(held),))
+            self.body.update((json.dumps(held, default=lambda o: o.item()),))  # numpy scalars
             if timed:
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t)
@@ -89,7 +91,7 @@ def on_stream(df: DataFrame, machine, key: str = "line_id", order: Sequence[str]
                 if due is not None:
                     self.handle.registerTimer(due)
 
-        def handleInputRows(self, k, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             batch = pd.concat(list(rows)).sort_values(order, kind="stable")
             held, out = self._load(), []
             ranks = list(zip(*[batch[c].tolist() for c in order]))
@@ -97,20 +99,20 @@ def on_stream(df: DataFrame, machine, key: str = "line_id", order: Sequence[str]
                 if held["last"] is not None and list(rank) <= held["last"]:
                     continue
                 held["last"] = list(rank)
-                out.extend((*k, *r) for r in machine.step(held["state"], *row))
+                out.extend((*key, *r) for r in machine.step(held["state"], *row))
             self._save(held)
             yield _frame(out, names, dtypes)
 
-        def handleExpiredTimer(self, k, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             held = self._load()
-            out = [(*k, *r) for r in machine.expire(held["state"], expired.getExpiryTimeInMs())]
+            out = [(*key, *r) for r in machine.expire(held["state"], expiredTimerInfo.getExpiryTimeInMs())]
             self._save(held)
             yield _frame(out, names, dtypes)
 
         def close(self) -> None:
             pass
 
-    return df.groupBy(key).transformWithStateInPandas(
+    return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=Processor(), outputStructType=schema, outputMode="Append",
         timeMode="EventTime" if timed else "None")
 
@@ -149,6 +151,8 @@ def finite_scan(df: DataFrame, table: list[list[int]], symbol: str = "symbol", k
     spread = chunked(df, order[0], chunk_ms).repartition(*keys, CHUNK)
     group, key_sql = [*keys, CHUNK], ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
+    columns = [np.array([row[c] for row in table]) for c in range(len(table[0]))]
+
     def to_maps(batches):
         current, ends = None, None
         for rows in _by_key(batches, group, [symbol]):
@@ -157,8 +161,8 @@ def finite_scan(df: DataFrame, table: list[list[int]], symbol: str = "symbol", k
                 if key != current:
                     if current is not None:
                         out.append((*current, ends))
-                    current, ends = key, list(range(n))
-                ends = [table[s][sym] for s in ends]
+                    current, ends = key, np.arange(n)
+                ends = columns[sym][ends]  # all start states at once
             yield pd.DataFrame(out, columns=[*group, "ends"])
         if current is not None:
             yield pd.DataFrame([(*current, ends)], columns=[*group, "ends"])

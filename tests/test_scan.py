@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linewatch.operators import signals as sg
-from linewatch.operators.scan import (Following, LastBefore, LastKnown, NextKnown, Previous, Run,
+from linewatch.operators.scan import (Following, LastBefore, LastKnown, NextKnown, Previous, Rises, Run,
                                       Since, Total, scan)
 
 
@@ -31,7 +31,7 @@ def history(spark):
 def test_same_as_one_window(history, chunk_ms):
     specs = {"prev": Previous("on"), "next": Following("x"), "total": Total(F.coalesce("x", F.lit(0)).cast("long")),
              "last": LastKnown("x"), "before": LastBefore("x"), "ahead": NextKnown("x"),
-             "since": Since("on"), "run": Run("on")}
+             "since": Since("on"), "run": Run("on"), "rises": Rises("on")}
     got = scan(history, specs, chunk_ms=chunk_ms).withColumns(
         {"pos": F.col("run.pos"), "start": F.col("run.start.seq")}).drop("run")
     w = Window.partitionBy("line_id").orderBy("t_ms", "seq")
@@ -46,7 +46,8 @@ def test_same_as_one_window(history, chunk_ms):
     plain = plain.withColumn("_new", F.when(F.col("prev").isNull() | (F.col("prev") != F.col("on")), F.struct("_n", "seq")))
     plain = plain.withColumn("_from", F.last("_new", True).over(upto)).withColumns(
         {"pos": (F.col("_n") - F.col("_from._n") + 1).cast("long"), "start": F.col("_from.seq")})
-    columns = ["line_id", "seq", "prev", "next", "total", "last", "before", "ahead", "since", "pos", "start"]
+    plain = plain.withColumn("rises", F.coalesce(F.count_if(F.col("on") & ~F.col("prev")).over(upto), F.lit(0)))
+    columns = ["rises", "line_id", "seq", "prev", "next", "total", "last", "before", "ahead", "since", "pos", "start"]
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
 
 

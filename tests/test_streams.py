@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from linewatch.operators import automata as am
 from linewatch.operators import signals as sg
-from linewatch.queries.stateful import line_events
+from linewatch.queries.stateful import cycled, line_events
 from linewatch.sources import tables as t
 from linewatch.streaming import machines as mc
 from linewatch.streaming import streams
@@ -118,3 +118,29 @@ def test_failing_listener_does_not_stop_the_others(spark, tmp_path):
     stream = spark.readStream.schema("line_id long, seq long, old string, new string").parquet(source)
     changes.attach(stream, f"{tmp_path}/checkpoint").awaitTermination()
     assert seen == ["B"] and len(changes.failures) == 1
+
+
+def test_row_stops(spark, as_stream, collected):
+    machine = mc.Stops(grid_rows=3, grid_columns=3, row_gap=60.0)
+    edges = am.frame_edges(t.detections(spark, SF), cycled(spark, SF))
+    got = collected(on_stream(as_stream(edges), machine, order=["t_ms", "frame_id"]))
+    want = am.row_stops(edges, machine)
+    columns = [c.split()[0] for c in mc.STOP_SCHEMA.split(", ")]
+    assert list(map(str, rows(got, "line_id", *columns))) == list(map(str, rows(want, "line_id", *columns)))
+    assert got.where("fired").count() > 0
+
+
+def test_clusters_by_cycle(spark, as_stream, collected):
+    fronts = am.row_fronts(t.detections(spark, SF), cycled(spark, SF), 60.0, 3)
+    got = collected(on_stream(as_stream(fronts), mc.Clusters(), ["line_id", "cycle"], ["t_ms", "frame_id"]))
+    want = am.track_clusters(fronts)
+    columns = ["line_id", "cycle", "frame_id", "row_id", "cluster_id", "outcome"]
+    assert rows(got, *columns) == rows(want, *columns) != []
+
+
+def test_sticky_result_goes_by_timer(spark, as_stream, collected):
+    data = [(1, 500, 0, "OK"), (1, 2000, 1, None), (1, 2500, 2, "FAULT_UNKNOWN"), (2, 60_000, 3, None), (2, 90_000, 4, None),
+            (2, 120_000, 5, None)]
+    df = spark.createDataFrame(data, "line_id long, t_ms long, seq long, result string")
+    got = collected(on_stream(as_stream(df), mc.StickyResult(3000), order=["t_ms", "seq"]))
+    assert sorted(map(str, rows(got.where("line_id = 1"), "at_ms"))) == ["(2500,)", "(500,)", "(5500,)"]
