@@ -111,7 +111,7 @@ def crop_rect(width: Column, height: Column, top: Column, bottom: Column,
 
 
 def apply_crop(df: DataFrame, rect: dict[str, Column], x: str = "cx", y: str = "cy") -> DataFrame:
-    inside = (F.col(x).between(F.col("crop_x1"), F.col("crop_x2")) & (F.col(x) < F.col("crop_x2"))
+    inside = ((F.col(x) >= F.col("crop_x1")) & (F.col(x) < F.col("crop_x2"))
               & (F.col(y) >= F.col("crop_y1")) & (F.col(y) < F.col("crop_y2")))
     return (df.withColumns(rect).where(inside)
             .withColumns({x: F.col(x) - F.col("crop_x1"), y: F.col(y) - F.col("crop_y1")}))

@@ -57,7 +57,7 @@ def histogram(px: DataFrame, bins: int = 256) -> DataFrame:
 
 
 def lift_shadow(px: DataFrame, floor: int = fixed.SHADOW_FLOOR) -> DataFrame:
-    """Deep shadow counts as white, so the split falls between piece and cloth."""
+    """Deep shadow counts as white, so the split falls between piece and surface."""
     return px.withColumn("v", F.when(F.col("v") < floor, 255).otherwise(F.col("v")))
 
 
@@ -255,7 +255,7 @@ def basis_kernel(expected_radius: float) -> int:
 
 
 def feed_mask(px: DataFrame, brightness: int = 120, expected_radius: float | None = None) -> DataFrame:
-    """Bright cloth against dark metal; with a radius, pieces on it are closed over first."""
+    """Bright feed surface against dark metal; with a radius, pieces on it are closed over first."""
     basis = px if expected_radius is None else closed(px, basis_kernel(expected_radius), "rect")
     return threshold(basis, F.lit(brightness))
 

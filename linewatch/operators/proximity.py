@@ -77,29 +77,31 @@ MERGED = ("line_id long, frame_id long, det_id long, bbox_x int, bbox_y int, wid
           "reach_cx double, profile_name string")
 
 
+def _fuse(a: tuple, b: tuple) -> tuple:
+    x, y = min(a[1], b[1]), min(a[2], b[2])
+    w, h = max(a[1] + a[3], b[1] + b[3]) - x, max(a[2] + a[4], b[2] + b[4]) - y
+    area = a[7] + b[7]
+    return (min(a[0], b[0]), x, y, w, h, (a[5] * a[7] + b[5] * b[7]) / area, (a[6] * a[7] + b[6] * b[7]) / area,
+            area, None, None, a[10] + b[10])
+
+
 def _merge_frame(pieces: list[tuple], reach: float) -> list[tuple]:
-    """Fuse the first close pair in order, put the result last, start over."""
-    limit = reach * reach
-    found = True
-    while found:
-        found = False
-        for i, a in enumerate(pieces):
-            for j in range(i + 1, len(pieces)):
-                b = pieces[j]
-                dx, dy = a[5] - b[5], a[6] - b[6]
-                if dx * dx + dy * dy < limit and (dx * dx + dy * dy) ** 0.5 < reach:
-                    x, y = min(a[1], b[1]), min(a[2], b[2])
-                    w = max(a[1] + a[3], b[1] + b[3]) - x
-                    h = max(a[2] + a[4], b[2] + b[4]) - y
-                    area = a[7] + b[7]
-                    cx = (a[5] * a[7] + b[5] * b[7]) / area
-                    cy = (a[6] * a[7] + b[6] * b[7]) / area
-                    fused = (min(a[0], b[0]), x, y, w, h, cx, cy, area, None, None, a[10] + b[10])
-                    pieces = [q for k, q in enumerate(pieces) if k not in (i, j)] + [fused]
-                    found = True
-                    break
-            if found:
-                break
+    """Fuse the first close pair in order, put the result last, start over.
+
+    Starting over only repeats what can have changed: pieces before ``settled``
+    have met all others, so they only meet the newest one.
+    """
+    settled = i = 0
+    while i < len(pieces):
+        x, y, n = pieces[i][5], pieces[i][6], len(pieces)
+        mate = next((j for j in range(i + 1 if i >= settled else n - 1, n)
+                     if ((x - pieces[j][5]) ** 2 + (y - pieces[j][6]) ** 2) ** 0.5 < reach), None)
+        if mate is None:
+            i += 1
+            continue
+        fused = _fuse(pieces[i], pieces[mate])
+        pieces = pieces[:i] + pieces[i + 1:mate] + pieces[mate + 1:] + [fused]
+        settled, i = settled - 1 if i < settled else i, 0
     return pieces
 
 

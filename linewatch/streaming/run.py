@@ -145,6 +145,10 @@ def finite_scan(df: DataFrame, table: list[list[int]], symbol: str = "symbol", k
     A chunk of rows acts on the small state set as one map (start state to end
     state). Chunks are mapped in parallel, the maps of a line are chained (one
     row per chunk), and the chunks are then replayed from their known start.
+
+    The replay needs each chunk whole in one task. The explicit repartition sees
+    to that: adaptive execution may merge its partitions but does not split them,
+    not even below a skewed join.
     """
     keys, order = list(keys), list(order)
     n = len(table)

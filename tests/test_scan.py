@@ -86,3 +86,24 @@ def test_gap_exactly_at_limit_is_no_gap(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "line_id long, t_ms long, seq long, running boolean")
     assert sg.edges(df).count() == 0
+
+
+def test_replay_survives_adaptive_skew_handling(spark):
+    """One chunk holds nearly all rows, joins are shuffled, and skew splitting is provoked."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+                "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    rnd = random.Random(2)
+    rows = [(1 if i % 50 else i, i, i, rnd.random() < 0.5) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "line_id long, t_ms long, seq long, on boolean").repartition(20)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sorted((r["line_id"], r["seq"]) for r in sg.latch(df, F.col("on"), 3, 3).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    as_rows = [{"line_id": a, "t_ms": b, "seq": c, "on": o} for a, b, c, o in rows]
+    assert got == naive_latch(as_rows, 3, 3)
