@@ -1,8 +1,8 @@
 """Toxicity by a character n-gram linear classifier scaled by naive Bayes log-count ratios.
 
-Features are the presence of character n-grams (3 to 5 characters of the
+Features are the damped counts (1 + ln n) of character n-grams (3 to 6 characters of the
 lower-cased text), hashed into 2^20 buckets. Each is scaled by its naive Bayes
-log-count ratio between toxic and other texts, the ``FEATURES`` buckets whose rates
+log-count ratio between toxic and other texts, the ``FEATURES`` buckets whose means
 differ most significantly are kept, and a logistic regression is fitted on them.
 A score uses nothing but the text.
 
@@ -11,7 +11,7 @@ smallest hash of the doc_id. Counts are summed on the executors; what comes to t
 is ``FEATURES`` ratios and, per sample row, the kept features it has.
 
 Nulls and odd rows: null and empty texts get the score of no features at all; very long
-texts are worked through in stretches and count every n-gram once; labels that
+texts are worked through in stretches; labels that
 are null are no labels, and a doc_id with several is toxic if one says so; rows of
 a repeated doc_id are scored one by one; columns other than doc_id and text are never
 read. Without any labels of both kinds all scores are the share of toxic labels.
@@ -31,7 +31,7 @@ from linewatch.llm.common import stored
 
 TRAINING_ROWS = 12_000
 BITS = 20
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
 FEATURES = 4096
 #: Added to every count before ratios are taken.
 SMOOTHING = 1.0
@@ -52,12 +52,17 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
             rolled = (rolled[:-1] ^ (rolled[:-1] >> np.uint32(15))) * _MIX + codes[order - 1:]
             if order in ORDERS and len(rolled):
                 mixed = (rolled ^ np.uint32(order)) * _MIX
-                yield mixed >> np.uint32(32 - BITS)
+                yield mixed[:STRETCH] >> np.uint32(32 - BITS)
 
 
-def buckets(text: str | None) -> np.ndarray:
-    found = list(grams(text))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Different bucket numbers and their damped counts."""
+    return _damped(list(grams(text)))
+
+
+def _damped(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    bucket, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *found]), return_counts=True)
+    return bucket, 1 + np.log(n)
 
 
 @dataclass(frozen=True)
@@ -68,10 +73,8 @@ class Model:
     bias: float
 
     def score(self, text: str | None) -> float:
-        kept = [np.zeros(0, np.uint32)]
-        for found in grams(text):
-            kept.append(found[self.weights[found] != 0])
-        z = self.bias + float(self.weights[np.unique(np.concatenate(kept))].sum(dtype=np.float64))
+        bucket, value = _damped([found[self.weights[found] != 0] for found in grams(text)])
+        z = self.bias + float(self.weights[bucket].astype(np.float64) @ value)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -93,58 +96,67 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         share = (toxic + 0.5) / (toxic + other + 1)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
 
+    names = ["bucket", "rows", "squares", "in_toxic", "in_other"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int64)
+        sums = np.zeros((4, 1 << BITS))
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[int(label == 1), buckets(text.as_py())] += 1
-        at = np.flatnonzero(seen.any(axis=0))
+                bucket, value = features(text.as_py())
+                sums[0, bucket] += 1
+                sums[1, bucket] += value ** 2
+                sums[2 if label == 1 else 3, bucket] += value
+        at = np.flatnonzero(sums[0])
         for part in np.array_split(at, max(1, len(at) // 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[1, part]), pa.array(seen[0, part])],
-                                             ["bucket", "in_toxic", "in_other"])
-
-    counts = rows.select("text", "toxic").mapInArrow(count, "bucket long, in_toxic long, in_other long") \
-        .groupBy("bucket").agg(F.sum("in_toxic").alias("p"), F.sum("in_other").alias("q"))
-    pooled = (F.col("p") + F.col("q")) / (toxic + other)
-    gap = F.abs(F.col("p") / toxic - F.col("q") / other) / F.sqrt(
-        (pooled * (1 - pooled) + 1e-9) * (1 / toxic + 1 / other))
-    best = counts.where("p + q >= 3").withColumn("gap", gap).orderBy(F.desc("gap"), "bucket").limit(FEATURES).collect()
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x[part]) for x in sums)], names)
+
+    counts = rows.select("text", "toxic").mapInArrow(
+        count, "bucket long, rows double, squares double, in_toxic double, in_other double") \
+        .groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    n = toxic + other
+    spread = F.col("squares") / n - ((F.col("in_toxic") + F.col("in_other")) / n) ** 2
+    gap = F.abs(F.col("in_toxic") / toxic - F.col("in_other") / other) / F.sqrt(spread + 1e-9)
+    best = counts.where("rows >= 3").withColumn("gap", F.round(gap, 9)).orderBy(F.desc("gap"), "bucket").limit(FEATURES).collect()
     at = np.array([r["bucket"] for r in best], np.int64)
-    p, q = (np.array([r[c] for r in best], float) for c in ("p", "q"))
+    p, q = (np.array([r[c] for r in best], float) for c in ("in_toxic", "in_other"))
     ratio = np.log((p + SMOOTHING) / (toxic + 2 * SMOOTHING)) - np.log((q + SMOOTHING) / (other + 2 * SMOOTHING))
     slot = np.full(1 << BITS, -1, np.int32)
     slot[at] = np.arange(len(at))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(s := slot[buckets(t.as_py())])[s >= 0] for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([k.tobytes() for k in kept], pa.binary())],
-                                             ["toxic", "kept"])
-
-    got = rows.select("text", "toxic").mapInArrow(features, "toxic int, kept binary").collect()
-    got.sort(key=lambda r: (r["toxic"], r["kept"]))
-    kept = [np.frombuffer(r["kept"], np.int32) for r in got]
-    solved, bias = _regress(kept, np.array([r["toxic"] == 1 for r in got], float), ratio)
+            slots, values = [], []
+            for text in batch.column(0):
+                bucket, value = features(text.as_py())
+                on = slot[bucket] >= 0
+                slots.append(slot[bucket[on]].tobytes())
+                values.append(value[on].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(slots, pa.binary()), pa.array(values, pa.binary())],
+                                             ["toxic", "slots", "values"])
+
+    got = rows.select("text", "toxic").mapInArrow(keep, "toxic int, slots binary, values binary").collect()
+    got.sort(key=lambda r: (r["toxic"], r["slots"], r["values"]))
+    sizes = [len(r["slots"]) // 4 for r in got]
+    col = np.frombuffer(b"".join(r["slots"] for r in got), np.int32)
+    value = np.frombuffer(b"".join(r["values"] for r in got), np.float32) * ratio[col]
+    solved, bias = _regress(np.repeat(np.arange(len(got)), sizes), col, value, np.array([r["toxic"] == 1 for r in got], float), len(ratio))
     weights = np.zeros(1 << BITS, np.float32)
     weights[at] = solved * ratio
     return Model(weights, bias)
 
 
-def _regress(kept: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled presence of features, by Adam over the whole sample."""
-    row = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    col = np.concatenate([np.zeros(0, np.int32), *kept])
-    w, bias = np.zeros(len(scale) + 1), 0.0
+def _regress(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam over the whole sample, given as (row, column, value)."""
+    w = np.zeros(width + 1)
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for k in range(1, ROUNDS + 1):
-        z = np.bincount(row, (w[:-1] * scale)[col], len(kept)) + w[-1]
+        z = np.bincount(row, w[col] * value, len(y)) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-        slope = np.append(np.bincount(col, error[row], len(scale)) * scale, error.sum())
+        slope = np.append(np.bincount(col, error[row] * value, width), error.sum())
         slope[:-1] += SHRINK * w[:-1]
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope ** 2
         w -= 0.05 * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)
-    bias = float(w[-1])
-    return w[:-1], bias
+    return w[:-1], float(w[-1])
 
 
 def scored(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
