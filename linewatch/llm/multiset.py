@@ -130,29 +130,27 @@ def edited(documents: DataFrame) -> DataFrame:
     sizes = docs.select(*_KEY, third.alias("third")).distinct()
     order = stored(ranked_before(sizes, _KEY, [*_KEY, "third"], wrap=True).select(*_KEY, "before"), "order")
 
-    dealt = docs.repartition(*_KEY)  # the only exchange of whole texts, used by both branches
-    nth = dealt.withColumn("nth", F.row_number().over(Window.partitionBy(*_KEY).orderBy("doc_id")))
-    heads = nth.where("nth = 1").join(order, _KEY).select(
+    # The only exchange of whole texts; every join and sum below keeps its partitioning.
+    same = Window.partitionBy(*_KEY)
+    one = docs.repartition(*_KEY).withColumn("nth", F.row_number().over(same.orderBy("doc_id"))) \
+        .withColumn("copies", F.count("*").over(same)).where("nth = 1").drop("nth")
+    heads = one.join(order, _KEY).join(summed(one, _KEY), _KEY, "left").select(
         F.col("before.id").alias("id"), F.col("before.digest").alias("digest"),
         F.substring(F.col("text"), F.lit(1), F.col("before.third")).alias("head"),
-        F.col("id").alias("next_id"), F.col("digest").alias("next_digest"))
-    whole = nth.join(heads, _KEY)
+        _filled(F.col("n"), F.col("ones"), exact_lanes(F.col("text"))).alias("next"))
+    whole = one.join(heads, _KEY)
     kept = F.substring(F.col("text"), F.lit(1), F.char_length("text") - third)
     changed = F.concat(kept, F.col("head"))
-    keys = [*_KEY, "nth"]
-    facts = whole.select(*keys, "doc_id", F.char_length("text").cast("long").alias("n_chars"),
-                         F.sha2(changed, 256).alias("edited_sha256"), "next_id", "next_digest",
+    facts = whole.select(*_KEY, "doc_id", "copies", F.char_length("text").cast("long").alias("n_chars"),
+                         F.sha2(changed, 256).alias("edited_sha256"), "next",
                          exact_lanes(F.col("text")).alias("exact"), exact_lanes(changed).alias("changed_exact"))
-    sides = whole.select(*keys, F.explode(F.array(
+    sides = whole.select(*_KEY, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), changed.alias("text")))).alias("_")) \
-        .select(*keys, "_.*")
+        .select(*_KEY, "_.*")
     pick = lambda side: F.first(F.when(F.col("side") == side, F.struct("n", "ones")), ignorenulls=True)
-    sums = summed(sides, [*keys, "side"]).groupBy(*keys).agg(pick(0).alias("own"), pick(1).alias("changed"))
-    done = stored(facts.join(sums, keys, "left").select(
-        *keys, "doc_id", "n_chars", "edited_sha256", "next_id", "next_digest",
+    sums = summed(sides, [*_KEY, "side"]).groupBy(*_KEY).agg(pick(0).alias("own"), pick(1).alias("changed"))
+    return facts.join(sums, _KEY, "left").select(
+        "doc_id", "n_chars", "edited_sha256",
         _filled(F.col("own.n"), F.col("own.ones"), F.col("exact")).alias("own"),
-        _filled(F.col("changed.n"), F.col("changed.ones"), F.col("changed_exact")).alias("changed")), "fingerprints")
-    following = done.where("nth = 1").select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"),
-                                             F.col("own").alias("next"))
-    return done.join(following, ["next_id", "next_digest"]).select(
-        "doc_id", "n_chars", "edited_sha256", "own", "changed", "next")
+        _filled(F.col("changed.n"), F.col("changed.ones"), F.col("changed_exact")).alias("changed"), "next",
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
