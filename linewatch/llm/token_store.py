@@ -89,7 +89,9 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> N
         fs.create_dir(folder, recursive=True)
         enc = encoder(tokenizer)
         end = np.asarray([end_id], enc.dtype).tobytes()
-        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(shared.data))
+        ready = _dictionary(shared.data)
+        ready.precompute_compress(level=LEVEL)  # else every frame would digest it anew
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=ready)
         name, out, at, ahead = f"{uuid.uuid4().hex}.ids", None, 0, 0
         try:
             for batch in batches:
