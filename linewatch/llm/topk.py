@@ -4,8 +4,8 @@ Vectors become whole numbers. The index is cut into blocks of about ``BLOCK`` ve
 in a block every dimension has a posting list ordered by value and cut into
 ``SEGMENTS`` segments, whose largest value is the segment's impact. A query goes through the segments of
 all dimensions by descending impact (query weight times segment bound, counted above
-the least the dimension can give) and adds up scores of the vectors in them. Each
-``STEPS``-th part of the way it bounds all scores from both sides. Vectors whose upper
+the least the dimension can give) and adds up scores of the vectors in them. At
+``STOPS`` it bounds all scores from both sides. Vectors whose upper
 bound is below the k-th best lower bound can't be members; the search stops when
 few others are left, or when all is read. Those are then scored exactly.
 
@@ -32,7 +32,10 @@ from linewatch.llm.common import stored
 BLOCK = 4096
 SEGMENTS = 8
 GROUP = 256
-STEPS = 8
+#: Shares of the segments after which the search looks whether it may stop.
+STOPS = (0.6, 0.8, 1.0)
+#: It stops once at most one in so many vectors is left; scoring those exactly is cheap.
+FEW = 2
 SCALE = 1024
 _INDEX = "block long, dim int, ids binary, values binary"
 
@@ -73,66 +76,79 @@ def _matrix(rows: pd.Series, dims: int) -> np.ndarray:
 
 
 class Block:
-    """One block of the index in memory."""
+    """One block of the index in memory. Segments are rows of equal length, the last ones
+    filled up with a number past the block's vectors and value zero."""
 
     def __init__(self, rows: pd.DataFrame, dims: int) -> None:
         ids = {d: i for d, i in zip(rows["dim"], rows["ids"], strict=True)}
         values = {d: v for d, v in zip(rows["dim"], rows["values"], strict=True)}
         self.vec_ids = np.frombuffer(ids[-1], np.int64)
         n = len(self.vec_ids)
-        self.order = np.stack([np.frombuffer(ids[d], np.int32) for d in range(dims)])
-        self.sorted = np.stack([np.frombuffer(values[d], np.int64) for d in range(dims)])
-        self.vectors = np.empty((n, dims), np.int64)
+        order = np.stack([np.frombuffer(ids[d], np.int32) for d in range(dims)])
+        falling = np.stack([np.frombuffer(values[d], np.int64) for d in range(dims)])
+        self.vectors = np.empty((n, dims))
         self.rank = np.empty((dims, n), np.int32)
         for d in range(dims):
-            self.vectors[self.order[d], d] = self.sorted[d]
-            self.rank[d, self.order[d]] = np.arange(n)
-        self.cuts = np.unique(np.linspace(0, n, SEGMENTS + 1).astype(int))
+            self.vectors[order[d], d] = falling[d]
+            self.rank[d, order[d]] = np.arange(n)
+        self.length = -(-n // SEGMENTS)
+        self.steps = -(-n // self.length)
+        fill = self.steps * self.length - n
+        shape = (dims, self.steps, self.length)
+        self.ids = np.pad(order, ((0, 0), (0, fill)), constant_values=n).astype(np.intp).reshape(shape)
+        self.values = np.pad(falling, ((0, 0), (0, fill))).astype(float).reshape(shape)
+        starts = np.arange(self.steps) * self.length
+        self.largest = falling[:, starts].astype(float)
+        self.smallest = falling[:, np.minimum(starts + self.length, n) - 1].astype(float)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Up to k vec_ids and scores, best first, without the query's own row."""
-        n, dims = self.vectors.shape
-        steps = len(self.cuts) - 1
-        rising = query < 0  # for a negative weight the smallest values have the largest impact
-        edges = self.sorted[:, np.minimum(self.cuts, n - 1)]
-        ends = self.sorted[:, self.cuts[1:] - 1]
-        best = np.where(rising[:, None], (query[:, None] * ends)[:, ::-1], query[:, None] * edges[:, :-1])
-        least = np.where(rising, query * self.sorted[:, 0], query * self.sorted[:, -1])
-        dim, step = np.unravel_index(np.argsort(-(best - least[:, None]), axis=None, kind="stable"), best.shape)
-        score = np.zeros(n, np.int64)
-        done = np.zeros(dims, np.int64)  # segments read of each dimension
-        mine = np.searchsorted(self.vec_ids, own)
-        has_own = mine < n and self.vec_ids[mine] == own
-        wanted = min(k, n - int(has_own))
+        """Up to k vec_ids and scores, best first, without the query's own row. Sums are
+        of whole numbers, so floats hold them exactly."""
+        n = len(self.vec_ids)
+        mine = int(np.searchsorted(self.vec_ids, own))
+        mine = mine if mine < n and self.vec_ids[mine] == own else -1
+        wanted = min(k, n - (mine >= 0))
         if wanted <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        possible = np.arange(n)
-        checks = set(np.linspace(0, len(dim), STEPS + 1).astype(int)[1:].tolist())
-        for at, (d, s) in enumerate(zip(dim.tolist(), step.tolist(), strict=True), 1):
-            c = steps - 1 - s if rising[d] else s
-            a, b = self.cuts[c], self.cuts[c + 1]
-            score[self.order[d, a:b]] += query[d] * self.sorted[d, a:b]
-            done[d] = s + 1
-            if at in checks:
-                possible = self._possible(query, score, done, best, least, rising, steps, mine if has_own else -1, wanted)
-                if len(possible) <= max(8 * k, n // 64):
+        weight = query.astype(float)
+        rising = query < 0  # for a negative weight the smallest values have the largest impact
+        best = np.where(rising[:, None], (weight[:, None] * self.smallest)[:, ::-1], weight[:, None] * self.largest)
+        least = np.where(rising, weight * self.largest[:, 0], weight * self.smallest[:, -1])
+        dim, step = np.unravel_index(np.argsort(-(best - least[:, None]), axis=None, kind="stable"), best.shape)
+        segment = np.where(rising[dim], self.steps - 1 - step, step)
+        score = np.zeros(n + 1)
+        done = np.zeros(len(query), np.int64)  # segments read of each dimension
+        possible = np.flatnonzero(np.arange(n) != mine)
+        at = 0
+        for share in STOPS:
+            until = int(len(dim) * share)
+            d, s = dim[at:until], segment[at:until]
+            score += np.bincount(self.ids[d, s].ravel(), (self.values[d, s] * weight[d][:, None]).ravel(), n + 1)
+            done += np.bincount(d, minlength=len(query))
+            at = until
+            if at < len(dim):
+                possible = self._possible(score[:n], done, best, least, rising, mine, wanted)
+                if len(possible) <= max(8 * k, n // FEW):
                     break
-        exact = self.vectors[possible] @ query
+        else:
+            exact = score[possible]
+            possible = possible[exact >= np.partition(exact, len(exact) - wanted)[len(exact) - wanted]]
+        exact = (self.vectors[possible] @ weight).astype(np.int64)
         order = np.lexsort((self.vec_ids[possible], -exact))[:wanted]
         return self.vec_ids[possible][order], exact[order]
 
-    def _possible(self, query, score, done, best, least, rising, steps, mine, wanted) -> np.ndarray:
+    def _possible(self, score: np.ndarray, done: np.ndarray, best: np.ndarray, least: np.ndarray, rising: np.ndarray,
+                  mine: int, wanted: int) -> np.ndarray:
         """Vectors that may still be members: the proof that all others are not."""
         n = len(score)
-        falling_to, rising_from = self.cuts[done], self.cuts[steps - done]
-        unread = np.where(rising[:, None], self.rank < rising_from[:, None], self.rank >= falling_to[:, None])
-        top = np.where(done < steps, best[np.arange(len(done)), np.minimum(done, steps - 1)], 0)
-        low, high = score + least @ unread, score + top @ unread
-        others = np.ones(n, bool)
+        unread = np.where(rising[:, None], self.rank < ((self.steps - done) * self.length)[:, None],
+                          self.rank >= (done * self.length)[:, None]).astype(float)
+        top = np.where(done < self.steps, best[np.arange(len(done)), np.minimum(done, self.steps - 1)], 0)
+        low, high = np.stack([least, top]) @ unread + score
         if mine >= 0:
-            others[mine] = False
-        bar = np.partition(low[others], len(low[others]) - wanted)[len(low[others]) - wanted]
-        return np.flatnonzero(others & (high >= bar))
+            low[mine] = high[mine] = -np.inf
+        bar = np.partition(low, n - wanted)[n - wanted]
+        return np.flatnonzero(high >= bar) if np.isfinite(bar) else np.flatnonzero(np.arange(n) != mine)
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
