@@ -78,8 +78,8 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     documents = documents.drop("removed")
     found = stored(occurrences(documents, min_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start")
-    repeated = (found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-                .where("n > 1").select("d1", "d2", "first"))
+    repeated = stored(found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+                      .where("n > 1").select("d1", "d2", "first"), "repeated")  # stored, so that a hot unit's join can be split
     gone = found.join(repeated, ["d1", "d2"]).where(rank > F.col("first"))
     spans = (gone.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
              .select(F.col("doc_id").alias("_span_doc"), F.col("copy").alias("_span_copy"), "removed"))

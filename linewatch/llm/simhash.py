@@ -59,15 +59,17 @@ def fingerprint(text: str | None, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big", signed=True)
 
 
-def fingerprints(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id and fp (a long whose bits are the fingerprint) per row."""
+def fingerprints(documents: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (a long whose bits are the fingerprint) and the columns ``keep`` per row."""
+    rows = documents.select("text", "doc_id", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t.as_py(), width) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.int64())], ["doc_id", *keep, "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, f"{schema}, fp long")
 
 
 def _upper(c: Column) -> Column:
@@ -120,16 +122,17 @@ def links(fps: DataFrame) -> DataFrame:
     return both.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE).distinct()
 
 
-def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id reachable) per row."""
-    docs = stored(fingerprints(documents, width), "fingerprints")
+def near_duplicates(documents: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id (the least doc_id reachable), component (the least
+    fingerprint of it) and the columns ``keep`` per row."""
+    docs = stored(fingerprints(documents, width, keep), "fingerprints")
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp")))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(heads, "root").select("fp", "component_id"), "components")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stored(named.join(heads, "root").select("fp", "component_id", F.col("root").alias("component")), "components")
+    return docs.join(named, "fp").select("doc_id", "fp", "component_id", "component", *keep)
 
 
 def hexadecimal(fp: Column) -> Column:
