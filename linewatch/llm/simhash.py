@@ -171,7 +171,7 @@ def similar(documents: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) ->
     many comparisons as it has rows, whatever its size.
     """
     rows = documents.select("text", *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "bits binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +185,7 @@ def similar(documents: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) ->
             keys = bits[:, picked] @ (1 << np.arange(LOOK, dtype=np.int64)) + (np.arange(TABLES, dtype=np.int64) << 32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "keys"])
 
-    docs = stored(rows.mapInArrow(run, f"{schema}, bits binary").withColumn("node", F.xxhash64("bits")), "fingerprints")
+    docs = stored(rows.mapInArrow(run, schema).withColumn("node", F.xxhash64("bits")), "fingerprints")
     nodes = stored(docs.select("node", "bits").distinct(), "nodes")
     tables = nodes.mapInArrow(look, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     met = (tables.withColumn("least", F.min("node").over(Window.partitionBy("key"))).where("node <> least")
