@@ -141,8 +141,7 @@ def learn_reference(df: DataFrame, keys: list[str], min_samples: int = 3) -> Dat
         "ref_circularity_mean", "ref_circularity_min", "ref_solidity_mean", "ref_solidity_min")}
     return (out.withColumns({**learned, **shapes})
             .withColumn("error", F.when(~enough, F.concat(
-                F.lit(f"need at least {min_samples} single pieces to calibrate; got "),
-                F.col("samples").cast("string"))))
+                F.lit("nothing learnt: "), F.col("samples").cast("string"), F.lit(f" of {min_samples} singles"))))
             .drop(*sizes))
 
 

@@ -92,7 +92,8 @@ def starvation(front_rows: DataFrame, line) -> DataFrame:
 
 
 def status_snapshot(log: DataFrame, signals: DataFrame) -> DataFrame:
-    """Latest values per line; both sides reduce to one row per line before the join."""
+    """Latest values per line; both sides reduce to one row per line before the join.
+    A line that only logs or only has signals is there too."""
     last = F.struct("t_ms", "seq")
     faults = F.col("event_type") == "fault_raised"
     events = log.groupBy("line_id").agg(
@@ -101,8 +102,9 @@ def status_snapshot(log: DataFrame, signals: DataFrame) -> DataFrame:
         F.count_if(faults).alias("faults"), F.count(F.lit(1)).alias("events"))
     now = signals.groupBy("line_id").agg(
         F.max_by(F.struct("running", "fault", "ack", "t_ms"), last).alias("s"))
-    return events.join(now, "line_id").select(
-        "line_id", "profile_name", "last_event", "faults", "events",
+    zero = F.lit(0).cast("long")
+    return events.join(now, "line_id", "full").select(
+        "line_id", "profile_name", "last_event", F.coalesce("faults", zero).alias("faults"), F.coalesce("events", zero).alias("events"),
         F.when(F.col("s.fault"), fixed.FAULT).when(F.col("s.running"), fixed.TRACKING)
         .otherwise(fixed.WAITING).alias("state"),
         F.lit("production").alias("mode"), F.struct("s.running", "s.fault", "s.ack").alias("signals"),

@@ -138,9 +138,9 @@ STATUS = {"last_log": f"""SELECT line_id, profile_name, event_type AS last_event
    QUALIFY ROW_NUMBER() OVER (PARTITION BY line_id ORDER BY t_ms DESC, seq DESC) = 1""",
           "tally": "SELECT line_id, COUNT(*) FILTER (WHERE event_type = 'fault_raised') AS faults, COUNT(*) AS events FROM event_log GROUP BY line_id",
           "last_sig": """SELECT * FROM signals QUALIFY ROW_NUMBER() OVER (PARTITION BY line_id ORDER BY t_ms DESC, seq DESC) = 1""",
-          "snap": """SELECT line_id, profile_name, last_event, faults, events, running, fault, ack, t_ms AS last_ms,
+          "snap": """SELECT line_id, profile_name, last_event, COALESCE(faults, 0) AS faults, COALESCE(events, 0) AS events, running, fault, ack, t_ms AS last_ms,
    CASE WHEN fault THEN 'FAULT' WHEN running THEN 'TRACKING' ELSE 'WAITING' END AS state
-   FROM last_log JOIN tally USING (line_id) JOIN last_sig USING (line_id)"""}
+   FROM last_log JOIN tally USING (line_id) FULL JOIN last_sig USING (line_id)"""}
 
 
 def snapshot(spark, d):

@@ -134,7 +134,7 @@ SELECT line_id, CASE WHEN n >= {m} THEN w END AS expected_width_px, CASE WHEN n
   CASE WHEN n >= {m} THEN a END AS expected_area_px, n AS samples,
   CASE WHEN n >= {m} THEN cm END AS ref_circularity_mean, CASE WHEN n >= {m} THEN cn END AS ref_circularity_min,
   CASE WHEN n >= {m} THEN sm END AS ref_solidity_mean, CASE WHEN n >= {m} THEN sn END AS ref_solidity_min,
-  CASE WHEN n < {m} THEN CONCAT('need at least {m} single pieces to calibrate; got ', CAST(n AS VARCHAR)) END AS error
+  CASE WHEN n < {m} THEN CONCAT('nothing learnt: ', CAST(n AS VARCHAR), ' of {m} singles') END AS error
 FROM (SELECT {k} AS line_id, COUNT(*) FILTER (WHERE s) AS n,
   CAST(ROUND_EVEN(MEDIAN(width_px) FILTER (WHERE s), 0) AS BIGINT) AS w,
   CAST(ROUND_EVEN(MEDIAN(height_px) FILTER (WHERE s), 0) AS BIGINT) AS h,
