@@ -16,7 +16,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Words a worker remembers before it starts anew (about 200 bytes each).
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Longer texts are worked through in pieces of about this many characters.
 STRETCH = 1 << 20
 #: Texts with these are handed to the tokenizer as they are: white space that
