@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from linewatch import fixed
 from linewatch.operators import rows
 from linewatch.operators import signals as sg
-from linewatch.operators.scan import LastKnown, Total, scan
+from linewatch.operators.scan import DAY_MS, LastKnown, Total, scan
 from linewatch.sources.tables import FRAME
 from linewatch.streaming import machines as mc
-from linewatch.streaming.run import build_table, finite_scan, fold
+from linewatch.streaming.run import build_table, finite_scan, fold, fold_chained
 
 
 def _index(value: Column, names) -> Column:
@@ -59,7 +59,7 @@ def late_result(event: Column, state_before: Column) -> Column:
 
 
 def row_phase(df: DataFrame, occupied: Column, debounce: int = 2, clear_frames: int = 3,
-              forget_on_rising: bool = False) -> DataFrame:
+              forget_on_rising: bool = True) -> DataFrame:
     """Phase of the row at the line, with stop set and stop clear commands."""
     symbols = [(e, r, o) for e, r in ((None, True), (None, False), ("rising", True), ("falling", False))
                for o in (False, True)]
@@ -115,9 +115,10 @@ def track_row_lines(xs: DataFrame, line_x: float, **limits) -> DataFrame:
     return fold(xs, mc.RowLines(line_x, **limits), ["line_id", "cycle"], ["t_ms", "frame_id"])
 
 
-def row_stops(edges: DataFrame, machine: mc.Stops) -> DataFrame:
-    """A production day of a line is one session: the operator starts afresh with it."""
-    return fold(edges, machine, ["line_id", "session"], ["t_ms", "frame_id"])
+def row_stops(edges: DataFrame, machine: mc.Stops, chunk_ms: int = DAY_MS) -> DataFrame:
+    """State lasts until the machine's own full reset, over any number of days; the
+    length of a chunk does not change the result."""
+    return fold_chained(edges, machine, ["line_id"], ["t_ms", "frame_id"], chunk_ms)
 
 
 def rate_limit(frames: DataFrame, interval_ms: int = 100) -> DataFrame:

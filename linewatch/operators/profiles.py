@@ -67,9 +67,17 @@ def trimmed(df: DataFrame) -> DataFrame:
 
 
 def with_profile(df: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Put its recipe on every row. Catalyst broadcasts ``profiles`` while it is
-    below the broadcast threshold and falls back to a shuffle join above it."""
-    return df.join(profiles.withColumnRenamed("name", "profile_name"), "profile_name")
+    """Put its recipe on every row; unknown and missing names get the first recipe in
+    name order, as in ``resolve_active``: ``profile_name`` is then its name and
+    ``fell_back`` is set. Catalyst broadcasts ``profiles`` while it is below the
+    broadcast threshold and falls back to a shuffle join above it."""
+    fields = [c for c in profiles.columns if c != "name"]
+    known = profiles.select(F.struct("name", *fields).alias("_recipe"), F.col("name").alias("profile_name"))
+    first = profiles.agg(F.min_by(F.struct("name", *fields), "name")).scalar()
+    out = df.join(known, "profile_name", "left").withColumn("_used", F.coalesce("_recipe", first))
+    rest = [c for c in df.columns if c not in ("profile_name", "fell_back", *fields)]
+    return out.select(F.col("_used.name").alias("profile_name"), *rest, *[F.col(f"_used.{c}").alias(c) for c in fields],
+                      F.col("_recipe").isNull().alias("fell_back"))
 
 
 def resolve_active(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -82,8 +90,14 @@ def resolve_active(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
             .drop("_known"))
 
 
-def upsert(base: DataFrame, updates: DataFrame) -> DataFrame:
-    return base.join(updates.select("name"), "name", "left_anti").unionByName(updates)
+def upsert(base: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """Updates replace or join the base rows. Of several for one name the last by the
+    column ``order`` wins (without one, and on ties, the greatest row); it is no part
+    of the result unless the base has it."""
+    row = F.struct(*base.columns)
+    rank = row if order is None else F.struct(F.col(order).alias("_at"), row.alias("_row"))
+    last = updates.groupBy("name").agg(F.max_by(row, rank).alias("_last")).select("_last.*")
+    return base.join(last.select("name"), "name", "left_anti").unionByName(last)
 
 
 def remove(base: DataFrame, names: DataFrame) -> DataFrame:
@@ -168,11 +182,20 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 # --- calibration -----------------------------------------------------------
 
 def calibrate(base: DataFrame, detections: DataFrame, keys: list[str], name: Column) -> DataFrame:
-    """Learned recipes under ``name`` replace or join the base recipes."""
+    """Put learned sizes and shape limits into the recipe ``name``, which keeps all its
+    other columns; a new recipe takes those from the first one in name order."""
     learned = learn_reference(detections, keys).where(F.col("error").isNull())
-    fields = ["expected_width_px", "expected_height_px", "expected_area_px"]
-    updates = learned.select(name.alias("name"), *[F.col(f).cast("int") for f in fields])
-    return upsert(base.select("name", *fields), updates)
+    sizes = ["expected_width_px", "expected_height_px", "expected_area_px"]
+    shapes = ["ref_circularity_mean", "ref_circularity_min", "ref_solidity_mean", "ref_solidity_min"]
+    updates = learned.select(name.alias("name"), F.struct(
+        *[F.col(f).cast("int").alias(f) for f in sizes], *shapes).alias("_new"))
+    old = F.struct(*[c for c in base.columns if c != "name"])
+    first = base.agg(F.min_by(old, "name")).scalar()
+    joined = (base.select("name", old.alias("_old")).join(updates, "name", "full_outer")
+              .withColumn("_kept", F.coalesce("_old", first)))
+    kept = [F.coalesce(F.col(f"_new.{c}"), F.col(f"_old.{c}")).alias(c) if c in sizes + shapes else F.col(f"_kept.{c}").alias(c)
+            for c in base.columns if c != "name"]
+    return joined.select("name", *kept, *[F.col(f"_new.{c}").alias(c) for c in sizes + shapes if c not in base.columns])
 
 
 def calibration_events(learned: DataFrame, name: Column) -> DataFrame:

@@ -73,6 +73,12 @@ class Rises:
     value: Column | str
 
 
+@dataclass(frozen=True)
+class Highest:
+    """Greatest non-null value at or before the row."""
+    value: Column | str
+
+
 @dataclass(frozen=True)
 class NextKnown:
     """Earliest non-null value at or after the row."""
@@ -159,6 +165,11 @@ def _plan(parts: _Parts, w: _Windows, name: str, spec) -> None:
         parts.reduced[red] = F.max_by(v, F.when(v.isNotNull(), w.rank))
         parts.carried[0][car] = F.last(red, ignorenulls=True).over(w.up.rowsBetween(*w.before))
         parts.combined[name] = F.coalesce(F.col(loc), F.col(car))
+    elif isinstance(spec, Highest):
+        parts.local[loc] = F.max(v).over(w.ahead.rowsBetween(*w.running))
+        parts.reduced[red] = F.max(v)
+        parts.carried[0][car] = F.max(red).over(w.up.rowsBetween(*w.before))
+        parts.combined[name] = F.greatest(F.col(loc), F.col(car))
     elif isinstance(spec, NextKnown):
         parts.local[loc] = F.last(v, ignorenulls=True).over(w.back.rowsBetween(*w.running))
         parts.reduced[red] = F.min_by(v, F.when(v.isNotNull(), w.rank))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewatch import fixed
-from linewatch.operators.scan import (DAY_MS, Following, LastKnown, NextKnown, Previous, Rises, Run,
+from linewatch.operators.scan import (DAY_MS, Following, Highest, LastKnown, NextKnown, Previous, Rises, Run,
                                       Since, scan)
 from linewatch.streaming.run import build_table, finite_scan
 
@@ -44,7 +44,6 @@ def cycles(df: DataFrame) -> DataFrame:
     return scan(df, {"cycle": Rises("running")})
 
 
-
 def runs(df: DataFrame, value: Column) -> DataFrame:
     """``run_pos``: how many rows in a row hold the present value (from 1);
     ``run_since_ms``: when that run began. Runs may span many chunks."""
@@ -52,7 +51,6 @@ def runs(df: DataFrame, value: Column) -> DataFrame:
             .withColumns({"run_pos": F.col("_run.pos"), "run_since_ms": F.col("_run.start.t_ms")}).drop("_run"))
 
 
-
 def debounce(df: DataFrame, value: Column, n: int) -> DataFrame:
     """The stable value follows the raw one after ``n`` equal rows; it starts false."""
     def step(state, raw):
@@ -66,7 +64,6 @@ def debounce(df: DataFrame, value: Column, n: int) -> DataFrame:
             .drop("symbol", "state_before", "state_after"))
 
 
-
 def frame_gaps(df: DataFrame, limit_ms: int = fixed.FRAME_GAP_MS) -> DataFrame:
     """Long steps between successive running rows; standing still resets."""
     out = scan(df, {"_t": Previous("t_ms"), "_r": Previous("running")})
@@ -87,7 +84,6 @@ def stale_frames(df: DataFrame, value: str, full: str, cap: int, struggling_at:
     return out.withColumns({"exceeded": F.col("stale") == cap + 1, "struggling": F.col("since_full") == struggling_at})
 
 
-
 def carry_forward(df: DataFrame, value: str, most: int = 5) -> DataFrame:
     """Hold the last value for at most ``most`` missing rows and mark it fallback."""
     out = scan(df, {"_stale": Since(F.col(value).isNotNull()), "_last": LastKnown(value)})
@@ -96,7 +92,6 @@ def carry_forward(df: DataFrame, value: str, most: int = 5) -> DataFrame:
             .drop("_stale", "_last"))
 
 
-
 def state_changes(df: DataFrame, state: str, trigger: str) -> DataFrame:
     out = scan(df, {"old": Previous(state)})
     return (out.where(F.col("old") != F.col(state))
@@ -126,6 +121,21 @@ def stop_latency(df: DataFrame, stop: Column, hold_ms: int = fixed.STOP_HOLD_MS)
         F.when(acked, "plc_ack").otherwise("timeout").alias("reason"))
 
 
+def stop_releases(df: DataFrame, stop: Column, hold_ms: int = fixed.STOP_HOLD_MS) -> DataFrame:
+    """One release per held stop: every further stop while it is held sets the
+    time again, so the hold counts from the last one. Batch twin of ``StopLatch``.
+
+    Only stops and rows that do not run matter, so the row after a stop tells
+    whether it is set again, acknowledged or runs out.
+    """
+    marks = df.where(~F.col("running") | stop).select(*KEY, "running")
+    out = scan(marks, {"_next": Following(F.struct("t_ms", "running"))})
+    soon = F.coalesce(F.col("_next.t_ms") - F.col("t_ms") <= hold_ms, F.lit(False))
+    acked = soon & ~F.col("_next.running")
+    return out.where(F.col("running") & (~soon | acked)).select(
+        *KEY, F.when(acked, F.col("_next.t_ms")).otherwise(F.col("t_ms") + hold_ms).alias("released_ms"),
+        F.when(acked, "plc_ack").otherwise("timeout").alias("reason"))
+
 
 def latch_table(n: int, m: int, windowed: bool) -> tuple[list, list[list[int]]]:
     """States ``(armed, count, latched now, belt before)``; symbols ``belt * 2 + faulty``.
@@ -160,13 +170,11 @@ def with_latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3, belt: Colu
             .drop("symbol", "state_before", "state_after"))
 
 
-
 def latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3) -> DataFrame:
     thin = df.select(*KEY, faulty.alias("_bad"))  # Python sees the columns it needs
     return with_latch(thin, F.col("_bad"), n, m).where("latched").select(*KEY)
 
 
-
 def self_clear(df: DataFrame, faulty: Column, n: int = 5) -> DataFrame:
     """Rows on which an active fault clears by ``n`` clean rows in a row."""
     def step(state, bad):
@@ -183,7 +191,6 @@ def self_clear(df: DataFrame, faulty: Column, n: int = 5) -> DataFrame:
     return out.where(cleared).select(*KEY)
 
 
-
 def islands(df: DataFrame, active: Column) -> DataFrame:
     """One row per stretch of ``active`` rows: first row, last row, first row after it."""
     out = scan(df.withColumn("_on", active), {"_run": Run(F.col("_on")), "_then": Following("t_ms")})
@@ -193,7 +200,6 @@ def islands(df: DataFrame, active: Column) -> DataFrame:
                  F.count(F.lit(1)).alias("frames")))
 
 
-
 def inspection_windows(df: DataFrame, n: int, m: int) -> DataFrame:
     """Belt windows with whether a fault latched inside; opening resets the latch."""
     thin = df.select(*KEY, "belt_running", "fault")
@@ -206,19 +212,20 @@ def inspection_windows(df: DataFrame, n: int, m: int) -> DataFrame:
                  F.count(F.lit(1)).alias("frames"), F.bool_or("latched").alias("latched")).drop("_start"))
 
 
-
 def in_window(df: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows inside ``[open_ms, close_ms)`` of a window of their line.
+    """Rows inside ``[open_ms, close_ms)`` of a window of their line, each once.
 
-    Windows of a line do not nest, so the latest opening decides: an as-of
-    lookup by union and carry, not a range join that pairs rows with windows.
-    An open end (NULL) lasts for good.
+    Windows may overlap and nest. Of those opened so far the one that closes
+    last decides (of several the latest opening), carried on as a running
+    maximum: no range join that pairs rows with windows. An open end (NULL)
+    lasts for good.
     """
+    window = F.struct(F.col("close_ms").isNull().alias("for_good"), "close_ms", "open_ms")
     marks = windows.select("line_id", F.col("open_ms").alias("t_ms"), F.lit(-1).cast("long").alias("seq"),
-                           F.struct("open_ms", "close_ms").alias("_win"))
+                           window.alias("_win"))
     both = df.unionByName(marks, allowMissingColumns=True)
-    out = scan(both, {"_in": LastKnown("_win")})
-    inside = F.col("_in").isNotNull() & (F.col("_in.close_ms").isNull() | (F.col("t_ms") < F.col("_in.close_ms")))
+    out = scan(both, {"_in": Highest("_win")})
+    inside = F.col("_in.for_good") | (F.col("t_ms") < F.col("_in.close_ms"))
     return (out.where(F.col("_win").isNull() & inside)
                 .withColumn("window_open_ms", F.col("_in.open_ms")).drop("_win", "_in"))
 
@@ -233,7 +240,6 @@ def transfer_timeouts(df: DataFrame, transferring: Column, limit_ms: int = 5000)
     return out.where(first).select(*KEY, since.alias("since_ms"), (F.col("t_ms") - since).alias("lasted_ms"))
 
 
-
 def sticky(df: DataFrame, result: Column, hold_ms: int = 3000) -> DataFrame:
     """Last result while it is not older than the hold time."""
     known = F.when(result.isNotNull(), F.struct(F.col("t_ms").alias("t"), result.alias("r")))

@@ -9,7 +9,7 @@ from linewatch.operators import reports as rp
 from linewatch.plans import inspect as plans
 from linewatch.queries import query
 from linewatch.queries.pieces import _BOX, ASPECT, D
-from linewatch.queries.recipes import line_recipes
+from linewatch.queries.recipes import ASKED, ASKED_UNKNOWN, join_recipe, line_recipes, unknown_recipes
 from linewatch.queries.rows import COLUMN_CTES, PIECE_VERDICT, POINTERS, V2
 from linewatch.queries.sql import label, label_from_profile, with_views
 from linewatch.sources import tables as t
@@ -91,9 +91,9 @@ BELT_CROP = {"top": 40, "bottom": 60, "left": 20, "right": 0}
 LEARNED = {"ref_circularity_min": 0.7, "ref_solidity_min": 0.85}
 
 
-def inspect_ctes(merge: bool) -> dict[str, str]:
+def inspect_ctes(merge: bool, asked: str = ASKED) -> dict[str, str]:
     ctes = {
-        "q": "SELECT * FROM detections JOIN profiles ON name = CONCAT('P', CAST(line_id % 7 AS VARCHAR))",
+        "q": f"SELECT * FROM detections JOIN profiles ON {join_recipe(asked)}",
         "gated": f"""SELECT *, {_BOX} FROM q WHERE cx >= 20 AND cx < 1768 AND cy >= 40 AND cy < 2140
           AND area_px >= noise_threshold*expected_area_px AND area_px <= (1768-20)*(2140-40)*{D(0.15)}
           AND {ASPECT} <= 3.0 AND solidity >= {D(0.8)} AND solidity >= {D(0.85)}*{D(0.85)}
@@ -101,7 +101,7 @@ def inspect_ctes(merge: bool) -> dict[str, str]:
     src, order = "gated", "det_id"
     if merge:
         ctes |= merge_ctes("gated", "CAST(1.15 AS DOUBLE)*((expected_width_px + expected_height_px)/2.0)")
-        ctes["after"] = "SELECT * FROM merged JOIN profiles ON name = CONCAT('P', CAST(line_id % 7 AS VARCHAR))"
+        ctes["after"] = f"SELECT * FROM merged JOIN profiles ON {join_recipe(asked)}"
         src, order = "after", "ord"
     v2 = V2.format(ew="expected_width_px", eh="expected_height_px", fused="fused_threshold")
     return ctes | {
@@ -117,8 +117,8 @@ INSPECT_BODY = """SELECT f.line_id, f.frame_id, COALESCE(verdict, 'INFO_INCOMPLE
   COALESCE(verdict LIKE 'FAULT%', FALSE) AS is_fault FROM frames f LEFT JOIN best USING (line_id, frame_id)"""
 
 
-def inspect_with(spark, d, merge: bool):
-    return plans.inspect(line_recipes(t.detections(spark, d)), t.frames(spark, d), t.profiles(spark),
+def inspect_with(spark, d, merge: bool, named=line_recipes):
+    return plans.inspect(named(t.detections(spark, d)), t.frames(spark, d), t.profiles(spark),
                          crop=BELT_CROP, merge=merge, **LEARNED)
 
 
@@ -132,8 +132,13 @@ def v3_unmerged(spark, d):
     return inspect_with(spark, d, False)
 
 
-def track_sql(method_gate: str) -> str:
-    return with_views("detections", "profiles", ctes={"q": "SELECT * FROM detections JOIN profiles ON name = CONCAT('P', CAST(line_id % 7 AS VARCHAR))"}, body=f"""
+@query("v3_inspect_unknown_recipes", with_views("detections", "frames", "profiles", recursive=True, ctes=inspect_ctes(True, ASKED_UNKNOWN), body=INSPECT_BODY))
+def v3_unknown(spark, d):
+    return inspect_with(spark, d, True, unknown_recipes)
+
+
+def track_sql(method_gate: str, asked: str = ASKED) -> str:
+    return with_views("detections", "profiles", ctes={"q": f"SELECT * FROM detections JOIN profiles ON {join_recipe(asked)}"}, body=f"""
 SELECT line_id, frame_id, det_id, cx, cy, cx - (width_px+height_px)/4.0::DOUBLE AS edge FROM q
 WHERE cx >= CAST(TRUNC(632 - expected_width_px/2.0) AS INT) AND cx < CAST(TRUNC(632 + expected_width_px/2.0 + 500) AS INT)
   AND cx >= 10 AND cx < 1432 AND cy >= 30 AND cy < 2200
@@ -142,8 +147,8 @@ WHERE cx >= CAST(TRUNC(632 - expected_width_px/2.0) AS INT) AND cx < CAST(TRUNC(
   AND (width_px+height_px)/2.0::DOUBLE BETWEEN expected_width_px*{D(1 - 0.35)} AND expected_width_px*{D(1.35)}""")
 
 
-def track_with(spark, d, method):
-    full = line_recipes(t.detections(spark, d)).withColumn("cx", F.col("cx") + 1768)
+def track_with(spark, d, method, named=line_recipes):
+    full = named(t.detections(spark, d)).withColumn("cx", F.col("cx") + 1768)
     out = plans.track(full, t.profiles(spark), method=method, zone=500,
                       crop={"top": 30, "bottom": 0, "left": 10, "right": 0}, **LEARNED)
     return out.select(*t.FRAME, "det_id", "cx", "cy", "edge")
@@ -162,6 +167,11 @@ def v4_external(spark, d):
     return track_with(spark, d, "contour_external")
 
 
+@query("v4_track_unknown_recipes", track_sql(f"({_FUSED} OR circularity >= {D(0.75)})", ASKED_UNKNOWN))
+def v4_unknown(spark, d):
+    return track_with(spark, d, "contour_external", unknown_recipes)
+
+
 @query("v4_track_with_occupancy", with_views("pixels", ctes={
     "occ": """SELECT line_id, frame_id, AVG(CASE WHEN v > 140 THEN 1.0 ELSE 0.0 END) AS occupancy,
       AVG(CASE WHEN v > 140 THEN 1.0 ELSE 0.0 END) >= CAST(0.12 AS DOUBLE) AS occupied FROM pixels WHERE x BETWEEN 1 AND 3 GROUP BY ALL"""}, body=

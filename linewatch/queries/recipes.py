@@ -24,6 +24,20 @@ def p22(spark, d):
     return pr.violations(t.recipes(spark, d))
 
 
+#: Recipe name of a row as SQL; the second form asks for names that do not exist.
+ASKED = "CONCAT('P', CAST(line_id % 7 AS VARCHAR))"
+ASKED_UNKNOWN = "CONCAT('P', CAST(line_id + 3 AS VARCHAR))"
+
+
+def join_recipe(asked: str) -> str:
+    """Condition that joins ``profiles`` by name or, if there is none, its first one."""
+    return f"name = CASE WHEN {asked} IN (SELECT name FROM profiles) THEN {asked} ELSE (SELECT MIN(name) FROM profiles) END"
+
+
+def unknown_recipes(df):
+    return df.withColumn("profile_name", F.concat(F.lit("P"), (F.col("line_id") + 3).cast("string")))
+
+
 def line_recipes(df):
     return df.withColumn("profile_name", F.concat(F.lit("P"), (F.col("line_id") % 7).cast("string")))
 
@@ -39,6 +53,14 @@ def j1(spark, d):
     return joined.select("line_id", "frame_id", "cx", "cy", "profile_name", "expected_width_px", lab.alias("label"))
 
 
+@query("j1_with_profile_fallback", with_views("detections", "profiles", body=f"""
+SELECT line_id, frame_id, det_id, name AS profile_name, expected_width_px, name <> {ASKED_UNKNOWN} AS fell_back
+FROM detections JOIN profiles ON {join_recipe(ASKED_UNKNOWN)}"""))
+def j1_fallback(spark, d):
+    joined = pr.with_profile(unknown_recipes(t.detections(spark, d)), t.profiles(spark))
+    return joined.select("line_id", "frame_id", "det_id", "profile_name", "expected_width_px", "fell_back")
+
+
 @query("j2_resolve_active_profile", with_views("event_log", "profiles", body="""
 SELECT line_id, seq, profile_name, COALESCE(name, (SELECT MIN(name) FROM profiles)) AS active_profile,
        name IS NULL AS fell_back
@@ -70,6 +92,21 @@ def j11(spark, d):
     return pr.upsert(*base_and_updates(spark, d))
 
 
+@query("j11_upsert_last_wins", with_views("recipes", ctes={"b": _B, "u": """
+SELECT CONCAT(name, '+') AS name, expected_width_px, expected_height_px, expected_area_px, fused_threshold, camera_gain AS asked_at FROM recipes
+UNION ALL SELECT name, expected_width_px + 2, expected_height_px, expected_area_px, fused_threshold, 50 - camera_gain FROM recipes WHERE camera_gain >= 10
+UNION ALL SELECT name, expected_width_px + 1, expected_height_px, expected_area_px, fused_threshold, camera_gain FROM recipes WHERE camera_gain >= 20""",
+    "l": "SELECT * FROM u QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY asked_at DESC, expected_width_px DESC) = 1"}, body="""
+SELECT * FROM b WHERE name NOT IN (SELECT name FROM l) UNION ALL SELECT * EXCLUDE (asked_at) FROM l"""))
+def j11_last_wins(spark, d):
+    every = t.recipes(spark, d).select("name", *FIELDS, "camera_gain")
+    wider = every.where("camera_gain >= 10").withColumns({
+        "expected_width_px": F.col("expected_width_px") + 2, "camera_gain": 50 - F.col("camera_gain")})
+    wide = every.where("camera_gain >= 20").withColumn("expected_width_px", F.col("expected_width_px") + 1)
+    updates = every.withColumn("name", F.concat("name", F.lit("+"))).unionByName(wider).unionByName(wide)
+    return pr.upsert(every.where("camera_gain < 40").drop("camera_gain"), updates, "camera_gain")
+
+
 @query("j11_remove_profiles", with_views("recipes", ctes={"b": _B}, body="""
 SELECT * FROM b WHERE expected_width_px > 0"""))
 def j11_remove(spark, d):
@@ -162,7 +199,22 @@ SELECT name, expected_width_px, expected_height_px, expected_area_px FROM profil
 UNION ALL SELECT * FROM upd"""))
 def c1(spark, d):
     pieces = pr.label_pieces(t.pieces(spark, d), recipe())
-    return pr.calibrate(t.profiles(spark), pieces, ["line_id"], F.concat(F.lit("L"), F.col("line_id").cast("string")))
+    out = pr.calibrate(t.profiles(spark), pieces, ["line_id"], F.concat(F.lit("L"), F.col("line_id").cast("string")))
+    return out.select("name", "expected_width_px", "expected_height_px", "expected_area_px")
+
+
+@query("c1_calibrate_whole_profile", with_views("detections", "profiles", ctes={
+    "learned": _LEARN.format(k="line_id", m=3, label=label()),
+    "upd": "SELECT CONCAT('P', CAST(line_id + 4 AS VARCHAR)) AS name, * FROM learned WHERE error IS NULL",
+    "old": "SELECT * FROM profiles UNION ALL SELECT u.new_name, p.* EXCLUDE (name) FROM profiles p CROSS JOIN (SELECT name AS new_name FROM upd WHERE name NOT IN (SELECT name FROM profiles)) u WHERE p.name = (SELECT MIN(name) FROM profiles)"}, body="""
+SELECT name, CAST(COALESCE(u.expected_width_px, o.expected_width_px) AS INT) AS expected_width_px,
+  CAST(COALESCE(u.expected_area_px, o.expected_area_px) AS INT) AS expected_area_px, fused_threshold, noise_threshold,
+  ref_circularity_min, ref_solidity_mean FROM old o LEFT JOIN upd u USING (name)"""))
+def c1_whole(spark, d):
+    pieces = pr.label_pieces(t.pieces(spark, d), recipe())
+    out = pr.calibrate(t.profiles(spark), pieces, ["line_id"], F.concat(F.lit("P"), (F.col("line_id") + 4).cast("string")))
+    return out.select("name", "expected_width_px", "expected_area_px", "fused_threshold", "noise_threshold",
+                      "ref_circularity_min", "ref_solidity_mean")
 
 
 @query("c1_calibration_events", with_views("detections", ctes={"learned": _LEARN.format(k="line_id", m=3, label=label())}, body="""

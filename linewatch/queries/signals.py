@@ -201,11 +201,21 @@ def j10(spark, d):
     return sg.in_window(signals, windows).select(*sg.KEY, "window_open_ms")
 
 
-@query("s9_stop_latch", sql(f"""SELECT line_id, t_ms, seq, t_ms + latency_ms AS released_ms, reason FROM ({LATENCY})""", **EDGES))
+@query("j10_in_overlapping_windows", sql("""SELECT s.line_id, s.t_ms, s.seq, MAX((w.close_ms, w.open_ms))[2] AS window_open_ms FROM signals s
+  JOIN (SELECT line_id, t_ms AS open_ms, t_ms + 3600000 * (1 + seq % 24) AS close_ms FROM signals WHERE fault) w
+  ON s.line_id = w.line_id AND s.t_ms >= w.open_ms AND s.t_ms < w.close_ms GROUP BY s.line_id, s.t_ms, s.seq"""))
+def j10_overlapping(spark, d):
+    signals = t.signals(spark, d)
+    windows = signals.where("fault").select(
+        "line_id", F.col("t_ms").alias("open_ms"), (F.col("t_ms") + 3_600_000 * (1 + F.col("seq") % 24)).alias("close_ms"))
+    return sg.in_window(signals, windows).select(*sg.KEY, "window_open_ms")
+
+
+@query("s9_stop_latch", sql(f"""SELECT line_id, t_ms, seq, released_ms, reason FROM (SELECT line_id, t_ms, seq, t_ms + latency_ms AS released_ms, reason,
+  LEAD(t_ms) {OVER} AS again_ms FROM ({LATENCY})) WHERE again_ms IS NULL OR again_ms > released_ms OR reason = 'plc_ack' AND again_ms >= released_ms""", **EDGES))
 def s9(spark, d):
     stop = F.col("running") & (F.col("occupancy") >= 0.06)
-    out = sg.stop_latency(t.signals(spark, d), stop, HOLD)
-    return out.select(*sg.KEY, (F.col("t_ms") + F.col("latency_ms")).alias("released_ms"), "reason")
+    return sg.stop_releases(t.signals(spark, d), stop, HOLD)
 
 
 @query("s11_transfer_timeout", sql(f"""SELECT line_id, t_ms, seq, since_ms, t_ms - since_ms AS lasted_ms FROM (

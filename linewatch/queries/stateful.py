@@ -90,21 +90,35 @@ _PHASE = """SELECT line_id, i, t_ms, seq, edge, running, occ, ph0 AS phase_befor
        CASE WHEN edge = 'rising' AND ph = 'AT_LINE' THEN 'TRANSFERRING' WHEN edge = 'falling' AND ph = 'TRANSFERRING' THEN CASE WHEN ob THEN 'AT_LINE' ELSE 'IDLE' END ELSE ph END AS ph1,
        CASE WHEN edge = 'rising' THEN FALSE ELSE cand END AS cand1, CASE WHEN edge = 'rising' THEN 0 ELSE held END AS held1,
        CASE WHEN edge = 'rising' OR (edge = 'falling' AND ph = 'TRANSFERRING' AND NOT ob) THEN 0 ELSE clr END AS clr1 FROM ({src}) u) v) w) x"""
+_FORGET = _PHASE.replace("({src}) u", "(SELECT * REPLACE (ob AND edge IS DISTINCT FROM 'rising' AS ob) FROM ({src}) r) u")
 _FIRST = "SELECT *, 'IDLE' AS ph, FALSE AS cand, 0 AS held, 0 AS clr, FALSE AS ob FROM n0 WHERE i = 1"
 _LATER = "SELECT n0.*, p.ph, p.cand, p.held, p.clr, p.ob FROM fold p JOIN n0 ON n0.line_id = p.line_id AND n0.i = p.i + 1"
 
 
-@query("s2_row_phase", with_views("signals", recursive=True, ctes={
-    **EDGES, "n0": f"SELECT line_id, t_ms, seq, edge, running, occupancy >= CAST(0.02 AS DOUBLE) AS occ, ROW_NUMBER() {OVER} AS i FROM e1",
-    "fold": f"{_PHASE.format(src=_FIRST)} UNION ALL {_PHASE.format(src=_LATER)}"}, body="""
+def _phases(step: str) -> str:
+    return with_views("signals", recursive=True, ctes={
+        **EDGES, "n0": f"SELECT line_id, t_ms, seq, edge, running, occupancy >= CAST(0.02 AS DOUBLE) AS occ, ROW_NUMBER() {OVER} AS i FROM e1",
+        "fold": f"{step.format(src=_FIRST)} UNION ALL {step.format(src=_LATER)}"}, body="""
 SELECT line_id, t_ms, seq, phase_before, ph AS phase_after, CASE WHEN phase_before = 'IDLE' AND ph = 'AT_LINE' THEN 'stop'
-  WHEN phase_before = 'AT_LINE' AND ph = 'IDLE' THEN 'clear' END AS command FROM fold"""))
-def s2(spark, d):
+  WHEN phase_before = 'AT_LINE' AND ph = 'IDLE' THEN 'clear' END AS command FROM fold""")
+
+
+def phases(spark, d, **options):
     signals = t.signals(spark, d).select("line_id", "t_ms", "seq", "running", "occupancy")
-    out = am.row_phase(signals, F.col("occupancy") >= 0.02)
+    out = am.row_phase(signals, F.col("occupancy") >= 0.02, **options)
     return out.select("line_id", "t_ms", "seq", "phase_before", "phase_after", "command")
 
 
+@query("s2_row_phase", _phases(_FORGET))
+def s2(spark, d):
+    return phases(spark, d)
+
+
+@query("s2_row_phase_remembering", _phases(_PHASE))
+def s2_remembering(spark, d):
+    return phases(spark, d, forget_on_rising=False)
+
+
 def cycled(spark, d):
     """Frames with a pulling rhythm: 15 of every 20 frames of a line are running."""
     n = F.expr("frame_id div 4")

@@ -71,12 +71,12 @@ PHASE_START = (IDLE, False, 0, 0, False)
 
 
 def phase_step(state: tuple, symbol: tuple, debounce: int = 2, clear_frames: int = 3,
-               forget_on_rising: bool = False) -> tuple:
+               forget_on_rising: bool = True) -> tuple:
     """One frame: ``symbol`` is (edge or None, running, occupied).
 
     State: phase, occupancy candidate, its run length (capped), clear frames,
-    last stable occupancy. A rising edge restarts the debounce; with
-    ``forget_on_rising`` it also forgets that the line was occupied.
+    last stable occupancy. A rising edge restarts the debounce and, with
+    ``forget_on_rising``, forgets that the line was occupied.
     """
     phase, candidate, held, clear, occupied_before = state
     edge, running, occupied = symbol
@@ -459,7 +459,8 @@ class RowPhase:
 
 
 class StopLatch:
-    """Holds a stop until the falling edge or the end of the hold time (a timer)."""
+    """Holds a stop until the falling edge or the end of the hold time (a timer),
+    which a further stop sets again."""
     columns = ("t_ms", "seq", "running", "stop")
     schema = "t_ms long, seq long, released_ms long, reason string"
 
@@ -484,7 +485,7 @@ class StopLatch:
             (t, q), s["set"] = s["set"], None
             out.append((t, q, t_ms, "plc_ack"))
         s["was"] = running
-        if running and stop and s["set"] is None:
+        if running and stop:
             s["set"] = [t_ms, seq]
         return out
 

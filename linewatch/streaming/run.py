@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from linewatch.operators.scan import CHUNK, DAY_MS, chunked
+from linewatch.sources import shared
 
 
 def _frame(rows: list[tuple], names: list[str], dtypes: dict[str, str]) -> pd.DataFrame:
@@ -57,11 +59,81 @@ def fold(df: DataFrame, machine, keys: Sequence[str], order: Sequence[str]) -> D
             .mapInPandas(run, schema))
 
 
+def fold_chained(df: DataFrame, machine, keys: Sequence[str], order: Sequence[str], chunk_ms: int = DAY_MS) -> DataFrame:
+    """Batch form over any length of history, with the rows of a key replayed in parallel.
+
+    Histories are cut into time chunks (by the first order column). Every chunk first
+    runs from a fresh state; then those whose chunk before ends otherwise than they
+    assumed run again from that state, until none is left. A machine that comes
+    back to the same state (a full reset) settles in few rounds, and a round reads only
+    the chunks it runs again; at worst there is a round per chunk, so the result is that of
+    one pass whatever the length of a chunk. Between rounds one small row per chunk, its
+    state as JSON, is written to the shared folder.
+    """
+    keys, order = list(keys), list(order)
+    chunk_keys = [*keys, CHUNK]
+    key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    wanted = list(dict.fromkeys([*keys, *order, *machine.columns]))
+    base = chunked(df.select(*wanted), order[0], chunk_ms)
+    schema = f"{key_types}, {machine.schema}"
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    dtypes = _dtypes(schema)
+
+    def dump(state) -> str:
+        return json.dumps(state, sort_keys=True, default=lambda o: o.item())  # numpy scalars
+
+    def replay(rows: DataFrame, starts: DataFrame, states_only: bool) -> DataFrame:
+        """``starts`` gives each chunk its first state, as a row sorted before its others."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            current, state = None, None
+            for batch in batches:
+                out = []
+                key_rows = zip(*[batch[k].tolist() for k in chunk_keys])
+                for key, start, row in zip(key_rows, batch["_start"].tolist(), zip(*[batch[c].tolist() for c in machine.columns])):
+                    if isinstance(start, str):
+                        if states_only and current is not None:
+                            out.append((*current, dump(state)))
+                        current, state = key, json.loads(start)
+                        continue
+                    made = machine.step(state, *row)
+                    if not states_only:
+                        out.extend((*key[:-1], *r) for r in made)
+                if out:
+                    yield pd.DataFrame(out, columns=[*chunk_keys, "end"]) if states_only else _frame(out, names, dtypes)
+            if states_only and current is not None:
+                yield pd.DataFrame([(*current, dump(state))], columns=[*chunk_keys, "end"])
+
+        marked = rows.withColumn("_start", F.lit(None).cast("string")).unionByName(
+            starts.select(*chunk_keys, F.col("start").alias("_start")), allowMissingColumns=True)
+        first = [F.col("_start").isNull(), *order]
+        return (marked.repartition(*chunk_keys).sortWithinPartitions(*chunk_keys, *first)
+                .mapInPandas(run, f"{key_types}, {CHUNK} long, end string" if states_only else schema))
+
+    def stored(states: DataFrame) -> DataFrame:
+        path = shared.scratch(df.sparkSession, "chunk-states")
+        states.write.parquet(path)
+        return df.sparkSession.read.schema(states.schema).parquet(path)
+
+    fresh = F.lit(dump(machine.start()))
+    starts = base.select(*chunk_keys).distinct().withColumn("start", fresh)
+    states = stored(replay(base, starts, True).withColumn("start", fresh))
+    before = F.lag("end").over(Window.partitionBy(*keys).orderBy(CHUNK))
+    while True:
+        due = states.withColumn("due", F.coalesce(before, fresh))
+        wrong = due.where("due <> start").select(*chunk_keys, F.col("due").alias("start"))
+        if wrong.isEmpty():
+            return replay(base, states, False)
+        again = replay(base.join(wrong.select(*chunk_keys), chunk_keys, "left_semi"), wrong, True)
+        again = again.join(wrong, chunk_keys).select(*chunk_keys, F.col("end").alias("_end"), F.col("start").alias("_begin"))
+        states = stored(states.join(again, chunk_keys, "left").select(
+            *chunk_keys, F.coalesce("_end", "end").alias("end"), F.coalesce("_begin", "start").alias("start")))
+
+
 def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order: Sequence[str] = ("t_ms",)) -> DataFrame:
     """Streaming form: one state per key; rows of a micro-batch are put in order first.
 
     Rows older than the last one handled for their key are stragglers and are
-    left out. A machine with ``deadline``/``expire`` gets an event-time timer.
+    left out; rows that tie with it are handled, as in batch. A machine with ``deadline``/``expire`` gets an event-time timer.
     Needs the RocksDB state store, and a watermark for timers.
     """
     from pyspark.sql.streaming import StatefulProcessor
@@ -96,7 +168,7 @@ def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order:
             held, out = self._load(), []
             ranks = list(zip(*[batch[c].tolist() for c in order]))
             for rank, row in zip(ranks, zip(*[batch[c].tolist() for c in machine.columns])):
-                if held["last"] is not None and list(rank) <= held["last"]:
+                if held["last"] is not None and list(rank) < held["last"]:
                     continue
                 held["last"] = list(rank)
                 out.extend((*key, *r) for r in machine.step(held["state"], *row))

@@ -105,6 +105,8 @@ def test_profile_edits(spark):
     base = spark.createDataFrame([("A", 1), ("B", 2)], "name string, v int")
     assert sorted(map(tuple, pr.upsert(base, spark.createDataFrame([("B", 3), ("C", 4)], "name string, v int")).collect())) == [
         ("A", 1), ("B", 3), ("C", 4)]
+    several = spark.createDataFrame([("B", 9, 1), ("B", 5, 2), ("C", 4, 1)], "name string, v int, at int")
+    assert sorted(map(tuple, pr.upsert(base, several, "at").collect())) == [("A", 1), ("B", 5), ("C", 4)]
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
     assert [r["name"] for r in pr.remove(base, names("A")).collect()] == ["B"]
     with pytest.raises(Exception, match="unknown profile"):

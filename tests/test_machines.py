@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from linewatch import fixed
 from linewatch.operators import automata as am
+from linewatch.operators import signals as sg
 from linewatch.streaming import machines as mc
 from linewatch.streaming.run import fold
 
@@ -92,8 +93,9 @@ def test_row_phase_cycle():
         "IDLE", "IDLE", "AT_LINE", "AT_LINE", "TRANSFERRING", "TRANSFERRING", "TRANSFERRING", "TRANSFERRING", "TRANSFERRING", "IDLE"]
     assert phases([off, on, on, off, off]) == ["IDLE", "IDLE", "AT_LINE", "AT_LINE", "IDLE"]
     # stopped again during the transfer: back at the line while it counts as occupied
-    assert phases([off, on, on, still, on, still])[-1] == "AT_LINE"
-    assert phases([off, on, on, still, on, clear], forget_on_rising=True)[-1] == "IDLE"
+    assert phases([off, on, on, still, on, still], forget_on_rising=False)[-1] == "AT_LINE"
+    # unless the rising edge forgets, which is the rule
+    assert phases([off, on, on, still, on, clear])[-1] == "IDLE"
 
 
 def test_clusters_keep_ids():
@@ -245,6 +247,48 @@ def test_fold_orders_rows_and_separates_keys(spark):
     assert not any(t % 300 == 0 for t in taken[1:])
 
 
+@pytest.mark.parametrize("chunk_ms", [2_000, 60_000, 10**9])
+def test_stops_do_not_depend_on_chunks(spark, chunk_ms):
+    machine = mc.Stops(line_x=600.0, grid_rows=2, grid_columns=2)
+    rnd = random.Random(4)
+    frames = [(i * 500, i, i % 9 < 6, sorted(rnd.uniform(450, 900) for _ in range(rnd.randrange(4)))) for i in range(300)]
+    s, want = machine.start(), []
+    for t_ms, i, running, edges in frames:
+        want += [(i, r[2], r[11]) for r in machine.step(s, t_ms, i, running, edges)]
+    df = spark.createDataFrame([(k, *f, [0] * len(f[3])) for k in (1, 2) for f in frames],
+                               "line_id long, t_ms long, frame_id long, running boolean, edges array<double>, cols array<int>")
+    got = am.row_stops(df, machine, chunk_ms).select("line_id", "frame_id", "phase", "fired").collect()
+    for k in (1, 2):
+        assert sorted(tuple(r)[1:] for r in got if r["line_id"] == k) == want
+    assert any(fired for _, _, fired in want)
+
+
+def test_stop_releases_equal_the_machine(spark):
+    rnd = random.Random(3)
+    rows, at = [], 0
+    for i in range(500):
+        at += rnd.choice([0, 500, 1000, 2000])
+        rows.append((1, at, i, rnd.random() < 0.8, rnd.random() < 0.5))
+    rows.append((1, at + 9000, 500, False, False))
+    m, want = mc.StopLatch(2000), []
+    s = m.start()
+    for r in rows:
+        want += m.step(s, *r[1:])
+    df = spark.createDataFrame(rows, "line_id long, t_ms long, seq long, running boolean, stop boolean")
+    got = sg.stop_releases(df, F.col("running") & F.col("stop"), 2000).orderBy("seq").collect()
+    assert [tuple(r)[1:] for r in got] == want
+    two = df.limit(0).union(spark.createDataFrame(
+        [(1, 1000, 0, True, True), (1, 2000, 1, True, True), (1, 4000, 2, False, False)], df.schema))
+    assert [tuple(r)[1:] for r in sg.stop_releases(two, F.col("running") & F.col("stop"), 5000).collect()] == [(2000, 1, 4000, "plc_ack")]
+
+
+def test_windows_may_nest(spark):
+    rows = spark.createDataFrame([(1, t, t) for t in (5, 15, 50, 100, 150)] + [(2, 50, 6)], "line_id long, t_ms long, seq long")
+    windows = spark.createDataFrame([(1, 0, 100), (1, 10, 20), (1, 120, None)], "line_id long, open_ms long, close_ms long")
+    got = sg.in_window(rows, windows).orderBy("t_ms").collect()
+    assert [(r["t_ms"], r["window_open_ms"]) for r in got] == [(5, 0), (15, 0), (50, 0), (150, 120)]
+
+
 def test_row_phase_batch_equals_machine(spark):
     rnd = random.Random(9)
     steps = [(rnd.random() < 0.7, rnd.random() < 0.6) for _ in range(400)]
