@@ -109,9 +109,9 @@ def event_stream(spark, d):
 @query("a11_command_sink", with_views("signals", body="SELECT line_id, seq, CASE WHEN running THEN 'set_stop' ELSE 'set_error' END AS command FROM signals WHERE running OR fault"))
 def a11(spark, d):
     commands = event_stream(spark, d).where("running OR fault").select(
-        "line_id", "seq", F.when(F.col("running"), "set_stop").otherwise("set_error").alias("command"))
+        "line_id", "seq", "ts", F.when(F.col("running"), "set_stop").otherwise("set_error").alias("command"))
     path = shared.scratch(spark, "commands")
-    streams.command_sink(commands, path, path + "-checkpoint").awaitTermination()
+    streams.command_sink(commands, path, path + "-checkpoint", "ts").awaitTermination()
     return spark.read.schema("line_id long, seq long, command string").parquet(f"{path}/batch=*")
 
 

@@ -129,11 +129,15 @@ def fold_chained(df: DataFrame, machine, keys: Sequence[str], order: Sequence[st
             *chunk_keys, F.coalesce("_end", "end").alias("end"), F.coalesce("_begin", "start").alias("start")))
 
 
-def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order: Sequence[str] = ("t_ms",)) -> DataFrame:
+def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order: Sequence[str] = ("t_ms",),
+              hold: bool = False) -> DataFrame:
     """Streaming form: one state per key; rows of a micro-batch are put in order first.
 
     Rows older than the last one handled for their key are stragglers and are
-    left out; rows that tie with it are handled, as in batch. A machine with ``deadline``/``expire`` gets an event-time timer.
+    left out; rows that tie with it are handled, as in batch. With ``hold``, rows wait
+    until the watermark has passed their first order column (milliseconds), so late rows
+    inside the watermark take their place and only later ones are left out; results
+    come that much later. A machine with ``deadline``/``expire`` gets an event-time timer.
     Needs the RocksDB state store, and a watermark for timers.
     """
     from pyspark.sql.streaming import StatefulProcessor
@@ -143,6 +147,7 @@ def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order:
     schema = f"{key_types}, {machine.schema}"
     names = [f.name for f in StructType.fromDDL(schema).fields]
     dtypes, timed = _dtypes(schema), hasattr(machine, "deadline")
+    timers = timed or hold
 
     class Processor(StatefulProcessor):
         def init(self, handle) -> None:
@@ -152,32 +157,53 @@ def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order:
         def _load(self):
             if self.body.exists():
                 return json.loads(self.body.get()[0])
-            return {"state": machine.start(), "last": None}
+            return {"state": machine.start(), "last": None, "waiting": []}
 
         def _save(self, held) -> None:
-            self.body.update((json.dumps(held, default=lambda o: o.item()),))  # numpy scalars
-            if timed:
+            self.body.update((json.dumps(held, default=lambda o: o.tolist()),))  # numpy scalars and arrays
+            if timers:
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t)
-                due = machine.deadline(held["state"])
-                if due is not None:
-                    self.handle.registerTimer(due)
+                due = [rank[0] for rank, _ in held["waiting"]]
+                if timed and machine.deadline(held["state"]) is not None:
+                    due.append(machine.deadline(held["state"]))
+                if due:
+                    self.handle.registerTimer(min(due))
 
-        def handleInputRows(self, key, rows, timerValues):
-            batch = pd.concat(list(rows)).sort_values(order, kind="stable")
-            held, out = self._load(), []
-            ranks = list(zip(*[batch[c].tolist() for c in order]))
-            for rank, row in zip(ranks, zip(*[batch[c].tolist() for c in machine.columns])):
+        def _handle(self, key, held, rows) -> list[tuple]:
+            out = []
+            for rank, row in rows:
                 if held["last"] is not None and list(rank) < held["last"]:
                     continue
                 held["last"] = list(rank)
                 out.extend((*key, *r) for r in machine.step(held["state"], *row))
+            return out
+
+        def _passed(self, held, watermark) -> list:
+            waiting = sorted(held["waiting"], key=lambda r: r[0])
+            held["waiting"] = [r for r in waiting if r[0][0] > watermark]
+            return [r for r in waiting if r[0][0] <= watermark]
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat(list(rows)).sort_values(order, kind="stable")
+            held = self._load()
+            ready = [(list(rank), row) for rank, row in zip(zip(*[batch[c].tolist() for c in order]),
+                                                            zip(*[batch[c].tolist() for c in machine.columns]))]
+            if hold:
+                held["waiting"].extend(ready)
+                ready = self._passed(held, timerValues.getCurrentWatermarkInMs())
+            out = self._handle(key, held, ready)
             self._save(held)
             yield _frame(out, names, dtypes)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            held = self._load()
-            out = [(*key, *r) for r in machine.expire(held["state"], expiredTimerInfo.getExpiryTimeInMs())]
+            held, now = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+            out = []
+            if hold:
+                now = timerValues.getCurrentWatermarkInMs()
+                out = self._handle(key, held, self._passed(held, now))
+            if timed:
+                out.extend((*key, *r) for r in machine.expire(held["state"], now))
             self._save(held)
             yield _frame(out, names, dtypes)
 
@@ -186,7 +212,7 @@ def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order:
 
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=Processor(), outputStructType=schema, outputMode="Append",
-        timeMode="EventTime" if timed else "None")
+        timeMode="EventTime" if timers else "None")
 
 
 # --- automata with few states: exact over any history length -----------------

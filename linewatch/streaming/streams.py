@@ -72,12 +72,17 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     query.awaitTermination()
 
 
-def command_sink(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+def command_sink(df: DataFrame, path: str, checkpoint: str, event_time: str | None = None, **trigger) -> StreamingQuery:
     """Commands at most once per transition.
 
     Each batch owns the folder of its number, so a repeated batch replaces its
-    own rows; inside a batch ``(line_id, seq, command)`` is unique.
+    own rows; inside a batch ``(line_id, seq, command)`` is unique. With the column
+    ``event_time``, which needs a watermark and is not written, it is unique over all
+    batches within that watermark.
     """
+    if event_time is not None:
+        df = df.dropDuplicatesWithinWatermark(["line_id", "seq", "command"]).drop(event_time)
+
     def deliver(batch: DataFrame, number: int) -> None:
         (batch.dropDuplicates(["line_id", "seq", "command"])
          .write.mode("overwrite").parquet(f"{path}/batch={number}"))

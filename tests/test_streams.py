@@ -94,6 +94,34 @@ def test_stragglers_are_left_out(spark, tmp_path, collected):
     assert [r[1] for r in rows(got, "seq", "state_after")] == ["TRACKING", "INSPECTING", "WAITING"]
 
 
+def test_held_rows_take_their_place(spark, tmp_path, collected):
+    source, schema = f"{tmp_path}/source", "line_id long, t_ms long, seq long, event string"
+    parts = [[(1, 1000, 0, "running_rises"), (1, 3000, 3, "verdict_ok")],
+             [(1, 2500, 1, "inspection_start"), (1, 2500, 2, "clean_frame"), (1, 4000, 4, "running_rises")],
+             [(1, 20_000, 5, "belt_fault")], [(1, 60_000, 6, "ack")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+              .withColumn("ts", F.timestamp_millis("t_ms")).withWatermark("ts", "1 second"))
+    got = collected(on_stream(stream, mc.LineState(), order=["t_ms"], hold=True))
+    want = am.line_state(spark.createDataFrame(sum(parts, []), schema))
+    columns = ["seq", "state_before", "state_after"]
+    # the last row waits for a watermark that never comes
+    assert rows(got, *columns) == rows(want.where("seq < 6"), *columns)
+
+
+def test_commands_come_once_over_batches(spark, tmp_path):
+    source, schema = f"{tmp_path}/source", "line_id long, seq long, command string, ts timestamp"
+    for n in range(2):
+        (spark.sql("SELECT 1L AS line_id, 1L AS seq, 'stop' AS command, TIMESTAMP '2024-01-01 00:00:00' AS ts "
+                   f"UNION ALL SELECT 2L, {n}L, 'clear', TIMESTAMP '2024-01-01 00:00:01'")
+         .coalesce(1).write.mode("append").parquet(source))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("ts", "1 minute"))
+    streams.command_sink(stream, f"{tmp_path}/commands", f"{tmp_path}/checkpoint", "ts").awaitTermination()
+    got = spark.read.schema("line_id long, seq long, command string").parquet(f"{tmp_path}/commands/batch=*")
+    assert rows(got, "line_id", "seq", "command") == [(1, 1, "stop"), (2, 0, "clear"), (2, 1, "clear")]
+
+
 def test_commands_survive_a_repeated_batch(spark, tmp_path):
     out = f"{tmp_path}/commands"
     source = f"{tmp_path}/source"
