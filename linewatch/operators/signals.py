@@ -141,8 +141,8 @@ def latch_table(n: int, m: int, windowed: bool) -> tuple[list, list[list[int]]]:
     """States ``(armed, count, latched now, belt before)``; symbols ``belt * 2 + faulty``.
 
     ``n`` faulty rows in a row while armed latch; ``m`` clean rows in a row arm
-    again. With ``windowed``, rows count only while the belt runs and an opening
-    window arms and forgets.
+    again. With ``windowed``, rows count only while the belt runs, an opening window
+    arms and forgets, and a window that has latched is spent: it latches once.
     """
     def step(state, symbol):
         armed, count, _, belt_before = state
@@ -152,6 +152,8 @@ def latch_table(n: int, m: int, windowed: bool) -> tuple[list, list[list[int]]]:
                 return (armed, count, False, 0)
             if not belt_before:
                 armed, count = True, 0
+            if not armed:
+                return (False, 0, False, belt)
         # Only faults count while armed and only clean rows while not.
         count = count + 1 if bool(faulty) == armed else 0
         if count < (n if armed else m):
@@ -170,9 +172,11 @@ def with_latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3, belt: Colu
             .drop("symbol", "state_before", "state_after"))
 
 
-def latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3) -> DataFrame:
-    thin = df.select(*KEY, faulty.alias("_bad"))  # Python sees the columns it needs
-    return with_latch(thin, F.col("_bad"), n, m).where("latched").select(*KEY)
+def latch(df: DataFrame, faulty: Column, n: int = 3, m: int = 3, belt: Column | None = None) -> DataFrame:
+    """Rows on which a fault latches; with ``belt``, at most one per window in which it is true."""
+    # Python sees the columns it needs
+    thin = df.select(*KEY, faulty.alias("_bad"), F.lit(True).alias("_belt") if belt is None else belt.alias("_belt"))
+    return with_latch(thin, F.col("_bad"), n, m, None if belt is None else F.col("_belt")).where("latched").select(*KEY)
 
 
 def self_clear(df: DataFrame, faulty: Column, n: int = 5) -> DataFrame:

@@ -159,6 +159,14 @@ def s3(spark, d):
     return sg.latch(t.signals(spark, d), F.col("fault"), 2, 3)
 
 
+@query("s3_fault_latch_in_windows", sql(f"""SELECT line_id, t_ms, seq FROM (
+  SELECT *, NOT fault AND LAG(NOT fault) OVER (PARTITION BY line_id, grp ORDER BY t_ms, seq) AS hit FROM (
+   SELECT *, SUM(CASE WHEN running IS DISTINCT FROM was THEN 1 ELSE 0 END) {HELD} AS grp FROM (SELECT *, LAG(running) {OVER} AS was FROM signals)) WHERE running)
+  WHERE hit QUALIFY ROW_NUMBER() OVER (PARTITION BY line_id, grp ORDER BY t_ms, seq) = 1"""))
+def s3_windows(spark, d):
+    return sg.latch(t.signals(spark, d), ~F.col("fault"), 2, 1, F.col("running"))
+
+
 @query("s4_fault_self_clear", fold_sql(
     """SELECT line_id, i, t_ms, seq, fault AS active, 0 AS clean, FALSE AS hit FROM n0 WHERE i = 1""",
     """SELECT n0.line_id, n0.i, n0.t_ms, n0.seq,

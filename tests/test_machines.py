@@ -282,6 +282,14 @@ def test_stop_releases_equal_the_machine(spark):
     assert [tuple(r)[1:] for r in sg.stop_releases(two, F.col("running") & F.col("stop"), 5000).collect()] == [(2000, 1, 4000, "plc_ack")]
 
 
+def test_a_window_latches_once(spark):
+    marks = "FFcccFF.FFcF"  # a point: the belt stands still, then a new window opens
+    df = spark.createDataFrame([(1, i * 100, i, c == "F", c != ".") for i, c in enumerate(marks)],
+                               "line_id long, t_ms long, seq long, fault boolean, belt boolean")
+    assert sorted(r["seq"] for r in sg.latch(df, F.col("fault"), 2, 3, F.col("belt")).collect()) == [1, 9]
+    assert sorted(r["seq"] for r in sg.latch(df, F.col("fault"), 2, 3).collect()) == [1, 6]
+
+
 def test_windows_may_nest(spark):
     rows = spark.createDataFrame([(1, t, t) for t in (5, 15, 50, 100, 150)] + [(2, 50, 6)], "line_id long, t_ms long, seq long")
     windows = spark.createDataFrame([(1, 0, 100), (1, 10, 20), (1, 120, None)], "line_id long, open_ms long, close_ms long")
