@@ -11,16 +11,18 @@ from linewatch import fixed
 from linewatch.operators.scan import Previous, Total, scan
 
 
-def cycle_summary(df: DataFrame) -> DataFrame:
+def cycle_summary(df: DataFrame, positions: Sequence[str] = ()) -> DataFrame:
     """Ordered lists per cycle. A cycle holds at most one stop per grid row, so
-    the lists stay short."""
-    items = F.array_sort(F.collect_list(F.struct("t_ms", "seq", "row_no", "clearing_ms", "reason")))
+    the lists stay short. Columns named in ``positions`` (tangents, boundaries) become
+    arrays ``<name>_list`` in the same order, nulls kept."""
+    items = F.array_sort(F.collect_list(F.struct("t_ms", "seq", "row_no", "clearing_ms", "reason", *positions)))
     out = df.groupBy("line_id", "cycle").agg(items.alias("x"), (F.max("t_ms") - F.min("t_ms")).alias("total_ms"))
 
     def joined(field):
         return F.array_join(F.transform("x", lambda s: s[field].cast("string")), ",")
     return out.select("line_id", "cycle", F.size("x").cast("long").alias("rows_fired"), joined("row_no").alias("row_list"),
-                      joined("clearing_ms").alias("clearing_list"), joined("reason").alias("reasons"), "total_ms")
+                      joined("clearing_ms").alias("clearing_list"), joined("reason").alias("reasons"), "total_ms",
+                      *[F.col(f"x.{c}").alias(f"{c}_list") for c in positions])
 
 
 def perf_summary(df: DataFrame, seconds: int = 1, stages: Sequence[str] = ()) -> DataFrame:

@@ -277,6 +277,19 @@ def d7(spark, d):
     return rp.cycle_summary(fires(spark, d).withColumn("cycle", F.expr("t_ms div 86400000")))
 
 
+@query("d7_cycle_positions", with_views(ctes=FIRES, body="""SELECT line_id, t_ms//86400000 AS cycle,
+  CAST(ROW_NUMBER() OVER (PARTITION BY line_id, t_ms//86400000 ORDER BY t_ms, seq) AS INT) AS place, 632 - overshoot_px AS tangent,
+  CASE WHEN reason = 'timeout' THEN 657 - overshoot_px END AS boundary FROM f"""))
+def d7_positions(spark, d):
+    stops = fires(spark, d).withColumns({
+        "cycle": F.expr("t_ms div 86400000"), "tangent": F.lit(632.0) - F.col("overshoot_px"),
+        "boundary": F.when(F.col("reason") == "timeout", F.lit(657.0) - F.col("overshoot_px"))})
+    lists = rp.cycle_summary(stops, ["tangent", "boundary"])
+    return (lists.select("line_id", "cycle", F.posexplode(F.arrays_zip("tangent_list", "boundary_list")).alias("place", "at"))
+            .select("line_id", "cycle", (F.col("place") + 1).alias("place"), "at.tangent_list", "at.boundary_list")
+            .withColumnsRenamed({"tangent_list": "tangent", "boundary_list": "boundary"}))
+
+
 @query("d8_row_quality", sql(f"""SELECT line_id, fire_no, COUNT(*) AS total_frames, COUNT(*) FILTER (WHERE belt_running) AS full_frames,
   COUNT(*) FILTER (WHERE x IS NULL) AS fallback_frames FROM (
   SELECT *, COUNT(*) FILTER (WHERE ack) OVER (PARTITION BY line_id ORDER BY t_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fire_no FROM k) GROUP BY ALL""", **MISSING))

@@ -49,12 +49,12 @@ def stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataF
                  .option("maxFilesPerTrigger", files_per_trigger).csv(path))
 
 
-def write(df: DataFrame, path: str, files_per_day: int = 8) -> None:
-    """Append by local day. A busy day is spread over several writers by a hash."""
-    spread = F.pmod(F.xxhash64("timestamp_iso", "event_type", "extra_json"), F.lit(files_per_day))
+def write(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
+    """Append by local day. Rows are rebalanced by day: adaptive execution gives a busy day
+    as many writers as its size asks for and puts small days together."""
     (df.select(*fixed.EVENT_COLUMNS).withColumn("event_date", event_date(F.col("timestamp_iso")))
-     .repartition(F.col("event_date"), spread)
-     .write.mode("append").partitionBy("event_date").options(**CSV).csv(path))
+     .hint("rebalance", "event_date")
+     .write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("event_date").options(**CSV).csv(path))
 
 
 def export(spark: SparkSession, path: str, first: str, last: str, out: str) -> DataFrame:
