@@ -166,9 +166,10 @@ def similar(documents: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) ->
 
     Two differing bits of 64 mean nearly equal texts; at a similarity of 0.8 about 15 of
     100 bits differ, beyond any small ball. So fingerprints are wide here and the
-    index has ``TABLES`` overlapping segments of ``LOOK`` bits, each looked up as it is. In each
-    bucket all are compared with the least of it, over all bits; a bucket costs as
-    many comparisons as it has rows, whatever its size.
+    index has ``TABLES`` overlapping segments of ``LOOK`` bits, each looked up as it is. In a
+    bucket of at most ``CROWD`` fingerprints every two are compared, over all bits; in a larger one, which is
+    mostly a group of copies, all are compared with the least of it. So a fingerprint
+    meets a bounded number of others in a bucket, whatever its size.
     """
     rows = documents.select("text", *keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "bits binary"])
@@ -188,12 +189,16 @@ def similar(documents: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) ->
     docs = stored(rows.mapInArrow(run, schema).withColumn("node", F.xxhash64("bits")), "fingerprints")
     nodes = stored(docs.select("node", "bits").distinct(), "nodes")
     tables = nodes.mapInArrow(look, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    met = (tables.withColumn("least", F.min("node").over(Window.partitionBy("key"))).where("node <> least")
-           .select("node", "least").distinct())
+    bucket = Window.partitionBy("key")
+    shared = tables.withColumns({"n": F.count("*").over(bucket), "least": F.min("node").over(bucket)}).where("n > 1")
+    before = F.array(*[F.lag("node", k).over(bucket.orderBy("node")) for k in range(1, CROWD)])
+    partners = shared.withColumn("before", before).select("node", F.explode(
+        F.when(F.col("n") <= CROWD, F.filter("before", lambda p: p.isNotNull())).otherwise(F.array("least"))).alias("other"))
+    met = partners.where("node <> other").distinct()
     mine = nodes.select("node", F.hex("bits").alias("x"))
-    theirs = nodes.select(F.col("node").alias("least"), F.hex("bits").alias("y"))
+    theirs = nodes.select(F.col("node").alias("other"), F.hex("bits").alias("y"))
     part = lambda c, k: F.conv(F.substring(c, 1 + 8 * k, 8), 16, 10).cast("long")
     apart = sum((F.bit_count(part("x", k).bitwiseXOR(part("y", k))) for k in range(WIDE // 32)), F.lit(0))
-    near = met.join(mine, "node").join(theirs, "least").where(apart <= APART)
-    roots = components(near.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    near = met.join(mine, "node").join(theirs, "other").where(apart <= APART)
+    roots = components(near.select(F.col("node").alias("a"), F.col("other").alias("b")))
     return docs.join(roots.select("node", "root"), "node", "left").select(F.coalesce("root", "node").alias("component"), *keep)

@@ -128,6 +128,22 @@ def test_simhash_against_all_pairs(spark, docs, nothing):
     assert simhash.near_duplicates(nothing, 3).count() == 0 and simhash.similar(nothing).count() == 0
 
 
+def test_similar_pairs_meet_beside_strangers(spark, monkeypatch):
+    """In a bucket full of unrelated texts near copies still meet."""
+    monkeypatch.setattr(simhash, "LOOK", 1)
+    monkeypatch.setattr(simhash, "TABLES", 8)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(7):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id",)).collect()
+    groups = collections.defaultdict(set)
+    for r in found:
+        groups[r["component"]].add(r["doc_id"])
+    assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(7)]
+
+
 def test_fingerprint_bits(monkeypatch):
     import xxhash
     text = "A b\tC d\x0be " * 40 + "É x"
@@ -291,6 +307,10 @@ def test_licences(spark):
         ("Apache-2.0", None), ("Apache-2.0", "a"), ("MIT", None), ("MIT", "a/d"), ("GPL-3.0", None), (None, None), ("Proprietary", None),
         (None, None), ("Apache-2.0", "a")]
     assert got[5]["own_line"] == 2
+    odd = df.drop("key").withColumn("key", F.lit(None).cast("long"))
+    again = licences.scanned(odd.unionByName(odd)).groupBy("path", "licence", "own_score").count().collect()
+    assert sum(r["count"] for r in again) == 18 and {r["own_score"] for r in again if r["path"] == "a/LICENSE"} == {1.0}
+    assert [r["licence"] for r in again if r["path"] == "a/d/LICENSE"] == ["MIT"]
     assert licences.scanned(df.where("false")).count() == 0
 
 
