@@ -12,7 +12,8 @@ over; that is proven per run: words count as common only while a line of common
 stays below ``LEAST`` for each template. The templates are fixed and the only thing broadcast.
 
 Nulls and odd rows: null and empty texts have no licence of their own; null paths
-inherit nothing; rows that repeat a path are files of their own, and of several licence files in one
+inherit nothing; rows that repeat a path are files of their own (told apart by a hash of path and text, so null and repeated
+ids do no harm), and of several licence files in one
 directory the best match counts, ties by licence name; other columns are passed on, those named like a result are replaced;
 an empty table gives an empty result; very long lines are one line.
 """
@@ -83,7 +84,8 @@ def distinctive(weights: dict[str, float]) -> list[str]:
 
 
 def matched(files: DataFrame, n: int, seen: dict[str, int]) -> DataFrame:
-    """``files``: key, path, text. Best match of each file that has one: key, own_licence, own_score, own_line (from 0; -1: the whole file)."""
+    """``files``: key, path, text; rows of one key are equal. Best match of each key that has one: key, own_licence, own_score,
+    own_line (from 0; -1: the whole file)."""
     weights, other = _weights(n, seen)
     spark = files.sparkSession
     names = sorted(TEMPLATES)
@@ -93,7 +95,7 @@ def matched(files: DataFrame, n: int, seen: dict[str, int]) -> DataFrame:
     lines = files.select("key", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
     whole = files.where(name.rlike(LICENCE_FILE)).select("key", F.lit(-1).alias("line"), F.col("text").alias("unit"))
     units = lines.unionByName(whole).select("key", "line", _tokens(F.col("unit")).alias("words")) \
-        .where(F.arrays_overlap("words", rare))
+        .where(F.arrays_overlap("words", rare)).dropDuplicates(["key", "line"])
     vocabulary = spark.createDataFrame(
         [(w, weights[w], [weights[w] if w in _words(TEMPLATES[name]) else 0.0 for name in names]) for w in sorted(weights)],
         "word string, weight double, parts array<double>")
@@ -109,13 +111,15 @@ def matched(files: DataFrame, n: int, seen: dict[str, int]) -> DataFrame:
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """``files``: key (unique), path, text and what else. Adds own_licence, own_score, own_line, licence
+    """``files``: path, text and what else. Adds own_licence, own_score, own_line, licence
     and inherited_from (a directory; null if the licence is the file's own)."""
-    files = files.drop(*_RESULT)
+    key = F.struct(F.xxhash64("path", "text").alias("a"), F.xxhash64("text", "path").alias("b"))
+    files = files.drop(*_RESULT).withColumn("_key", key)
     n, seen = frequencies(files)
-    own = stored(matched(files.select("key", "path", "text"), n, seen), "licences")
+    own = stored(matched(files.select(F.col("_key").alias("key"), "path", "text"), n, seen), "licences") \
+        .withColumnRenamed("key", "_key")
     cut = F.regexp_replace("path", "/?[^/]*$", "")
-    slim = files.drop("text").join(own, "key", "left").withColumn("_dir", cut)
+    slim = files.drop("text").join(own, "_key", "left").drop("_key").withColumn("_dir", cut)
     slim = stored(slim, "files")
     givers = slim.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE) & F.col("own_licence").isNotNull()) \
         .groupBy(F.col("_dir").alias("_above")).agg(
