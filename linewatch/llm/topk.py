@@ -31,7 +31,8 @@ from linewatch.llm.common import stored
 
 BLOCK = 4096
 SEGMENTS = 8
-GROUP = 256
+#: Queries that meet a block at once; the index travels once per group, so groups are as large as memory suits.
+GROUP = 2048
 #: Shares of the segments after which the search looks whether it may stop.
 STOPS = (0.6, 0.8, 1.0)
 #: It stops once at most one in so many vectors is left; scoring those exactly is cheap.
