@@ -37,7 +37,7 @@ from linewatch.llm.tokens import encoder
 
 #: Documents whose ids train the dictionary, at most (those of the smallest hashes).
 TRAINING_DOCUMENTS = 2000
-#: Ids of one training document used, at most; longer ones are cut into samples.
+#: Ids of one training document used, at most. Only the dictionary's sample is cut; files hold all ids.
 TRAINING_IDS = 4096
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
