@@ -19,6 +19,7 @@ from pyspark.sql.window import WindowSpec
 from linewatch import fixed
 from linewatch.functions import geometry as g
 from linewatch.functions.recipe import Recipe
+from linewatch.operators.profiles import exact_median
 from linewatch.sources.tables import FRAME
 
 PX = [*FRAME, "x", "y"]
@@ -51,9 +52,12 @@ def by_frame(px: DataFrame) -> DataFrame:
 def histogram(px: DataFrame, bins: int = 256) -> DataFrame:
     """All bins of every frame, scaled by the fullest bin."""
     filled = px.groupBy(*FRAME, F.expr(f"v * {bins} div 256").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    every = px.select(*FRAME).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = every.join(filled, [*FRAME, "bin"], "left").na.fill(0, ["n"])
-    return out.withColumn("height", F.col("n") / F.max("n").over(Window.partitionBy(*FRAME)))
+    known = F.col("bin").isNotNull()
+    frames = filled.groupBy(*FRAME).agg(
+        F.map_from_entries(F.collect_list(F.when(known, F.struct("bin", "n")))).alias("_counts"), F.max(F.when(known, F.col("n"))).alias("_fullest"))
+    every = frames.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    n = F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0).cast("long"))
+    return every.select(*FRAME, "bin", n.alias("n"), (n / F.col("_fullest")).alias("height"))
 
 
 def lift_shadow(px: DataFrame, floor: int = fixed.SHADOW_FLOOR) -> DataFrame:
@@ -264,8 +268,8 @@ def feed_mask(px: DataFrame, brightness: int = 120, expected_radius: float | Non
 
 def capture_background(px: DataFrame) -> DataFrame:
     """Empty-scene plane per line: the per-pixel median. Grey levels are few, so
-    the aggregate is a small count map, built on the map side."""
-    return px.groupBy("line_id", "x", "y").agg(F.median("v").alias("ref"))
+    they are counted on the map side."""
+    return exact_median(px, ["line_id", "x", "y"], "v").withColumnRenamed("median", "ref")
 
 
 def bg_difference(px: DataFrame, reference: DataFrame, t: int = 30) -> DataFrame:

@@ -253,14 +253,14 @@ def x10(spark, d):
 _LEVEL = "CAST(LEAST(255, GREATEST(0, FLOOR(128 + CAST({} AS DOUBLE)*240))) AS INT)"
 
 
-@query("a12_frames_to_pixels", with_views(body=f"""SELECT line_id, frame_id, CAST(p % 7 AS INT) AS x, CAST(p//7 AS INT) AS y,
+@query("a12_frames_to_pixels", with_views(body=f"""SELECT line_id, frame_id, CAST(p % 4 AS INT) AS x, CAST(p//4 AS INT) AS y,
   CAST(ROUND(r*CAST(0.299 AS DOUBLE) + g*CAST(0.587 AS DOUBLE) + b*CAST(0.114 AS DOUBLE)) AS INT) AS v FROM (
-  SELECT vec_id % 4 AS line_id, vec_id AS frame_id, p, {_LEVEL.format('embedding[p*3+1]')} AS b, {_LEVEL.format('embedding[p*3+2]')} AS g,
-  {_LEVEL.format('embedding[p*3+3]')} AS r FROM embeddings, RANGE(21) q(p))"""))
+  SELECT vec_id % 4 AS line_id, vec_id AS frame_id, p, {_LEVEL.format('embedding[p*4+1]')} AS b, {_LEVEL.format('embedding[p*4+2]')} AS g,
+  {_LEVEL.format('embedding[p*4+3]')} AS r FROM embeddings, RANGE(16) q(p))"""))
 def a12(spark, d):
-    """Planes of 21 BGR pixels out of the first 63 values; 64 is not a multiple of 3."""
-    level = F.transform(F.slice("embedding", 1, 63), lambda e: F.least(F.lit(255), F.greatest(
+    """Planes of 16 BGRA pixels out of all 64 values."""
+    level = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(
         F.lit(0), F.floor(F.lit(128) + e.cast("double") * 240))).cast("int"))
     planes = t.table(spark, d, "embeddings").select(
         (F.col("vec_id") % 4).alias("line_id"), F.col("vec_id").alias("frame_id"), level.alias("plane"))
-    return im.array_to_pixels(planes, "plane", 7, channels=3)
+    return im.array_to_pixels(planes, "plane", 4, channels=4)

@@ -116,11 +116,13 @@ class Clusters:
         return {"known": [], "next": 1, "t": None}
 
     def step(self, s: dict, t_ms, frame_id, fronts) -> list[tuple]:
-        ids, fresh = self.assign(s, t_ms, fronts)
-        return [(t_ms, frame_id, i, cid, x, "new" if i in fresh else "matched")
-                for i, (cid, x) in enumerate(zip(ids, fronts))]
+        ids, fresh, lost = self.assign(s, t_ms, fronts)
+        found = [(t_ms, frame_id, i, cid, x, "new" if i in fresh else "matched")
+                 for i, (cid, x) in enumerate(zip(ids, fronts))]
+        return found + [(t_ms, frame_id, None, cid, x, "lost") for cid, x in lost]
 
-    def assign(self, s: dict, t_ms, fronts) -> tuple[list[int], set[int]]:
+    def assign(self, s: dict, t_ms, fronts) -> tuple[list[int], set[int], list[tuple[int, float]]]:
+        """Ids of the fronts, which of them are new, and what was missed too often (id, last front)."""
         dt = 0.0 if s["t"] is None else max(t_ms - s["t"], 0) / 1000.0
         s["t"] = t_ms
         shift = max(self.speed, 0.0) * dt
@@ -141,7 +143,7 @@ class Clusters:
             known.append([s["next"], fronts[i], 0])
             s["next"] += 1
         s["known"] = [k for k in known if k[2] <= self.max_missed]
-        return ids, fresh
+        return ids, fresh, [(k[0], k[1]) for k in known if k[2] > self.max_missed]
 
 
 class RowLines:
@@ -277,7 +279,7 @@ class Stops:
     # -- rules 3 to 5: group, clean, identify, choose
     def select(self, s: dict, t_ms, edges: list[float], cols) -> dict:
         rows = self.clean(group(edges, self.row_gap))
-        ids, _ = self.tracker.assign(s["clusters"], t_ms, [r[0] if r else float("inf") for r in rows])
+        ids, *_ = self.tracker.assign(s["clusters"], t_ms, [r[0] if r else float("inf") for r in rows])
         if s["anchor_id"] is not None and rows:
             chosen = next((r for cid, r in zip(ids, rows) if cid == s["anchor_id"]), [])
             second = None

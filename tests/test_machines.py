@@ -107,8 +107,8 @@ def test_clusters_keep_ids():
     # the front one is missed once and found again, then lost for good
     assert [r[3] for r in m.step(s, 200, 2, [730.0])] == [2]
     assert [r[3] for r in m.step(s, 300, 3, [430.0, 695.0])] == [1, 2]
-    for t in (400, 500):
-        m.step(s, t, t, [695.0 - 35 * (t - 300) / 100])
+    assert [r[3] for r in m.step(s, 400, 4, [660.0])] == [2]
+    assert [r[2:] for r in m.step(s, 500, 5, [625.0])] == [(0, 2, 625.0, "matched"), (None, 1, 430.0, "lost")]
     assert m.step(s, 600, 6, [395.0, 590.0])[0][3:6:2] == (3, "new")
 
 
