@@ -163,7 +163,8 @@ def test_clusters_by_cycle(spark, as_stream, collected):
     got = collected(on_stream(as_stream(fronts), mc.Clusters(), ["line_id", "cycle"], ["t_ms", "frame_id"]))
     want = am.track_clusters(fronts)
     columns = ["line_id", "cycle", "frame_id", "row_id", "cluster_id", "outcome"]
-    assert rows(got, *columns) == rows(want, *columns) != []
+    named = lambda df: rows(df.na.fill(-1, ["row_id"]), *columns)  # noqa: E731 - lost rows have no row_id
+    assert named(got) == named(want) != []
 
 
 def test_sticky_result_goes_by_timer(spark, as_stream, collected):
