@@ -144,6 +144,33 @@ def test_similar_pairs_meet_beside_strangers(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(7)]
 
 
+def test_similar_links_every_pair_at_its_limit(spark, monkeypatch):
+    """Isolated pairs just above and below 0.8, and strangers that share most of their
+    shingles in one crowd, give the components of all pairs compared."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts = [""]
+    for i in range(120):  # a changed tail of k words leaves n - 4 - k shingles of n - 4
+        n = int(rng.integers(60, 400))
+        words, k = fresh(n), int((n - 4) * rng.uniform(0.08, 0.14))
+        texts += [" ".join(words), " ".join([*words[:n - k], *fresh(k)])]
+    shared = fresh(140)
+    for i in range(60):
+        own = fresh(60)
+        texts += [" ".join([*shared, *own]), " ".join([*shared, *own[:-15], *fresh(15)])]
+    texts += [" ".join([*shared, *fresh(int(rng.integers(10, 40)))]) for _ in range(60)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[a] if g == group[b] else g for g in group]
+    found = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), keep=("doc_id",)).collect()
+    parts = lambda named: sorted(sorted(d for d, g in named if g == h) for h in {g for _, g in named})
+    assert len(found) == len(texts) and parts([(r["doc_id"], r["component"]) for r in found]) == parts(list(enumerate(group)))
+
+
 def test_fingerprint_bits(monkeypatch):
     import xxhash
     text = "A b\tC d\x0be " * 40 + "É x"
