@@ -1,26 +1,30 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of every file (notices may stand anywhere, so whole texts are read) is
-compared with short templates of licence notices, and files named like a licence file also as a whole. Vectors
-have a binary term frequency and the inverse document frequency over all files;
-words that no template has get the frequency of none, which only makes norms larger.
+Every line of every file (notices may stand anywhere, so whole texts are read), every sentence in
+a line, and windows of several lines near a line with distinctive words are compared with notices, titles and
+standard headers; files named like a licence file are also compared as a whole with these and with
+full licence texts (``licence_texts``). A tag SPDX-License-Identifier gives the first known licence it names. Vectors
+have a binary term frequency and the inverse document frequency over all files, of all words.
 A file's licence is its best match at ``LEAST`` or more. A file without one inherits from the
 nearest directory above it whose licence file has one: directories are joined by path, and the deepest wins.
 
-Built-in functions only. Lines that lack every distinctive template word are passed
-over; that is proven per run: words count as common only while a line of common words alone
-stays below ``LEAST`` for each template. The templates are fixed and the only thing broadcast.
+Built-in functions only. Lines that lack every distinctive word of the short templates are passed
+over; that is proven per run: words count as common only while a unit of common words alone
+stays below ``LEAST`` for each short template. Windows start up to two lines before a distinctive line.
+Equal word sets are scored once. The templates are fixed and the only thing broadcast; frequencies are joined by word.
 
 Nulls and odd rows: null and empty texts have no licence of their own; null paths
 inherit nothing; rows that repeat a path are files of their own (told apart by a hash of path and text, so null and repeated
 ids do no harm), and of several licence files in one
 directory the best match counts, ties by licence name; other columns are passed on, those named like a result are replaced;
-an empty table gives an empty result; very long lines are one line.
+an empty table gives an empty result; very long lines are one line and its sentences.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +48,40 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved.",
 }
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by "
+        "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+#: Titles and usual headers, and a word a match must have: without it the rest says nothing of the licence.
+HEADERS = [
+    ("Apache-2.0", "apache", "Apache License, Version 2.0, January 2004"),
+    ("Apache-2.0", "apache", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+     'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or '
+     "implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "mit", "MIT License"), ("MIT", "mit", "The MIT License (MIT)"), ("MIT", "mit", "Licensed under the MIT License."),
+    ("MIT", "mit", "This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree."),
+    *((name, must, _GNU.format(kind, version)) for name, must, kind, version in [
+        ("GPL-2.0", "gnu", "General Public", "2"), ("GPL-3.0", "gnu", "General Public", "3"), ("LGPL-2.1", "lesser", "Lesser General Public", "2.1"),
+        ("LGPL-3.0", "lesser", "Lesser General Public", "3"), ("AGPL-3.0", "affero", "Affero General Public", "3")]),
+    ("GPL-2.0", "gnu", "GNU General Public License Version 2, June 1991"), ("GPL-3.0", "gnu", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "lesser", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "lesser", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "affero", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("GPL-2.0", "gnu", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "lesser", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("CC-BY-4.0", "attribution", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "sharealike", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "noncommercial", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC0-1.0", "cc0", "Creative Commons CC0 1.0 Universal"),
+    ("MPL-2.0", "mozilla", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+     "with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "bsd", "BSD 3-Clause License"),
+]
+#: Lines of a window.
+WINDOWS = (2, 3, 4, 6, 9, 12, 16)
 LICENCE_FILE = r"(?i)^(un)?licen[sc]e([._-].*)?$|^copying([._-].*)?$|^copyright([._-].*)?$|^notice([._-].*)?$"
 _SPLIT = r"[^a-z0-9]+"
 _RESULT = ["own_licence", "own_score", "own_line", "licence", "inherited_from"]
@@ -54,59 +92,108 @@ def _words(text: str) -> list[str]:
     return sorted({w for w in re.split(_SPLIT, text.lower()) if w})
 
 
+@cache
+def _templates() -> list[tuple[str, str | None, frozenset[str]]]:
+    """Licence, the word a match must have, and the words; full texts come last."""
+    texts = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+    return [*((name, None, frozenset(_words(t))) for name, t in TEMPLATES.items()), *((name, must, frozenset(_words(t))) for name, must, t in HEADERS),
+            *((p.stem, None, frozenset(_words(p.read_text(encoding="utf-8")))) for p in texts)]
+
+
+def _short() -> list[frozenset[str]]:
+    return [words for _, _, words in _templates()[:len(TEMPLATES) + len(HEADERS)]]
+
+
 def _tokens(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), _SPLIT)), lambda w: w != "")
 
 
-def frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
+def counted(files: DataFrame) -> DataFrame:
+    """In how many files each word is: word, df."""
+    return files.select(F.explode(_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+
+def frequencies(files: DataFrame, counts: DataFrame | None = None) -> tuple[int, dict[str, int]]:
     """Number of files, and in how many each template word is."""
-    known = sorted({w for t in TEMPLATES.values() for w in _words(t)})
-    words = files.select(F.explode(F.array_intersect(_tokens(F.col("text")), F.array(*map(F.lit, known)))).alias("word"))
-    found = {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}
+    known = sorted(frozenset().union(*(words for _, _, words in _templates())))
+    spark = files.sparkSession
+    counts = counted(files) if counts is None else counts
+    found = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in known], "word string")), "word", "left_semi")
+    found = {r["word"]: r["df"] for r in found.collect()}
     return files.count(), {w: found.get(w, 0) for w in known}
 
 
-def _weights(n: int, seen: dict[str, int]) -> tuple[dict[str, float], float]:
-    weigh = lambda df: math.log((1 + n) / (1 + df)) + 1
-    return {w: weigh(df) for w, df in seen.items()}, weigh(0)
+def _weights(n: int, seen: dict[str, int]) -> dict[str, float]:
+    return {w: math.log((1 + n) / (1 + df)) + 1 for w, df in seen.items()}
 
 
 def distinctive(weights: dict[str, float]) -> list[str]:
-    """Template words at least one of which a match must have."""
-    common: set[str] = set()
-    norms = {name: sum(weights[w] ** 2 for w in _words(t)) for name, t in TEMPLATES.items()}
-    for word in sorted(weights, key=lambda w: (weights[w], w)):
+    """Words of short templates at least one of which a match must have."""
+    short, common = _short(), set()
+    known = frozenset().union(*short)
+    norms = [sum(weights[w] ** 2 for w in t) for t in short]
+    for word in sorted(known, key=lambda w: (weights[w], w)):
         more = common | {word}
         # a text with only these words in common has at most this squared cosine
-        if all(sum(weights[w] ** 2 for w in _words(t) if w in more) < LEAST ** 2 * norms[name] for name, t in TEMPLATES.items()):
+        if all(sum(weights[w] ** 2 for w in t & more) < LEAST ** 2 * norm for t, norm in zip(short, norms, strict=True)):
             common = more
-    return sorted(set(weights) - common)
+    return sorted(known - common)
+
+
+def _tag(line: Column) -> Column:
+    """The first known licence in an SPDX tag, or null."""
+    listed = F.regexp_extract(line, r"(?i)spdx-license-identifier:\s*(.*)", 1)
+    ids = F.transform(F.split(F.lower(listed), r"[^a-z0-9.-]+"), lambda c: F.regexp_replace(c, "-(only|or-later)$", ""))
+    names = sorted({name for name, _, _ in _templates()} - {"Proprietary"})
+    known = F.create_map(*[F.lit(x) for name in names for x in (name.lower(), name)])
+    return F.get(F.filter(F.transform(ids, lambda c: F.try_element_at(known, c)), lambda c: c.isNotNull()), F.lit(0))
 
 
-def matched(files: DataFrame, n: int, seen: dict[str, int]) -> DataFrame:
+def matched(files: DataFrame, n: int, seen: dict[str, int], counts: DataFrame | None = None) -> DataFrame:
     """``files``: key, path, text; rows of one key are equal. Best match of each key that has one: key, own_licence, own_score,
-    own_line (from 0; -1: the whole file)."""
-    weights, other = _weights(n, seen)
+    own_line (from 0, the first of a window; -1: the whole file)."""
+    weights, templates = _weights(n, seen), _templates()
     spark = files.sparkSession
-    names = sorted(TEMPLATES)
-    norm = {name: math.sqrt(sum(weights[w] ** 2 for w in _words(TEMPLATES[name]))) for name in names}
+    counts = counted(files) if counts is None else counts
     rare = F.array(*map(F.lit, distinctive(weights)))
     name = F.element_at(F.split("path", "/"), -1)
-    lines = files.select("key", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
+    lines = F.split("text", "\n")
+    split = files.select("key", F.posexplode(lines).alias("line", "unit"))
+    tags = split.where(F.lower("unit").contains("spdx-license-identifier")).select(
+        "key", F.lit(1.0).alias("score"), "line", _tag(F.col("unit")).alias("name")).where("name is not null")
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.arrays_overlap(_tokens(x), rare).alias("hit")))
+    hits = F.transform(F.filter(numbered, lambda x: x["hit"]), lambda x: x["i"])
+    near = files.select("key", "text", hits.alias("hits")).where(F.size("hits") > 0)
+    each = near.select("key", F.explode("hits").alias("line"), lines.alias("lines"))
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda i: F.array(*[F.greatest(i - k, F.lit(0)) for k in range(3)]))))
+    singly = each.select("key", "line", F.explode(F.array_union(F.array(F.col("lines")[F.col("line")]), F.split(
+        F.col("lines")[F.col("line")], r"(?<=[.!?;])\s+"))).alias("unit"))
+    wide = near.select("key", F.explode(starts).alias("line"), lines.alias("lines")).select("key", "line", F.explode(F.array_distinct(F.array(*[
+        F.array_join(F.slice("lines", F.col("line") + 1, w), " ") for w in WINDOWS]))).alias("unit"))
     whole = files.where(name.rlike(LICENCE_FILE)).select("key", F.lit(-1).alias("line"), F.col("text").alias("unit"))
-    units = lines.unionByName(whole).select("key", "line", _tokens(F.col("unit")).alias("words")) \
-        .where(F.arrays_overlap("words", rare)).dropDuplicates(["key", "line"])
+    words = F.array_sort(_tokens(F.col("unit")))
+    part = singly.unionByName(wide).select("key", "line", words.alias("words")).where(F.arrays_overlap("words", rare))
+    units = part.unionByName(whole.select("key", "line", words.alias("words")).where(F.size("words") > 0))
+    text = F.array_join("words", " ")
+    units = stored(units.withColumn("set", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.reverse(text)).alias("b"))), "licence_units")
+    sets = units.select("set", "words").dropDuplicates(["set"])
     vocabulary = spark.createDataFrame(
-        [(w, weights[w], [weights[w] if w in _words(TEMPLATES[name]) else 0.0 for name in names]) for w in sorted(weights)],
-        "word string, weight double, parts array<double>")
-    worded = units.select("key", "line", F.explode("words").alias("word")).join(F.broadcast(vocabulary), "word", "left")
-    weight = F.coalesce("weight", F.lit(other))
-    dots = [F.sum(F.coalesce(weight * F.col("parts")[k], F.lit(0.0))).alias(f"dot{k}") for k in range(len(names))]
-    sums = worded.groupBy("key", "line").agg(F.sum(weight * weight).alias("square"), *dots)
-    scores = F.array(*[F.struct((F.round(F.col(f"dot{k}") / F.sqrt("square") / norm[names[k]], 9)).alias("score"),
-                                F.lit(names[k]).alias("name")) for k in range(len(names))])
-    found = sums.select("key", "line", F.explode(scores).alias("m")).where(F.col("m.score") >= LEAST)
-    best = found.groupBy("key").agg(F.min(F.struct((-F.col("m.score")).alias("score"), "line", F.col("m.name").alias("name"))).alias("m"))
+        [(w, [(k, w == must) for k, (_, must, t) in enumerate(templates) if w in t]) for w in sorted(seen)],
+        "word string, parts array<struct<template:int,must:boolean>>")
+    worded = sets.select("set", F.explode("words").alias("word")).join(counts, "word")
+    square = F.pow(F.log((1.0 + n) / (1 + F.col("df"))) + 1, 2).alias("square")
+    itself = F.array(F.struct(F.lit(-1).alias("template"), F.lit(False).alias("must")))
+    sums = stored(worded.join(F.broadcast(vocabulary), "word", "left").select("set", square, F.explode(
+        F.concat(itself, F.coalesce("parts", F.array().cast("array<struct<template:int,must:boolean>>")))).alias("p"))
+        .groupBy("set", F.col("p.template").alias("template")).agg(F.sum("square").alias("dot"), F.max("p.must").alias("must")), "licence_sums")
+    norms = spark.createDataFrame([(k, name, must is not None, sum(weights[w] ** 2 for w in t)) for k, (name, must, t) in enumerate(templates)],
+                                  "template int, name string, needs boolean, norm double")
+    own = sums.where("template = -1").select("set", F.col("dot").alias("square"))
+    scored = sums.join(F.broadcast(norms), "template").where("must or not needs").join(own, "set").select(
+        "set", "name", F.round(F.col("dot") / F.sqrt("square") / F.sqrt("norm"), 9).alias("score")).where(F.col("score") >= LEAST)
+    tops = stored(scored.groupBy("set").agg(F.min(F.struct((-F.col("score")).alias("score"), "name")).alias("m")), "licence_sets")
+    found = units.join(tops, "set").select("key", (-F.col("m.score")).alias("score"), "line", F.col("m.name").alias("name")).unionByName(tags)
+    best = found.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "line", "name")).alias("m"))
     return best.select("key", F.col("m.name").alias("own_licence"), (-F.col("m.score")).alias("own_score"), F.col("m.line").alias("own_line"))
 
 
@@ -115,8 +202,9 @@ def scanned(files: DataFrame) -> DataFrame:
     and inherited_from (a directory; null if the licence is the file's own)."""
     key = F.struct(F.xxhash64("path", "text").alias("a"), F.xxhash64("text", "path").alias("b"))
     files = files.drop(*_RESULT).withColumn("_key", key)
-    n, seen = frequencies(files)
-    own = stored(matched(files.select(F.col("_key").alias("key"), "path", "text"), n, seen), "licences") \
+    counts = stored(counted(files), "words")
+    n, seen = frequencies(files, counts)
+    own = stored(matched(files.select(F.col("_key").alias("key"), "path", "text"), n, seen, counts), "licences") \
         .withColumnRenamed("key", "_key")
     cut = F.regexp_replace("path", "/?[^/]*$", "")
     slim = files.drop("text").join(own, "_key", "left").drop("_key").withColumn("_dir", cut)

@@ -341,6 +341,26 @@ def test_licences(spark):
     assert licences.scanned(df.where("false")).count() == 0
 
 
+def test_licence_texts_headers_and_size(spark):
+    """Licence texts, tags, wrapped headers and sentences are found, in a small and in a larger corpus."""
+    from pathlib import Path
+    texts = Path(licences.__file__).parent / "licence_texts"
+    header = [h for h in licences.HEADERS if h[0] == "Apache-2.0"][-1][2]
+    wrapped = "\n".join(" * " + header[k:k + 70] for k in range(0, len(header), 70))
+    files = [("m/LICENSE", (texts / "MIT.txt").read_text(), "MIT"), ("p/LICENSE", (texts / "Apache-2.0.txt").read_text(), "Apache-2.0"),
+             ("g/COPYING", (texts / "GPL-2.0.txt").read_text(), "GPL-2.0"), ("a.c", "// SPDX-License-Identifier: MIT", "MIT"),
+             ("b.c", "# SPDX-License-Identifier: (GPL-3.0-or-later OR Apache-2.0)\ncode", "GPL-3.0"), ("z.c", "# SPDX-License-Identifier: Zlib", None),
+             ("c.c", f"code\n{wrapped}\nint main", "Apache-2.0"), ("d.c", "Copyright 2024 Acme Inc. All rights reserved.", "Proprietary"),
+             ("e.md", "Code is released under the MIT License.", "MIT"), ("f.md", "Licensed under the Apache License, Version 2.0. See LICENSE.", "Apache-2.0"),
+             ("h.md", "License", None), ("m/inside.c", "int x;", None)]
+    rows = [(p, t) for p, t, _ in files]
+    for more in (200, 20_000):
+        filler = spark.range(more).selectExpr("concat('x/', id) path", "concat('this code is in the file, see word', id) text")
+        got = {r["path"]: r for r in licences.scanned(spark.createDataFrame(rows, "path string, text string").unionByName(filler)).where("path not like 'x/%'").collect()}
+        assert {p: got[p]["own_licence"] for p, _, _ in files} == {p: want for p, _, want in files}
+        assert got["m/inside.c"]["licence"] == "MIT"
+
+
 def test_licence_filter_loses_nothing(spark, monkeypatch):
     rows = [(i, f"d/{i}", " ".join(np.random.default_rng(i).choice("the apache license version 2 0 under licensed of gnu mit public".split(), 8))) for i in range(60)]
     df = spark.createDataFrame(rows, "key long, path string, text string")
