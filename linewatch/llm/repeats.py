@@ -2,10 +2,14 @@
 
 Units: a line, or where a line is longer the run of whole sentences that first
 reaches ``MIN_WORDS`` words (white space after them included), so that units meet
-again after any longer sentence wherever a shared passage begins. Units are normalised
+again after any longer sentence wherever a shared passage begins. Beside them passages,
+which overlap: the ``RUN`` words from each anchor on, over lines and sentences alike.
+Anchors are words whose hash with the next word is the least of some ``WINDOW`` in a row, so they
+depend on nearby words only and every shared passage of ``WINDOW + RUN`` words holds a whole
+run; as ``RUN`` is no less than ``WINDOW``, runs leave no gap, and up to ``WINDOW`` words at either end may stay. Chinese and Japanese characters count as words there. Units are normalised
 (case, white space), hashed to 128 bits, and grouped over the whole corpus. The
 earliest occurrence by doc_id and offset stays, all others go; units of fewer words
-never go. Offsets are code points of the text as it came in.
+never go. A passage that overlaps its own first occurrence stays. Offsets are code points of the text as it came in.
 
 Only units that occur again are joined back; least occurrences are aggregated
 before the shuffle, so a line in a third of all documents is one row a task there.
@@ -20,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,6 +33,11 @@ from pyspark.sql import functions as F
 from linewatch.llm.common import stored
 
 MIN_WORDS = 10
+#: All shared passages of 24 + 26 words hold a run.
+WINDOW = 24
+RUN = 26
+_CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+_WORD = re.compile(rf"[{_CJK}]|[^\s{_CJK}]+")
 _BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+")
 
 
@@ -48,39 +58,73 @@ def digest(unit: str) -> int:
     return xxhash.xxh3_128_intdigest(" ".join(unit.lower().split()).encode("utf-8", "surrogatepass"))
 
 
+def passages(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Start, end and digest of the run from each anchor."""
+    found = [m.span() for m in _WORD.finditer(text)]
+    if len(found) < RUN:
+        return np.empty(0, np.int64), np.empty(0, np.int64), []
+    hashes = np.array([xxhash.xxh3_64_intdigest(text[a:b].lower().encode("utf-8", "surrogatepass")) for a, b in found], np.uint64)
+    mixed = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ hashes[1:] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    windows = np.lib.stride_tricks.sliding_window_view(mixed, min(WINDOW, len(mixed)))
+    anchors = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    first = anchors[anchors + RUN <= len(found)]
+    spans = np.array(found, np.int64)
+    raw = hashes.tobytes()
+    return spans[first, 0], spans[first + RUN - 1, 1], [xxhash.xxh3_128_digest(raw[8 * a:8 * (a + RUN)]) for a in first.tolist()]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def occurrences(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Units of at least ``min_words`` words: doc_id, copy (hash of the text), start, end and digest."""
+    """Units of at least ``min_words`` words, and passages: doc_id, copy (hash of the text), start, end and digest."""
     names = {"doc_id": pa.int64(), "copy": pa.int64(), "start": pa.int32(), "end": pa.int32(), "d1": pa.int64(), "d2": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, whole = [], []
             for doc_id, copy, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = text.as_py()
                 for start, end, words in units(text or "", min_words):
                     if words >= min_words:
                         d = digest(text[start:end])
                         rows.append((doc_id, copy, start, end, _signed(d >> 64), _signed(d & (1 << 64) - 1)))
+                starts, ends, digests = passages(text or "")
+                if digests:
+                    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    whole.append((pa.array([doc_id] * len(digests), pa.int64()), pa.array(np.full(len(digests), copy)), *(
+                        pa.array(x.astype(np.int32)) for x in (starts, ends)), *(pa.array(halves[:, k].copy()) for k in (0, 1))))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.values(), strict=True)], list(names))
+            for k in range(0, len(whole), 256):
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*whole[k:k + 256], strict=True)], list(names))
 
     return documents.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(
         run, "doc_id long, copy long, start int, end int, d1 long, d2 long")
 
 
+def _joined(spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    """Sorted spans, those that overlap or touch as one."""
+    joined: list[dict[str, int]] = []
+    for span in spans:
+        if joined and span["start"] <= joined[-1]["end"]:
+            joined[-1]["end"] = max(joined[-1]["end"], span["end"])
+        else:
+            joined.append(dict(span))
+    return joined
+
+
 def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents with ``text`` less its repeated units, ``removed`` (start and end of
     each removed stretch in the text that came in) and all other columns."""
     documents = documents.drop("removed")
     found = stored(occurrences(documents, min_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start")
-    repeated = stored(found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    repeated = stored(found.groupBy("d1", "d2").agg(F.min(F.struct(rank.alias("rank"), "end")).alias("first"), F.count("*").alias("n"))
                       .where("n > 1").select("d1", "d2", "first"), "repeated")  # stored, so that a hot unit's join can be split
-    gone = found.join(repeated, ["d1", "d2"]).where(rank > F.col("first"))
+    overlaps = F.col("doc_id").eqNullSafe(F.col("first.rank.doc_id")) & (F.col("start") < F.col("first.end"))
+    gone = found.join(repeated, ["d1", "d2"]).where((rank > F.col("first.rank")) & ~overlaps)
     spans = (gone.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
              .select(F.col("doc_id").alias("_span_doc"), F.col("copy").alias("_span_copy"), "removed"))
     joined = documents.join(spans, F.col("doc_id").eqNullSafe(F.col("_span_doc")) & (
@@ -92,9 +136,10 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, merged = [], []
             for text, removed in zip(batch.column(at), batch.column(len(columns)), strict=True):
-                text, removed = text.as_py(), removed.as_py()
+                text, removed = text.as_py(), _joined(removed.as_py())
+                merged.append(removed)
                 if removed:
                     kept, last = [], 0
                     for span in removed:
@@ -104,6 +149,7 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 texts.append(text)
             arrays = list(batch.columns)
             arrays[at] = pa.array(texts, pa.string())
+            arrays[-1] = pa.array(merged, batch.schema.types[-1])
             yield pa.RecordBatch.from_arrays(arrays, [*columns, "removed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

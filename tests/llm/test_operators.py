@@ -200,6 +200,23 @@ def test_repeats(docs, nothing):
             assert "".join(text[a:b] for a, b, _ in repeats.units(text, n)) == text
 
 
+def test_repeated_passages_in_any_layout(spark):
+    """Short lines, short sentences out of step, unpunctuated and unspaced text: at most the ends of a shared passage stay."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    a, b, c = fresh(80), fresh(72), fresh(120)
+    lines = "\n".join(" ".join(a[k:k + 8]) for k in range(0, 80, 8))
+    sentences = " ".join(" ".join(b[k:k + 6]) + "." for k in range(0, 72, 6))
+    han = "".join(chr(0x4E00 + x) for x in rng.integers(0, 8000, 120))
+    rows = [f"{' '.join(fresh(9))}\n{lines}\n{' '.join(fresh(5))}", f"{' '.join(fresh(7))}\n{lines}", sentences, " ".join(fresh(7)) + ". " + sentences,
+            " ".join([*fresh(30), *c, *fresh(30)]), " ".join([*fresh(41), *c, *fresh(20)]), "".join(["一二三", han]), "".join(["四五六七", han, "八"])]
+    found = {r["doc_id"]: r for r in repeats.deduplicated(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for k, words in ((0, a), (2, [w for w in sentences.split()]), (4, c), (6, list(han))):
+        assert found[k]["text"] == rows[k]
+        left = sum(w in (found[k + 1]["text"] if k == 6 else found[k + 1]["text"].split()) for w in words)
+        assert left <= 2 * repeats.WINDOW and len(rows[k + 1]) - len(found[k + 1]["text"]) == sum(s["end"] - s["start"] for s in found[k + 1]["removed"])
+
+
 def test_mixing(docs, nothing):
     rows = mixing.mixed(docs).collect()
     assert len(rows) == len(odd_rows())
