@@ -7,7 +7,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewatch.llm import licences, mixing, multiset, packing, repeats, simhash, token_store, topk, toxicity, wrapper
+from linewatch.llm import (binary_codes, licences, mixing, multiset, packing, periodic, repeats, simhash, token_store, topk, toxicity,
+                           whitening, wrapper)
 from linewatch.llm.common import scratch, table
 from linewatch.llm.sql import MIXING, TOPK
 from linewatch.queries import Entry
@@ -84,8 +85,41 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "path", "own_licence", "own_score", "own_line", "licence", "inherited_from")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), most=8)
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic.found(with_periodic_tails(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"),
+                                                                 (-r["period"]).alias("finer"))))
+    return runs.withColumn("_longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_longest.before")).alias("start"),
+        F.col("_longest.length").alias("length"), (-F.col("_longest.finer")).alias("period"),
+        F.expr("1000 * _longest.length div -_longest.finer").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where every tenth text (by a hash of the id; a null id has none) repeats
+    itself from some word on, as the contract of op13 says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("_words").cast("long")
+    edited = docs.select("doc_id", "text", h.alias("_h"), F.when(h % 10 == 0, F.expr(
+        r"regexp_extract_all(text, '([^\\x20\\x09-\\x0D]+)', 1)")).alias("_words"))
+    edited = edited.withColumn("_a", F.when(n > 0, g % n))
+    edited = edited.withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + g % 8)))
+    tiled = F.expr("array_join(transform(_words, (w, i) -> if(i < _a, w, _words[int(_a + (i - _a) % _p)])), ' ')")
+    return edited.select("doc_id", F.when(F.col("_a").isNotNull(), tiled).otherwise(F.col("text")).alias("text"))
+
+
 def load() -> dict[str, Entry]:
     sql = {"op7_mixing": MIXING, "op9_top_k": TOPK}
     found = (op1_toxicity, op2_fingerprint, op3_repeats, op4_simhash, op5_token_files, op6_packing, op7_mixing,
-             op8_main_text, op9_top_k, op10_licences)
+             op8_main_text, op9_top_k, op10_licences, op11_whitening, op12_nearest, op13_periodic_runs)
     return {f.__name__: Entry(f, sql.get(f.__name__)) for f in found}
