@@ -8,10 +8,8 @@ from linewatch.functions.recipe import recipe
 from linewatch.operators import profiles as pr
 from linewatch.operators import signals as sg
 from linewatch.queries import query
-from linewatch.queries.events import _TEXT, written_log
 from linewatch.queries.signals import _STATE, OVER
 from linewatch.queries.sql import label, with_views
-from linewatch.sources import event_log as files
 from linewatch.sources import shared
 from linewatch.sources import tables as t
 from linewatch.streaming import streams
@@ -85,78 +83,6 @@ def u4(spark, d):
         piece_confidence(area_px, 60000) AS confidence, aspect_ratio(width_px, height_px) AS aspect FROM linewatch_pieces""")
 
 
-def streamed(spark, df, mode: str = "complete"):
-    """Work off a stream into a table and read that back."""
-    path = shared.scratch(spark, "stream")
-    streams.run_to_table(df, path, path + "-checkpoint", mode)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@query("a3_stream_event_log", with_views("event_log", body=f"SELECT {_TEXT}, event_date FROM event_log"))
-def a3(spark, d):
-    log = files.stream(spark, written_log(spark, d), 100)
-    return streamed(spark, log.select("timestamp_iso", "event_type", "profile_name", "fault_reason", "image_filename",
-                                      "extra_json", "event_date"), "append")
-
-
-def event_stream(spark, d):
-    e = streams.with_event_time(streams.table_stream(spark, d, "events"))
-    return e.select(F.col("user_id").alias("line_id"), "ts", "t_ms", F.col("event_id").alias("seq"), "event_type", "value",
-                    F.col("event_type").isin("click", "view", "purchase").alias("running"),
-                    (F.col("event_type") == "error").alias("fault"))
-
-
-@query("a11_command_sink", with_views("signals", body="SELECT line_id, seq, CASE WHEN running THEN 'set_stop' ELSE 'set_error' END AS command FROM signals WHERE running OR fault"))
-def a11(spark, d):
-    commands = event_stream(spark, d).where("running OR fault").select(
-        "line_id", "seq", "ts", F.when(F.col("running"), "set_stop").otherwise("set_error").alias("command"))
-    path = shared.scratch(spark, "commands")
-    streams.command_sink(commands, path, path + "-checkpoint", "ts").awaitTermination()
-    return spark.read.schema("line_id long, seq long, command string").parquet(f"{path}/batch=*")
-
-
-@query("s14_perf_stream", with_views(body="""SELECT user_id AS line_id, epoch_us(ts)//3600000000*3600000 AS start_ms, COUNT(*) AS frames,
-  ROUND(AVG(value), 4) AS mean_ms, MAX(value) AS max_ms, COUNT(*) FILTER (WHERE event_type = 'view') AS detections FROM events GROUP BY 1, 2"""))
-def s14(spark, d):
-    e = event_stream(spark, d).withColumns({"total_ms": F.col("value"), "detected": F.col("event_type") == "view"})
-    return streamed(spark, streams.perf(e, "1 hour")).withColumn("mean_ms", F.round("mean_ms", 4))
-
-
-@query("s15_drop_stream", with_views(body="""SELECT user_id AS line_id, epoch_us(ts)//3600000000*3600000 AS start_ms, COUNT(*) AS frames,
-  CAST(SUM(event_id % 3) AS BIGINT) AS dropped FROM events GROUP BY 1, 2"""))
-def s15(spark, d):
-    return streamed(spark, streams.drops(event_stream(spark, d).withColumn("dropped", F.col("seq") % 3), "1 hour"))
-
-
-@query("s16_fault_rate_stream", with_views("signals", body="""SELECT line_id, start_ms, COUNT(*) AS frames, COUNT(*) FILTER (WHERE fault) AS faults,
-  ROUND(COUNT(*) FILTER (WHERE fault)/CAST(COUNT(*) AS DOUBLE)*100, 4) AS fault_rate FROM (
-  SELECT *, (t_ms//60000 - k)*60000 AS start_ms FROM signals, RANGE(5) r(k)) GROUP BY line_id, start_ms"""))
-def s16_stream(spark, d):
-    return streamed(spark, streams.fault_rate(event_stream(spark, d))).withColumn("fault_rate", F.round("fault_rate", 4))
-
-
-@query("s17_session_stream", with_views("signals", body="""SELECT line_id, MIN(t_ms) AS start_ms, MAX(t_ms) + 21600000 AS end_ms, COUNT(*) AS "rows" FROM (
-  SELECT *, SUM(CASE WHEN p IS NULL OR t_ms - p >= 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY t_ms, seq) AS session FROM (
-  SELECT *, LAG(t_ms) OVER (PARTITION BY line_id ORDER BY t_ms, seq) AS p FROM signals WHERE running)) GROUP BY line_id, session"""))
-def s17_stream(spark, d):
-    return streamed(spark, streams.sessions(event_stream(spark, d), "6 hours"))
-
-
-@query("s21_bounded_input", with_views(body="SELECT user_id AS line_id, COUNT(*) AS events FROM events GROUP BY 1"))
-def s21(spark, d):
-    """One file per trigger: a burst waits in the source, nothing is dropped."""
-    e = streams.table_stream(spark, d, "events", files_per_trigger=1)
-    return streamed(spark, e.groupBy(F.col("user_id").alias("line_id")).agg(F.count(F.lit(1)).alias("events")))
-
-
-@query("o7_deduplicated_stream", with_views("event_log", body="SELECT line_id, seq, event_type FROM event_log"))
-def o7_stream(spark, d):
-    """Every event delivered twice in one stream; the second copy is dropped."""
-    twice = event_stream(spark, d).withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
-    out = streamed(spark, streams.deduplicated(twice, ["line_id", "seq"]).select("line_id", "seq"), "append")
-    return out.join(t.event_log(spark, d).select("line_id", "seq", "event_type"), ["line_id", "seq"])
-
-
 @query("u3_state_listener", with_views("signals", body=f"""SELECT line_id, seq, old, new FROM (
   SELECT line_id, seq, LAG({_STATE}) {OVER} AS old, {_STATE} AS new FROM signals) WHERE old <> new"""))
 def u3(spark, d):

@@ -1,6 +1,6 @@
 import importlib
 
-NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection", "stateful", "pixels", "extension"]
+NAMES = ["pieces", "rows", "recipes", "signals", "events", "inspection", "stateful", "pixels", "extension", "streaming"]
 
 
 def import_all() -> None:

@@ -3,7 +3,8 @@
 A machine has ``start()`` (a JSON-like state), ``columns`` (what it reads of a
 row, in order), ``schema`` (what it emits) and ``step(state, *row)`` which
 changes the state in place and returns the rows to emit. The same machine runs
-over a sorted table (``fold``) and on a stream (``on_stream``).
+over a sorted table (``run.fold``) and on a stream (``keyed.on_stream``). ``tracks`` names
+a list in the state (path and row schema) that grows with what the machine follows.
 """
 
 from __future__ import annotations
@@ -108,6 +109,7 @@ class Clusters:
     """Ids for row fronts, matched to predicted positions, nearest pairs first."""
     columns = ("t_ms", "frame_id", "fronts")
     schema = "t_ms long, frame_id long, row_id int, cluster_id int, front double, outcome string"
+    tracks = (("known",), "id int, front double, missed int")
 
     def __init__(self, speed: float = 350.0, max_dist: float = 120.0, max_missed: int = 3):
         self.speed, self.max_dist, self.max_missed = speed or 350.0, max_dist, max_missed
@@ -150,6 +152,7 @@ class RowLines:
     """Row lines that fire once when they cross the transfer line."""
     columns = ("frame_id", "row_xs")
     schema = "frame_id long, rows int, fired int"
+    tracks = (("tracks",), "x double, before double, fired boolean, missed int")
 
     def __init__(self, line_x: float, factor: float = fixed.MATCH_TOLERANCE, max_missed: int = 5):
         self.line, self.factor, self.max_missed = line_x, factor, max_missed
@@ -198,6 +201,7 @@ class Stops:
     """Stop commands per row: WAITING, STOPPED, DONE; one emitted row per running frame."""
     columns = ("t_ms", "frame_id", "running", "edges", "cols")
     schema = STOP_SCHEMA
+    tracks = (("clusters", "known"), Clusters.tracks[1])
 
     def __init__(self, line_x: float = 632.0, grid_rows: int = 3, grid_columns: int = 8, row_gap: float = 150.0,
                  boundary_offset: float = 25.0, clearing_timeout_ms: int = 400, fresh_margin: float = 200.0,
@@ -422,32 +426,44 @@ class FaultLatch:
 
 
 class LineState:
-    """Streaming form of the line state machine."""
-    columns = ("t_ms", "seq", "event")
-    schema = "t_ms long, seq long, event string, state_before string, state_after string, clean_frames int"
+    """Streaming form of the line state machine: flags, counters and reason as in batch."""
+    columns = ("t_ms", "seq", "event", "reason")
+    schema = ("t_ms long, seq long, event string, state_before string, state_after string, clean_frames int, running boolean, "
+              "stop boolean, fault_active boolean, fault_count long, pulse_count long, fault_reason string, ignored boolean")
 
-    def __init__(self, clear_frames: int = 5):
+    def __init__(self, clear_frames: int = 5, through: str = ""):
+        """``through``: further columns ("name type, ...") handed to a machine that follows."""
         if clear_frames < 1:
             raise ValueError("clear_frames must be at least 1")
         self.clear_frames = clear_frames
+        if through:
+            self.columns = (*self.columns, *(c.split()[0] for c in through.split(",")))
+            self.schema = f"{self.schema}, {through}"
 
     def start(self) -> dict:
-        return {"at": [fixed.WAITING, 0]}
+        return {"at": [fixed.WAITING, 0, False, False, False], "faults": 0, "pulses": 0, "why": ""}
 
-    def step(self, s: dict, t_ms, seq, event) -> list[tuple]:
-        before = tuple(s["at"])
-        after = line_step(before, event, self.clear_frames)
-        s["at"] = list(after)
-        return [(t_ms, seq, event, before[0], after[0], after[1])]
+    def step(self, s: dict, t_ms, seq, event, reason, *through) -> list[tuple]:
+        before = s["at"][0]
+        s["at"] = list(line_step_flags(tuple(s["at"]), event, self.clear_frames))
+        after = s["at"][0]
+        if after == fixed.FAULT and before != fixed.FAULT and event in ("belt_fault", "verdict_fault"):
+            s["faults"] += 1
+            s["why"] = reason or s["why"]
+        elif event == "emergency" and after == fixed.FAULT:
+            s["why"] = "emergency_stop"
+        s["pulses"] += event == "verdict_ok" and before == fixed.INSPECTING
+        late = event in ("verdict_ok", "verdict_fault") and before != fixed.INSPECTING
+        return [(t_ms, seq, event, before, *s["at"], s["faults"], s["pulses"], s["why"], late, *through)]
 
 
 class RowPhase:
-    """Streaming form of the row phase."""
+    """Streaming form of the row phase, with the commands it gives."""
     columns = ("t_ms", "seq", "running", "occupied")
-    schema = "t_ms long, seq long, phase_before string, phase_after string, stop boolean"
+    schema = "t_ms long, seq long, phase_before string, phase_after string, command string"
 
-    def __init__(self, debounce: int = 2, clear_frames: int = 3):
-        self.debounce, self.clear_frames = debounce, clear_frames
+    def __init__(self, debounce: int = 2, clear_frames: int = 3, forget_on_rising: bool = True):
+        self.debounce, self.clear_frames, self.forget_on_rising = debounce, clear_frames, forget_on_rising
 
     def start(self) -> dict:
         return {"at": list(PHASE_START), "was": None}
@@ -456,8 +472,101 @@ class RowPhase:
         edge = None if s["was"] is None or s["was"] == running else ("rising" if running else "falling")
         s["was"] = running
         before = s["at"][0]
-        s["at"] = list(phase_step(tuple(s["at"]), (edge, running, occupied), self.debounce, self.clear_frames))
-        return [(t_ms, seq, before, s["at"][0], before == IDLE and s["at"][0] == AT_LINE)]
+        s["at"] = list(phase_step(tuple(s["at"]), (edge, running, occupied), self.debounce, self.clear_frames, self.forget_on_rising))
+        command = {(IDLE, AT_LINE): "stop", (AT_LINE, IDLE): "clear"}.get((before, s["at"][0]))
+        return [(t_ms, seq, before, s["at"][0], command)]
+
+
+class SelfClear:
+    """An active fault clears by ``n`` clean rows in a row; any fault starts again."""
+    columns = ("t_ms", "seq", "fault")
+    schema = "t_ms long, seq long"
+
+    def __init__(self, n: int = 5):
+        self.n = n
+
+    def start(self) -> dict:
+        return {"active": False, "clean": 0}
+
+    def step(self, s: dict, t_ms, seq, fault) -> list[tuple]:
+        if fault:
+            s.update(active=True, clean=0)
+        elif s["active"]:
+            s["clean"] += 1
+            if s["clean"] >= self.n:
+                s.update(active=False, clean=0)
+                return [(t_ms, seq)]
+        return []
+
+
+class AckEdge:
+    """A pressed acknowledge button acts once and clears error and fault together."""
+    columns = ("t_ms", "seq", "ack", "fault")
+    schema = "t_ms long, seq long, cleared_error boolean, cleared_fault boolean"
+
+    def start(self) -> dict:
+        return {"was": None, "error": False, "fault": False}
+
+    def step(self, s: dict, t_ms, seq, ack, fault) -> list[tuple]:
+        rising = bool(ack) and s["was"] is False
+        s["was"] = bool(ack)
+        if fault:  # a raised fault sets the error code too
+            s["error"] = s["fault"] = True
+        if not rising:
+            return []
+        out = (t_ms, seq, s["error"], s["fault"])
+        s["error"] = s["fault"] = False
+        return [out]
+
+
+class Inspection:
+    """Belt windows with their latch, and event log rows, from the states of a line.
+
+    Follows ``LineState`` in one query: its columns are that machine's output and what it hands
+    through. A window opens and closes with the belt; opening arms and forgets; a window latches once.
+    """
+    columns = ("t_ms", "seq", "state_before", "state_after", "fault_reason", "belt_running", "fault", "profile")
+    schema = ("kind string, t_ms long, seq long, open_ms long, close_ms long, frames long, latched boolean, "
+              "fault_reason string, state_before string, state_after string, profile string")
+
+    def __init__(self, n: int = 3):
+        self.n = n
+
+    def start(self) -> dict:
+        return {"window": None, "run": 0, "profile": None}
+
+    def step(self, s: dict, t_ms, seq, before, after, why, belt, fault, profile) -> list[tuple]:
+        out = self.window(s, t_ms, seq, belt, fault)
+        kind = None
+        if after == fixed.FAULT and before != fixed.FAULT:
+            kind = "fault_raised"
+        elif before == fixed.FAULT and after == fixed.WAITING:
+            kind = "fault_cleared"
+        if kind:
+            out.append((kind, t_ms, seq, None, None, None, None, why if kind == "fault_raised" else "", before, after, None))
+        if profile is not None and profile != s["profile"]:
+            if s["profile"] is not None:
+                out.append(("profile_change", t_ms, seq, None, None, None, None, "", None, None, profile))
+            s["profile"] = profile
+        return out
+
+    def window(self, s: dict, t_ms, seq, belt, fault) -> list[tuple]:
+        if not belt:
+            closed, s["window"] = s["window"], None
+            return [self.row(closed, t_ms)] if closed else []
+        if s["window"] is None:
+            s["window"] = {"open": t_ms, "seq": seq, "frames": 0, "latched": False}
+            s["run"] = 0
+        w = s["window"]
+        w["frames"] += 1
+        if not w["latched"]:
+            s["run"] = s["run"] + 1 if fault else 0
+            w["latched"] = s["run"] >= self.n
+        return []
+
+    @staticmethod
+    def row(w: dict, close_ms) -> tuple:
+        return ("window", w["open"], w["seq"], w["open"], close_ms, w["frames"], w["latched"], None, None, None, None)
 
 
 class StopLatch:

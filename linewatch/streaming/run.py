@@ -1,4 +1,4 @@
-"""Run a machine over a sorted table or on a stream."""
+"""Run a machine over a sorted table; ``keyed`` has the streaming form."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from linewatch.operators.scan import CHUNK, DAY_MS, chunked
 from linewatch.sources import shared
 
 
-def _frame(rows: list[tuple], names: list[str], dtypes: dict[str, str]) -> pd.DataFrame:
+def frame_of(rows: list[tuple], names: list[str], dtypes: dict[str, str]) -> pd.DataFrame:
     df = pd.DataFrame(rows, columns=names)
     return df.astype({c: d for c, d in dtypes.items() if c in df.columns})
 
@@ -23,7 +23,7 @@ def _frame(rows: list[tuple], names: list[str], dtypes: dict[str, str]) -> pd.Da
 _NULLABLE = {"bigint": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean"}
 
 
-def _dtypes(schema: str) -> dict[str, str]:
+def nullable_types(schema: str) -> dict[str, str]:
     return {f.name: _NULLABLE[f.dataType.simpleString()] for f in StructType.fromDDL(schema).fields
             if f.dataType.simpleString() in _NULLABLE}
 
@@ -39,7 +39,7 @@ def fold(df: DataFrame, machine, keys: Sequence[str], order: Sequence[str]) -> D
     key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{key_types}, {machine.schema}"
     names = [f.name for f in StructType.fromDDL(schema).fields]
-    dtypes = _dtypes(schema)
+    dtypes = nullable_types(schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -52,7 +52,7 @@ def fold(df: DataFrame, machine, keys: Sequence[str], order: Sequence[str]) -> D
                     current, state = key, machine.start()
                 out.extend((*key, *r) for r in machine.step(state, *row))
             if out:
-                yield _frame(out, names, dtypes)
+                yield frame_of(out, names, dtypes)
 
     wanted = list(dict.fromkeys([*keys, *order, *machine.columns]))
     return (df.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, *order)
@@ -77,7 +77,7 @@ def fold_chained(df: DataFrame, machine, keys: Sequence[str], order: Sequence[st
     base = chunked(df.select(*wanted), order[0], chunk_ms)
     schema = f"{key_types}, {machine.schema}"
     names = [f.name for f in StructType.fromDDL(schema).fields]
-    dtypes = _dtypes(schema)
+    dtypes = nullable_types(schema)
 
     def dump(state) -> str:
         return json.dumps(state, sort_keys=True, default=lambda o: o.item())  # numpy scalars
@@ -99,7 +99,7 @@ def fold_chained(df: DataFrame, machine, keys: Sequence[str], order: Sequence[st
                     if not states_only:
                         out.extend((*key[:-1], *r) for r in made)
                 if out:
-                    yield pd.DataFrame(out, columns=[*chunk_keys, "end"]) if states_only else _frame(out, names, dtypes)
+                    yield pd.DataFrame(out, columns=[*chunk_keys, "end"]) if states_only else frame_of(out, names, dtypes)
             if states_only and current is not None:
                 yield pd.DataFrame([(*current, dump(state))], columns=[*chunk_keys, "end"])
 
@@ -129,92 +129,6 @@ def fold_chained(df: DataFrame, machine, keys: Sequence[str], order: Sequence[st
             *chunk_keys, F.coalesce("_end", "end").alias("end"), F.coalesce("_begin", "start").alias("start")))
 
 
-def on_stream(df: DataFrame, machine, keys: Sequence[str] = ("line_id",), order: Sequence[str] = ("t_ms",),
-              hold: bool = False) -> DataFrame:
-    """Streaming form: one state per key; rows of a micro-batch are put in order first.
-
-    Rows older than the last one handled for their key are stragglers and are
-    left out; rows that tie with it are handled, as in batch. With ``hold``, rows wait
-    until the watermark has passed their first order column (milliseconds), so late rows
-    inside the watermark take their place and only later ones are left out; results
-    come that much later. A machine with ``deadline``/``expire`` gets an event-time timer.
-    Needs the RocksDB state store, and a watermark for timers.
-    """
-    from pyspark.sql.streaming import StatefulProcessor
-
-    keys, order = list(keys), list(order)
-    key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{key_types}, {machine.schema}"
-    names = [f.name for f in StructType.fromDDL(schema).fields]
-    dtypes, timed = _dtypes(schema), hasattr(machine, "deadline")
-    timers = timed or hold
-
-    class Processor(StatefulProcessor):
-        def init(self, handle) -> None:
-            self.handle = handle
-            self.body = handle.getValueState("body", "json string")
-
-        def _load(self):
-            if self.body.exists():
-                return json.loads(self.body.get()[0])
-            return {"state": machine.start(), "last": None, "waiting": []}
-
-        def _save(self, held) -> None:
-            self.body.update((json.dumps(held, default=lambda o: o.tolist()),))  # numpy scalars and arrays
-            if timers:
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-                due = [rank[0] for rank, _ in held["waiting"]]
-                if timed and machine.deadline(held["state"]) is not None:
-                    due.append(machine.deadline(held["state"]))
-                if due:
-                    self.handle.registerTimer(min(due))
-
-        def _handle(self, key, held, rows) -> list[tuple]:
-            out = []
-            for rank, row in rows:
-                if held["last"] is not None and list(rank) < held["last"]:
-                    continue
-                held["last"] = list(rank)
-                out.extend((*key, *r) for r in machine.step(held["state"], *row))
-            return out
-
-        def _passed(self, held, watermark) -> list:
-            waiting = sorted(held["waiting"], key=lambda r: r[0])
-            held["waiting"] = [r for r in waiting if r[0][0] > watermark]
-            return [r for r in waiting if r[0][0] <= watermark]
-
-        def handleInputRows(self, key, rows, timerValues):
-            batch = pd.concat(list(rows)).sort_values(order, kind="stable")
-            held = self._load()
-            ready = [(list(rank), row) for rank, row in zip(zip(*[batch[c].tolist() for c in order]),
-                                                            zip(*[batch[c].tolist() for c in machine.columns]))]
-            if hold:
-                held["waiting"].extend(ready)
-                ready = self._passed(held, timerValues.getCurrentWatermarkInMs())
-            out = self._handle(key, held, ready)
-            self._save(held)
-            yield _frame(out, names, dtypes)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            held, now = self._load(), expiredTimerInfo.getExpiryTimeInMs()
-            out = []
-            if hold:
-                now = timerValues.getCurrentWatermarkInMs()
-                out = self._handle(key, held, self._passed(held, now))
-            if timed:
-                out.extend((*key, *r) for r in machine.expire(held["state"], now))
-            self._save(held)
-            yield _frame(out, names, dtypes)
-
-        def close(self) -> None:
-            pass
-
-    return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=Processor(), outputStructType=schema, outputMode="Append",
-        timeMode="EventTime" if timers else "None")
-
-
 # --- automata with few states: exact over any history length -----------------
 
 def build_table(step: Callable, start, symbols: Sequence) -> tuple[list, list[list[int]]]:

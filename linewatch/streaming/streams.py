@@ -3,29 +3,50 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from linewatch.sources import tables
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 log = logging.getLogger(__name__)
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 64) -> DataFrame:
-    """A parquet table as a bounded stream; arrival is limited per trigger, so a
-    burst queues in the source instead of being dropped."""
-    schema = tables.table(spark, sf_dir, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
-
-
-def with_event_time(df: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """``ts`` as a real timestamp (watermarks reject zone-less ones) plus ``t_ms``."""
-    return (df.withColumn("t_ms", tables.epoch_ms("ts"))
-            .withColumn("ts", F.timestamp_millis("t_ms")).withWatermark("ts", late))
+#: Event time of the row that closes a source; its watermark lets every window and slot go.
+END = "2200-01-01 00:00:00"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def arrivals(df: DataFrame, path: str, parts: int = 4, by: str = "t_ms", closed: bool = True, files: int | None = None) -> None:
+    """Write a history as it would arrive: ``parts`` folders one after the other, each an equal stretch of the
+    time of arrival ``by`` (milliseconds); event time is ``t_ms``. ``closed`` adds a last file with one empty row
+    at ``END``: it ends the source, so that whatever waits for the watermark comes out. ``files`` fixes how many files a part has."""
+    lo, hi = df.agg(F.min(by), F.max(by)).first()
+    stamped = df.withColumn("ts", F.timestamp_millis("t_ms"))
+    for i in range(parts if lo is not None else 0):
+        rows = stamped.where(F.expr(f"(`{by}` - {lo}) * {parts} div {hi + 1 - lo} = {i}"))
+        (rows if files is None else rows.repartition(files)).write.mode("append").parquet(f"{path}/part={i:06d}")
+    if closed:
+        row = df.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields],
+                                              F.lit(END).cast("timestamp").alias("ts"))
+        row.write.mode("append").parquet(f"{path}/part={parts:06d}")
+
+
+def opened(spark: SparkSession, schema: StructType, path: str, late: str = "10 minutes", **admission) -> DataFrame:
+    """Stream of a folder written by ``arrivals``, oldest files first, with its watermark; the closing row moves the
+    watermark and is cut off behind it. ``admission``: ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``,
+    which bound what a batch takes; the rest waits in the source."""
+    whole = StructType([*schema.fields, StructField("ts", TimestampType())])
+    reader = spark.readStream.schema(whole).option("recursiveFileLookup", True)
+    for name, limit in (admission or {"maxFilesPerTrigger": 64}).items():
+        reader = reader.option(name, limit)
+    ended = F.col("ts") < F.lit(END).cast("timestamp")
+    # Conditions on these columns depend on the event time, so they stay above the watermark and the closing row reaches it.
+    rows = reader.parquet(path).withWatermark("ts", late).where(ended)
+    return rows.select(*[F.when(ended, F.col(c)).alias(c) for c in schema.names], "ts")
 
 
 def deduplicated(df: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -61,15 +82,62 @@ def sessions(df: DataFrame, gap: str) -> DataFrame:
                     F.unix_millis("w.end").alias("end_ms"), "rows"))
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Work off what is available. Appends go to a file sink; complete results
-    replace the table of the batch before."""
-    writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").start(path)
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which keyed processors need."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
+def run_to_table(df: DataFrame, path: str, checkpoint: str, progress: list | None = None) -> None:
+    """Work off what is available into a table that only grows: the file sink commits each batch once, and
+    aggregates come out when the watermark has passed them, so their state is freed. ``progress`` gets the
+    progress of every batch."""
+    with keyed_state(df.sparkSession):
+        query = (df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+                 .outputMode("append").format("parquet").start(path))
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
+
+
+def upsert_sink(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Changed rows of an aggregate in update mode. Every batch owns the folder of its number and replaces it
+    as a whole, so a repeated batch leaves the same rows; ``upserted`` reads the newest row of each key."""
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    with keyed_state(df.sparkSession):
+        return (df.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+                .outputMode("update").foreachBatch(deliver).start())
+
+
+def upserted(spark: SparkSession, schema: StructType, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key: highest batch number, found by a partial aggregate before the shuffle."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(f"{path}/batch=*")
+    rest = [c for c in schema.names if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in schema.names])
+
+
+def admitted(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Count what each batch of a bounded source takes, one row a batch."""
+    def count(batch: DataFrame, number: int) -> None:
+        batch.agg(F.lit(number).cast("long").alias("batch"), F.count(F.lit(1)).alias("taken")).write.mode("overwrite").parquet(f"{path}/no={number}")
+
+    return (df.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(count).start())
+
+
+def admissions(spark: SparkSession, path: str) -> DataFrame:
+    """Per batch: rows ``taken`` and rows that still waited in the source, out of all that came."""
+    rows = spark.read.schema("batch long, taken long").parquet(f"{path}/no=*")
+    upto = Window.orderBy("batch")  # one row a batch
+    return rows.select("batch", "taken", (F.sum("taken").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                                          - F.sum("taken").over(upto)).alias("waiting"))
 
 
 def command_sink(df: DataFrame, path: str, checkpoint: str, event_time: str | None = None, **trigger) -> StreamingQuery:
