@@ -15,7 +15,9 @@ task of bounded size, and hands on at most k rows a query.
 Nulls and odd rows: vectors that are null, empty or hold null, nan or infinite
 components and rows without vec_id take no part; shorter vectors are filled up with zeros;
 of rows that repeat a vec_id the least vector counts; ties go to the smaller vec_id;
-other columns are ignored; without queries or candidates the result is empty.
+other columns are ignored; without queries or candidates the result is empty. Scores are whole numbers
+throughout: bounds are widened by what floats may lose beyond 2**53, and members are scored in longs, or beyond
+those in whole numbers of any size; a score beyond a long is held at its end.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ class Block:
         n = len(self.vec_ids)
         order = np.stack([np.frombuffer(ids[d], np.int32) for d in range(dims)])
         falling = np.stack([np.frombuffer(values[d], np.int64) for d in range(dims)])
-        self.vectors = np.empty((n, dims))
+        self.vectors = np.empty((n, dims), np.int64)
         self.rank = np.empty((dims, n), np.int32)
         for d in range(dims):
             self.vectors[order[d], d] = falling[d]
@@ -103,8 +105,8 @@ class Block:
         self.smallest = falling[:, np.minimum(starts + self.length, n) - 1].astype(float)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Up to k vec_ids and scores, best first, without the query's own row. Sums are
-        of whole numbers, so floats hold them exactly."""
+        """Up to k vec_ids and scores, best first, without the query's own row. Bounds are floats,
+        which hold whole numbers below 2**53 exactly; beyond, ``lost`` is the most they may be off."""
         n = len(self.vec_ids)
         mine = int(np.searchsorted(self.vec_ids, own))
         mine = mine if mine < n and self.vec_ids[mine] == own else -1
@@ -112,6 +114,8 @@ class Block:
         if wanted <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         weight = query.astype(float)
+        most = float((np.abs(weight) * np.maximum(np.abs(self.largest[:, 0]), np.abs(self.smallest[:, -1]))).sum())
+        lost = 0.0 if most < 2 ** 53 else most * 8 * (len(query) + 2) * np.finfo(float).eps
         rising = query < 0  # for a negative weight the smallest values have the largest impact
         best = np.where(rising[:, None], (weight[:, None] * self.smallest)[:, ::-1], weight[:, None] * self.largest)
         least = np.where(rising, weight * self.largest[:, 0], weight * self.smallest[:, -1])
@@ -128,18 +132,18 @@ class Block:
             done += np.bincount(d, minlength=len(query))
             at = until
             if at < len(dim):
-                possible = self._possible(score[:n], done, best, least, rising, mine, wanted)
+                possible = self._possible(score[:n], done, best, least, rising, mine, wanted, lost)
                 if len(possible) <= max(8 * k, n // FEW):
                     break
         else:
             exact = score[possible]
-            possible = possible[exact >= np.partition(exact, len(exact) - wanted)[len(exact) - wanted]]
-        exact = (self.vectors[possible] @ weight).astype(np.int64)
-        order = np.lexsort((self.vec_ids[possible], -exact))[:wanted]
+            possible = possible[exact >= _bar(exact, wanted) - 2 * lost]
+        exact = _scores(self.vectors[possible], query, most)
+        order = np.lexsort((self.vec_ids[possible], ~exact))[:wanted]
         return self.vec_ids[possible][order], exact[order]
 
     def _possible(self, score: np.ndarray, done: np.ndarray, best: np.ndarray, least: np.ndarray, rising: np.ndarray,
-                  mine: int, wanted: int) -> np.ndarray:
+                  mine: int, wanted: int, lost: float) -> np.ndarray:
         """Vectors that may still be members: the proof that all others are not."""
         n = len(score)
         unread = np.where(rising[:, None], self.rank < ((self.steps - done) * self.length)[:, None],
@@ -148,8 +152,23 @@ class Block:
         low, high = np.stack([least, top]) @ unread + score
         if mine >= 0:
             low[mine] = high[mine] = -np.inf
-        bar = np.partition(low, n - wanted)[n - wanted]
-        return np.flatnonzero(high >= bar) if np.isfinite(bar) else np.flatnonzero(np.arange(n) != mine)
+        return np.flatnonzero((high >= _bar(low, wanted) - 2 * lost) & (np.arange(n) != mine))
+
+
+def _bar(scores: np.ndarray, wanted: int) -> float:
+    """The score that a member needs; all that are held at an end of a long tie there."""
+    bar = float(np.partition(scores, len(scores) - wanted)[len(scores) - wanted])
+    return -np.inf if bar <= -2.0 ** 63 else min(bar, 2.0 ** 63)
+
+
+def _scores(vectors: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
+    """Exact inner products; ``most`` bounds their size."""
+    if most < 2 ** 53:
+        return (vectors.astype(float) @ query.astype(float)).astype(np.int64)
+    if most < 2 ** 62:
+        return vectors @ query
+    exact = vectors.astype(object) @ query.astype(object)
+    return np.array([min(max(v, -2 ** 63), 2 ** 63 - 1) for v in exact.tolist()], np.int64)
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
