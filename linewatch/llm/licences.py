@@ -5,13 +5,18 @@ a line, and windows of several lines near a line with distinctive words are comp
 standard headers; files named like a licence file are also compared as a whole with these and with
 full licence texts (``licence_texts``). A tag SPDX-License-Identifier gives the first known licence it names. Vectors
 have a binary term frequency and the inverse document frequency over all files, of all words.
-A file's licence is its best match at ``LEAST`` or more. A file without one inherits from the
+A file's licence is its best match at ``LEAST`` or more: a named licence before a reservation of all rights (which
+stands above many a BSD or Apache notice), then a match of the whole file before one of some lines, then the higher score. A line, sentence or
+window that holds a word of denial which the notice lacks ("not licensed under ...") does not match it.
+A file without a licence inherits from the
 nearest directory above it whose licence file has one: directories are joined by path, and the deepest wins.
 
 Built-in functions only. Lines that lack every distinctive word of the short templates are passed
 over; that is proven per run: words count as common only while a unit of common words alone
 stays below ``LEAST`` for each short template. Windows start up to two lines before a distinctive line.
-Equal word sets are scored once. The templates are fixed and the only thing broadcast; frequencies are joined by word.
+Equal word sets are scored once, in two steps. First with the weights of template words and of the ``FREQUENT`` most frequent words, which are
+broadcast: every other word weighs at least as much as the rarest of these, so that gives a score no set exceeds, and sets
+below ``LEAST`` for all templates are done. Those left get the true weights of all their words, joined by word.
 
 Nulls and odd rows: null and empty texts have no licence of their own; null paths
 inherit nothing; rows that repeat a path are files of their own (told apart by a hash of path and text, so null and repeated
@@ -80,6 +85,16 @@ HEADERS = [
     ("BSD-3-Clause", "bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "bsd", "BSD 3-Clause License"),
 ]
+#: First sentences of full texts, which often stand in files without their title.
+OPENINGS = [
+    ("MIT", "charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("BSD-3-Clause", "redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+]
+HEADERS += OPENINGS
+#: Words that deny what follows.
+DENIALS = ("not", "never", "neither", "isn", "aren", "wasn")
+#: Words whose weights are broadcast for the first step.
+FREQUENT = 2000
 #: Lines of a window.
 WINDOWS = (2, 3, 4, 6, 9, 12, 16)
 LICENCE_FILE = r"(?i)^(un)?licen[sc]e([._-].*)?$|^copying([._-].*)?$|^copyright([._-].*)?$|^notice([._-].*)?$"
@@ -149,6 +164,12 @@ def _tag(line: Column) -> Column:
     return F.get(F.filter(F.transform(ids, lambda c: F.try_element_at(known, c)), lambda c: c.isNotNull()), F.lit(0))
 
 
+def _better(line: int | None = None) -> Column:
+    """Matches in order, the best one least."""
+    at = F.col("line") if line is None else F.lit(line)
+    return F.struct((F.col("name") == "Proprietary").alias("reserved"), (at >= 0).alias("part"), (-F.col("score")).alias("score"), at.alias("line"), "name")
+
+
 def matched(files: DataFrame, n: int, seen: dict[str, int], counts: DataFrame | None = None) -> DataFrame:
     """``files``: key, path, text; rows of one key are equal. Best match of each key that has one: key, own_licence, own_score,
     own_line (from 0, the first of a window; -1: the whole file)."""
@@ -177,23 +198,36 @@ def matched(files: DataFrame, n: int, seen: dict[str, int], counts: DataFrame |
     text = F.array_join("words", " ")
     units = stored(units.withColumn("set", F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.reverse(text)).alias("b"))), "licence_units")
     sets = units.select("set", "words").dropDuplicates(["set"])
+    denied = [any(d in t for d in DENIALS) for _, _, t in templates]
     vocabulary = spark.createDataFrame(
         [(w, [(k, w == must) for k, (_, must, t) in enumerate(templates) if w in t]) for w in sorted(seen)],
         "word string, parts array<struct<template:int,must:boolean>>")
-    worded = sets.select("set", F.explode("words").alias("word")).join(counts, "word")
-    square = F.pow(F.log((1.0 + n) / (1 + F.col("df"))) + 1, 2).alias("square")
+    common = counts.orderBy(F.desc("df"), "word").limit(FREQUENT)
+    rest = common.agg(F.min("df"), F.count("*")).first()
+    square = F.pow(F.log((1.0 + n) / (1 + F.col("df"))) + 1, 2)
+    # with fewer words in all than FREQUENT each one is known
+    least = (math.log((1.0 + n) / (1 + rest[0])) + 1) ** 2 if rest[1] else 0.0
+    known = stored(common.unionByName(counts.join(F.broadcast(vocabulary.select("word")), "word", "left_semi")).distinct()
+                   .join(F.broadcast(vocabulary), "word", "left").select("word", square.alias("square"), "parts"), "licence_weights")
     itself = F.array(F.struct(F.lit(-1).alias("template"), F.lit(False).alias("must")))
-    sums = stored(worded.join(F.broadcast(vocabulary), "word", "left").select("set", square, F.explode(
-        F.concat(itself, F.coalesce("parts", F.array().cast("array<struct<template:int,must:boolean>>")))).alias("p"))
-        .groupBy("set", F.col("p.template").alias("template")).agg(F.sum("square").alias("dot"), F.max("p.must").alias("must")), "licence_sums")
-    norms = spark.createDataFrame([(k, name, must is not None, sum(weights[w] ** 2 for w in t)) for k, (name, must, t) in enumerate(templates)],
-                                  "template int, name string, needs boolean, norm double")
-    own = sums.where("template = -1").select("set", F.col("dot").alias("square"))
-    scored = sums.join(F.broadcast(norms), "template").where("must or not needs").join(own, "set").select(
+    none = F.array().cast("array<struct<template:int,must:boolean>>")
+    denies = F.arrays_overlap("words", F.array(*map(F.lit, DENIALS)))
+    sums = stored(sets.select("set", denies.alias("denies"), F.explode("words").alias("word")).join(F.broadcast(known), "word", "left").select(
+        "set", "denies", F.coalesce("square", F.lit(least)).alias("square"), F.explode(F.concat(itself, F.coalesce("parts", none))).alias("p"))
+        .groupBy("set", F.col("p.template").alias("template")).agg(
+            F.sum("square").alias("dot"), F.max("p.must").alias("must"), F.max("denies").alias("denies")), "licence_sums")
+    norms = spark.createDataFrame([(k, name, must is not None, sum(weights[w] ** 2 for w in t), denied[k])
+                                   for k, (name, must, t) in enumerate(templates)], "template int, name string, needs boolean, norm double, may boolean")
+    atmost = sums.where("template = -1").select("set", F.col("dot").alias("least"))
+    likely = stored(sums.join(F.broadcast(norms), "template").where("(must or not needs) and (may or not denies)").join(atmost, "set")
+                    .where(F.col("dot") >= (LEAST - 1e-6) * F.sqrt("least") * F.sqrt("norm")).select("set", "name", "dot", "norm"), "licence_likely")
+    words_of = sets.join(likely.select("set").distinct(), "set", "left_semi").select("set", F.explode("words").alias("word"))
+    own = words_of.join(counts, "word").groupBy("set").agg(F.sum(square).alias("square"))
+    scored = likely.join(own, "set").select(
         "set", "name", F.round(F.col("dot") / F.sqrt("square") / F.sqrt("norm"), 9).alias("score")).where(F.col("score") >= LEAST)
-    tops = stored(scored.groupBy("set").agg(F.min(F.struct((-F.col("score")).alias("score"), "name")).alias("m")), "licence_sets")
+    tops = stored(scored.groupBy("set").agg(F.min(_better(-1)).alias("m")), "licence_sets")
     found = units.join(tops, "set").select("key", (-F.col("m.score")).alias("score"), "line", F.col("m.name").alias("name")).unionByName(tags)
-    best = found.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("score"), "line", "name")).alias("m"))
+    best = found.groupBy("key").agg(F.min(_better()).alias("m"))
     return best.select("key", F.col("m.name").alias("own_licence"), (-F.col("m.score")).alias("own_score"), F.col("m.line").alias("own_line"))
 
 
@@ -216,8 +250,8 @@ def scanned(files: DataFrame) -> DataFrame:
     parts = F.split("_dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     steps = slim.select("_dir").distinct().select("_dir", F.explode(F.array_distinct(above)).alias("_above"))
-    nearest = steps.join(givers, "_above").groupBy("_dir").agg(
-        F.max(F.struct(F.length("_above").alias("n"), "_above", "given")).alias("near")).select("_dir", "near")
+    nearest = stored(steps.join(givers, "_above").groupBy("_dir").agg(
+        F.max(F.struct(F.length("_above").alias("n"), "_above", "given")).alias("near")).select("_dir", "near"), "nearest")  # so that a hot directory's join can be split
     found = slim.join(nearest, "_dir", "left")
     return found.withColumn("licence", F.coalesce("own_licence", "near.given")).withColumn(
         "inherited_from", F.when(F.col("own_licence").isNull(), F.col("near._above"))).drop("_dir", "near")
