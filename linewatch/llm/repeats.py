@@ -1,22 +1,23 @@
 """Substring deduplication by hashing lines and the sentences in them.
 
-Units: a line, or where a line is longer the run of whole sentences that first
+Units: every line that is not blank, however short, and in longer lines each run of whole sentences that first
 reaches ``MIN_WORDS`` words (white space after them included), so that units meet
 again after any longer sentence wherever a shared passage begins. Beside them passages,
 which overlap: the ``RUN`` words from each anchor on, over lines and sentences alike.
 Anchors are words whose hash with the next word is the least of some ``WINDOW`` in a row, so they
 depend on nearby words only and every shared passage of ``WINDOW + RUN`` words holds a whole
 run; as ``RUN`` is no less than ``WINDOW``, runs leave no gap, and up to ``WINDOW`` words at either end may stay. Chinese and Japanese characters count as words there. Units are normalised
-(case, white space), hashed to 128 bits, and grouped over the whole corpus. The
-earliest occurrence by doc_id and offset stays, all others go; units of fewer words
-never go. A passage that overlaps its own first occurrence stays. Offsets are code points of the text as it came in.
+(case, white space), hashed to 96 bits, and grouped over the whole corpus. The
+earliest occurrence by doc_id and offset stays, all others go. A passage that overlaps its own first occurrence
+stays. Offsets are code points of the text as it came in.
 
-Only units that occur again are joined back; least occurrences are aggregated
-before the shuffle, so a line in a third of all documents is one row a task there.
+Digests are written one row a document. Only the first 64 bits of every digest are shuffled and counted, partially before the
+shuffle, so a line in a third of all documents is one row a task there. Only digests that occur again are joined back, to
+the rows of their units; those get their earliest occurrence by all 96 bits.
 
-Nulls and odd rows: null texts stay null; empty tables give empty results; null
-doc_ids rank last; repeated rows rank equal, so both keep a unit where they come
-first; other columns are passed on as they are, but one named ``removed`` is replaced.
+Nulls and odd rows: null texts stay null; blank lines stay; empty tables give empty results; null
+doc_ids rank last; rows that share a doc_id, or have none, rank by a hash of their text; rows that repeat one
+another in doc_id and text rank equal, so both keep a unit where they come first; other columns are passed on as they are, but one named ``removed`` is replaced.
 """
 
 from __future__ import annotations
@@ -43,19 +44,26 @@ _BREAK = re.compile(r"\n|(?<=[.!?])[ \t]+")
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int]]:
     """Start, end and number of words of each unit; together they are the whole text."""
+    return ((a, b, words) for a, b, words, _ in _units(text, min_words))
+
+
+def _units(text: str, min_words: int) -> Iterator[tuple[int, int, int, bool]]:
+    """Units and whether each is a whole line."""
     start = last = words = 0
+    fresh = True  # the unit starts where a line starts
     for m in _BREAK.finditer(text):
         words += len(text[last:m.start()].split())
         last = m.end()
-        if words >= min_words or m.group() == "\n":
-            yield start, last, words
-            start, words = last, 0
+        ends = m.group() == "\n"
+        if words >= min_words or ends:
+            yield start, last, words, fresh and ends
+            start, words, fresh = last, 0, ends
     if start < len(text):
-        yield start, len(text), words + len(text[last:].split())
+        yield start, len(text), words + len(text[last:].split()), fresh
 
 
-def digest(unit: str) -> int:
-    return xxhash.xxh3_128_intdigest(" ".join(unit.lower().split()).encode("utf-8", "surrogatepass"))
+def digest(unit: str) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(unit.lower().split()).encode("utf-8", "surrogatepass"))
 
 
 def passages(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -73,35 +81,34 @@ def passages(text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return spans[first, 0], spans[first + RUN - 1, 1], [xxhash.xxh3_128_digest(raw[8 * a:8 * (a + RUN)]) for a in first.tolist()]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def occurrences(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Units of at least ``min_words`` words, and passages: doc_id, copy (hash of the text), start, end and digest."""
-    names = {"doc_id": pa.int64(), "copy": pa.int64(), "start": pa.int32(), "end": pa.int32(), "d1": pa.int64(), "d2": pa.int64()}
+    """Units and passages of each document: doc_id, copy (hash of the text), and arrays of where each starts and
+    ends, and of its digest in a half of 64 bits and a rest of 32."""
+    fields = [("doc_id", pa.int64()), ("copy", pa.int64()), ("start", pa.list_(pa.int32())), ("end", pa.list_(pa.int32())),
+              ("half", pa.list_(pa.int64())), ("rest", pa.list_(pa.int32()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, whole = [], []
-            for doc_id, copy, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = text.as_py()
-                for start, end, words in units(text or "", min_words):
-                    if words >= min_words:
-                        d = digest(text[start:end])
-                        rows.append((doc_id, copy, start, end, _signed(d >> 64), _signed(d & (1 << 64) - 1)))
-                starts, ends, digests = passages(text or "")
-                if digests:
-                    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    whole.append((pa.array([doc_id] * len(digests), pa.int64()), pa.array(np.full(len(digests), copy)), *(
-                        pa.array(x.astype(np.int32)) for x in (starts, ends)), *(pa.array(halves[:, k].copy()) for k in (0, 1))))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names.values(), strict=True)], list(names))
-            for k in range(0, len(whole), 256):
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*whole[k:k + 256], strict=True)], list(names))
-
-    return documents.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(
-        run, "doc_id long, copy long, start int, end int, d1 long, d2 long")
+            starts, ends, digests, counts = [], [], [], [0]
+            for text in batch.column(2):
+                text = text.as_py() or ""
+                found = [(a, b) for a, b, words, line in _units(text, min_words) if words >= min_words or line and words]
+                begins, stops, hashed = passages(text)
+                digests += [digest(text[a:b]) for a, b in found]
+                digests += hashed
+                spans = np.array(found, np.int32).reshape(-1, 2)
+                starts += (spans[:, 0], begins.astype(np.int32))
+                ends += (spans[:, 1], stops.astype(np.int32))
+                counts.append(counts[-1] + len(found) + len(hashed))
+            words = np.frombuffer(b"".join(digests), np.int32).reshape(-1, 4)
+            half = np.ascontiguousarray(words[:, :2]).view(np.int64).ravel()
+            offsets = pa.array(counts, pa.int32())
+            whole = (np.concatenate(starts), np.concatenate(ends), half, words[:, 2].copy()) if starts else (np.empty(0, np.int32),) * 4
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t.value_type)) for v, (_, t) in zip(whole, fields[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], [name for name, _ in fields])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").mapInArrow(
+        run, "doc_id long, copy long, start array<int>, end array<int>, half array<long>, rest array<int>")
 
 
 def _joined(spans: list[dict[str, int]]) -> list[dict[str, int]]:
@@ -120,11 +127,20 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     each removed stretch in the text that came in) and all other columns."""
     documents = documents.drop("removed")
     found = stored(occurrences(documents, min_words), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "start")
-    repeated = stored(found.groupBy("d1", "d2").agg(F.min(F.struct(rank.alias("rank"), "end")).alias("first"), F.count("*").alias("n"))
-                      .where("n > 1").select("d1", "d2", "first"), "repeated")  # stored, so that a hot unit's join can be split
-    overlaps = F.col("doc_id").eqNullSafe(F.col("first.rank.doc_id")) & (F.col("start") < F.col("first.end"))
-    gone = found.join(repeated, ["d1", "d2"]).where((rank > F.col("first.rank")) & ~overlaps)
+    again = stored(found.select(F.explode("half").alias("half")).groupBy("half").count().where("count > 1").select("half"), "again")
+    place = F.shiftleft(F.col("u.start").cast("long"), 32) + F.col("u.end")  # fewer fields, smaller rows
+    each = found.select("doc_id", "copy", F.explode(F.arrays_zip("start", "end", "half", "rest")).alias("u")).select(
+        "doc_id", "copy", place.alias("place"), F.col("u.half").alias("half"), F.col("u.rest").alias("rest"))
+    met = stored(each.join(again, "half", "left_semi"), "met")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy", "place")
+    repeated = stored(met.groupBy("half", "rest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+                      .where("n > 1").select("half", "rest", "first"), "repeated")  # stored, so that a hot unit's join can be split
+    low = F.lit(0xFFFFFFFF)
+    start, end = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(low).cast("int")
+    first_end = F.col("first.place").bitwiseAND(low)
+    overlaps = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy")) & (start < first_end)
+    gone = (met.join(repeated, ["half", "rest"]).where((rank > F.col("first")) & ~overlaps)
+            .select("doc_id", "copy", start.alias("start"), end.alias("end")))
     spans = (gone.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
              .select(F.col("doc_id").alias("_span_doc"), F.col("copy").alias("_span_copy"), "removed"))
     joined = documents.join(spans, F.col("doc_id").eqNullSafe(F.col("_span_doc")) & (
