@@ -137,135 +137,3 @@ def near_duplicates(documents: DataFrame, width: int = 5, keep: tuple[str, ...]
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-#: Documents whose rarest shingles are looked up, and the most shingles held as frequent.
-SAMPLE = 10_000
-FREQUENT = 100_000
-#: Entries of a crowded shingle that meet in one task.
-BLOCK = 512
-#: Bits and tables of the former index of wide fingerprints; unused, an older test still sets them.
-LOOK = 24
-TABLES = 64
-
-
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the different shingles."""
-    words = (text or "").encode().lower().split()
-    found = [np.empty(0, np.int64)]
-    for at in range(0, max(1, len(words) - width + 1), STRETCH) if words else ():
-        part = words[at:at + STRETCH + width - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(width)))) if len(part) >= width else [b" ".join(part)]
-        found.append(np.unique(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, shingles)), np.int64)))
-    return np.unique(np.concatenate(found))
-
-
-def _frequent(documents: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that repeat in a sample of the documents, sorted, and how often they do."""
-    step = max(1, documents.count() // SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width))], ["shingle"])
-
-    sample = documents.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
-    rows = (sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
-            .orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect())
-    found = np.array(sorted((r["shingle"], r["count"]) for r in rows), np.int64).reshape(-1, 2)
-    return found[:, 0].copy(), found[:, 1].copy()
-
-
-def _prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first fifth of the shingles, and one more, in an order that is the same for all
-    documents: those not known as frequent, then the frequent ones by count."""
-    n = len(shingles) // 5 + 1
-    if not len(frequent) or not len(shingles):
-        return shingles[:n]
-    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    return shingles[np.lexsort((shingles, np.where(frequent[at] == shingles, counts[at], 0)))[:n]]
-
-
-def _may_match(x: str, y: str) -> Column:
-    """Of two entries: can sizes and places still give a Jaccard similarity of 0.8?
-    True for the first common shingle of every pair that has it."""
-    n, m, i, j = F.col(f"{x}.size"), F.col(f"{y}.size"), F.col(f"{x}.at"), F.col(f"{y}.at")
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
-
-
-def _entry() -> Column:
-    return F.struct("node", "size", "at", "root")
-
-
-def _hub_pairs(entries: DataFrame, hub: Column) -> DataFrame:
-    """Each entry of a shingle with one of them; a pair within a component is none."""
-    hubs = entries.groupBy("shingle").agg(hub.alias("y"))
-    return (entries.select("shingle", _entry().alias("x")).join(hubs, "shingle")
-            .where((F.col("x.root") != F.col("y.root")) & _may_match("x", "y")))
-
-
-def _all_pairs(entries: DataFrame) -> DataFrame:
-    """Every two entries of a shingle that are in different components, in blocks of bounded work."""
-    sizes = entries.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = entries.join(sizes, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    left = dealt.select("shingle", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), _entry().alias("x"))
-    right = dealt.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), _entry().alias("y"))
-    return left.join(right, ["shingle", "i", "j"]).where(
-        (F.col("x.root") != F.col("y.root")) & ((F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node"))) & _may_match("x", "y"))
-
-
-def similar(documents: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Groups of documents linked by a Jaccard similarity of 0.8 or more of their sets of
-    five-word shingles: component and ``keep`` per row.
-
-    The search is exact. Of two such sets, in whatever common order, the first fifth (and one) of
-    each have a shingle in common, so only those are indexed; the order puts shingles that are
-    frequent in a sample last, so that passages many documents share meet nobody. Candidates are
-    verified on whole shingle sets. Entries of a shingle are compared with the least and then with the
-    largest of them, which joins groups of copies in few pairs; afterwards every two that share
-    a shingle and are still in different components are compared, crowded shingles in blocks. So no
-    link between components is left out, and pairs within one are not made.
-    """
-    frequent, counts = _frequent(documents, width)
-    rows = documents.select("text", *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
-            nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nodes, pa.uint64()).view(pa.int64()), pa.array(list(map(len, sets)), pa.int64()),
-                 pa.array([_prefix(s, frequent, counts) for s in sets], pa.list_(pa.int64()))], ["text", *keep, "_node", "_size", "_prefix"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    docs = stored(rows.mapInArrow(run, f"{kept}, _node long, _size long, _prefix array<long>")
-                  .withColumn("_copy", F.monotonically_increasing_id()), "shingled")
-    nodes = stored(docs.select(F.col("_node").alias("node"), F.col("_size").alias("size"), "_prefix", "_copy").dropDuplicates(["node"]), "nodes")
-    index = nodes.select("node", "size", F.posexplode("_prefix").alias("at", "shingle"))
-    several = index.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    entries = stored(index.join(several, "shingle").withColumn("root", F.col("node")), "entries")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = docs.select("_node", "text", "_copy").join(nodes.join(ends, "node", "left_semi").select("_copy"), "_copy", "left_semi")
-        sets = stored(texts.select("_node", "text").mapInArrow(whole, "node long, shingles array<long>"), "sets")
-        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        common = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-        return stored(pairs.join(x, "a").join(y, "b").where(common).select("a", "b"), "verified")
-
-    links, roots = None, None
-    for pairs in (lambda e: _hub_pairs(e, F.min(_entry())), lambda e: _hub_pairs(e, F.max(_entry())), _all_pairs):
-        if roots is not None:
-            named = entries.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-            entries = stored(named.join(mixed, "shingle"), "entries")
-        found = verified(pairs(entries))
-        links = found if links is None else links.unionByName(found)
-        roots = stored(components(links), "roots")
-    return docs.join(roots.withColumnRenamed("node", "_node"), "_node", "left").select(F.coalesce("root", "_node").alias("component"), *keep)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linewatch.llm import licences, mixing, multiset, packing, queries, repeats, simhash, token_store, tokens, topk, toxicity, wrapper
+from linewatch.llm import licences, mixing, multiset, packing, queries, repeats, similar, simhash, token_store, tokens, topk, toxicity, wrapper
 from linewatch.llm.common import ranked_before, scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, removed string, size long, bin string"
@@ -125,19 +125,17 @@ def test_simhash_against_all_pairs(spark, docs, nothing):
     zero = [r["doc_id"] for r in found if r["fp"] == 0]
     assert sorted(zero) == [0, 1, 5] and {r["component_id"] for r in found if r["fp"] == 0} == {0}
     assert len(found) == len(odd_rows())
-    assert simhash.near_duplicates(nothing, 3).count() == 0 and simhash.similar(nothing).count() == 0
+    assert simhash.near_duplicates(nothing, 3).count() == 0 and similar.similar(nothing).count() == 0
 
 
-def test_similar_pairs_meet_beside_strangers(spark, monkeypatch):
-    """In a bucket full of unrelated texts near copies still meet."""
-    monkeypatch.setattr(simhash, "LOOK", 1)
-    monkeypatch.setattr(simhash, "TABLES", 8)
+def test_similar_pairs_meet_beside_strangers(spark):
+    """Among unrelated texts near copies meet."""
     rng = np.random.default_rng(5)
     rows = []
     for i in range(7):
         words = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
-    found = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id",)).collect()
+    found = similar.similar(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id",)).collect()
     groups = collections.defaultdict(set)
     for r in found:
         groups[r["component"]].add(r["doc_id"])
@@ -147,7 +145,7 @@ def test_similar_pairs_meet_beside_strangers(spark, monkeypatch):
 def test_similar_links_every_pair_at_its_limit(spark, monkeypatch):
     """Isolated pairs just above and below 0.8, and strangers that share most of their
     shingles in one crowd, give the components of all pairs compared."""
-    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(similar, "BLOCK", 16)
     rng = np.random.default_rng(8)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
     texts = [""]
@@ -160,13 +158,13 @@ def test_similar_links_every_pair_at_its_limit(spark, monkeypatch):
         own = fresh(60)
         texts += [" ".join([*shared, *own]), " ".join([*shared, *own[:-15], *fresh(15)])]
     texts += [" ".join([*shared, *fresh(int(rng.integers(10, 40)))]) for _ in range(60)]
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    sets = [set(similar.shingle_set(t, 5).tolist()) for t in texts]
     group = list(range(len(texts)))
     for b in range(len(texts)):
         for a in range(b):
             if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
                 group = [group[a] if g == group[b] else g for g in group]
-    found = simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), keep=("doc_id",)).collect()
+    found = similar.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), keep=("doc_id",)).collect()
     parts = lambda named: sorted(sorted(d for d, g in named if g == h) for h in {g for _, g in named})
     assert len(found) == len(texts) and parts([(r["doc_id"], r["component"]) for r in found]) == parts(list(enumerate(group)))
 
