@@ -42,8 +42,9 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
         enc = encoder(tokenizer)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(enc.encode(text.as_py()), np.asarray(end_id, enc.dtype)).astype("<u4")
+            texts = (text.as_py() for text in batch.column(1))
+            for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode_all(texts), strict=True):
+                ids = np.append(found, np.asarray(end_id, enc.dtype)).astype("<u4")
                 rows += [(doc_id, k, at, len(part := ids[at:at + capacity]), zlib.crc32(part.tobytes()))
                          for k, at in enumerate(range(0, len(ids), capacity))]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)

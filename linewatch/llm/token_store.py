@@ -63,7 +63,7 @@ def train(documents: DataFrame, tokenizer: str) -> Dictionary:
             found = [enc.encode(t)[:TRAINING_IDS].tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f for f in found if f], pa.binary())], ["ids"])
 
-    samples = sorted(r[0] for r in rows.select("text").mapInArrow(ids, "ids binary").limit(TRAINING_DOCUMENTS).collect())
+    samples = sorted(r[0] for r in rows.select("text").mapInArrow(ids, "ids binary").orderBy("ids").limit(TRAINING_DOCUMENTS).collect())
     try:
         data = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -96,8 +96,9 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> N
         try:
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    raw = enc.encode(text.as_py()).tobytes() + end
+                texts = (text.as_py() for text in batch.column(1))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode_all(texts), strict=True):
+                    raw = ids.tobytes() + end
                     frame = pack.compress(raw)
                     if out is None:
                         out = fs.open_output_stream(f"{folder}/{name}")

@@ -2,8 +2,10 @@
 
 The tokenizer never joins characters across white space, so a text's ids are the
 ids of its words one after another. Words repeat, so each worker keeps the ids of
-the words it has seen (a bounded store, started anew when full); only words it
-does not know go through the tokenizer, many at once.
+the words it has seen, in two generations of bounded size: when the younger one is full it becomes the
+older one, and words still in use move over. Only words that neither knows go through the tokenizer, many at once.
+
+Null and empty texts have no ids; texts of any length are worked off whole, in stretches that end at white space.
 """
 
 from __future__ import annotations
@@ -11,19 +13,25 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Iterable
+import string
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Words a worker remembers before it starts anew (about 200 bytes each).
-REMEMBERED = 600_000
+#: Words in a generation (about 200 bytes each); a worker holds two.
+REMEMBERED = 400_000
+#: Texts whose new words are learnt in one go.
+TOGETHER = 64
 #: Longer texts are worked through in pieces of about this many characters.
 STRETCH = 1 << 20
 #: Texts with these are handed to the tokenizer as they are: white space that
 #: ``str.split`` knows but the tokenizer does not, and its special tokens.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
-_BEYOND_LATIN = re.compile("[^\x00-ɏ]")
-_TAIL = ".,!?;:"
+LAST_LATIN = "\u024f"
+_BEYOND_LATIN = re.compile(f"[^\x00-{LAST_LATIN}]")
+#: A word's end of these is one unit of its own to the tokenizer; an apostrophe may begin a contraction.
+_TAIL = string.punctuation.replace("'", "")
 
 
 class Encoder:
@@ -35,68 +43,114 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         words = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(words.values()) < 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.closes = np.zeros(max(words.values()) + 1, dtype=bool)
         self.closes[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+
+    def _find(self, word: str) -> bytes | None:
+        found = self.known.get(word)
+        return self.older.get(word) if found is None else found
 
-    def _learn(self, words: set[str]) -> None:
-        """Words of letters are one unit of the tokenizer each, so many are encoded in
-        one call and cut after every id that ends a word; others go one by one."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
+    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of words that are not known. Words of letters are one unit of the tokenizer each: those of ASCII go
+        straight to its merges, of others many are encoded in one call and cut after every id that ends a word.
+        What is left goes through the tokenizer word by word."""
+        out: dict[str, bytes] = {}
         plain: dict[str, list[tuple[str, bytes]]] = {}
+        merge = self.tokenizer.model.tokenize
         for word in words:
+            found = self.older.get(word)
+            if found is not None:
+                out[word] = found
+                continue
             core = word.rstrip(_TAIL)
-            if core.isalpha() and not _BEYOND_LATIN.search(core):
+            # Lower-casing can make one letter several characters that are not all letters (U+0130).
+            if core.isalpha() and (core.isascii() or (low := core.lower()).isalpha() and max(low) <= LAST_LATIN):
                 tail = word[len(core):]
-                plain.setdefault(core, []).append((word, self.known.get(tail) or self._tail(tail)))
+                ends = (self._find(tail) or out.get(tail) or self._whole(tail)) if tail else b""
+                if tail:
+                    out[tail] = ends
+                    begins = self._find(core)
+                    if begins is not None:
+                        out[word] = begins + ends
+                        continue
+                if core.isascii():  # bytes stand for themselves
+                    out[word] = array(self.code, [t.id for t in merge(core.lower())]).tobytes() + ends
+                    continue
+                plain.setdefault(core, []).append((word, ends))
             else:
-                self.known[word] = self._whole(word)
+                out[word] = self._whole(word)
         cores = list(plain)
         for i in range(0, len(cores), 4096):
             part = cores[i:i + 4096]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) != len(part):
                 for core in part:
-                    for word, tail in plain[core]:
-                        self.known[word] = self._whole(core) + tail
+                    for word, ends in plain[core]:
+                        out[word] = self._whole(core) + ends
                 continue
             raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
-            for core, end in zip(part, ends.tolist(), strict=True):
-                for word, tail in plain[core]:
-                    self.known[word] = raw[start * size:end * size] + tail
-                start = end
-
-    def _tail(self, tail: str) -> bytes:
-        if tail:
-            self.known[tail] = found = self._whole(tail)
-            return found
-        return b""
-
-    def _words(self, text: str) -> bytes:
-        if not _BEYOND_LATIN.search(text):
-            text = text.lower()
-        words = text.split()
+            for core, stop in zip(part, stops.tolist(), strict=True):
+                for word, ends in plain[core]:
+                    out[word] = raw[start * size:stop * size] + ends
+                start = stop
+        return out
+
+    def _split(self, text: str) -> list[str]:
+        return (text.lower() if text.isascii() or not _BEYOND_LATIN.search(text) else text).split()
+
+    def _remember(self, words: set[str]) -> None:
+        """Learn what is not known of these."""
+        found = self._learn(words.difference(self.known))
+        if len(self.known) + len(found) > REMEMBERED:
+            self.older, self.known = self.known, found
+        else:
+            self.known.update(found)
+
+    def _join(self, words: list[str]) -> bytes:
         try:
             return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(set(words).difference(self.known))
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:  # the store was started anew
-            self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:  # a new generation has begun since these were learnt
+            return b"".join([self.known[w] if w in self.known else self.older[w] for w in words])
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.dtype)
-        if _ODD.search(text):
-            return np.frombuffer(b"".join(map(self._whole, stretches(text))), self.dtype)
-        return np.frombuffer(b"".join(map(self._words, stretches(text))), self.dtype)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text. New words of ``TOGETHER`` texts are learnt in one go."""
+        waiting: list[str | None] = []
+        for text in texts:
+            waiting.append(text)
+            if len(waiting) == TOGETHER:
+                yield from self._encoded(waiting)
+                waiting = []
+        yield from self._encoded(waiting)
+
+    def _encoded(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        split = [None if not t or len(t) > STRETCH or _ODD.search(t) else self._split(t) for t in texts]
+        self._remember(set().union(*filter(None, split)))
+        for text, words in zip(texts, split, strict=True):
+            if words is not None:
+                ids = self._join(words)
+            elif not text:
+                ids = b""
+            elif _ODD.search(text):
+                ids = b"".join(map(self._whole, stretches(text)))
+            else:
+                ids = b"".join(map(self._stretch, stretches(text)))
+            yield np.frombuffer(ids, self.dtype)
+
+    def _stretch(self, text: str) -> bytes:
+        words = self._split(text)
+        missing = set(words).difference(self.known)
+        found = self._learn(missing)
+        return b"".join([self.known[w] if w in self.known else found[w] for w in words])
 
 
 def stretches(text: str) -> Iterable[str]:
