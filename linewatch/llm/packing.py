@@ -1,10 +1,14 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Each partition packs its own pieces best-fit, longest first, and its bins are then
-items of the next round. A bin is done once nothing that is left could go into
-it: it is nearly full, or its room is smaller than the smallest bin left. The
-others (few, as a partition keeps at most one bin under half) meet in groups of
-``FAN_IN`` partitions and are packed best-fit again, until one group is left. What
+items of the next round. A bin is emitted at once where it is nearly full (its room is at most
+``1 - FULL`` of the capacity, which is the most that this rule loses) or where its room is smaller
+than the smallest bin left, so that nothing could go into it. The
+others (few, as a partition keeps at most one bin under half) meet in groups and are packed
+best-fit again, each round in an eighth (``FAN_IN``) of the groups before. Bins are dealt to groups
+by a hash, so every group has bins of all sizes, and there are always enough groups that none
+expects more than ``GROUP_ROWS`` bins. The rounds end with one group, or, where the bins left are
+too many for one, when a round has made fewer than one in fifty of them go. What
 goes up the tree is a bin's number and size, never ids or texts.
 
 Nulls and odd rows: null texts count as empty (one piece, the end id alone);
@@ -29,8 +33,12 @@ from linewatch.llm.common import stored
 from linewatch.llm.tokens import encoder
 
 CAPACITY = 4096
-#: Groups that meet in one task of the next round.
+#: Groups that meet in one group of the next round.
 FAN_IN = 8
+#: A bin with this share of its capacity filled is emitted.
+FULL = 0.998
+#: Bins that a group expects at most.
+GROUP_ROWS = 500_000
 
 
 def pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -82,7 +90,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return place, offset, bins
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, full: float = FULL, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to items with a ``length`` of 1 to
     ``capacity``. ``items`` should be a stored table: it is read once, and equal
     partitions must come back if a task runs again."""
@@ -99,14 +107,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     first = stored(items.withColumn("_part", F.spark_partition_id().cast("long"))
                    .mapInPandas(local, f"{fields}, bin long, offset long"), "packed")
-    left = first.groupBy("bin").agg(F.sum("length").alias("size")).where(F.col("size") < capacity)
-    left = stored(left.withColumn("group", F.expr("shiftright(bin, 33)")), "bins")
-    moved = None
-    while True:
-        bounds = left.agg(F.min("size"), F.max("group"), F.countDistinct("group")).first()
-        if bounds[0] is None or bounds[2] < 2:
+    left = first.groupBy("bin").agg(F.sum("length").alias("size")).where(F.col("size") < full * capacity)
+    left = stored(left, "bins")
+    groups = left.select(F.expr("shiftright(bin, 33)")).distinct().count()
+    moved, before, turn = None, None, 0
+    while groups > 1:
+        smallest, count = left.agg(F.min("size"), F.count("*")).first()
+        enough = -(-count // group_rows)
+        groups = max(-(-groups // FAN_IN), enough)
+        if count < 2 or before is not None and groups == enough > 1 and count > 0.98 * before:
             break
-        left = left.where(F.lit(capacity) - F.col("size") >= bounds[0])
+        before, turn = count, turn + 1
+        left = left.where(F.lit(capacity) - F.col("size") >= smallest)
 
         def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("bin", ignore_index=True)
@@ -114,13 +126,13 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             size = np.bincount(place, rows["size"], bins).astype(np.int64)
             into = np.zeros(bins, np.int64)
             into[place[offset == 0]] = rows["bin"].to_numpy()[offset == 0]  # a bin keeps the name of what lies first
-            return pd.DataFrame({"bin": rows["bin"], "into": into[place], "moved_by": offset,
-                                 "size": size[place], "group": key[0]})
+            return pd.DataFrame({"bin": rows["bin"], "into": into[place], "moved_by": offset, "size": size[place]})
 
-        merged = stored(left.withColumn("group", F.expr(f"group div {FAN_IN}")).groupBy("group").applyInPandas(
-            merge, "bin long, into long, moved_by long, size long, group long"), "merged")
-        left = merged.groupBy("into").agg(F.first("size").alias("size"), F.first("group").alias("group")) \
-            .where(F.col("size") < capacity).withColumnRenamed("into", "bin")
+        dealt = left.withColumn("group", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)))
+        merged = stored(dealt.groupBy("group").applyInPandas(
+            merge, "bin long, into long, moved_by long, size long"), "merged")
+        left = merged.groupBy("into").agg(F.first("size").alias("size")) \
+            .where(F.col("size") < full * capacity).withColumnRenamed("into", "bin")
         steps = merged.select("bin", "into", "moved_by")
         if moved is None:
             moved = steps
@@ -129,8 +141,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             moved = stored(moved.join(later, "into", "left").select(
                 "bin", F.coalesce("to", "into").alias("into"),
                 (F.col("moved_by") + F.coalesce("more", F.lit(0))).alias("moved_by")), "moved")
-        if bounds[1] < FAN_IN:
-            break
     if moved is None:
         return first.withColumnRenamed("bin", "sequence_id")
     moved = moved.where("bin <> into")

@@ -75,11 +75,11 @@ def test_packing(spark, docs, nothing):
     assert packing.pack_documents(nothing, queries.tokenizer()).count() == 0
 
 
-@pytest.mark.parametrize("parts", [1, 7, 40])
-def test_packing_is_tight(spark, parts):
+@pytest.mark.parametrize(("parts", "group_rows"), [(1, 500_000), (7, 500_000), (40, 500_000), (40, 300)])
+def test_packing_is_tight(spark, parts, group_rows):
     sizes = np.random.default_rng(parts).integers(1, 4097, 3000).tolist() + [4096] * 5 + [1] * 50
     items = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").repartition(parts)
-    rows = packing.pack(items).collect()
+    rows = packing.pack(items, group_rows=group_rows).collect()
     by = collections.defaultdict(list)
     for r in rows:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
