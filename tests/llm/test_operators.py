@@ -339,6 +339,20 @@ def test_main_text(spark):
     assert wrapper.extracted(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body><form id=aspnetForm><div><article><p>Own words here</p></article></div><input name=q><label>Mail</label></form>", "Own words here"),
+    ("<div class=page-with-sidebar><article><p>Own words here</p></article><div class=sidebar>ads</div></div>", "Own words here"),
+    ("<div id=wrap class=has-header><header>Site</header><article><p>Own words here</p></article></div>", "Own words here"),
+    ("<main><div class=page-with-sidebar><nav>x</nav><article><p>Own words here</p></article></div></main>", "Own words here"),
+    ("<article><p>Own words</p><section class=discussion><p>We discuss</p></section></article>", "Own words\nWe discuss"),
+    ("<article><p>Own words here</p></article><div class=related-posts><article>a long teaser of other words</article></div>", "Own words here"),
+    ("<article><p>Own</p></article><div class=comments-area><article class=comment>longer than the article</article></div>", "Own"),
+    ("<article><p>Own words here</p><form><p>Sign up</p></form></article><form><p>Sign up for all of our letters</p></form>", "Own words here"),
+])
+def test_layout_names_keep_articles(html, want):
+    assert wrapper.main_text(html, None) == want
+
+
 def test_licences(spark):
     files = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/c.txt", "nothing here"), (3, "a/d/LICENSE", "Released under the MIT License."),
              (4, "a/d/e/f.txt", None), (5, "a/d/g.txt", "words\nmore words\nThis work is licensed under the GNU General Public License, version 3."),
