@@ -1,15 +1,16 @@
-"""Tables written between steps, table reading and ordered slabs."""
+"""Tables written and emptied between steps, table reading and ordered slabs."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewatch.sources.shared import scratch
 
-__all__ = ["stored", "scratch", "table", "ranked_before"]
+__all__ = ["stored", "emptied", "scratch", "table", "ranked_before"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def emptied(*tables: DataFrame) -> None:
+    """Give back the disk of tables that ``stored`` wrote and nothing reads any more: no rows
+    are left in their folders. Only for tables whose every reader is stored itself."""
+    for df in tables:
+        for folder in {unquote(f.rsplit("/", 1)[0]) for f in df.inputFiles()}:
+            df.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(folder)
+
+
 def ranked_before(keys: DataFrame, order: Sequence[str], give: Sequence[str], wrap: bool) -> DataFrame:
     """Add ``before``, a struct of the ``give`` columns of the row before each row in
     descending order of ``order`` (nulls last). ``wrap``: the last row stands before the first.

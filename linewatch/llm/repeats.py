@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linewatch.llm.common import stored
+from linewatch.llm.common import emptied, stored
 
 MIN_WORDS = 10
 #: All shared passages of 24 + 26 words hold a run.
@@ -135,6 +135,7 @@ def deduplicated(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "copy", "place")
     repeated = stored(met.groupBy("half", "rest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
                       .where("n > 1").select("half", "rest", "first"), "repeated")  # stored, so that a hot unit's join can be split
+    emptied(found, again)
     low = F.lit(0xFFFFFFFF)
     start, end = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(low).cast("int")
     first_end = F.col("first.place").bitwiseAND(low)
