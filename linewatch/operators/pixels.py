@@ -47,6 +47,63 @@ def by_frame(px: DataFrame) -> DataFrame:
     return px.repartition(*FRAME)
 
 
+# --- size ----------------------------------------------------------------------
+
+def frame_size(px: DataFrame) -> DataFrame:
+    return px.groupBy(*FRAME).agg((F.max("x") + 1).cast("long").alias("_w"), (F.max("y") + 1).cast("long").alias("_h"))
+
+
+def _scale(to_width: int) -> Column:
+    return F.least(F.lit(1.0), F.lit(float(to_width)) / F.col("_w"))
+
+
+def _cells(at: str, old: str, new: str) -> Column:
+    """Small pixels that pixel ``at`` meets along one axis, with the part they share."""
+    begin = F.col(at).cast("long") * F.col(new)
+    cells = F.sequence(F.expr(f"cast({at} AS long) * {new} div {old}"), F.expr(f"((cast({at} AS long) + 1) * {new} - 1) div {old}"))
+    return F.transform(cells, lambda i: F.struct(i.alias("at"), (
+        F.least((i + 1) * F.col(old), begin + F.col(new)) - F.greatest(i * F.col(old), begin)).alias("part")))
+
+
+def downscale(px: DataFrame, to_width: int) -> DataFrame:
+    """Frames wider than ``to_width`` by area averages; others stay as they are.
+
+    A pixel counts by the share of it that a small pixel covers. Shares are whole
+    numbers (of width times height), so means are exact; a pixel meets at most two
+    small ones along an axis. Halves go to the even value, and up where just
+    2 x 2 pixels meet.
+    """
+    if to_width < 1:
+        raise ValueError("to_width must be at least 1")
+    height = F.greatest(F.lit(1), F.floor(F.col("_h") * _scale(to_width)))
+    sizes = frame_size(px).withColumns({"_nw": F.least(F.col("_w"), F.lit(to_width)), "_nh": height})
+    size = ["_w", "_h", "_nw", "_nh"]
+    met = (px.join(sizes, FRAME).select(*FRAME, "y", "v", *size, F.explode(_cells("x", "_w", "_nw")).alias("_i"))
+           .select(*FRAME, "v", *size, "_i", F.explode(_cells("y", "_h", "_nh")).alias("_j")))
+    sums = met.groupBy(*FRAME, F.col("_i.at").alias("x"), F.col("_j.at").alias("y"), *size).agg(
+        F.sum(F.col("v") * F.col("_i.part") * F.col("_j.part")).alias("_s"))
+    whole, below = F.col("_w") * F.col("_h"), F.expr("_s div (_w * _h)")
+    twice = 2 * (F.col("_s") - below * whole)
+    halved = (F.col("_w") == 2 * F.col("_nw")) & (F.col("_h") == 2 * F.col("_nh"))
+    up = (twice > whole) | ((twice == whole) & (halved | (below % 2 == 1)))
+    return sums.select(*FRAME, F.col("x").cast("int"), F.col("y").cast("int"), (below + up.cast("int")).cast("int").alias("v"))
+
+
+def _scaled(p: Recipe, scale: Column) -> Recipe:
+    """Expected sizes in a frame shown at ``scale``: whole numbers, at least 1."""
+    factors = {"expected_area_px": scale * scale, "expected_width_px": scale, "expected_height_px": scale}
+    return {**p, **{c: F.when(scale < 1, F.greatest(F.lit(1), F.floor(p[c] * k))).otherwise(p[c]) for c, k in factors.items()}}
+
+
+def _full_size(blobs: DataFrame) -> DataFrame:
+    """Measures back in pixels of the frame as it came in."""
+    back = 1.0 / F.col("_scale")
+    kinds = dict(blobs.dtypes)
+    lengths = {c: F.floor(F.col(c) * back).cast(kinds[c]) for c in ("bbox_x", "bbox_y", "width_px", "height_px")}
+    return blobs.withColumns({**lengths, "area_px": F.floor(F.col("area_px") * back * back).cast(kinds["area_px"]),
+                              "cx": F.col("cx") * back, "cy": F.col("cy") * back}).drop("_scale")
+
+
 # --- statistics --------------------------------------------------------------
 
 def histogram(px: DataFrame, bins: int = 256) -> DataFrame:
@@ -159,21 +216,25 @@ def adaptive_threshold(px: DataFrame, block: int, c: int, invert: bool = False)
 
 
 def auto_threshold(px: DataFrame, dark: bool = False, forced_block: int = 0, block: int = 51, c: int = -10) -> DataFrame:
-    """Otsu where the frame has contrast, local means where it is flat.
-
-    Two branches by a semi-join on the frame, which Catalyst moves below the
-    windows: local means are only computed for the (rare) flat frames.
-    """
+    """Otsu where the frame has contrast, local means where it is flat."""
     if forced_block > 1 and not dark:
         return adaptive_threshold(px, forced_block, c)
+    return _by_contrast(px, dark, block, c).drop("threshold", "contrast")
+
+
+def _by_contrast(px: DataFrame, dark: bool, block: int, c: int) -> DataFrame:
+    """``auto_threshold`` with the statistics of the frame beside every pixel.
+
+    Two branches by a join on the frame below the windows: local means are only
+    computed for the (rare) flat frames.
+    """
     base = px.withColumn("_raw", F.col("v"))
     lifted = lift_shadow(base) if dark else base
     stats = frame_stats(px, dark)
     c = -c if dark else c
-    flat = stats.where(F.col("contrast") < FLAT_CONTRAST).select(*FRAME)
-    by_level = (lifted.join(stats.where(F.col("contrast") >= FLAT_CONTRAST), FRAME)
-                .withColumn("_above", F.col("v") > F.col("threshold")).drop("threshold", "contrast"))
-    by_mean = (local_mean(lifted.join(flat, FRAME, "left_semi"), block)
+    flat = F.col("contrast") < FLAT_CONTRAST
+    by_level = lifted.join(stats.where(~flat), FRAME).withColumn("_above", F.col("v") > F.col("threshold"))
+    by_mean = (local_mean(lifted.join(stats.where(flat), FRAME), block)
                .withColumn("_above", F.col("v") > F.col("mean") - c).drop("mean"))
     above = F.col("_above")
     on = (~above & (F.col("_raw") >= fixed.SHADOW_FLOOR)) if dark else above
@@ -296,6 +357,12 @@ def column_profile(mask: DataFrame) -> DataFrame:
     return mask.groupBy(*FRAME, "x").agg(F.count_if(F.col("v") > 0).alias("set_pixels"))
 
 
+def profile_list(mask: DataFrame) -> DataFrame:
+    """The column profile of each frame as one array in the order of x."""
+    columns = F.array_sort(F.collect_list(F.struct("x", "set_pixels")))
+    return column_profile(mask).groupBy(*FRAME).agg(F.transform(columns, lambda c: c["set_pixels"]).alias("column_profile"))
+
+
 # --- blobs -------------------------------------------------------------------
 
 def _runs(mask: DataFrame, diagonal: bool) -> DataFrame:
@@ -389,14 +456,17 @@ def fill_holes(mask: DataFrame, k: int = 9) -> DataFrame:
 
 def run_measures(runs: DataFrame, p: Recipe) -> DataFrame:
     """Blob measures from runs, without going back to pixels."""
+    return _judged(_run_sizes(runs), p)
+
+
+def _run_sizes(runs: DataFrame) -> DataFrame:
     n = F.col("x1") - F.col("x0") + 1
     area = F.sum(n)
-    out = runs.groupBy(*FRAME, "label_y", "label_x").agg(
+    return runs.groupBy(*FRAME, "label_y", "label_x").agg(
         F.min("x0").alias("bbox_x"), F.min("y").alias("bbox_y"),
         (F.max("x1") - F.min("x0") + 1).alias("width_px"), (F.max("y") - F.min("y") + 1).alias("height_px"),
         area.alias("area_px"), (F.sum((F.col("x0") + F.col("x1")) * n) / 2 / area).alias("cx"),
         (F.sum(F.col("y") * n) / area).alias("cy"))
-    return _judged(out, p)
 
 
 def blob_measures(labelled: DataFrame, p: Recipe, keys: list[str]) -> DataFrame:
@@ -414,27 +484,34 @@ def _judged(blobs: DataFrame, p: Recipe) -> DataFrame:
 
 
 def extract(px: DataFrame, p: Recipe, dark: bool = False, forced_block: int = 0, fill: int = 0,
-            open_k: int = 5, dilate_k: int = 11, max_aspect: float = 0.0, max_area: float | None = None) -> DataFrame:
-    """Pixels to pieces: blur, threshold, fill, open, dilate, label, measure, gate.
+            open_k: int = 5, dilate_k: int = 11, max_aspect: float = 0.0, max_area: float | None = None,
+            max_width: int = 0) -> DataFrame:
+    """Pixels to pieces: downscale, blur, threshold, fill, open, dilate, label, measure, gate.
 
+    Frames wider than ``max_width`` (0: any width) are worked on in that width, with
+    expected sizes and limits to scale; measures come back in pixels of the whole frame.
     Areas are pixel counts; hull and perimeter are not traced, so the learned
     shape gates do not apply here.
     """
-    mask = auto_threshold(blur5(by_frame(px)), dark, forced_block)
+    small = downscale(px, max_width) if max_width else px
+    mask = auto_threshold(blur5(by_frame(small)), dark, forced_block)
     if fill:
         mask = fill_holes(mask, fill)
-    blobs = run_measures(label_runs(dilate(opened(mask, open_k), dilate_k)), p)
+    blobs = _run_sizes(label_runs(dilate(opened(mask, open_k), dilate_k)))
+    if max_width:
+        blobs = blobs.join(frame_size(px).select(*FRAME, _scale(max_width).alias("_scale")), FRAME)
+        p = _scaled(p, F.col("_scale"))
+    blobs = _judged(blobs, p)
     keep = F.col("area_px") >= p["noise_threshold"] * p["expected_area_px"]
     if max_aspect > 0:
         keep = keep & (g.aspect_ratio(F.col("width_px"), F.col("height_px")) <= max_aspect)
     if max_area is not None:
-        keep = keep & (F.col("area_px") <= max_area)
-    return blobs.where(keep)
+        keep = keep & (F.col("area_px") <= (max_area * F.col("_scale") * F.col("_scale") if max_width else F.lit(max_area)))
+    return _full_size(blobs.where(keep)) if max_width else blobs.where(keep)
 
 
 def mask_stats(px: DataFrame, dark: bool = False) -> DataFrame:
     """Threshold and share of set pixels for review."""
-    clustered = by_frame(px)
-    set_share = (auto_threshold(clustered, dark).groupBy(*FRAME)
-                 .agg(F.count_if(F.col("v") > 0).alias("set_pixels"), F.count(F.lit(1)).alias("pixels")))
-    return frame_stats(clustered, dark).join(set_share, FRAME)
+    return _by_contrast(by_frame(px), dark, 51, -10).groupBy(*FRAME).agg(
+        F.first("threshold").alias("threshold"), F.first("contrast").alias("contrast"),
+        F.count_if(F.col("v") > 0).alias("set_pixels"), F.count(F.lit(1)).alias("pixels"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewatch import fixed
@@ -93,9 +93,14 @@ def starvation(front_rows: DataFrame, line) -> DataFrame:
         F.sum(F.when(would_fire, F.col("columns") - F.col("columns_used")).otherwise(0)).alias("starved_columns"))
 
 
+def _mode(signals: DataFrame) -> Column:
+    return F.col("mode") if "mode" in signals.columns else F.lit("production")
+
+
 def status_snapshot(log: DataFrame, signals: DataFrame) -> DataFrame:
     """Latest values per line; both sides reduce to one row per line before the join.
-    A line that only logs or only has signals is there too."""
+    A line that only logs or only has signals is there too. ``signals`` may carry the
+    operating ``mode``; without one a line is in production."""
     last = F.struct("t_ms", "seq")
     faults = F.col("event_type") == "fault_raised"
     events = log.groupBy("line_id").agg(
@@ -103,13 +108,13 @@ def status_snapshot(log: DataFrame, signals: DataFrame) -> DataFrame:
         F.max_by("event_type", last).alias("last_event"),
         F.count_if(faults).alias("faults"), F.count(F.lit(1)).alias("events"))
     now = signals.groupBy("line_id").agg(
-        F.max_by(F.struct("running", "fault", "ack", "t_ms"), last).alias("s"))
+        F.max_by(F.struct("running", "fault", "ack", "t_ms", _mode(signals).alias("mode")), last).alias("s"))
     zero = F.lit(0).cast("long")
     return events.join(now, "line_id", "full").select(
         "line_id", "profile_name", "last_event", F.coalesce("faults", zero).alias("faults"), F.coalesce("events", zero).alias("events"),
         F.when(F.col("s.fault"), fixed.FAULT).when(F.col("s.running"), fixed.TRACKING)
         .otherwise(fixed.WAITING).alias("state"),
-        F.lit("production").alias("mode"), F.struct("s.running", "s.fault", "s.ack").alias("signals"),
+        F.coalesce("s.mode", F.lit("production")).alias("mode"), F.struct("s.running", "s.fault", "s.ack").alias("signals"),
         F.col("s.t_ms").alias("last_ms"))
 
 

@@ -53,8 +53,10 @@ def inspect(pieces: DataFrame, frames: DataFrame, recipes: DataFrame, crop: dict
 
 def track(pieces: DataFrame, recipes: DataFrame, occupancy: DataFrame | None = None, method: str = "blob",
           zone: int = 0, crop: dict[str, int] = NO_CROP, width: int = 3200, height: int = 2200,
-          min_circularity: float = 0.75, size_tolerance: float = 0.35, **fixed_recipe) -> DataFrame:
-    """Feed-region pieces that may drive a stop, in region coordinates."""
+          min_circularity: float = 0.75, size_tolerance: float = 0.35, column_profiles: DataFrame | None = None,
+          **fixed_recipe) -> DataFrame:
+    """Feed-region pieces that may drive a stop, in region coordinates. Per frame,
+    ``occupancy`` and ``column_profiles`` are handed on beside them."""
     df = profiles.with_profile(pieces, recipes)
     p = recipe_from(df, **fixed_recipe)
     df = gates.split_roi(df, p, F.lit(width)).where(F.col("roi") == "feed")
@@ -69,6 +71,7 @@ def track(pieces: DataFrame, recipes: DataFrame, occupancy: DataFrame | None = N
         raise ValueError(f"unknown method {method!r}")
     df = gates.filter_candidates(df, p, min_circularity, size_tolerance, use_frame_median=False)
     df = _uncrop(df).withColumn("edge", g.leading_edge(F.col("cx"), F.col("width_px"), F.col("height_px")))
-    if occupancy is not None:
-        df = df.join(occupancy, FRAME, "left")
+    for beside in (occupancy, column_profiles):
+        if beside is not None:
+            df = df.join(beside, FRAME, "left")
     return df

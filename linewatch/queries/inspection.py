@@ -184,3 +184,17 @@ def v4_occupancy(spark, d):
     out = plans.track(full, t.profiles(spark), occupancy, method="contour_external", zone=500,
                       crop={"top": 30, "bottom": 0, "left": 10, "right": 0}, **LEARNED)
     return out.select(*t.FRAME, "det_id", "edge", "occupancy", "occupied")
+
+
+@query("v4_track_with_profile", with_views("pixels", ctes={
+    "prof": """SELECT line_id, frame_id, STRING_AGG(n, ',' ORDER BY x) AS column_profile FROM (
+      SELECT line_id, frame_id, x, CAST(COUNT(*) FILTER (WHERE v > 140) AS VARCHAR) AS n FROM pixels GROUP BY line_id, frame_id, x) GROUP BY ALL"""}, body=
+    "SELECT t.line_id, t.frame_id, det_id, edge, column_profile FROM (" + track_sql(f"({_FUSED} OR circularity >= {D(0.75)})")
+    + ") t LEFT JOIN prof USING (line_id, frame_id)"))
+def v4_profile(spark, d):
+    from linewatch.operators import pixels as px
+    profiles = px.profile_list(px.threshold(t.pixels(spark, d), F.lit(140)))
+    full = line_recipes(t.detections(spark, d)).withColumn("cx", F.col("cx") + 1768)
+    out = plans.track(full, t.profiles(spark), method="contour_external", zone=500,
+                      crop={"top": 30, "bottom": 0, "left": 10, "right": 0}, column_profiles=profiles, **LEARNED)
+    return out.select(*t.FRAME, "det_id", "edge", F.array_join("column_profile", ",").alias("column_profile"))

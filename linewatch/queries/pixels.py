@@ -244,6 +244,44 @@ def x9(spark, d):
                       F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "piece")
 
 
+def small_sql(w: int) -> str:
+    """8 x 8 frames in w x w: every pixel weighs by its share of each small one."""
+    part = f"GREATEST(0, LEAST((x + 1)*{w}, (i + 1)*8) - GREATEST(x*{w}, i*8))"
+    up = "2*r > 64 OR (2*r = 64 AND q % 2 = 1)"
+    return f"""SELECT line_id, frame_id, x, y, CAST(q + CASE WHEN {up} THEN 1 ELSE 0 END AS INT) AS v FROM (
+      SELECT line_id, frame_id, CAST(i AS INT) AS x, CAST(j AS INT) AS y, SUM(v*wx*wy)//64 AS q, SUM(v*wx*wy) % 64 AS r FROM (
+        SELECT *, {part} AS wx, {part.replace('x', 'y').replace('i', 'j')} AS wy FROM pixels, RANGE({w}) a(i), RANGE({w}) b(j)) GROUP BY ALL)"""
+
+
+@query("x9_downscale", pixel_sql(small_sql(6)))
+def x9_downscale(spark, d):
+    return px.downscale(t.pixels(spark, d), 6)
+
+
+_BACK = "(1/CAST(0.75 AS DOUBLE))"
+
+# Small frames can be flat; a block of 51 covers 6 x 6 whole, so only the border repeats.
+_EDGE = "(CASE b.{0} WHEN 0 THEN 26 - a.{0} WHEN 5 THEN 21 + a.{0} ELSE 1 END)"
+FLAT_MEANS = {"flat": "SELECT line_id, frame_id FROM blur GROUP BY ALL HAVING STDDEV_POP(v) < 3",
+              "fm": f"""SELECT a.line_id, a.frame_id, a.x, a.y, CAST(ROUND(SUM(b.v*{_EDGE.format('x')}*{_EDGE.format('y')})/CAST(2601 AS DOUBLE)) AS INT) AS mean
+   FROM blur a JOIN flat USING (line_id, frame_id) JOIN blur b ON a.line_id = b.line_id AND a.frame_id = b.frame_id GROUP BY ALL"""}
+EXTRACT_SMALL = {k: q for k, q in EXTRACT.items() if k not in BLUR} | {
+    "m": """SELECT line_id, frame_id, x, y, CASE WHEN v > COALESCE(mean + 10, threshold) THEN 255 ELSE 0 END AS v
+   FROM blur JOIN ot USING (line_id, frame_id) LEFT JOIN fm USING (line_id, frame_id, x, y)"""}
+
+
+@query("x9_extract_downscaled", pixel_sql(f"""SELECT line_id, frame_id, CAST(FLOOR(bbox_x*{_BACK}) AS INT) AS bbox_x, CAST(FLOOR(bbox_y*{_BACK}) AS INT) AS bbox_y,
+  CAST(FLOOR(width_px*{_BACK}) AS INT) AS width_px, CAST(FLOOR(height_px*{_BACK}) AS INT) AS height_px, CAST(FLOOR(area_px*{_BACK}*{_BACK}) AS BIGINT) AS area_px,
+  ROUND(cx*{_BACK}, 6) AS cx, ROUND(cy*{_BACK}, 6) AS cy, piece FROM (SELECT *, {label(ew='2', eh='2')} AS piece FROM (
+  SELECT line_id, frame_id, MIN(x) AS bbox_x, MIN(y) AS bbox_y, MAX(x)-MIN(x)+1 AS width_px, MAX(y)-MIN(y)+1 AS height_px,
+  COUNT(*) AS area_px, AVG(x) AS cx, AVG(y) AS cy FROM lab GROUP BY line_id, frame_id, label) WHERE area_px >= 1.5)""", recursive=True,
+  **{"small": small_sql(6), **BLUR, "bx": _smooth_sql("x", "small", "v"), **FLAT_MEANS, **EXTRACT_SMALL}))
+def x9_extract_downscaled(spark, d):
+    out = px.extract(t.pixels(spark, d), recipe(**SMALL), open_k=3, dilate_k=0, max_width=6)
+    return out.select("line_id", "frame_id", "bbox_x", "bbox_y", "width_px", "height_px", "area_px",
+                      F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "piece")
+
+
 @query("x10_mask_stats", pixel_sql("""SELECT line_id, frame_id, threshold, ROUND(STDDEV_POP(v), 6) AS contrast,
   COUNT(*) FILTER (WHERE v > threshold) AS set_pixels, COUNT(*) AS pixels FROM pixels p JOIN ot USING (line_id, frame_id) GROUP BY ALL""", **otsu_ctes("pixels")))
 def x10(spark, d):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from linewatch.functions.recipe import recipe
 from linewatch.operators import pixels as px
 
 
@@ -134,3 +135,51 @@ def test_strip_outside_the_image_is_free(spark):
     df = table(spark, [np.full((3, 3), 255)])
     assert px.strip_occupancy(df, 50, 1).first()[2:] == (0.0, False)
     assert px.strip_occupancy(df, 0, 1).first()[2:] == (1.0, True)
+
+
+def shrunk(plane: np.ndarray, to_width: int) -> np.ndarray:
+    """Area means out of whole shares, pixel by pixel."""
+    h, w = plane.shape
+    if w <= to_width:
+        return plane
+    nh = max(1, int(h * (to_width / w)))
+    fine = np.kron(plane, np.ones((nh, to_width), int))  # nh x to_width parts a pixel
+    sums = fine.reshape(nh, h, to_width, w).sum(axis=(1, 3))
+    low, rest = np.divmod(sums, h * w)
+    even = (2 * rest == h * w) & ((low % 2 == 1) | ((w, h) == (2 * to_width, 2 * nh)))
+    return low + ((2 * rest > h * w) | even)
+
+
+@pytest.mark.parametrize("to_width", [1, 3, 5, 6, 7, 12, 40])
+def test_downscale(spark, to_width):
+    rng = np.random.default_rng(to_width)
+    planes = {0: rng.integers(0, 256, (9, 12)), 1: rng.integers(0, 256, (4, 10)), 2: rng.integers(0, 2, (6, 6)), 3: rng.integers(0, 256, (2, 24)), 4: rng.integers(0, 256, (1, 1))}
+    rows = [(1, f, x, y, int(plane[y, x])) for f, plane in planes.items() for y in range(plane.shape[0]) for x in range(plane.shape[1])]
+    out = px.downscale(spark.createDataFrame(rows, "line_id long, frame_id long, x int, y int, v int"), to_width).collect()
+    got = {(r["frame_id"], r["y"], r["x"]): r["v"] for r in out}
+    want = {(f, y, x): int(v) for f, plane in planes.items() for (y, x), v in np.ndenumerate(shrunk(plane, to_width))}
+    assert got == want and len(out) == len(want)
+
+
+def test_downscale_halves_go_up_for_two_by_two(spark):
+    rows = [(1, 0, x, y, v) for (x, y), v in {(0, 0): 0, (1, 0): 1, (0, 1): 1, (1, 1): 0}.items()]
+    assert px.downscale(spark.createDataFrame(rows, "line_id long, frame_id long, x int, y int, v int"), 1).first()["v"] == 1
+    empty = spark.createDataFrame([], "line_id long, frame_id long, x int, y int, v int")
+    assert px.downscale(empty, 3).count() == 0
+    with pytest.raises(ValueError):
+        px.downscale(empty, 0)
+
+
+def test_measures_come_back_in_full_size(spark):
+    """A bright 16 x 8 box in a frame of 40 x 24 keeps its place; frames that are narrow enough are not touched."""
+    rows = [(1, 0, x, y, 220 if 12 <= x < 28 and 8 <= y < 16 else 20) for x in range(40) for y in range(24)]
+    pixels = spark.createDataFrame(rows, "line_id long, frame_id long, x int, y int, v int")
+    p = recipe(expected_width_px=16, expected_height_px=8, expected_area_px=128)
+    plain = px.extract(pixels, p, open_k=3, dilate_k=0)
+    same = px.extract(pixels, p, open_k=3, dilate_k=0, max_width=40)
+    assert plain.collect() == same.select(plain.columns).collect()
+    got = px.extract(pixels, p, open_k=3, dilate_k=0, max_width=20).first()
+    full = plain.first()
+    assert abs(got["cx"] - full["cx"]) <= 2 and abs(got["cy"] - full["cy"]) <= 2
+    assert abs(got["width_px"] - 16) <= 2 and abs(got["height_px"] - 8) <= 2 and 0.7 <= got["area_px"] / full["area_px"] <= 1.4
+    assert px.extract(pixels, p, open_k=3, dilate_k=0, max_width=20, max_area=60).count() == 0
