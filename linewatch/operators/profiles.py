@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,23 +134,28 @@ def overlay_config(base: DataFrame, local: DataFrame) -> DataFrame:
 def learn_reference(df: DataFrame, keys: list[str], min_samples: int = 3) -> DataFrame:
     """Reference geometry from single pieces. Too few samples come out as an error row.
 
-    Medians are exact. They are taken over a value histogram, so a hot key is
-    reduced map-side to its distinct sizes before anything is sorted.
+    Medians are exact. The input is read once: sizes are counted per value, partially
+    before the shuffle, with the shape sums of their pieces beside them, so a hot key is
+    reduced to its distinct sizes before anything is sorted.
     """
-    singles = df.where(F.col("label") == fixed.SINGLE)
-    sizes = ("width_px", "height_px", "area_px")
-    stats = singles.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.round(F.avg("circularity"), 4).alias("ref_circularity_mean"),
-        F.round(F.min("circularity"), 4).alias("ref_circularity_min"),
-        F.round(F.avg("solidity"), 4).alias("ref_solidity_mean"),
-        F.round(F.min("solidity"), 4).alias("ref_solidity_min"))
-    out = df.select(*keys).distinct().join(stats, keys, "left").na.fill(0, ["samples"])
-    long = singles.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("field"), F.col(c).cast("long").alias("value")) for c in sizes])).alias("m"))
-    medians = (exact_median(long.select(*keys, "m.field", "m.value"), [*keys, "field"], "value")
-               .groupBy(*keys).pivot("field", list(sizes)).agg(F.first("median")))
-    out = out.join(medians, keys, "left")
+    sizes, shapes = ("width_px", "height_px", "area_px"), ("circularity", "solidity")
+    known = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("long").alias("value")) for c in sizes])
+    none = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("long").alias("value")))
+    each = df.select(*keys, *shapes, F.explode(F.when(F.col("label") == fixed.SINGLE, known).otherwise(none)).alias("m"))
+    sums = [f(c).alias(f"_{c}_{n}") for c in shapes for n, f in (("sum", F.sum), ("n", F.count), ("min", F.min))]
+    counts = (each.groupBy(*keys, "m.field", "m.value").agg(F.count(F.lit(1)).alias("_rows"), *sums)
+              .withColumn("_n", F.when(F.col("value").isNotNull(), F.col("_rows")).otherwise(0)))
+    first = F.col("field") == sizes[0]  # every single is counted once under each field
+
+    def of(how: Callable[[Column], Column], name: str) -> Column:
+        return how(F.when(first, F.col(name)))
+
+    means = [c for s in shapes for c in (
+        F.round(F.try_divide(of(F.sum, f"_{s}_sum"), of(F.sum, f"_{s}_n")), 4).alias(f"ref_{s}_mean"),
+        F.round(of(F.min, f"_{s}_min"), 4).alias(f"ref_{s}_min"))]
+    out = _placed(counts, [*keys, "field"], "value").groupBy(*keys).agg(
+        F.coalesce(of(F.sum, "_rows"), F.lit(0).cast("long")).alias("samples"), *means,
+        *[_middle("value", F.col("field") == c).alias(c) for c in sizes])
     enough = F.col("samples") >= min_samples
     learned = {f"expected_{c}": F.when(enough, F.bround(F.col(c)).cast("long")) for c in sizes}
     shapes = {c: F.when(enough, F.col(c)) for c in (
@@ -166,17 +173,22 @@ def exact_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     side, and the cumulative window then runs over distinct values only.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return _placed(counts, keys, value).groupBy(*keys).agg(_middle(value).alias("median"))
+
+
+def _placed(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Counted values with the number of rows up to them and in all."""
     up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"_upto": F.sum("_n").over(up),
-                                 "_all": F.sum("_n").over(Window.partitionBy(*keys))})
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    return counts.withColumns({"_upto": F.sum("_n").over(up), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
+def _middle(value: str, where: Column | None = None) -> Column:
+    """Aggregate of placed values: the median of those for which ``where`` holds."""
+    def at(rank: Column) -> Column:
+        holds = (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank)
+        return F.max(F.when(holds if where is None else holds & where, F.col(value)))
 
-    return placed.groupBy(*keys).agg(
-        ((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2.0)
-        .alias("median"))
+    return (at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor((F.col("_all") + 2) / 2))) / 2.0
 
 
 # --- calibration -----------------------------------------------------------
