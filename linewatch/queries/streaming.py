@@ -20,15 +20,9 @@ DAY = 86_400_000
 
 
 def arriving(spark, df, parts=3, late="10 minutes", by="t_ms"):
-    """A history as a stream that arrives in parts, closed at its end."""
+    """A history as a stream that arrives in parts, a part a batch, closed at its end."""
     path = shared.scratch(spark, "arrivals")
-    streams.arrivals(df, path, parts, by)
-    return streams.opened(spark, df.schema, path, late, maxFilesPerTrigger=_files_of(spark, path, parts))
-
-
-def _files_of(spark, path, parts):
-    """About a part a batch, whatever the number of its files."""
-    return max(1, len(spark.read.parquet(path).inputFiles()) // (parts + 1))
+    return streams.opened(spark, df.schema, path, late, maxFilesPerTrigger=streams.arrivals(df, path, parts, by))
 
 
 def streamed(spark, df):

@@ -293,3 +293,32 @@ def test_row_lines_and_column_stops(spark, tmp_path):
         streams.run_to_table(held, f"{tmp_path}/{name}-out", f"{tmp_path}/{name}-checkpoint")
         got = spark.read.schema(held.schema).parquet(f"{tmp_path}/{name}-out")
         assert list(map(str, rows(got, *want.columns))) == list(map(str, rows(want, *want.columns))) != []
+
+
+def test_a_part_in_many_files_is_one_batch(spark, tmp_path, collected):
+    """No row of a part is late because another file of the part came before it."""
+    rows_in = spark.range(4000).select((F.col("id") % 5).alias("line_id"), (F.col("id") * 1000).alias("t_ms"), F.col("id").alias("seq"),
+                                       F.lit("clean_frame").alias("event"), F.lit("").alias("reason"))
+    source = f"{tmp_path}/source"
+    assert streams.arrivals(rows_in.repartition(7), source, 3, files=5) == 5
+    written = [len(spark.read.parquet(f"{source}/part={i:06d}").inputFiles()) for i in range(4)]
+    assert written == [5, 5, 5, 1]
+    stream = streams.opened(spark, rows_in.schema, source, "1 second", maxFilesPerTrigger=5)
+    got = collected(on_stream(stream, mc.LineState(), order=["t_ms", "seq"], hold=True, slot_ms=60_000, ledger=True))
+    assert got.where("outcome = 'handled'").count() == 4000
+    # parts with fewer rows than files are filled up with empty files
+    assert streams.arrivals(rows_in.limit(6), f"{tmp_path}/few", 3, files=5, closed=False) == 5
+    assert [len(spark.read.parquet(f"{tmp_path}/few/part={i:06d}").inputFiles()) for i in range(3)] == [5, 5, 5]
+
+
+def test_many_keys_share_timers_and_cells(spark, tmp_path):
+    """State entries and timers follow buckets and slots, not the 3,000 keys."""
+    many = spark.range(9000).select((F.col("id") % 3000).alias("line_id"), (F.col("id") * 10).alias("t_ms"), F.col("id").alias("seq"),
+                                    (F.col("id") % 2 == 0).alias("fault"))
+    streams.arrivals(many, f"{tmp_path}/source", 2, files=1)
+    stream = streams.opened(spark, many.schema, f"{tmp_path}/source", "1 second", maxFilesPerTrigger=1)
+    progress, out = [], f"{tmp_path}/out"
+    held = on_stream(stream, mc.SelfClear(1), order=["t_ms", "seq"], hold=True, slot_ms=10_000, buckets=4)
+    streams.run_to_table(held, out, f"{tmp_path}/checkpoint", progress)
+    assert max(b["stateOperators"][0]["numRowsTotal"] for b in progress) < 500
+    assert spark.read.parquet(out).count() == 0  # even lines fault always, odd ones never
