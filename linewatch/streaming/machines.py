@@ -3,8 +3,7 @@
 A machine has ``start()`` (a JSON-like state), ``columns`` (what it reads of a
 row, in order), ``schema`` (what it emits) and ``step(state, *row)`` which
 changes the state in place and returns the rows to emit. The same machine runs
-over a sorted table (``run.fold``) and on a stream (``keyed.on_stream``). ``tracks`` names
-a list in the state (path and row schema) that grows with what the machine follows.
+over a sorted table (``run.fold``) and on a stream (``keyed.on_stream``).
 """
 
 from __future__ import annotations
@@ -109,7 +108,6 @@ class Clusters:
     """Ids for row fronts, matched to predicted positions, nearest pairs first."""
     columns = ("t_ms", "frame_id", "fronts")
     schema = "t_ms long, frame_id long, row_id int, cluster_id int, front double, outcome string"
-    tracks = (("known",), "id int, front double, missed int")
 
     def __init__(self, speed: float = 350.0, max_dist: float = 120.0, max_missed: int = 3):
         self.speed, self.max_dist, self.max_missed = speed or 350.0, max_dist, max_missed
@@ -152,7 +150,6 @@ class RowLines:
     """Row lines that fire once when they cross the transfer line."""
     columns = ("frame_id", "row_xs")
     schema = "frame_id long, rows int, fired int"
-    tracks = (("tracks",), "x double, before double, fired boolean, missed int")
 
     def __init__(self, line_x: float, factor: float = fixed.MATCH_TOLERANCE, max_missed: int = 5):
         self.line, self.factor, self.max_missed = line_x, factor, max_missed
@@ -201,7 +198,6 @@ class Stops:
     """Stop commands per row: WAITING, STOPPED, DONE; one emitted row per running frame."""
     columns = ("t_ms", "frame_id", "running", "edges", "cols")
     schema = STOP_SCHEMA
-    tracks = (("clusters", "known"), Clusters.tracks[1])
 
     def __init__(self, line_x: float = 632.0, grid_rows: int = 3, grid_columns: int = 8, row_gap: float = 150.0,
                  boundary_offset: float = 25.0, clearing_timeout_ms: int = 400, fresh_margin: float = 200.0,
