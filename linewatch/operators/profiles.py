@@ -136,13 +136,15 @@ def learn_reference(df: DataFrame, keys: list[str], min_samples: int = 3) -> Dat
 
     Medians are exact. The input is read once: sizes are counted per value, partially
     before the shuffle, with the shape sums of their pieces beside them, so a hot key is
-    reduced to its distinct sizes before anything is sorted.
+    reduced to its distinct sizes before anything is sorted. Means are sums of decimals (12 places), so they are
+    exact in any order and halves round up; a shape that is no finite number is not counted in its mean.
     """
     sizes, shapes = ("width_px", "height_px", "area_px"), ("circularity", "solidity")
     known = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("long").alias("value")) for c in sizes])
     none = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("long").alias("value")))
     each = df.select(*keys, *shapes, F.explode(F.when(F.col("label") == fixed.SINGLE, known).otherwise(none)).alias("m"))
-    sums = [f(c).alias(f"_{c}_{n}") for c in shapes for n, f in (("sum", F.sum), ("n", F.count), ("min", F.min))]
+    exact = {c: F.col(c).try_cast("decimal(24, 12)") for c in shapes}
+    sums = [m for c in shapes for m in (F.sum(exact[c]).alias(f"_{c}_sum"), F.count(exact[c]).alias(f"_{c}_n"), F.min(c).alias(f"_{c}_min"))]
     counts = (each.groupBy(*keys, "m.field", "m.value").agg(F.count(F.lit(1)).alias("_rows"), *sums)
               .withColumn("_n", F.when(F.col("value").isNotNull(), F.col("_rows")).otherwise(0)))
     first = F.col("field") == sizes[0]  # every single is counted once under each field
@@ -151,7 +153,7 @@ def learn_reference(df: DataFrame, keys: list[str], min_samples: int = 3) -> Dat
         return how(F.when(first, F.col(name)))
 
     means = [c for s in shapes for c in (
-        F.round(F.try_divide(of(F.sum, f"_{s}_sum"), of(F.sum, f"_{s}_n")), 4).alias(f"ref_{s}_mean"),
+        F.round(F.try_divide(of(F.sum, f"_{s}_sum"), of(F.sum, f"_{s}_n")), 4).cast("double").alias(f"ref_{s}_mean"),
         F.round(of(F.min, f"_{s}_min"), 4).alias(f"ref_{s}_min"))]
     out = _placed(counts, [*keys, "field"], "value").groupBy(*keys).agg(
         F.coalesce(of(F.sum, "_rows"), F.lit(0).cast("long")).alias("samples"), *means,

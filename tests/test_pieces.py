@@ -186,3 +186,11 @@ def test_median_rounds_half_to_even(spark):
     rows_ = [(0, 1, i, 0.0, 0.0, w, 290, 60000, 0.9, 0.9) for i, w in enumerate((290, 291, 290, 291))]
     df = spark.createDataFrame(rows_, DET).withColumn("label", F.lit("single"))
     assert pr.learn_reference(df, ["line_id"]).first()["expected_width_px"] == 290
+
+
+def test_means_that_end_in_half_round_up_whatever_the_order(spark):
+    """Fifteen of 0.42 and one of 0.48: the mean is 0.42375, though doubles add up to less."""
+    shapes = [0.42] * 15 + [0.48]
+    df = spark.createDataFrame([(1, 1, i, 0.0, 0.0, 290, 290, 60000, c, c, "single") for i, c in enumerate(shapes)], DET + ", label string")
+    got = pr.learn_reference(df.coalesce(1), ["line_id"]).first()
+    assert (got["ref_circularity_mean"], got["ref_solidity_mean"], got["ref_solidity_min"]) == (0.4238, 0.4238, 0.42)
