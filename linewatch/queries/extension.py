@@ -65,11 +65,11 @@ def u2(spark, d):
 
 @query("u2_verdict_rule_udaf", with_views("detections", body=_SHARE))
 def u2_udaf(spark, d):
-    @F.pandas_udf("string")
-    def mostly_odd(labels: pd.Series) -> str:
-        return "FAULT_ROW_FUSED" if (labels != "single").mean() > 0.5 else "OK"
+    def mostly_odd(pieces: pd.DataFrame) -> pd.Series:
+        share = (pieces["label"] != "single").groupby(level=0).mean()
+        return (share > 0.5).map({True: "FAULT_ROW_FUSED", False: "OK"})
 
-    return extend.verdict_by(pr.label_pieces(t.pieces(spark, d), recipe()), mostly_odd(F.col("label")))
+    return extend.verdict_by(pr.label_pieces(t.pieces(spark, d), recipe()), mostly_odd, "label")
 
 
 @query("u4_sql_functions", with_views("detections", "edges0", body=f"""SELECT line_id, frame_id, diam AS diameter_px, edge, {label()} AS label,

@@ -7,6 +7,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from linewatch.functions import extend
 from linewatch.functions import geometry as g
 from linewatch.functions.recipe import recipe
 from linewatch.operators import gates, proximity, rows, verdict
@@ -194,3 +195,22 @@ def test_means_that_end_in_half_round_up_whatever_the_order(spark):
     df = spark.createDataFrame([(1, 1, i, 0.0, 0.0, 290, 290, 60000, c, c, "single") for i, c in enumerate(shapes)], DET + ", label string")
     got = pr.learn_reference(df.coalesce(1), ["line_id"]).first()
     assert (got["ref_circularity_mean"], got["ref_solidity_mean"], got["ref_solidity_min"]) == (0.4238, 0.4238, 0.42)
+
+
+def test_rule_in_python_gets_many_frames_at_once(spark):
+    """One verdict a frame, nulls seen, and no Python call of Spark's for each frame."""
+    rows = [(f % 4, f, "odd" if i < f % 3 else None, float(i)) for f in range(300) for i in range(1 + f % 5)]
+    df = spark.createDataFrame(rows, "line_id long, frame_id long, label string, size double").repartition(3)
+
+    def rule(pieces):
+        frames = pieces.groupby(level=0)
+        return [f"{len(p)} {(p['label'] == 'odd').sum()} {p['size'].max()}" for _, p in frames]
+
+    found = extend.verdict_by(df, rule, "label", "size")
+    got = {r["frame_id"]: (r["line_id"], r["verdict"], r["is_fault"]) for r in found.collect()}
+    assert got == {f: (f % 4, f"{1 + f % 5} {min(f % 3, 1 + f % 5)} {f % 5}.0", False) for f in range(300)}
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    one = spark.createDataFrame(rows[:1], df.schema)
+    assert extend.verdict_by(one, lambda pieces: ["FAULT_ROW_FUSED"], "label").first()["is_fault"] is True
+    with pytest.raises(Exception, match="2 verdicts for 1 frames"):
+        extend.verdict_by(one, lambda pieces: ["OK", "OK"], "label").collect()
