@@ -6,16 +6,21 @@ return the columns of ``documents``. Rows a stage drops are gone for the later o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewatch.llm import mixing, packing, repeats, similar, toxicity
+from linewatch.llm import mixing, packing, repeats, simhash, similar, toxicity
 from linewatch.llm.common import stored, table
 from linewatch.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _row() -> Column:
+    """Tells rows apart: a hash of all their columns."""
+    return F.xxhash64(*COLUMNS)
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     labels = table(spark, sf_dir, "labels").where(toxicity.learnable(F.col("doc_id")))
@@ -23,19 +28,25 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, COLUMNS).where("score < 0.5").select(COLUMNS)
 
 
-def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id (no id
-    comes last, ties by content). Rows are told apart by a hash of all their columns; only
-    where whole rows repeat, one of them is picked by one more exchange."""
-    row = F.xxhash64(*COLUMNS)
-    found = similar.similar(docs.withColumn("row", row), width=5, keep=("doc_id", "row"))
+def _firsts(docs: DataFrame, found: DataFrame, label: str) -> DataFrame:
+    """The rows of ``docs`` of the smallest id of each component (no id comes last, ties by content).
+    Only where whole rows repeat, one of them is picked by one more exchange."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     kept = stored(found.groupBy("component").agg(first.alias("first"), F.count_distinct("row").alias("rows"), F.count("*").alias("n"))
-                  .select(F.col("first.row").alias("row"), "rows", "n"), "kept")
-    chosen = docs.join(kept.select(F.col("row").alias("_row")), row == F.col("_row"), "left_semi").select(COLUMNS)
+                  .select(F.col("first.row").alias("row"), "rows", "n"), label)
+    chosen = docs.join(kept.select(F.col("row").alias("_row")), _row() == F.col("_row"), "left_semi").select(COLUMNS)
     return chosen.dropDuplicates(COLUMNS) if not kept.where("n > rows").isEmpty() else chosen
 
 
+def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates. First the groups of ``op4_simhash``: SimHash fingerprints
+    of three-word shingles, linked at two or fewer differing bits. Of the documents left, those whose sets of five-word
+    shingles are similar at 0.8 or more, which two bits of 64 do not tell, are found by an exact check."""
+    marked = simhash.near_duplicates(docs.withColumn("row", _row()), width=3, keep=("row",))
+    left = stored(_firsts(docs, marked, "fingerprint-kept"), "fingerprint-left")
+    return _firsts(left, similar.similar(left.withColumn("row", _row()), width=5, keep=("doc_id", "row")), "kept")
+
+
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines and passages that an earlier document has."""
     return repeats.deduplicated(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)

@@ -39,6 +39,8 @@ SAMPLE = 10_000
 FREQUENT = 100_000
 #: Entries of a crowded shingle that meet in one task.
 BLOCK = 512
+#: Texts whose shingles a Python worker holds at once.
+SLICE = 256
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -52,6 +54,13 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that a worker's memory does not follow the size of Spark's batches."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _frequent(documents: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that repeat in a sample of the documents, sorted, and how often they do."""
     step = max(1, documents.count() // SAMPLE)
@@ -119,7 +128,7 @@ def similar(documents: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) ->
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
             nodes = [_node(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -127,7 +136,7 @@ def similar(documents: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) ->
                  pa.array([_prefix(s, frequent, counts) for s in sets], pa.list_(pa.int64()))], [*kept, "_node", "_size", "_prefix"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.uint64()).view(pa.int64()),
                                               pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])

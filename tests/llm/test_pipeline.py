@@ -58,3 +58,27 @@ def test_near_duplicate_stage_on_odd_rows(spark):
     got = corpus_pipeline.one_of_a_kind(spark, docs, SF).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "3", "5", "5", "None"]
     assert corpus_pipeline.one_of_a_kind(spark, docs.where("false"), SF).count() == 0
+
+
+def test_near_duplicate_stage_links_by_simhash(spark):
+    """Texts of one repeated passage and different ends: equal fingerprints, different sets of shingles."""
+    passage = "spam eggs ham " * 200
+    rows = [(k, passage + " ".join(f"end{k}x{i}" for i in range(40)), "en", "s", 1) for k in (3, 1, 2)]
+    rows.append((4, " ".join(f"other{i}" for i in range(60)), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_a_kind(spark, docs, SF).collect()) == [1, 4]
+
+
+def test_near_duplicate_stage_links_by_shingles_what_two_bits_do_not(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join([*words[:190], *(f"z{i}" for i in range(10))]), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.simhash.near_duplicates(docs, width=3).select("component").distinct().count() == 2
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_a_kind(spark, docs, SF).collect()] == [1]
+
+
+def test_shingles_are_held_for_few_texts_at_once():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["n"])
+    parts = list(corpus_pipeline.similar._slices(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= 256 and [n for p in parts for n in p.column(0).to_pylist()] == list(range(1000))
