@@ -28,12 +28,15 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model, COLUMNS).where("score < 0.5").select(COLUMNS)
 
 
-def _firsts(docs: DataFrame, found: DataFrame, label: str) -> DataFrame:
-    """The rows of ``docs`` of the smallest id of each component (no id comes last, ties by content).
-    Only where whole rows repeat, one of them is picked by one more exchange."""
+def _firsts(found: DataFrame, label: str) -> DataFrame:
+    """``row`` of the smallest id of each component (no id comes last, ties by content), how many rows it has and how many different ones."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    kept = stored(found.groupBy("component").agg(first.alias("first"), F.count_distinct("row").alias("rows"), F.count("*").alias("n"))
+    return stored(found.groupBy("component").agg(first.alias("first"), F.count_distinct("row").alias("rows"), F.count("*").alias("n"))
                   .select(F.col("first.row").alias("row"), "rows", "n"), label)
+
+
+def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``_firsts`` names. Only where whole rows repeat, one of them is picked by one more exchange."""
     chosen = docs.join(kept.select(F.col("row").alias("_row")), _row() == F.col("_row"), "left_semi").select(COLUMNS)
     return chosen.dropDuplicates(COLUMNS) if not kept.where("n > rows").isEmpty() else chosen
 
@@ -41,10 +44,12 @@ def _firsts(docs: DataFrame, found: DataFrame, label: str) -> DataFrame:
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates. First the groups of ``op4_simhash``: SimHash fingerprints
     of three-word shingles, linked at two or fewer differing bits. Of the documents left, those whose sets of five-word
-    shingles are similar at 0.8 or more, which two bits of 64 do not tell, are found by an exact check."""
-    marked = simhash.near_duplicates(docs.withColumn("row", _row()), width=3, keep=("row",))
-    left = stored(_firsts(docs, marked, "fingerprint-kept"), "fingerprint-left")
-    return _firsts(left, similar.similar(left.withColumn("row", _row()), width=5, keep=("doc_id", "row")), "kept")
+    shingles are similar at 0.8 or more, which two bits of 64 do not tell, are found by an exact check. Texts are exchanged
+    once, when the result is picked."""
+    named = docs.withColumn("row", _row())
+    left = _firsts(simhash.near_duplicates(named, width=3, keep=("row",)), "fingerprint-kept").select("row")
+    found = similar.similar(named, width=5, keep=("doc_id", "row"), among=left)
+    return _chosen(docs, _firsts(found, "kept"))
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
