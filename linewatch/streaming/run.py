@@ -20,6 +20,11 @@ def frame_of(rows: list[tuple], names: list[str], dtypes: dict[str, str]) -> pd.
     return df.astype({c: d for c, d in dtypes.items() if c in df.columns})
 
 
+def _plain(column: pd.Series) -> list:
+    """Values of a column for a machine; arrays as lists of plain numbers, with which Python counts several times as fast."""
+    return [v.tolist() if isinstance(v, np.ndarray) else v for v in column.tolist()] if column.dtype == object else column.tolist()
+
+
 _NULLABLE = {"bigint": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean"}
 
 
@@ -46,7 +51,7 @@ def fold(df: DataFrame, machine, keys: Sequence[str], order: Sequence[str]) -> D
         for batch in batches:
             out = []
             key_rows = zip(*[batch[k].tolist() for k in keys])
-            rows = zip(*[batch[c].tolist() for c in machine.columns])
+            rows = zip(*[_plain(batch[c]) for c in machine.columns])
             for key, row in zip(key_rows, rows):
                 if key != current:
                     current, state = key, machine.start()
@@ -63,12 +68,13 @@ def fold_chained(df: DataFrame, machine, keys: Sequence[str], order: Sequence[st
     """Batch form over any length of history, with the rows of a key replayed in parallel.
 
     Histories are cut into time chunks (by the first order column). Every chunk first
-    runs from a fresh state; then those whose chunk before ends otherwise than they
-    assumed run again from that state, until none is left. A machine that comes
+    runs from a fresh state, and what it emits is stored beside its end; then those whose chunk before ends otherwise than they
+    assumed run again from that state, until none is left. In the end only chunks that did not start afresh emit once more. A machine that comes
     back to the same state (a full reset) settles in few rounds, and a round reads only
     the chunks it runs again; at worst there is a round per chunk, so the result is that of
     one pass whatever the length of a chunk. Between rounds one small row per chunk, its
-    state as JSON, is written to the shared folder.
+    state as JSON, is written to the shared folder. The rows themselves are worked out once for the first run and, only if
+    a chunk runs again, once more to be stored.
     """
     keys, order = list(keys), list(order)
     chunk_keys = [*keys, CHUNK]
@@ -82,51 +88,68 @@ def fold_chained(df: DataFrame, machine, keys: Sequence[str], order: Sequence[st
     def dump(state) -> str:
         return json.dumps(state, sort_keys=True, default=lambda o: o.item())  # numpy scalars
 
-    def replay(rows: DataFrame, starts: DataFrame, states_only: bool) -> DataFrame:
-        """``starts`` gives each chunk its first state, as a row sorted before its others."""
+    def replay(rows: DataFrame, starts: DataFrame | None = None, emits: bool = True, ends: bool = False) -> DataFrame:
+        """``starts`` gives each chunk its first state, as a row sorted before its others; without it chunks start afresh.
+        Rows that the machine ``emits``, and per chunk a row with the state in which it ``ends``."""
+        started = starts is not None
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             current, state = None, None
+            blank = (None,) * (len(names) - len(keys))
             for batch in batches:
                 out = []
                 key_rows = zip(*[batch[k].tolist() for k in chunk_keys])
-                for key, start, row in zip(key_rows, batch["_start"].tolist(), zip(*[batch[c].tolist() for c in machine.columns])):
+                first = batch["_start"].tolist() if started else [None] * len(batch)
+                for key, start, row in zip(key_rows, first, zip(*[_plain(batch[c]) for c in machine.columns])):
+                    if key != current:
+                        if ends and current is not None:
+                            out.append((*current[:-1], *blank, current[-1], dump(state)))
+                        current, state = key, json.loads(start) if isinstance(start, str) else machine.start()
                     if isinstance(start, str):
-                        if states_only and current is not None:
-                            out.append((*current, dump(state)))
-                        current, state = key, json.loads(start)
                         continue
                     made = machine.step(state, *row)
-                    if not states_only:
-                        out.extend((*key[:-1], *r) for r in made)
+                    if emits:
+                        out.extend((*key[:-1], *r, key[-1], None) for r in made)
                 if out:
-                    yield pd.DataFrame(out, columns=[*chunk_keys, "end"]) if states_only else frame_of(out, names, dtypes)
-            if states_only and current is not None:
-                yield pd.DataFrame([(*current, dump(state))], columns=[*chunk_keys, "end"])
-
-        marked = rows.withColumn("_start", F.lit(None).cast("string")).unionByName(
-            starts.select(*chunk_keys, F.col("start").alias("_start")), allowMissingColumns=True)
-        first = [F.col("_start").isNull(), *order]
-        return (marked.repartition(*chunk_keys).sortWithinPartitions(*chunk_keys, *first)
-                .mapInPandas(run, f"{key_types}, {CHUNK} long, end string" if states_only else schema))
-
-    def stored(states: DataFrame) -> DataFrame:
-        path = shared.scratch(df.sparkSession, "chunk-states")
-        states.write.parquet(path)
-        return df.sparkSession.read.schema(states.schema).parquet(path)
+                    yield frame_of(out, [*names, CHUNK, "end"], {**dtypes, CHUNK: "Int64"})
+            if ends and current is not None:
+                yield frame_of([(*current[:-1], *blank, current[-1], dump(state))], [*names, CHUNK, "end"], {**dtypes, CHUNK: "Int64"})
+
+        if started:
+            rows = rows.withColumn("_start", F.lit(None).cast("string")).unionByName(
+                starts.select(*chunk_keys, F.col("start").alias("_start")), allowMissingColumns=True)
+        first = [F.col("_start").isNull(), *order] if started else order
+        return (rows.repartition(*chunk_keys).sortWithinPartitions(*chunk_keys, *first)
+                .mapInPandas(run, f"{schema}, {CHUNK} long, end string"))
+
+    def stored(rows: DataFrame, label: str = "chunk-states") -> DataFrame:
+        path = shared.scratch(df.sparkSession, label)
+        rows.write.parquet(path)
+        return df.sparkSession.read.schema(rows.schema).parquet(path)
 
     fresh = F.lit(dump(machine.start()))
-    starts = base.select(*chunk_keys).distinct().withColumn("start", fresh)
-    states = stored(replay(base, starts, True).withColumn("start", fresh))
+    first = stored(replay(base, ends=True), "chunk-runs")
+    states = first.where("end IS NOT NULL").select(*chunk_keys, "end").withColumn("start", fresh)
+    emitted = first.where("end IS NULL")
     before = F.lag("end").over(Window.partitionBy(*keys).orderBy(CHUNK))
+    rounds = 0
     while True:
         due = states.withColumn("due", F.coalesce(before, fresh))
-        wrong = due.where("due <> start").select(*chunk_keys, F.col("due").alias("start"))
+        wrong = stored(due.where("due <> start").select(*chunk_keys, F.col("due").alias("start")), "chunk-starts")
         if wrong.isEmpty():
-            return replay(base, states, False)
-        again = replay(base.join(wrong.select(*chunk_keys), chunk_keys, "left_semi"), wrong, True)
+            break
+        base = base if rounds else stored(base, "chunk-rows")
+        rounds += 1
+        again = replay(base.join(wrong.select(*chunk_keys), chunk_keys, "left_semi"), wrong, emits=False, ends=True)
         again = again.join(wrong, chunk_keys).select(*chunk_keys, F.col("end").alias("_end"), F.col("start").alias("_begin"))
         states = stored(states.join(again, chunk_keys, "left").select(
             *chunk_keys, F.coalesce("_end", "end").alias("end"), F.coalesce("_begin", "start").alias("start")))
+    if rounds:
+        later = states.where(F.col("start") != fresh)
+        moved = later.select(*chunk_keys)
+        emitted = emitted.join(moved, chunk_keys, "left_anti").select(*emitted.columns).unionByName(
+            replay(base.join(moved, chunk_keys, "left_semi"), later))
+    return emitted.select(*names)
 
 
 # --- automata with few states: exact over any history length -----------------
